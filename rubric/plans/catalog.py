@@ -165,3 +165,164 @@ def _round_rates(df: DataFrame) -> DataFrame:
           + _rates_outer(f"SELECT {_RATES_SQL} FROM scored"))
 def a12(spark, sf_dir):
     return _round_rates(E.accuracy_consistency(scored(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ R5-R7
+
+from ..operators import groups as G  # noqa: E402
+from ..operators import joins as J  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+
+@register("r5_fan_out", O.with_base(scored=False) + "SELECT sample_id, gen_idx, answer FROM completions")
+def r5(spark, sf_dir):
+    return TB.fan_out(TB.samples(spark, sf_dir).select("sample_id", "answer")) \
+        .select("sample_id", "gen_idx", "answer")
+
+
+_ADV_SQL = ("g AS (SELECT sample_id, avg(CAST(reward AS DOUBLE)) AS m, stddev_samp(CAST(reward AS DOUBLE)) AS s "
+            "FROM scored GROUP BY sample_id)")
+
+
+@register("r6_group_advantage", O.with_base(_ADV_SQL)
+          + "SELECT sample_id, gen_idx, round(CAST(reward AS DOUBLE), 6) AS reward, "
+            "round(CASE WHEN s IS NULL OR s = 0 THEN 0.0 ELSE (CAST(reward AS DOUBLE) - m) / (s + 1e-4) END, 6) "
+            "AS advantage FROM scored JOIN g USING (sample_id)")
+def r6_adv(spark, sf_dir):
+    a = G.group_advantage(scored(spark, sf_dir))
+    return a.select(*KEY, r6("reward").alias("reward"), r6("advantage").alias("advantage"))
+
+
+@register("r6_group_advantage_mean_only", O.with_base(_ADV_SQL.replace("avg(", "count(reward) AS n, avg("))
+          + "SELECT sample_id, gen_idx, round(CASE WHEN n <= 1 THEN 0.0 ELSE CAST(reward AS DOUBLE) - m END, 6) "
+            "AS advantage FROM scored JOIN g USING (sample_id)")
+def r6_mean(spark, sf_dir):
+    a = G.group_advantage(scored(spark, sf_dir), scale_rewards=False)
+    return a.select(*KEY, r6("advantage").alias("advantage"))
+
+
+@register("r7_group_audit", O.with_base()
+          + "SELECT sample_id, count(*) AS n_rows, count(DISTINCT gen_idx) AS n_gens, "
+            "round(min(CAST(reward AS DOUBLE)), 6) AS min_reward, round(max(CAST(reward AS DOUBLE)), 6) AS max_reward, "
+            "CASE WHEN count(*) > count(DISTINCT gen_idx) THEN 'duplicate' WHEN count(DISTINCT gen_idx) < 6 THEN 'missing' "
+            "WHEN count(DISTINCT gen_idx) > 6 THEN 'extra' WHEN min(reward) = max(reward) THEN 'flat' ELSE 'ok' END "
+            "AS status FROM scored GROUP BY sample_id")
+def r7(spark, sf_dir):
+    a = G.group_audit(scored(spark, sf_dir))
+    return a.select("sample_id", "n_rows", "n_gens", r6("min_reward").alias("min_reward"),
+                    r6("max_reward").alias("max_reward"), "status")
+
+
+# ------------------------------------------------------------------ J2
+
+_GOLD_SQL = ("gold AS (SELECT sample_id, answer AS gt_answer FROM samples "
+             "WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = samples.sample_id))")
+
+
+def _gold(spark, sf_dir) -> DataFrame:
+    """Gold answers exist for the documents that carry labels."""
+    s = TB.samples(spark, sf_dir)
+    labelled = s.join(TB.read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sample_id")),
+                      "sample_id", "left_semi")
+    return J.gold_from_samples(labelled)
+
+
+def _bare_completions(spark, sf_dir) -> DataFrame:
+    return TB.completions(spark, sf_dir).drop("answer")
+
+
+@register("j2_attach_gold", O.with_base(_GOLD_SQL, scored=False)
+          + "SELECT c.sample_id, c.gen_idx, g.gt_answer FROM completions c JOIN gold g USING (sample_id)")
+def j2(spark, sf_dir):
+    return J.attach_gold(_bare_completions(spark, sf_dir), _gold(spark, sf_dir)) \
+        .select(*KEY, "gt_answer")
+
+
+@register("j2_unmatched_completions", O.with_base(_GOLD_SQL, scored=False)
+          + "SELECT c.sample_id, c.gen_idx FROM completions c "
+            "WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.sample_id = c.sample_id)")
+def j2u(spark, sf_dir):
+    return J.unmatched_completions(_bare_completions(spark, sf_dir), _gold(spark, sf_dir)).select(*KEY)
+
+
+@register("j2_eval_labelled", O.with_base(
+    _GOLD_SQL,
+    "paired AS (SELECT c.sample_id, c.image_id, c.question, c.gen_idx, c.completion, g.gt_answer AS answer "
+    "FROM completions c JOIN gold g USING (sample_id))",
+    O.scored_ctes("paired", prefix="q", out="lscored"), scored=False)
+    + _rates_outer(f"SELECT {_RATES_SQL} FROM lscored"))
+def j2e(spark, sf_dir):
+    paired = J.attach_gold(_bare_completions(spark, sf_dir), _gold(spark, sf_dir))
+    return _round_rates(E.accuracy_consistency(S.score_completions(paired, gold="gt_answer")))
+
+
+# ------------------------------------------------------------------ A3, A4, A7, W7, P10, S4
+
+def tagged(spark, sf_dir) -> DataFrame:
+    """Each generation slot is evaluated as its own tagged run ('g0'..'g5')."""
+    s = scored(spark, sf_dir)
+    return s.select("*", F.concat(F.lit("g"), F.col("gen_idx").cast("string")).alias("tag"))
+
+
+_TAGGED = "tagged AS (SELECT *, 'g' || CAST(gen_idx AS VARCHAR) AS tag FROM scored)"
+
+
+@register("a3_shard_counters", O.with_base()
+          + f"SELECT shard, {_RATES_SQL} FROM (SELECT *, CAST(((sample_id % 2) + 2) % 2 AS INTEGER) AS shard "
+            "FROM scored) GROUP BY ROLLUP (shard)")
+def a3(spark, sf_dir):
+    s = scored(spark, sf_dir).withColumn("shard", F.pmod(F.col("sample_id"), F.lit(2)).cast("int"))
+    agg = [F.count("is_correct").alias("n"),
+           F.coalesce(F.sum("is_correct"), F.lit(0)).cast("bigint").alias("n_correct"),
+           F.coalesce(F.sum("is_consist"), F.lit(0)).cast("bigint").alias("n_consist")]
+    return s.rollup("shard").agg(*agg)
+
+
+@register("a4_eval_by_tag", O.with_base(_TAGGED)
+          + _rates_outer(f"SELECT tag, {_RATES_SQL} FROM tagged GROUP BY tag", "tag"))
+def a4(spark, sf_dir):
+    return _round_rates(E.eval_by_tag(tagged(spark, sf_dir)))
+
+
+@register("a7_model_comparison", O.with_base(
+    _TAGGED,
+    f"c AS (SELECT tag AS model, {_RATES_SQL} FROM tagged GROUP BY tag)",
+    "r AS (SELECT *, CASE WHEN n > 0 THEN n_correct / n ELSE 0.0 END AS accuracy, "
+    "coalesce(n_consist / nullif(n_correct, 0), 0.0) AS consistency FROM c)")
+    + "SELECT model, n, n_correct, n_consist, round(accuracy, 6) AS accuracy, round(consistency, 6) AS consistency, "
+      "round(accuracy - max(CASE WHEN model = 'g0' THEN accuracy END) OVER (), 6) AS accuracy_delta, "
+      "round(consistency - max(CASE WHEN model = 'g0' THEN consistency END) OVER (), 6) AS consistency_delta "
+      "FROM r")
+def a7(spark, sf_dir):
+    t = tagged(spark, sf_dir).withColumnRenamed("tag", "model")
+    c = E.model_comparison(t, "model", baseline="g0")
+    return c.select("model", "n", "n_correct", "n_consist", r6("accuracy").alias("accuracy"),
+                    r6("consistency").alias("consistency"), r6("accuracy_delta").alias("accuracy_delta"),
+                    r6("consistency_delta").alias("consistency_delta"))
+
+
+@register("w7_worst_samples", O.with_base(_TAGGED)
+          + "SELECT tag, CAST(rank AS INTEGER) AS rank, sample_id, gen_idx, round(CAST(reward AS DOUBLE), 6) AS reward "
+            "FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY reward, sample_id, gen_idx) AS rank "
+            "FROM tagged) WHERE rank <= 3")
+def w7(spark, sf_dir):
+    w = E.worst_samples(tagged(spark, sf_dir), k=3)
+    return w.select("tag", "rank", *KEY, r6("reward").alias("reward"))
+
+
+_RECORDS_SQL = ("SELECT image_id, chr(10) || '### Question:' || chr(10) || coalesce(question, '') AS instruction, "
+                "answer AS gt_answer, completion AS prediction_raw, pred_think, pred_answer, is_correct, is_consist")
+
+
+@register("p10_eval_records", O.with_base() + _RECORDS_SQL + " FROM scored")
+def p10(spark, sf_dir):
+    return E.eval_records(scored(spark, sf_dir))
+
+
+@register("s4_write_eval_report", O.with_base(_TAGGED) + _RECORDS_SQL + ", tag FROM tagged")
+def s4(spark, sf_dir):
+    """Write the tagged report as JSON Lines under the shared folder, read it back."""
+    path = scratch_path(spark, "eval-report")
+    SK.write_eval_report(E.eval_records(tagged(spark, sf_dir), extra=("tag",)), path)
+    return SK.read_eval_report(spark, path)

@@ -105,16 +105,18 @@ CASE event_type WHEN 'view' THEN value WHEN 'click' THEN CASE WHEN value > 10 TH
 FROM events WHERE event_type IN ('view', 'click')"""
 
 
-def scored_ctes(source: str = "completions", gold: str = "answer") -> str:
-    """CTE chain that scores ``source`` into ``scored`` (same stages as Spark)."""
-    return f"""p1 AS (SELECT *, coalesce(completion, '') AS txt FROM {source}),
-p2 AS (SELECT *, {think('txt')} AS pred_think, {answer('txt')} AS pred_answer,
-       {clean(gold)} AS gold_clean, {format_reward('txt')} AS format_reward FROM p1),
-p3 AS (SELECT *, {clean('pred_answer')} AS ans_clean, {clean('pred_think')} AS think_clean,
-       len({tokens('pred_answer')}) AS ans_words FROM p2),
-p4 AS (SELECT *, {match('ans_clean', tokens('ans_clean'), 'gold_clean')} AS ans_ok,
-       {match('think_clean', tokens('think_clean'), 'gold_clean')} AS think_ok FROM p3),
-p5 AS (SELECT *, CAST(ans_ok AS INTEGER) AS is_correct,
+def scored_ctes(source: str = "completions", gold: str = "answer", prefix: str = "p",
+                out: str = "scored") -> str:
+    """CTE chain that scores ``source`` into ``out`` (same stages as Spark)."""
+    p = prefix
+    return f"""{p}1 AS (SELECT *, coalesce(completion, '') AS txt FROM {source}),
+{p}2 AS (SELECT *, {think('txt')} AS pred_think, {answer('txt')} AS pred_answer,
+       {clean(gold)} AS gold_clean, {format_reward('txt')} AS format_reward FROM {p}1),
+{p}3 AS (SELECT *, {clean('pred_answer')} AS ans_clean, {clean('pred_think')} AS think_clean,
+       len({tokens('pred_answer')}) AS ans_words FROM {p}2),
+{p}4 AS (SELECT *, {match('ans_clean', tokens('ans_clean'), 'gold_clean')} AS ans_ok,
+       {match('think_clean', tokens('think_clean'), 'gold_clean')} AS think_ok FROM {p}3),
+{p}5 AS (SELECT *, CAST(ans_ok AS INTEGER) AS is_correct,
        CASE WHEN {gold} IS NULL THEN NULL WHEN ans_ok THEN CAST(think_ok AS INTEGER) ELSE 0 END AS is_consist,
        CAST(ans_words <= 3 AS INTEGER) AS is_concise,
        CASE WHEN {gold} IS NULL THEN NULL
@@ -123,8 +125,8 @@ p5 AS (SELECT *, CAST(ans_ok AS INTEGER) AS is_correct,
             ELSE CAST(2.0 AS DOUBLE)
                  + CASE WHEN pred_think <> '' THEN CASE WHEN think_ok THEN CAST(0.5 AS DOUBLE) ELSE CAST(-0.5 AS DOUBLE) END ELSE CAST(0.0 AS DOUBLE) END
                  - CASE WHEN ans_words > 3 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END END AS main_reward
-       FROM p4),
-scored AS (SELECT *, CAST(format_reward + main_reward AS FLOAT) AS reward FROM p5)"""
+       FROM {p}4),
+{out} AS (SELECT *, CAST(format_reward + main_reward AS FLOAT) AS reward FROM {p}5)"""
 
 
 def with_base(*extra_ctes: str, scored: bool = True, metrics: bool = False) -> str:
