@@ -326,3 +326,137 @@ def s4(spark, sf_dir):
     path = scratch_path(spark, "eval-report")
     SK.write_eval_report(E.eval_records(tagged(spark, sf_dir), extra=("tag",)), path)
     return SK.read_eval_report(spark, path)
+
+
+# ------------------------------------------------------------------ S1, S2, S6, P1-P9, S3, J1
+
+from ..operators import prompts as P  # noqa: E402
+from ..sources import images as IM  # noqa: E402
+from ..sources import samples as SM  # noqa: E402
+
+IMAGE_DIR, TEST_IMAGE_DIR = "/data/images", "/data/test_images"
+
+_RAW_SQL = """raw AS (SELECT doc_id AS sample_id, CAST(CAST(floor(doc_id / 2) AS BIGINT) AS VARCHAR) AS imageId,
+CASE WHEN doc_id % 3 = 0 THEN 'Please answer based on the image content: ' || substr(text, 1, 60) END AS instruction,
+CASE WHEN doc_id % 5 = 4 THEN NULL ELSE substr(text, 1, 80) END AS question,
+CASE WHEN doc_id % 10 = 9 THEN -1 WHEN doc_id % 10 = 7 THEN 0 ELSE 1 END AS n_cot,
+CASE WHEN doc_id % 10 IN (7, 9) THEN '' ELSE coalesce(substr(text, 1, 200), '') END AS first_cot,
+CASE WHEN doc_id % 17 = 16 THEN NULL ELSE CASE doc_id % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'left'
+  WHEN 3 THEN 'right' WHEN 4 THEN 'Red' ELSE 'red car' END END AS answer,
+CASE WHEN doc_id % 10 = 8 THEN 'val' WHEN doc_id % 10 = 9 THEN 'test' ELSE 'train' END AS split
+FROM documents)"""
+
+_TRIGGER_SQL = "chr(10) || '### Question:' || chr(10)"
+_SYS_SQL = O.q(P.fixed.SYSTEM_PROMPT)
+_PROMPT_SQL = f"""pr AS (SELECT *, coalesce(instruction, question, '') AS instruction_text,
+coalesce(answer, '') AS answer_text,
+CASE split WHEN 'test' THEN '{TEST_IMAGE_DIR}' ELSE '{IMAGE_DIR}' END || '/' || imageId || '.jpg' AS image_path FROM raw),
+pr2 AS (SELECT *, {_TRIGGER_SQL} || instruction_text AS user_prompt,
+CASE WHEN split IN ('train', 'val') THEN '<think>' || chr(10) || first_cot || chr(10) || '</think>' || chr(10)
+  || '<answer>' || chr(10) || answer_text || chr(10) || '</answer>' END AS target_text FROM pr),
+pr3 AS (SELECT *, 'system:text=' || {_SYS_SQL} || chr(10) || 'user:image=|text=' || user_prompt
+  || CASE WHEN target_text IS NULL THEN '' ELSE chr(10) || 'assistant:text=' || target_text END AS messages_flat,
+'<|im_start|>system' || chr(10) || {_SYS_SQL} || '<|im_end|>' || chr(10)
+  || '<|im_start|>user' || chr(10) || '<|vision_start|><|image_pad|><|vision_end|>' || user_prompt || '<|im_end|>' || chr(10)
+  || CASE WHEN target_text IS NULL THEN '' ELSE '<|im_start|>assistant' || chr(10) || target_text || '<|im_end|>' || chr(10) END
+  || CASE WHEN split = 'test' THEN '<|im_start|>assistant' || chr(10) ELSE '' END AS chat_text FROM pr2)"""
+
+
+def raw_samples(spark, sf_dir) -> DataFrame:
+    return SM.derive_raw_samples(TB.read_table(spark, sf_dir, "documents"))
+
+
+def prompts(spark, sf_dir) -> DataFrame:
+    raw = raw_samples(spark, sf_dir)
+    d = F.when(F.col("split") == "test", F.lit(TEST_IMAGE_DIR)).otherwise(F.lit(IMAGE_DIR))
+    return P.build_prompts(raw.withColumn("image_dir", d))
+
+
+def _jsonl_cfg(spark, sf_dir) -> dict:
+    """Write the raw samples as JSON Lines split files; return the config."""
+    base = scratch_path(spark, "samples-jsonl")
+    files = SM.write_jsonl_splits(raw_samples(spark, sf_dir), base)
+    return {"image_dir": IMAGE_DIR, "test_image_dir": TEST_IMAGE_DIR,
+            "pipeline": {s: {f"{s}_file": files[s]} for s in SM.SPLITS}}
+
+
+def _p_query(name: str, cols: str, spark_cols: list):
+    register(name, O.with_base(_RAW_SQL, _PROMPT_SQL, scored=False) + f"SELECT sample_id, {cols} FROM pr3")(
+        lambda spark, sf_dir: prompts(spark, sf_dir).select("sample_id", *spark_cols()))
+
+
+_p_query("p1_instruction_fallback", "instruction_text", lambda: ["instruction_text"])
+_p_query("p2_image_path", "image_path", lambda: ["image_path"])
+_p_query("p3_first_cot", "first_cot", lambda: ["first_cot"])
+_p_query("p4_answer_default", "answer_text", lambda: ["answer_text"])
+_p_query("p5_target_text", "target_text", lambda: ["target_text"])
+_p_query("p6_user_prompt", "user_prompt", lambda: ["user_prompt"])
+_p_query("p7_messages", "messages_flat", lambda: [P.flatten_messages(F.col("messages")).alias("messages_flat")])
+_p_query("p8_render_chat", "chat_text", lambda: ["chat_text"])
+
+
+@register("s1_read_samples", O.with_base(_RAW_SQL, scored=False)
+          + "SELECT sample_id, imageId, instruction, question, n_cot, first_cot, answer, split FROM raw")
+def s1(spark, sf_dir):
+    df = SM.read_splits(spark, _jsonl_cfg(spark, sf_dir))
+    n_cot = F.when(F.col("cot").isNull(), F.lit(-1)).otherwise(F.size("cot"))
+    return df.select("sample_id", "imageId", "instruction", "question", n_cot.alias("n_cot"),
+                     P.first_cot().alias("first_cot"), "answer", "split")
+
+
+@register("s6_read_split", O.with_base(_RAW_SQL, scored=False)
+          + f"SELECT sample_id, split, CASE split WHEN 'test' THEN '{TEST_IMAGE_DIR}' ELSE '{IMAGE_DIR}' END "
+            "AS image_dir FROM raw")
+def s6(spark, sf_dir):
+    return SM.read_splits(spark, _jsonl_cfg(spark, sf_dir)).select("sample_id", "split", "image_dir")
+
+
+@register("s2_first_n", O.with_base(_RAW_SQL, scored=False)
+          + "SELECT sample_id, imageId FROM raw WHERE split = 'train' ORDER BY sample_id LIMIT 500")
+def s2(spark, sf_dir):
+    train = SM.read_split(spark, _jsonl_cfg(spark, sf_dir), "train")
+    return SM.first_n(train, 500).select("sample_id", "imageId")
+
+
+@register("p9_rollout_prompts", O.with_base(_RAW_SQL, scored=False)
+          + "SELECT sample_id, '<|im_start|>system' || chr(10) || " + _SYS_SQL + " || '<|im_end|>' || chr(10) "
+            "|| '<|im_start|>user' || chr(10) || '<|vision_start|><|image_pad|><|vision_end|>' || "
+            + _TRIGGER_SQL + " || coalesce(instruction, question, '') || '<|im_end|>' || chr(10) AS prompt, "
+            f"'{IMAGE_DIR}/' || imageId || '.jpg' AS image, answer AS ground_truth_answer, "
+            "CASE WHEN answer IS NULL THEN 'missing answer' END AS reject "
+            "FROM (SELECT * FROM raw WHERE split = 'train' ORDER BY sample_id LIMIT 500)")
+def p9(spark, sf_dir):
+    train = SM.read_split(spark, _jsonl_cfg(spark, sf_dir), "train")
+    return P.rollout_prompts(train, IMAGE_DIR, n=500)
+
+
+_IMAGES_SQL = ("img AS (SELECT DISTINCT CAST(CAST(floor(doc_id / 2) AS BIGINT) AS VARCHAR) AS image_id "
+               "FROM documents WHERE lang <> 'de')")
+
+
+def _manifest(spark, sf_dir) -> DataFrame:
+    """Image files written by Spark for the images of non-German documents."""
+    docs = TB.read_table(spark, sf_dir, "documents")
+    images = docs.where(F.col("lang") != "de").select(
+        F.floor(F.col("doc_id") / 2).cast("bigint").cast("string").alias("image_id"))
+    path = scratch_path(spark, "images")
+    IM.write_image_files(images.select("image_id", F.concat(F.lit("img:"), "image_id").alias("content")), path)
+    return IM.image_manifest(spark, path, glob="*.txt", id_pattern=IM.PARTITIONED_ID_PATTERN)
+
+
+@register("s3_image_manifest", O.with_base(_IMAGES_SQL, scored=False)
+          + "SELECT image_id, CAST(length('img:' || image_id) + 1 AS BIGINT) AS length FROM img")
+def s3(spark, sf_dir):
+    return _manifest(spark, sf_dir).select("image_id", "length")
+
+
+@register("j1_with_image", O.with_base(_IMAGES_SQL, scored=False)
+          + "SELECT sample_id, image_id FROM samples WHERE image_id IN (SELECT image_id FROM img)")
+def j1(spark, sf_dir):
+    return J.with_image(TB.samples(spark, sf_dir), _manifest(spark, sf_dir)).select("sample_id", "image_id")
+
+
+@register("j1_missing_image", O.with_base(_IMAGES_SQL, scored=False)
+          + "SELECT sample_id, image_id FROM samples WHERE image_id NOT IN (SELECT image_id FROM img)")
+def j1m(spark, sf_dir):
+    return J.missing_image(TB.samples(spark, sf_dir), _manifest(spark, sf_dir)).select("sample_id", "image_id")
