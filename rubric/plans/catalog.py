@@ -460,3 +460,95 @@ def j1(spark, sf_dir):
           + "SELECT sample_id, image_id FROM samples WHERE image_id NOT IN (SELECT image_id FROM img)")
 def j1m(spark, sf_dir):
     return J.missing_image(TB.samples(spark, sf_dir), _manifest(spark, sf_dir)).select("sample_id", "image_id")
+
+
+# ------------------------------------------------------------------ W1-W6, A5, A6, S5
+
+from ..operators import batches as B  # noqa: E402
+from ..operators import runs as RU  # noqa: E402
+
+_SHUF_SQL = ("shuf AS (SELECT sample_id, row_number() OVER (ORDER BY md5('42:1:' || CAST(sample_id AS VARCHAR)), "
+             "sample_id) AS pos FROM samples)")
+
+
+def _shuffled(spark, sf_dir) -> DataFrame:
+    return B.seeded_shuffle(TB.samples(spark, sf_dir).select("sample_id"), seed=42, epoch=1, split=None)
+
+
+@register("w1_seeded_shuffle", O.with_base(_SHUF_SQL, scored=False) + "SELECT sample_id, pos FROM shuf")
+def w1(spark, sf_dir):
+    return _shuffled(spark, sf_dir)
+
+
+@register("w2_batch_ids", O.with_base(_SHUF_SQL, scored=False)
+          + "SELECT sample_id, pos, CAST(floor((pos - 1) / 8) AS BIGINT) AS batch_id FROM shuf")
+def w2(spark, sf_dir):
+    return B.batch_ids(_shuffled(spark, sf_dir), 8)
+
+
+@register("w3_shard_ids", O.with_base(_SHUF_SQL, scored=False)
+          + "SELECT sample_id, CAST(floor((pos - 1) / 8) AS BIGINT) AS batch_id, "
+            "CAST(floor((pos - 1) / 8) % 2 AS INTEGER) AS shard FROM shuf")
+def w3(spark, sf_dir):
+    return B.shard_ids(B.batch_ids(_shuffled(spark, sf_dir), 8), 2).select("sample_id", "batch_id", "shard")
+
+
+@register("s5_write_metrics", O.with_base(scored=False, metrics=True)
+          + "SELECT run_id, epoch, step, name, round(value, 6) AS value, ts FROM metrics")
+def s5(spark, sf_dir):
+    path = scratch_path(spark, "metrics")
+    SK.write_metrics(TB.metrics(spark, sf_dir), path)
+    m = SK.read_metrics(spark, path)
+    return m.select(F.col("run_id").cast("bigint").alias("run_id"), "epoch", "step", "name",
+                    r6("value").alias("value"), "ts")
+
+
+@register("a5_epoch_loss", O.with_base(scored=False, metrics=True)
+          + "SELECT run_id, epoch, round(avg(value), 6) AS loss, count(*) AS n_steps FROM metrics "
+            "WHERE name = 'train/batch_loss' GROUP BY run_id, epoch")
+def a5(spark, sf_dir):
+    e = RU.epoch_loss(TB.metrics(spark, sf_dir))
+    return e.select("run_id", "epoch", r6("loss").alias("loss"), "n_steps")
+
+
+@register("a6_reward_curve", O.with_base()
+          + "SELECT CAST(floor(sample_id / 10) AS BIGINT) AS block, round(avg(CAST(reward AS DOUBLE)), 6) AS mean_reward, "
+            "count(*) AS n FROM scored GROUP BY 1")
+def a6(spark, sf_dir):
+    c = RU.reward_curve(scored(spark, sf_dir), "sample_id", 10)
+    return c.select("block", r6("mean_reward").alias("mean_reward"), "n")
+
+
+_PASS_SQL = ("p AS (SELECT run_id, epoch, round(avg(value), 6) AS pass_rate FROM metrics "
+             "WHERE name = 'test/sample_ok' GROUP BY run_id, epoch), "
+             "e AS (SELECT *, max(epoch) OVER (PARTITION BY run_id) AS n_epochs FROM p)")
+
+
+@register("w4_eval_schedule", O.with_base(_PASS_SQL, scored=False, metrics=True)
+          + "SELECT run_id, epoch, CAST(epoch % 2 = 0 OR epoch = n_epochs AS INTEGER) AS should_eval FROM e")
+def w4(spark, sf_dir):
+    s = RU.eval_schedule(RU.pass_rates(TB.metrics(spark, sf_dir)), eval_freq=2)
+    return s.select("run_id", "epoch", F.col("should_eval").cast("int").alias("should_eval"))
+
+
+_BEST_SQL = ("c AS (SELECT * FROM e WHERE (epoch % 2 = 0 OR epoch = n_epochs) AND epoch % 2 = 0), "
+             "w AS (SELECT *, max(pass_rate) OVER (PARTITION BY run_id ORDER BY epoch "
+             "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c)")
+
+
+@register("w5_best_checkpoints", O.with_base(_PASS_SQL + ", " + _BEST_SQL, scored=False, metrics=True)
+          + "SELECT run_id, epoch, CAST(pass_rate AS DOUBLE) AS pass_rate FROM w WHERE prev IS NULL OR pass_rate > prev")
+def w5(spark, sf_dir):
+    b = RU.best_checkpoints(RU.pass_rates(TB.metrics(spark, sf_dir)), eval_freq=2, save_freq=2)
+    return b.select("run_id", "epoch", "pass_rate")
+
+
+@register("w6_checkpoint_name", O.with_base(
+    _PASS_SQL + ", " + _BEST_SQL + ", l AS (SELECT run_id, epoch, avg(value) AS loss FROM metrics "
+    "WHERE name = 'train/batch_loss' GROUP BY run_id, epoch)", scored=False, metrics=True)
+    + "SELECT w.run_id, w.epoch, w.pass_rate, round(l.loss, 6) AS loss, "
+      "printf('epoch_%d_loss_%.2f_pass_%.2f', w.epoch, l.loss, w.pass_rate) AS checkpoint "
+      "FROM w LEFT JOIN l USING (run_id, epoch) WHERE prev IS NULL OR pass_rate > prev")
+def w6(spark, sf_dir):
+    n = RU.best_checkpoint_names(TB.metrics(spark, sf_dir), eval_freq=2, save_freq=2)
+    return n.select("run_id", "epoch", "pass_rate", r6("loss").alias("loss"), "checkpoint")
