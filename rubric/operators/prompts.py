@@ -125,8 +125,10 @@ def build_prompts(samples: DataFrame, image_dir: Column | str = "image_dir",
                         answer_or_empty().alias("answer_text"), image_path(d).alias("image_path"))
     s2 = s1.select("*", user_prompt(F.col("instruction_text")).alias("user_prompt"),
                    target_text(F.col("first_cot"), F.col("answer_text"), F.col(split)).alias("target_text"))
-    s3 = s2.select("*", messages(F.col("user_prompt"), F.col("target_text")).alias("messages"))
-    return s3.select("*", render_chat(F.col("messages"), F.col(split) == "test").alias("chat_text"))
+    s3 = s2.select("*", messages(F.col("user_prompt"), F.col("target_text")).alias("messages"),
+                   messages(F.col("user_prompt")).alias("prompt_messages"))
+    return s3.select("*", render_chat(F.col("messages"), F.col(split) == "test").alias("chat_text"),
+                     render_chat(F.col("prompt_messages"), True).alias("prompt_text"))
 
 
 def rollout_prompts(samples: DataFrame, image_dir: str, n: int | None = fixed.RL_FIRST_N,

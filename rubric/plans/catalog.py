@@ -552,3 +552,95 @@ def w5(spark, sf_dir):
 def w6(spark, sf_dir):
     n = RU.best_checkpoint_names(TB.metrics(spark, sf_dir), eval_freq=2, save_freq=2)
     return n.select("run_id", "epoch", "pass_rate", r6("loss").alias("loss"), "checkpoint")
+
+
+# ------------------------------------------------------------------ Q1-Q4
+
+from ..operators import sequences as Q  # noqa: E402
+
+MAX_LEN = 192
+
+_SEQ_SQL = _PROMPT_SQL + f""",
+pt AS (SELECT *, '<|im_start|>system' || chr(10) || {_SYS_SQL} || '<|im_end|>' || chr(10)
+  || '<|im_start|>user' || chr(10) || '<|vision_start|><|image_pad|><|vision_end|>' || user_prompt || '<|im_end|>' || chr(10)
+  || '<|im_start|>assistant' || chr(10) AS prompt_text FROM pr3),
+tk AS (SELECT sample_id, split, {O.tokens('chat_text')} AS toks, CAST(len({O.tokens('prompt_text')}) AS INTEGER) AS prompt_len FROM pt),
+occ AS (SELECT sample_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM tk),
+vocab AS (SELECT token, cnt AS count, row_number() OVER (ORDER BY cnt DESC, token) AS id
+          FROM (SELECT token, count(*) AS cnt FROM occ GROUP BY token)),
+enc AS (SELECT o.sample_id, list(v.id ORDER BY o.pos) AS ids FROM occ o JOIN vocab v USING (token)
+        WHERE o.pos < {MAX_LEN} GROUP BY o.sample_id),
+padded AS (SELECT *, CASE WHEN split IN ('val', 'test') THEN list_concat(list_transform(range(n_pad), lambda x: 0), ids)
+                          ELSE list_concat(ids, list_transform(range(n_pad), lambda x: 0)) END AS padded_ids,
+                     CASE WHEN split IN ('val', 'test') THEN list_concat(list_transform(range(n_pad), lambda x: 0), list_transform(ids, lambda x: 1))
+                          ELSE list_concat(list_transform(ids, lambda x: 1), list_transform(range(n_pad), lambda x: 0)) END AS attention_mask,
+                     CASE WHEN split IN ('val', 'test') THEN n_pad ELSE 0 END AS pad_left
+           FROM (SELECT e.sample_id, k.split, k.prompt_len, e.ids, len(e.ids) AS n_real, {MAX_LEN} - len(e.ids) AS n_pad
+                 FROM enc e JOIN tk k USING (sample_id)))"""
+
+
+def _prompts_with_text(spark, sf_dir) -> DataFrame:
+    return prompts(spark, sf_dir)
+
+
+def _ids_str(c) -> F.Column:
+    return F.array_join(F.col(c).cast("array<string>"), " ")
+
+
+@register("q1_token_lengths", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
+          + f"SELECT sample_id, split, CAST(len({O.tokens('prompt_text')}) AS INTEGER) AS prompt_len, "
+            f"CAST(len({O.tokens('chat_text')}) AS INTEGER) AS full_len, "
+            f"CAST(len({O.tokens('chat_text')}) > {MAX_LEN} AS INTEGER) AS over_budget FROM pt")
+def q1(spark, sf_dir):
+    return Q.token_lengths(_prompts_with_text(spark, sf_dir), max_length=MAX_LEN) \
+        .select("sample_id", "split", "prompt_len", "full_len", "over_budget")
+
+
+@register("q1_length_summary", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
+          + f"SELECT split, count(*) AS n, max(full_len) AS max_len, round(avg(full_len), 6) AS avg_len, "
+            f"CAST(sum(over_budget) AS BIGINT) AS n_over FROM (SELECT split, CAST(len({O.tokens('chat_text')}) AS INTEGER) "
+            f"AS full_len, CAST(len({O.tokens('chat_text')}) > {MAX_LEN} AS INTEGER) AS over_budget FROM pt) GROUP BY split")
+def q1s(spark, sf_dir):
+    lens = Q.token_lengths(_prompts_with_text(spark, sf_dir), max_length=MAX_LEN)
+    s = Q.length_summary(lens, by=("split",), approx=False)
+    return s.select("split", "n", "max_len", r6("avg_len").alias("avg_len"), F.col("n_over").cast("bigint"))
+
+
+@register("q2_vocabulary", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False) + "SELECT token, count, id FROM vocab")
+def q2v(spark, sf_dir):
+    return Q.build_vocabulary(_prompts_with_text(spark, sf_dir)).select("token", "count", "id")
+
+
+@register("q2_encode", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
+          + "SELECT sample_id, array_to_string(ids, ' ') AS input_ids FROM enc")
+def q2e(spark, sf_dir):
+    p = _prompts_with_text(spark, sf_dir)
+    e = Q.encode(p, Q.build_vocabulary(p), max_length=MAX_LEN)
+    return e.select("sample_id", _ids_str("input_ids").alias("input_ids"))
+
+
+def _seq(spark, sf_dir, mode="default") -> DataFrame:
+    return Q.build_sequences(_prompts_with_text(spark, sf_dir), MAX_LEN, mode=mode)
+
+
+@register("q3_truncate_pad", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
+          + "SELECT sample_id, array_to_string(padded_ids, ' ') AS padded_ids, "
+            "array_to_string(attention_mask, ' ') AS attention_mask FROM padded")
+def q3(spark, sf_dir):
+    return _seq(spark, sf_dir).select("sample_id", _ids_str("padded_ids").alias("padded_ids"),
+                                      _ids_str("attention_mask").alias("attention_mask"))
+
+
+@register("q4_label_mask", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
+          + "SELECT sample_id, array_to_string(list_transform(padded_ids, lambda x, i: CASE WHEN split = 'test' THEN -100 "
+            "WHEN i - 1 < pad_left THEN -100 WHEN i - 1 - pad_left < prompt_len THEN -100 "
+            "WHEN i - 1 - pad_left >= n_real THEN -100 ELSE x END), ' ') AS labels FROM padded")
+def q4(spark, sf_dir):
+    return _seq(spark, sf_dir).select("sample_id", _ids_str("labels").alias("labels"))
+
+
+@register("q4_label_mask_compatible", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
+          + "SELECT sample_id, array_to_string(list_transform(padded_ids, lambda x, i: CASE WHEN split = 'test' THEN -100 "
+            "WHEN i - 1 < prompt_len THEN -100 ELSE x END), ' ') AS labels FROM padded")
+def q4c(spark, sf_dir):
+    return _seq(spark, sf_dir, mode="compatible").select("sample_id", _ids_str("labels").alias("labels"))
