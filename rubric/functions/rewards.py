@@ -103,6 +103,13 @@ def python_reward(fn: Callable[..., object], completion="completion", **columns)
     Extra dataset columns reach ``fn`` as keyword lists, as a trainer would
     pass them.  This is the slow path; built-in rewards stay Catalyst.
     """
+    from pyspark.sql import SparkSession
+
+    from ..session import ship_package
+
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
     names = list(columns)
 
     def _run(comp: pd.Series, extra: pd.DataFrame | None) -> pd.Series:

@@ -644,3 +644,94 @@ def q4(spark, sf_dir):
             "WHEN i - 1 < prompt_len THEN -100 ELSE x END), ' ') AS labels FROM padded")
 def q4c(spark, sf_dir):
     return _seq(spark, sf_dir, mode="compatible").select("sample_id", _ids_str("labels").alias("labels"))
+
+
+# ------------------------------------------------------------------ X1-X4, R4, U1
+
+from ..functions import rewards as RW  # noqa: E402
+from ..streaming import streams as X  # noqa: E402
+
+
+def _stream_source(spark, df: DataFrame, name: str, copies: int = 1):
+    """Write ``df`` as parquet files (``copies`` deliveries) and open it as a
+    file stream with the same schema."""
+    src = scratch_path(spark, f"{name}-src")
+    for _ in range(copies):
+        df.write.mode("append").parquet(src)
+    return spark.readStream.schema(df.schema).parquet(src)
+
+
+@register("x1_score_stream", O.with_base()
+          + f"SELECT sample_id, gen_idx, pred_think, pred_answer, is_correct, is_consist, {O.r6('reward')} AS reward "
+            "FROM scored")
+def x1(spark, sf_dir):
+    sink = scratch_path(spark, "x1-sink")
+    X.run_to_end(X.score_stream(_stream_source(spark, TB.completions(spark, sf_dir), "x1"), sink))
+    return spark.read.parquet(sink).select(*KEY, "pred_think", "pred_answer", "is_correct", "is_consist",
+                                           r6("reward").alias("reward"))
+
+
+@register("x2_accuracy_stream", O.with_base(_TAGGED)
+          + _rates_outer(f"SELECT tag, {_RATES_SQL} FROM tagged GROUP BY tag", "tag"))
+def x2(spark, sf_dir):
+    sink = scratch_path(spark, "x2-sink")
+    comp = TB.completions(spark, sf_dir)
+    comp = comp.withColumn("tag", F.concat(F.lit("g"), F.col("gen_idx").cast("string")))
+    X.run_to_end(X.accuracy_stream(_stream_source(spark, comp, "x2"), sink))
+    return _round_rates(spark.read.parquet(sink))
+
+
+_WIN_SQL = ("wm AS (SELECT CAST(to_timestamp(floor(epoch(ts) / 21600) * 21600) AS TIMESTAMP) AS window_start, "
+            "name, value, ts FROM metrics), "
+            "lim AS (SELECT max(ts) - INTERVAL 1 HOUR AS watermark FROM metrics)")
+
+
+@register("x3_windowed_mean_stream", O.with_base(_WIN_SQL, scored=False, metrics=True)
+          + "SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, name, round(avg(value), 6) AS mean_value, "
+            "count(*) AS n FROM wm GROUP BY window_start, name "
+            "HAVING window_start + INTERVAL 6 HOUR <= (SELECT watermark FROM lim)")
+def x3(spark, sf_dir):
+    """Append mode: a window is final once the watermark (latest event time
+    minus 1 hour) passes its end; the oracle states that rule."""
+    sink = scratch_path(spark, "x3-sink")
+    X.run_to_end(X.windowed_mean_stream(_stream_source(spark, TB.metrics(spark, sf_dir), "x3"), sink))
+    out = spark.read.parquet(sink)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "name",
+                      r6("mean_value").alias("mean_value"), "n")
+
+
+@register("x4_dedup_stream", O.with_base()
+          + f"SELECT sample_id, gen_idx, is_correct, is_consist, {O.r6('reward')} AS reward FROM scored")
+def x4(spark, sf_dir):
+    sink = scratch_path(spark, "x4-sink")
+    comp = TB.completions(spark, sf_dir)
+    comp = comp.withColumn("ts", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+                                  + F.make_dt_interval(secs=F.col("sample_id").cast("decimal(18,6)"))))
+    X.run_to_end(X.dedup_score_stream(_stream_source(spark, comp, "x4", copies=2), sink))
+    return spark.read.parquet(sink).select(*KEY, "is_correct", "is_consist", r6("reward").alias("reward"))
+
+
+@register("r4_reward_registry", O.with_base()
+          + "SELECT sample_id, gen_idx, round(CAST(CAST(CAST(0.0 AS DOUBLE) + format_reward * CAST(0.5 AS DOUBLE) "
+            "+ main_reward AS FLOAT) AS DOUBLE), 6) AS total_reward FROM scored")
+def r4(spark, sf_dir):
+    reg = RW.default_registry()
+    total = reg.total({"format": 0.5, "correctness_consistency": 1.0})
+    return scored(spark, sf_dir).select(*KEY, r6(total).alias("total_reward"))
+
+
+def mentions_gold(completions, ground_truth_answer, **_):
+    """An example user reward in plain Python: 1.0 when the gold answer
+    appears (case-insensitively) in the completion."""
+    return [1.0 if g is not None and g.lower() in c.lower() else 0.0
+            for c, g in zip(completions, ground_truth_answer)]
+
+
+@register("u1_python_reward", O.with_base(scored=False)
+          + "SELECT sample_id, gen_idx, CASE WHEN contains(lower(coalesce(completion, '')), lower(answer)) "
+            "THEN 1.0 ELSE 0.0 END AS user_reward FROM completions")
+def u1(spark, sf_dir):
+    c = TB.completions(spark, sf_dir)
+    col = RW.python_reward(mentions_gold, "completion", ground_truth_answer="answer")
+    return c.select(*KEY, r6(col).alias("user_reward"))
