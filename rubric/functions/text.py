@@ -5,7 +5,7 @@ reproduce them:
 
 * Python's ``str.strip``/``split`` and ``\\s`` also treat U+001C..U+001F as
   space; Java's ``(?U)\\s`` does not, so the class adds them.
-* Spark's ``trim`` only removes U+0020, hence ``strip`` is a regex.
+* Spark's ``trim`` only removes U+0020, hence ``strip`` trims an explicit set.
 * Python's ``\\w`` is "letter, number or underscore" - ``\\p{L}\\p{N}_``.
 * ``regexp_extract`` returns '' both for "no match" and for an empty match,
   so presence tests use ``rlike``.
@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 from . import fixed
 
 WS = r"\s\x1c-\x1f"
-STRIP_RE = rf"(?U)^[{WS}]+|[{WS}]+\z"
+# Characters for which Python's str.isspace() is true (Unicode 15): the
+# set str.strip() removes.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
 SPLIT_RE = rf"(?U)[{WS}]+"
 CLEAN_RE = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
 
@@ -39,8 +43,9 @@ def _col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(_col(c), F.lit(STRIP_RE), F.lit(""))
+    """Python ``str.strip()``: ``btrim`` with Python's whitespace set (no
+    regex; Spark's plain ``trim`` removes only U+0020)."""
+    return F.btrim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def clean_text(c) -> Column:

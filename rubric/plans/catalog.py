@@ -363,7 +363,8 @@ pr3 AS (SELECT *, 'system:text=' || {_SYS_SQL} || chr(10) || 'user:image=|text='
 
 
 def raw_samples(spark, sf_dir) -> DataFrame:
-    return SM.derive_raw_samples(TB.read_table(spark, sf_dir, "documents"))
+    d = TB.read_table(spark, sf_dir, "documents")
+    return TB.spread_if_small(SM.derive_raw_samples(d), d)
 
 
 def prompts(spark, sf_dir) -> DataFrame:
