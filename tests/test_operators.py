@@ -202,3 +202,18 @@ def test_eval_job_plan(spark):
     assert "Python" not in _plan(s)
     a = catalog.QUERIES["a1_a2_accuracy_consistency"](spark, SF_SMALL)
     assert _plan(a).count("HashAggregate") >= 2
+
+
+def test_eval_and_advantage_jobs(spark):
+    from rubric.plans import jobs
+    from rubric.session import scratch_path
+    comp = catalog._bare_completions(spark, SF_SMALL).withColumn(
+        "tag", F.concat(F.lit("g"), F.col("gen_idx").cast("string")))
+    gold = catalog._gold(spark, SF_SMALL)
+    out = scratch_path(spark, "eval-job")
+    res = jobs.eval_job(spark, comp, gold, out)
+    n_labelled = catalog.QUERIES["j2_attach_gold"](spark, SF_SMALL).count()
+    assert res["scored"].count() == n_labelled
+    assert sum(r.n for r in res["rates"].collect()) == n_labelled
+    adv = jobs.advantage_job(res["scored"], scratch_path(spark, "adv-job"))
+    assert adv.count() == n_labelled
