@@ -3,9 +3,8 @@
 Skew: a prompt normally has G rows, but a broken producer can deliver one
 key many times.  Group statistics are therefore computed with a grouped
 aggregate (partial aggregation in every map task, so a hot key collapses to
-one row per task before the shuffle) and attached back by an equi-join,
-where AQE either broadcasts the statistics at runtime when they are small
-or splits the hot key's partition of the big side (skew join).  A window
+one row per task before the shuffle) and attached back with a salted join
+(``skew.salted_join``) that splits any hot key over many tasks.  A window
 over the key would instead put a hot group into a single task.
 """
 
@@ -16,12 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..sources.tables import fan_out  # noqa: F401  (R5 lives with the derivations)
+from .skew import salted_join
 
 
 def group_stats(df: DataFrame, key: str = "sample_id", reward: str = "reward") -> DataFrame:
     r = F.col(reward).cast("double")
-    return df.groupBy(key).agg(F.count(r).alias("group_n"), F.avg(r).alias("group_mean"),
-                               F.stddev_samp(r).alias("group_std"))
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("group_rows"), F.count(r).alias("group_n"),
+                               F.avg(r).alias("group_mean"), F.stddev_samp(r).alias("group_std"))
 
 
 def group_advantage(df: DataFrame, key: str = "sample_id", reward: str = "reward",
@@ -32,7 +32,7 @@ def group_advantage(df: DataFrame, key: str = "sample_id", reward: str = "reward
     zero spread gets advantage 0.0.
     """
     stats = group_stats(df, key, reward)
-    j = df.join(stats, key, "inner")
+    j = salted_join(df, stats, key, counts=stats, n="group_rows")
     centred = F.col(reward).cast("double") - F.col("group_mean")
     if scale_rewards:
         adv = (F.when(F.col("group_std").isNull() | (F.col("group_std") == 0), F.lit(0.0))

@@ -1,9 +1,12 @@
 """Key joins.
 
-No broadcast hint is given here: both sides grow with the data.  AQE turns
-the join into a broadcast at runtime when one side's measured shuffle
-output is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeps
-the sort-merge join beyond it, splitting skewed keys of the big side.
+No broadcast hint is given for the data sides: both grow with the data.
+AQE turns a join into a broadcast at runtime when one side's measured
+shuffle output is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+and keeps the sort-merge join beyond it.  Keys of the big side that hold a
+large share of its rows (one sample delivered many times, one image shared
+by most samples) are salted (``skew.salted_join``); ``skew_safe=False``
+gives the plain join.
 """
 
 from __future__ import annotations
@@ -11,25 +14,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import key_counts, salted_join
 
-def attach_gold(completions: DataFrame, gold: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Pair completions with gold answers by key (not by position)."""
-    return completions.join(gold, key, "inner")
 
+def _join(big: DataFrame, small: DataFrame, key: str, how: str, skew_safe: bool) -> DataFrame:
+    if not skew_safe:
+        return big.join(small, key, how)
+    return salted_join(big, small, key, counts=key_counts(big.select(key), key), how=how)
 
-def unmatched_completions(completions: DataFrame, gold: DataFrame, key: str = "sample_id") -> DataFrame:
+
+def attach_gold(completions: DataFrame, gold: DataFrame, key: str = "sample_id",
+                skew_safe: bool = True) -> DataFrame:
+    """Pair completions with gold answers by key (not by position).
+    ``gold`` has one row per key."""
+    return _join(completions, gold, key, "inner", skew_safe)
+
+
+def unmatched_completions(completions: DataFrame, gold: DataFrame, key: str = "sample_id",
+                          skew_safe: bool = True) -> DataFrame:
     """Completions that have no gold row (reported, never scored)."""
-    return completions.join(gold.select(key), key, "left_anti")
+    return _join(completions, gold.select(key).distinct(), key, "left_anti", skew_safe)
 
 
-def with_image(samples: DataFrame, manifest: DataFrame, key: str = "image_id") -> DataFrame:
+def with_image(samples: DataFrame, manifest: DataFrame, key: str = "image_id",
+               skew_safe: bool = True) -> DataFrame:
     """Samples whose image file exists."""
-    return samples.join(manifest.select(key), key, "left_semi")
+    return _join(samples, manifest.select(key).distinct(), key, "left_semi", skew_safe)
 
 
-def missing_image(samples: DataFrame, manifest: DataFrame, key: str = "image_id") -> DataFrame:
+def missing_image(samples: DataFrame, manifest: DataFrame, key: str = "image_id",
+                  skew_safe: bool = True) -> DataFrame:
     """Samples whose image file is missing (the reference job would die)."""
-    return samples.join(manifest.select(key), key, "left_anti")
+    return _join(samples, manifest.select(key).distinct(), key, "left_anti", skew_safe)
 
 
 def gold_from_samples(samples: DataFrame, answer: str = "answer") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import tokens as whitespace_tokens
 from .batches import global_index
+from .skew import salted_join
 
 Tokenizer = Callable[[Column], Column]
 PAD_ID = 0          # ids of real tokens start at 1
@@ -52,12 +53,15 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "sample_id", text: str =
            carry: tuple[str, ...] = ()) -> DataFrame:
     """Q2: token ids in text order, cut to ``max_length`` first so a row's
     group never exceeds it.  ``key`` must be unique; ``carry`` columns ride
-    along in the grouping key (no join back).  Unknown tokens are dropped."""
+    along in the grouping key (no join back).  Unknown tokens are dropped.
+    The token join is salted on frequent tokens (the vocabulary's own
+    counts bound each token's occurrences)."""
     toks = tokenizer(F.col(text))
     if max_length is not None:
         toks = F.slice(toks, 1, max_length)
     occ = df.select(key, *carry, F.posexplode_outer(toks).alias("pos", "token"))
-    joined = occ.join(vocab.select("token", "id"), "token", "left")
+    joined = salted_join(occ, vocab.select("token", "id"), "token",
+                         counts=vocab.select("token", F.col("count").alias("n")), how="left")
     return (joined.groupBy(key, *carry)
             .agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(),
                                                     F.struct("pos", "id")))).alias("_p"))

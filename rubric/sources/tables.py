@@ -28,13 +28,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread_if_small(df: DataFrame, source: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Hash-partition ``df`` on ``key`` when its ``source`` scan is too small
-    to give every core a split (input bytes < maxPartitionBytes x cores; a
-    small parquet file with one row group is read by one task).  At scale
-    the scan already has far more splits than cores and this is a no-op.
-    Partitioning on the key lets later aggregates and joins on it reuse
-    the distribution instead of shuffling again."""
+def spread_if_small(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Spread ``df`` evenly (round robin) when its ``source`` scan is too
+    small to give every core a split (input bytes < maxPartitionBytes x
+    cores; a small parquet file with one row group is read by one task).
+    At scale the scan already has far more splits than cores and this is a
+    no-op.  Round robin rather than hashing on a key: a hot key would put
+    its rows back into one task."""
     spark = df.sparkSession
     raw = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     size = raw if isinstance(raw, int) else int(raw.toString())
@@ -42,7 +42,7 @@ def spread_if_small(df: DataFrame, source: DataFrame, key: str = "sample_id") ->
     slots = spark.sparkContext.defaultParallelism
     if size >= max_bytes * slots:
         return df
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
