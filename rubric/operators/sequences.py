@@ -55,13 +55,15 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "sample_id", text: str =
     group never exceeds it.  ``key`` must be unique; ``carry`` columns ride
     along in the grouping key (no join back).  Unknown tokens are dropped.
     The token join is salted on frequent tokens (the vocabulary's own
-    counts bound each token's occurrences)."""
+    counts bound each token's occurrences); occurrence rows are unique by
+    (key, pos), so a content hash spreads them without a sort."""
     toks = tokenizer(F.col(text))
     if max_length is not None:
         toks = F.slice(toks, 1, max_length)
     occ = df.select(key, *carry, F.posexplode_outer(toks).alias("pos", "token"))
     joined = salted_join(occ, vocab.select("token", "id"), "token",
-                         counts=vocab.select("token", F.col("count").alias("n")), how="left")
+                         counts=vocab.select("token", F.col("count").alias("n")), how="left",
+                         salt_by="content")
     return (joined.groupBy(key, *carry)
             .agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(),
                                                     F.struct("pos", "id")))).alias("_p"))

@@ -16,7 +16,12 @@ out of an aggregate.  So hot keys are salted explicitly:
 3. each hot key gets ceil(n / (N / 4P)) salt buckets; big-side rows of a
    hot key take bucket ``position mod buckets`` (position, not content, so
    identical copies are spread too); the small side's row of a hot key is
-   replicated once per bucket (at most about 8 P extra rows in all);
+   replicated once per bucket (at most about 8 P extra rows in all).
+   Positions are taken after a local sort on (key, hash of the row), so a
+   re-run of a lost task gives every row content the same buckets even if
+   its input arrived in another order (rows that tie are identical, and
+   swapping them changes nothing) - the same idea Spark uses to keep its
+   round-robin repartition deterministic;
 4. the join runs on (key, bucket): a hot key is split over many tasks.
 
 Cold keys keep bucket 0 and join exactly as before.  Works for inner,
@@ -46,15 +51,28 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n", parts: int | None = None
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, counts: DataFrame, how: str = "inner",
-                n: str = "n", parts: int | None = None) -> DataFrame:
+                n: str = "n", parts: int | None = None, salt_by: str = "position") -> DataFrame:
     """``big.join(small, key, how)`` with hot keys of ``big`` split across
     tasks.  ``counts`` holds (key, n) = rows per key of ``big`` (an upper
-    bound is fine).  ``small`` must have at most one row per key."""
+    bound is fine).  ``small`` must have at most one row per key.
+
+    ``salt_by="position"`` (default) spreads even identical copies, at the
+    price of a local sort; ``salt_by="content"`` hashes the row instead and
+    needs no sort - use it when big-side rows are unique (e.g. carry a
+    unique (id, position) pair)."""
     hot = F.broadcast(hot_keys(counts.select(key, n), key, n, parts))
     b = big.join(hot, key, "left")
+    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
+    if salt_by == "position":
+        b = b.sortWithinPartitions(key, row_hash)
+        spread = F.monotonically_increasing_id()
+    elif salt_by == "content":
+        spread = row_hash
+    else:
+        raise ValueError(salt_by)
     b = b.select(*[F.col(c) for c in big.columns],
                  F.when(F.col(BUCKETS).isNull(), F.lit(0))
-                  .otherwise(F.pmod(F.monotonically_increasing_id(), F.col(BUCKETS).cast("long")).cast("int"))
+                  .otherwise(F.pmod(spread, F.col(BUCKETS).cast("long")).cast("int"))
                   .alias(SALT))
     s = small.join(hot, key, "left")
     s = s.select(*[F.col(c) for c in small.columns],

@@ -48,13 +48,14 @@ def test_salted_join_spreads_hot_key_and_equals_plain_join(no_broadcast):
     assert max(r["count"] for r in per_task) < 0.5 * 8000
 
 
-@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti"])
-def test_salted_join_kinds(no_broadcast, how):
+@pytest.mark.parametrize("how,salt_by", [("left", "position"), ("left_semi", "position"),
+                                         ("left_anti", "position"), ("inner", "content")])
+def test_salted_join_kinds(no_broadcast, how, salt_by):
     spark = no_broadcast
     big = _hot(spark, 3000)
     small = big.where(F.col("sample_id") % 2 == 0).select("sample_id").distinct().withColumn("x", F.lit(1))
     counts = K.key_counts(big, "sample_id")
-    got = sorted(map(tuple, K.salted_join(big, small, "sample_id", counts, how=how).collect()))
+    got = sorted(map(tuple, K.salted_join(big, small, "sample_id", counts, how=how, salt_by=salt_by).collect()))
     want = sorted(map(tuple, big.join(small, "sample_id", how).collect()))
     assert got == want
 
@@ -67,3 +68,17 @@ def test_group_advantage_with_hot_group(no_broadcast):
     r = hot.collect()[0]
     assert r.n == 8000 and abs(r.s) < 1e-6
     assert "_salt" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_identical_copies_are_spread(no_broadcast):
+    """A third of the rows are the very same row: position salting still
+    splits them."""
+    spark = no_broadcast
+    base = spark.range(6000).select(F.col("id").alias("sample_id"), F.lit("x").alias("c"))
+    copies = spark.range(3000).select(F.lit(7).cast("long").alias("sample_id"), F.lit("x").alias("c"))
+    big = base.unionByName(copies).repartition(8)
+    small = base.select("sample_id").withColumn("y", F.lit(1))
+    j = K.salted_join(big, small, "sample_id", K.key_counts(big, "sample_id"))
+    per_task = (j.where(F.col("sample_id") == 7).groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert sum(r["count"] for r in per_task) == 3001
+    assert len(per_task) >= 4
