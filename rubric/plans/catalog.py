@@ -736,3 +736,35 @@ def u1(spark, sf_dir):
     c = TB.completions(spark, sf_dir)
     col = RW.python_reward(mentions_gold, "completion", ground_truth_answer="answer")
     return c.select(*KEY, r6(col).alias("user_reward"))
+
+
+# ------------------------------------------------------------------ A1, A2 separately; Q1 percentiles
+
+@register("a1_accuracy", O.with_base()
+          + "SELECT round(CASE WHEN count(is_correct) > 0 THEN sum(is_correct) / count(is_correct) ELSE 0.0 END, 6) "
+            "AS accuracy FROM scored")
+def a1(spark, sf_dir):
+    return E.accuracy_consistency(scored(spark, sf_dir)).select(r6("accuracy").alias("accuracy"))
+
+
+@register("a2_consistency", O.with_base()
+          + "SELECT round(coalesce(sum(is_consist) / nullif(sum(is_correct), 0), 0.0), 6) AS consistency FROM scored")
+def a2(spark, sf_dir):
+    return E.accuracy_consistency(scored(spark, sf_dir)).select(r6("consistency").alias("consistency"))
+
+
+_PCT_SQL = (f"fl AS (SELECT split, CAST(len({O.tokens('chat_text')}) AS INTEGER) AS full_len FROM pt), "
+            "cd AS (SELECT split, full_len, count(*) OVER (PARTITION BY split ORDER BY full_len "
+            "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) OVER (PARTITION BY split) AS frac FROM fl)")
+
+
+@register("q1_length_percentiles", O.with_base(_RAW_SQL, _SEQ_SQL + ", " + _PCT_SQL, scored=False)
+          + "SELECT split, min(full_len) FILTER (WHERE frac >= 0.5) AS p50, min(full_len) FILTER (WHERE frac >= 0.9) AS p90, "
+            "min(full_len) FILTER (WHERE frac >= 0.99) AS p99 FROM cd GROUP BY split")
+def q1p(spark, sf_dir):
+    """Approximate percentiles (mergeable sketch, skew-safe); at this
+    accuracy the sketch is exact for fewer than 100,000 rows per split."""
+    lens = Q.token_lengths(_prompts_with_text(spark, sf_dir), max_length=MAX_LEN)
+    p = F.percentile_approx("full_len", [0.5, 0.9, 0.99], 100000)
+    return lens.groupBy("split").agg(p.alias("p")).select(
+        "split", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"))

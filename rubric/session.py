@@ -52,9 +52,18 @@ def get_session(master: str | None = None, app: str = "rubric",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
-    sc = spark.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Return the shared checkpoint folder, setting a local one only if unset.
+
+    On a Spark Connect session (no SparkContext in Python) the server's
+    ``spark.checkpoint.dir`` setting is used as is."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect
+        try:
+            return spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:
+            return None
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -70,7 +79,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
+    base = ensure_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="rubric-scratch-")
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
@@ -92,8 +101,11 @@ def ship_package(spark: SparkSession) -> None:
     """
     import zipfile
 
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: ship as an artifact instead
+        sc = None
+    app = sc.applicationId if sc is not None else "connect"
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -105,5 +117,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(app)

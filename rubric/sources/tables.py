@@ -36,10 +36,13 @@ def spread_if_small(df: DataFrame, source: DataFrame) -> DataFrame:
     no-op.  Round robin rather than hashing on a key: a hot key would put
     its rows back into one task."""
     spark = df.sparkSession
-    raw = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = raw if isinstance(raw, int) else int(raw.toString())
-    max_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    slots = spark.sparkContext.defaultParallelism
+    try:
+        raw = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = raw if isinstance(raw, int) else int(raw.toString())
+        max_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+        slots = spark.sparkContext.defaultParallelism
+    except Exception:  # no JVM handle (Spark Connect): leave the plan as it is
+        return df
     if size >= max_bytes * slots:
         return df
     return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
