@@ -697,8 +697,8 @@ def x3(spark, sf_dir):
     sink = scratch_path(spark, "x3-sink")
     X.run_to_end(X.windowed_mean_stream(_stream_source(spark, TB.metrics(spark, sf_dir), "x3"), sink))
     out = spark.read.parquet(sink)
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "name",
+    return out.select(X.instant_to_ntz(F.col("window_start")).alias("window_start"),
+                      X.instant_to_ntz(F.col("window_end")).alias("window_end"), "name",
                       r6("mean_value").alias("mean_value"), "n")
 
 

@@ -27,10 +27,28 @@ def _start(writer, available_now: bool) -> StreamingQuery:
     return writer.start()
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_to_instant(c) -> F.Column:
+    """TIMESTAMP_NTZ wall-clock -> TIMESTAMP instant, reading the wall clock
+    as UTC whatever the session time zone (a plain cast would use it)."""
+    since_epoch = (c - F.lit(_EPOCH_NTZ).cast("timestamp_ntz")).cast("decimal(38,6)")
+    return F.timestamp_micros((since_epoch * 1000000).cast("long"))
+
+
+def instant_to_ntz(c) -> F.Column:
+    """Inverse of ``ntz_to_instant``: UTC wall clock of an instant."""
+    return F.lit(_EPOCH_NTZ).cast("timestamp_ntz") + F.make_dt_interval(
+        secs=(F.unix_micros(c).cast("decimal(38,6)") / 1000000))
+
+
 def as_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     """``withWatermark`` needs TIMESTAMP (with zone); the tables carry
-    TIMESTAMP_NTZ, so cast under the session's UTC zone."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    TIMESTAMP_NTZ, read here as UTC wall clock."""
+    if dict(df.dtypes).get(ts) == "timestamp_ntz":
+        return df.withColumn(ts, ntz_to_instant(F.col(ts)))
+    return df
 
 
 def score_stream(stream: DataFrame, sink: str, gold: str = "answer", checkpoint: str | None = None,
