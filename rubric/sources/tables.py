@@ -33,8 +33,8 @@ def spread_if_small(df: DataFrame, source: DataFrame) -> DataFrame:
     small to give every core a split (input bytes < maxPartitionBytes x
     cores; a small parquet file with one row group is read by one task).
     At scale the scan already has far more splits than cores and this is a
-    no-op.  Round robin rather than hashing on a key: a hot key would put
-    its rows back into one task."""
+    no-op.  Two partitions per core; round robin rather than hashing on a
+    key, since a hot key would put its rows back into one task."""
     spark = df.sparkSession
     try:
         raw = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -45,7 +45,7 @@ def spread_if_small(df: DataFrame, source: DataFrame) -> DataFrame:
         return df
     if size >= max_bytes * slots:
         return df
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(2 * slots)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
