@@ -337,10 +337,10 @@ from ..sources import samples as SM  # noqa: E402
 IMAGE_DIR, TEST_IMAGE_DIR = "/data/images", "/data/test_images"
 
 _RAW_SQL = """raw AS (SELECT doc_id AS sample_id, CAST(CAST(floor(doc_id / 2) AS BIGINT) AS VARCHAR) AS imageId,
-CASE WHEN doc_id % 3 = 0 THEN 'Please answer based on the image content: ' || substr(text, 1, 60) END AS instruction,
-CASE WHEN doc_id % 5 = 4 THEN NULL ELSE substr(text, 1, 80) END AS question,
+CASE WHEN doc_id % 3 = 0 THEN 'Please answer based on the image content: ' || text END AS instruction,
+CASE WHEN doc_id % 5 = 4 THEN NULL ELSE text END AS question,
 CASE WHEN doc_id % 10 = 9 THEN -1 WHEN doc_id % 10 = 7 THEN 0 ELSE 1 END AS n_cot,
-CASE WHEN doc_id % 10 IN (7, 9) THEN '' ELSE coalesce(substr(text, 1, 200), '') END AS first_cot,
+CASE WHEN doc_id % 10 IN (7, 9) THEN '' ELSE coalesce(text, '') END AS first_cot,
 CASE WHEN doc_id % 17 = 16 THEN NULL ELSE CASE doc_id % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'left'
   WHEN 3 THEN 'right' WHEN 4 THEN 'Red' ELSE 'red car' END END AS answer,
 CASE WHEN doc_id % 10 = 8 THEN 'val' WHEN doc_id % 10 = 9 THEN 'test' ELSE 'train' END AS split

@@ -78,14 +78,14 @@ def r6(x: str) -> str:
 # ------------------------------------------------------------ derivations
 
 SAMPLES = """SELECT doc_id AS sample_id, CAST(CAST(floor(doc_id / 2) AS BIGINT) AS VARCHAR) AS image_id,
-substr(text, 1, 80) AS question,
+text AS question,
 CASE doc_id % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'left' WHEN 3 THEN 'right' WHEN 4 THEN 'Red' ELSE 'red car' END AS answer,
-CASE WHEN doc_id % 10 = 9 THEN NULL ELSE substr(text, 1, 200) END AS cot_text FROM documents"""
+CASE WHEN doc_id % 10 = 9 THEN NULL ELSE text END AS cot_text FROM documents"""
 
 COMPLETIONS = """SELECT sample_id, image_id, question, answer, gen_idx,
 CASE k
-WHEN 0 THEN '<think>' || chr(10) || 'I see ' || answer || ', ' || substr(question, 1, 40) || chr(10) || '</think>' || chr(10) || '<answer>' || chr(10) || answer || '.' || chr(10) || '</answer>'
-WHEN 1 THEN '<think>' || substr(question, 1, 40) || '</think><answer>purple</answer>'
+WHEN 0 THEN '<think>' || chr(10) || 'I see ' || answer || ', ' || question || chr(10) || '</think>' || chr(10) || '<answer>' || chr(10) || answer || '.' || chr(10) || '</answer>'
+WHEN 1 THEN '<think>' || question || '</think><answer>purple</answer>'
 WHEN 2 THEN '<think>xyzzy</think><answer>' || answer || '</answer>'
 WHEN 3 THEN '<think>so ' || answer || '</think><answer>It must surely be ' || answer || '</answer>'
 WHEN 4 THEN '<answer>' || answer || '</answer>'

@@ -101,12 +101,12 @@ def derive_raw_samples(documents: DataFrame) -> DataFrame:
     return documents.select(
         doc.alias("sample_id"),
         F.floor(doc / 2).cast("bigint").cast("string").alias("imageId"),
-        F.when(doc % 3 == 0, F.concat(F.lit("Please answer based on the image content: "),
-                                      F.substring(text, 1, 60))).alias("instruction"),
-        F.when(doc % 5 == 4, F.lit(None).cast("string")).otherwise(F.substring(text, 1, 80)).alias("question"),
+        F.when(doc % 3 == 0, F.concat(F.lit("Please answer based on the image content: "), text))
+         .alias("instruction"),
+        F.when(doc % 5 == 4, F.lit(None).cast("string")).otherwise(text).alias("question"),
         F.when(doc % 10 == 9, F.lit(None).cast(COT_TYPE))
          .when(doc % 10 == 7, F.array().cast(COT_TYPE))
-         .otherwise(F.array(F.struct(F.substring(text, 1, 200).alias("text")))).alias("cot"),
+         .otherwise(F.array(F.struct(text.alias("text")))).alias("cot"),
         F.when(doc % 17 == 16, F.lit(None).cast("string")).otherwise(answer).alias("answer"),
         split_of(doc).alias("split"),
     )

@@ -49,8 +49,9 @@ def spread_if_small(df: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sample per document; ``image_id`` repeats (two documents per
-    image) and one CoT in ten is NULL."""
+    """One sample per document (question and CoT are the whole document
+    text); ``image_id`` repeats (two documents per image) and one CoT in
+    ten is NULL."""
     d = read_table(spark, sf_dir, "documents")
     return spread_if_small(derive_samples(d), d)
 
@@ -62,10 +63,9 @@ def derive_samples(documents: DataFrame) -> DataFrame:
     return documents.select(
         doc.alias("sample_id"),
         F.floor(doc / 2).cast("bigint").cast("string").alias("image_id"),
-        F.substring("text", 1, 80).alias("question"),
+        F.col("text").alias("question"),
         answer.alias("answer"),
-        F.when(doc % 10 == 9, F.lit(None).cast("string"))
-         .otherwise(F.substring("text", 1, 200)).alias("cot_text"),
+        F.when(doc % 10 == 9, F.lit(None).cast("string")).otherwise(F.col("text")).alias("cot_text"),
     )
 
 
@@ -82,11 +82,10 @@ def completions_from_samples(s: DataFrame, g: int = fixed.GROUP_SIZE) -> DataFra
     r = fan_out(s.select("sample_id", "image_id", "question", "answer"), g)
     k = (F.col("sample_id") * 7 + F.col("gen_idx") * 5) % N_SHAPES
     a, q, nl = F.col("answer"), F.col("question"), F.lit("\n")
-    q40 = F.substring(q, 1, 40)
     shapes = [
-        F.concat(F.lit("<think>"), nl, F.lit("I see "), a, F.lit(", "), q40, nl, F.lit("</think>"), nl,
+        F.concat(F.lit("<think>"), nl, F.lit("I see "), a, F.lit(", "), q, nl, F.lit("</think>"), nl,
                  F.lit("<answer>"), nl, a, F.lit("."), nl, F.lit("</answer>")),
-        F.concat(F.lit("<think>"), q40, F.lit("</think><answer>purple</answer>")),
+        F.concat(F.lit("<think>"), q, F.lit("</think><answer>purple</answer>")),
         F.concat(F.lit("<think>xyzzy</think><answer>"), a, F.lit("</answer>")),
         F.concat(F.lit("<think>so "), a, F.lit("</think><answer>It must surely be "), a, F.lit("</answer>")),
         F.concat(F.lit("<answer>"), a, F.lit("</answer>")),
