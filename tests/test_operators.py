@@ -217,3 +217,20 @@ def test_eval_and_advantage_jobs(spark):
     assert sum(r.n for r in res["rates"].collect()) == n_labelled
     adv = jobs.advantage_job(res["scored"], scratch_path(spark, "adv-job"))
     assert adv.count() == n_labelled
+
+
+def test_cli_score_and_checkpoints(spark):
+    from rubric.plans import cli
+    from rubric.session import scratch_path
+    comp = catalog._bare_completions(spark, SF_SMALL).join(catalog._gold(spark, SF_SMALL), "sample_id")
+    src = scratch_path(spark, "cli-src")
+    comp.write.parquet(src)
+    out = scratch_path(spark, "cli-out")
+    cli.main(["score", "--completions", src, "--out", out])
+    assert spark.read.parquet(out).count() == comp.count()
+    msrc = scratch_path(spark, "cli-metrics")
+    from rubric.sources import tables as TB
+    TB.metrics(spark, SF_SMALL).write.parquet(msrc)
+    mout = scratch_path(spark, "cli-ckpt")
+    cli.main(["checkpoints", "--metrics", msrc, "--out", mout, "--eval-freq", "2", "--save-freq", "2"])
+    assert spark.read.parquet(mout).count() > 0
