@@ -16,6 +16,14 @@ SYNONYM_GROUPS: dict[str, list[str]] = {
     "right": ["right", "east"],
 }
 
+# --- FIXED VALUES: completion patterns (regex bodies; flags are added where used) ---
+# tolerant: case-insensitive, dot matches newline
+THINK_PATTERN = r"<think>\s*(.*?)\s*</think>"
+ANSWER_PATTERN = r"<answer>(.*?)(?:</answer>|$)"
+# strict (generation-time parser): case-sensitive, dot matches newline
+STRICT_THINK_PATTERN = r"<think>\n?(.*?)\n?</think>"
+STRICT_ANSWER_PATTERN = r"<answer>\n?(.*?)\n?</answer>"
+
 # --- FIXED VALUES: completion tags ---
 THINK_OPEN = "<think>"
 THINK_CLOSE = "</think>"

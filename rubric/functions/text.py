@@ -27,13 +27,14 @@ PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
 SPLIT_RE = rf"(?U)[{WS}]+"
 CLEAN_RE = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
 
-# tolerant extraction (T1): case-insensitive, dot matches newline; the answer
-# may run to the end of the text when its closing tag is missing.
-THINK_RE = r"(?siuU)<think>\s*(.*?)\s*</think>"
-ANSWER_RE = r"(?siu)<answer>(.*?)(?:</answer>|$)"
+# tolerant extraction (T1): case-insensitive with Unicode case folding, dot
+# matches newline, Unicode \s; the answer may run to the end of the text when
+# its closing tag is missing.
+THINK_RE = "(?siuU)" + fixed.THINK_PATTERN
+ANSWER_RE = "(?siu)" + fixed.ANSWER_PATTERN
 # strict extraction (T2): case-sensitive, both tags must close.
-STRICT_THINK_RE = r"(?s)<think>\n?(.*?)\n?</think>"
-STRICT_ANSWER_RE = r"(?s)<answer>\n?(.*?)\n?</answer>"
+STRICT_THINK_RE = "(?s)" + fixed.STRICT_THINK_PATTERN
+STRICT_ANSWER_RE = "(?s)" + fixed.STRICT_ANSWER_PATTERN
 # any tag name, opening or closing
 TAG_NAME_RE = r"</?([A-Za-z_][A-Za-z0-9_:-]*)[^<>]*>"
 

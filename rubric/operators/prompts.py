@@ -49,8 +49,10 @@ def answer_or_empty(answer: str = "answer") -> Column:
 
 
 def target_text(cot: Column, answer: Column, split: Column | None = None) -> Column:
-    """P5: the assistant target; only for train and val rows."""
-    t = F.concat(F.lit("<think>\n"), cot, F.lit("\n</think>\n<answer>\n"), answer, F.lit("\n</answer>"))
+    """P5: the assistant target (``fixed.TARGET_FORMAT``); only for train and val rows."""
+    head, rest = fixed.TARGET_FORMAT.split("{cot}")
+    middle, tail = rest.split("{answer}")
+    t = F.concat(F.lit(head), cot, F.lit(middle), answer, F.lit(tail))
     if split is None:
         return t
     return F.when(split.isin("train", "val"), t)

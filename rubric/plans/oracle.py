@@ -31,21 +31,21 @@ def tokens(x: str) -> str:
 
 
 def think(x: str) -> str:
-    return strip(f"regexp_extract({x}, '(?is)<think>\\s*(.*?)\\s*</think>', 1)")
+    return strip(f"regexp_extract({x}, {q('(?is)' + fixed.THINK_PATTERN)}, 1)")
 
 
 def answer(x: str) -> str:
-    return strip(f"regexp_extract({x}, '(?is)<answer>(.*?)(?:</answer>|$)', 1)")
+    return strip(f"regexp_extract({x}, {q('(?is)' + fixed.ANSWER_PATTERN)}, 1)")
 
 
 def strict_cot(x: str) -> str:
-    pt, pa = "'(?s)<think>\\n?(.*?)\\n?</think>'", "'(?s)<answer>\\n?(.*?)\\n?</answer>'"
+    pt, pa = q("(?s)" + fixed.STRICT_THINK_PATTERN), q("(?s)" + fixed.STRICT_ANSWER_PATTERN)
     return (f"CASE WHEN regexp_matches({x}, {pt}) THEN {strip(f'regexp_extract({x}, {pt}, 1)')} "
             f"WHEN regexp_matches({x}, {pa}) THEN '' ELSE {strip(x)} END")
 
 
 def strict_answer(x: str) -> str:
-    pa = "'(?s)<answer>\\n?(.*?)\\n?</answer>'"
+    pa = q("(?s)" + fixed.STRICT_ANSWER_PATTERN)
     return f"CASE WHEN regexp_matches({x}, {pa}) THEN {strip(f'regexp_extract({x}, {pa}, 1)')} ELSE '' END"
 
 
