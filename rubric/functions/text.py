@@ -25,7 +25,7 @@ PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
                  "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                  "\u2028\u2029\u202f\u205f\u3000")
 SPLIT_RE = rf"(?U)[{WS}]+"
-CLEAN_RE = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
+CLEAN_RE = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]+"
 
 # tolerant extraction (T1): case-insensitive with Unicode case folding, dot
 # matches newline, Unicode \s; the answer may run to the end of the text when

@@ -50,22 +50,29 @@ def score_completions(df: DataFrame, completion: str = "completion",
         "*",
         T.synonym_group_words(F.col("_gold_clean")).alias("_gold_group"),
         T.clean_text(F.col("pred_answer")).alias("_ans_clean"),
-        T.clean_text(F.col("pred_think")).alias("_think_clean"),
         T.n_words(F.col("pred_answer")).alias("_ans_words"),
     )
     s3 = s2.select(
         "*",
         T.match_prepared("_ans_clean", T.tokens(F.col("_ans_clean")),
                          "_gold_clean", "_gold_group").alias("_ans_ok"),
-        T.match_prepared("_think_clean", T.tokens(F.col("_think_clean")),
-                         "_gold_clean", "_gold_group").alias("_think_ok"),
+    )
+    # The think part only matters when the answer is right (T8 and R2), so
+    # the (possibly long) CoT is cleaned and tokenised only for those rows;
+    # CASE WHEN evaluates its branch lazily.
+    s4 = s3.select("*", F.when(F.col("_ans_ok"), T.clean_text(F.col("pred_think"))).alias("_think_clean"))
+    s5 = s4.select(
+        "*",
+        F.when(F.col("_ans_ok"),
+               T.match_prepared("_think_clean", T.tokens(F.col("_think_clean")),
+                                "_gold_clean", "_gold_group")).alias("_think_ok"),
     )
     gold_null = F.col(gold).isNull()
     is_correct = F.col("_ans_ok").cast("int")
     is_consist = F.when(F.col("_ans_ok"), F.col("_think_ok").cast("int")).otherwise(F.lit(0))
     main = R.correctness_consistency_reward("pred_think", "pred_answer", "_ans_ok",
                                             "_think_ok", "_ans_words")
-    s4 = s3.select(
+    s6 = s5.select(
         *cols, "pred_think", "pred_answer",
         is_correct.alias("is_correct"),
         F.when(gold_null, F.lit(None).cast("int")).otherwise(is_consist).alias("is_consist"),
@@ -74,7 +81,7 @@ def score_completions(df: DataFrame, completion: str = "completion",
          .alias("format_reward"),
         F.when(gold_null, F.lit(None).cast("double")).otherwise(main).alias("main_reward"),
     )
-    return s4.select("*", R.combined_reward("format_reward", "main_reward").alias("reward"))
+    return s6.select("*", R.combined_reward("format_reward", "main_reward").alias("reward"))
 
 
 def strict_parse(df: DataFrame, completion: str = "completion") -> DataFrame:
