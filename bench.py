@@ -1,10 +1,11 @@
 """Benchmark the headline jobs; prints one JSON line.
 
 Each query is executed in full with the ``noop`` sink (every row computed,
-nothing collected to the driver).  Every job runs twice: a first (cold)
-pass that pays JVM JIT and code generation, then the timed (warm) pass
-that ``value`` and ``queries`` report; the cold times are kept under
-``cold``.  No data is cached between passes.  Environment: BENCH_SF_DIR
+nothing collected to the driver).  Every job runs three times: a first
+(cold) pass that pays JVM JIT and code generation, then two warm passes;
+``queries`` reports each job's faster warm time and ``value`` their sum.
+The cold times are kept under ``cold``.  No data is cached between passes
+(each pass rebuilds every plan from the parquet files).  Environment: BENCH_SF_DIR
 (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 """
 
@@ -51,7 +52,8 @@ def main() -> None:
         return times
 
     cold = run_pass()
-    warm = run_pass()
+    warm1, warm2 = run_pass(), run_pass()
+    warm = {k: min(warm1[k], warm2[k]) for k in warm1}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_jobs_total", "value": round(sum(warm.values()), 3), "unit": "sec",
                       "queries": warm, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus,

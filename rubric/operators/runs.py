@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.numeric import round_half_up
 
 
 def epoch_loss(metrics: DataFrame, name: str = fixed.METRIC_BATCH_LOSS) -> DataFrame:
@@ -24,7 +25,7 @@ def pass_rates(metrics: DataFrame, name: str = "test/sample_ok", digits: int | N
     """Pass rate per (run, epoch): mean of per-sample 0/1 outcomes."""
     m = F.avg("value")
     return (metrics.where(F.col("name") == F.lit(name))
-            .groupBy("run_id", "epoch").agg((F.round(m, digits) if digits is not None else m).alias("pass_rate")))
+            .groupBy("run_id", "epoch").agg((round_half_up(m, digits) if digits is not None else m).alias("pass_rate")))
 
 
 def eval_schedule(per_epoch: DataFrame, eval_freq: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.numeric import round_half_up
 from ..operators import evaluation as E
 from ..operators import scoring as S
 from ..sources import tables as TB
@@ -27,13 +28,14 @@ def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = O.exact_rounding(sql)
         return fn
     return deco
 
 
 def r6(c) -> F.Column:
-    return F.round(F.col(c).cast("double"), 6) if isinstance(c, str) else F.round(c.cast("double"), 6)
+    """Six-digit rounding computed identically by Spark and the oracle."""
+    return round_half_up(F.col(c) if isinstance(c, str) else c, 6)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
