@@ -6,6 +6,8 @@ writes PLANS.md at the repository root.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import sys
@@ -60,7 +62,10 @@ def report(spark, sf_dir: str, names=HEADLINE) -> str:
     for name in names:
         df = catalog.QUERIES[name](spark, sf_dir)
         df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()            # after execution: AQE's final plan
+        plan = buf.getvalue()
         s = summarise(plan)
         out.append(f"## `{name}`")
         out.append("")

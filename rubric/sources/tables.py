@@ -29,21 +29,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_if_small(df: DataFrame, source: DataFrame) -> DataFrame:
-    """Spread ``df`` evenly (round robin) when its ``source`` scan is too
-    small to give every core a split (input bytes < maxPartitionBytes x
-    cores; a small parquet file with one row group is read by one task).
-    At scale the scan already has far more splits than cores and this is a
-    no-op.  Two partitions per core; round robin rather than hashing on a
-    key, since a hot key would put its rows back into one task."""
+    """Spread ``df`` evenly (round robin) when its ``source`` scan has fewer
+    splits than the cluster has cores (a small parquet file with one row
+    group is read by one task).  At scale the scan already has far more
+    splits than cores and this is a no-op.  Two partitions per core; round
+    robin rather than hashing on a key, since a hot key would put its rows
+    back into one task.  ``getNumPartitions`` plans the scan, it runs no job.
+    """
     spark = df.sparkSession
     try:
-        raw = source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = raw if isinstance(raw, int) else int(raw.toString())
-        max_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
         slots = spark.sparkContext.defaultParallelism
-    except Exception:  # no JVM handle (Spark Connect): leave the plan as it is
+        splits = source.rdd.getNumPartitions()
+    except Exception:  # Spark Connect has no RDD API: leave the plan as it is
         return df
-    if size >= max_bytes * slots:
+    if splits >= slots:
         return df
     return df.repartition(2 * slots)
 
