@@ -89,8 +89,13 @@ def extract_strict_answer(c) -> Column:
                   strip(F.regexp_extract(c, STRICT_ANSWER_RE, 1))).otherwise(F.lit(""))
 
 
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _group_arrays() -> list[tuple[str, Column]]:
-    return [(name, F.array(*[F.lit(w) for w in words]))
+    # one SQL array literal per group: a single call instead of one per word
+    return [(name, F.expr("array(" + ", ".join(_sql_str(w) for w in words) + ")"))
             for name, words in fixed.SYNONYM_GROUPS.items()]
 
 
