@@ -26,7 +26,7 @@ PART = "struct<type:string,text:string>"
 MESSAGE = f"struct<role:string,content:array<{PART}>>"
 
 
-def instruction(df_or_none=None, instr: str = "instruction", question: str = "question") -> Column:
+def instruction(instr: str = "instruction", question: str = "question") -> Column:
     """Instruction, else question, else ''."""
     return F.coalesce(F.col(instr), F.col(question), F.lit(""))
 
