@@ -733,7 +733,7 @@ def mentions_gold(completions, ground_truth_answer, **_):
 
 @register("u1_python_reward", O.with_base(scored=False)
           + "SELECT sample_id, gen_idx, CASE WHEN contains(lower(coalesce(completion, '')), lower(answer)) "
-            "THEN 1.0 ELSE 0.0 END AS user_reward FROM completions")
+            "THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS user_reward FROM completions")
 def u1(spark, sf_dir):
     c = TB.completions(spark, sf_dir)
     col = RW.python_reward(mentions_gold, "completion", ground_truth_answer="answer")

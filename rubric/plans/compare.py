@@ -24,6 +24,12 @@ def duck(sf_dir: str):
     return con
 
 
+# Spark type -> DuckDB type of the same values
+TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "float": "FLOAT",
+            "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+            "smallint": "SMALLINT", "date": "DATE"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -58,6 +64,11 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     if sorted(s_cols) != sorted(d_cols):
         res["status"] = f"columns differ: {sorted(s_cols)} vs {sorted(d_cols)}"
         return res
+    d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
+    type_diffs = [(c, t, d_types[c]) for c, t in sdf.dtypes if TYPE_MAP.get(t, t) != d_types[c]]
+    if type_diffs:
+        res["status"] = f"types differ: {type_diffs}"
+        return res
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
     if a == b:
         res["status"] = "ok"
