@@ -84,8 +84,11 @@ def windowed_mean_stream(stream: DataFrame, sink: str, window: str = "6 hours",
                          ts: str = "ts", value: str = "value", by: tuple[str, ...] = ("name",),
                          checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Mean of a scalar (a reward or any recorded metric) per tumbling
-    event-time window.  Rows later than the watermark are dropped; a window
-    is written once, when the watermark passes its end (append mode)."""
+    event-time window.  A window is written once, when the watermark
+    (latest event time minus ``delay``) passes its end (append mode).
+    Spark drops a row that is older than the previous micro-batch's
+    watermark; a row between that and the current watermark may still be
+    counted (``tests/test_streams.py`` pins this down)."""
     spark = stream.sparkSession
     agg = (as_event_time(stream, ts).withWatermark(ts, delay)
            .groupBy(F.window(ts, window).alias("w"), *by)
