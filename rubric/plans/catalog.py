@@ -192,7 +192,12 @@ _ADV_SQL = ("g AS (SELECT sample_id, avg(CAST(reward AS DOUBLE)) AS m, stddev_sa
             "round(CASE WHEN s IS NULL OR s = 0 THEN 0.0 ELSE (CAST(reward AS DOUBLE) - m) / (s + 1e-4) END, 6) "
             "AS advantage FROM scored JOIN g USING (sample_id)")
 def r6_adv(spark, sf_dir):
-    a = G.group_advantage(scored(spark, sf_dir))
+    """As the ADVANTAGE job runs it: the SCORE output is written once
+    (Parquet, shared folder) and read back, so the group statistics read two
+    columns of it and nothing is scored twice."""
+    from . import jobs
+    written = jobs.score_job(TB.completions(spark, sf_dir), scratch_path(spark, "scored"), gold="answer")
+    a = G.group_advantage(written.select(*KEY, "reward"))
     return a.select(*KEY, r6("reward").alias("reward"), r6("advantage").alias("advantage"))
 
 
@@ -200,7 +205,9 @@ def r6_adv(spark, sf_dir):
           + "SELECT sample_id, gen_idx, round(CASE WHEN n <= 1 THEN 0.0 ELSE CAST(reward AS DOUBLE) - m END, 6) "
             "AS advantage FROM scored JOIN g USING (sample_id)")
 def r6_mean(spark, sf_dir):
-    a = G.group_advantage(scored(spark, sf_dir), scale_rewards=False)
+    from . import jobs
+    written = jobs.score_job(TB.completions(spark, sf_dir), scratch_path(spark, "scored"), gold="answer")
+    a = G.group_advantage(written.select(*KEY, "reward"), scale_rewards=False)
     return a.select(*KEY, r6("advantage").alias("advantage"))
 
 
