@@ -234,3 +234,15 @@ def test_cli_score_and_checkpoints(spark):
     mout = scratch_path(spark, "cli-ckpt")
     cli.main(["checkpoints", "--metrics", msrc, "--out", mout, "--eval-freq", "2", "--save-freq", "2"])
     assert spark.read.parquet(mout).count() > 0
+
+
+def test_advantage_reads_only_needed_columns(spark):
+    """R6 runs on the written scored table: its scans read the key, the
+    generation index and the reward, never the completion text."""
+    df = catalog.QUERIES["r6_group_advantage"](spark, SF_SMALL)
+    df.collect()
+    scans = [line for line in _plan(df).split("== Initial Plan ==")[0].split("\n") if "FileScan" in line]
+    assert scans
+    for line in scans:
+        schema = line.split("ReadSchema:")[1]
+        assert "completion" not in schema and "pred_think" not in schema and "reward" in schema
