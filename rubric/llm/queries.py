@@ -9,9 +9,10 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, fingerprints, license_scan, packing, token_counts, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,10 +22,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Fixed values of op1: phrases and labels.
+BASE_PHRASES = (("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license"))
+#: Fixed values of op7: rules and verdicts.
+BASE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+              ("net/es/", "block"), ("net/fr/", "block"))
+#: Rules of our own for urls that no base rule fits.
+SPAM_GLOBS = ("**spam**", "**cheap-pills**", "**casino**", "**viagra**", "**free-money**")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = [license_scan.phrase(*x) for x in BASE_PHRASES] + list(license_scan.NOTICES)
+    found = license_scan.scan(table(spark, sf_dir, "documents"), templates)
+    base = F.filter("matches", lambda m: m["kind"] == "phrase")
+
+    def names(of: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(of["label"])), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["start"]).alias("first_word"), F.array_max(base["start"]).alias("last_word"),
+        names(base).alias("base_labels"), names(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.col("matches")["share"]), F.lit(0.0)).alias("score"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.site_rule(verdict, name) for name, verdict in BASE_RULES]
+    more = [url_filter.Rule(g, "block", (g,)) for g in SPAM_GLOBS]
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules, more)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -34,9 +69,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op8_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op5_fingerprints, op6_packing, op7_url_filter, op8_exact_dedup,
+                                    op10_token_counts)}
 
 ORACLE = {
+    "op7_url_filter": r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path
+  FROM rest),
+ruled AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+    WHEN ('.' || host) LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+    WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(host || path, 'spam|cheap-pills|casino|viagra|free-money') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled""",
     "op8_exact_dedup": """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
