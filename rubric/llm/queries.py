@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, license_scan, packing, token_counts, url_filter
+from . import exact_dedup, fingerprints, license_scan, packing, quality, token_counts, toxicity, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -46,6 +46,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.array_max(F.col("matches")["share"]), F.lit(0.0)).alias("score"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.rate(docs, quality.train(docs, labels, quality.graded(labels)))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
@@ -65,12 +70,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op5_fingerprints, op6_packing, op7_url_filter, op8_exact_dedup,
-                                    op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality, op5_fingerprints, op6_packing, op7_url_filter,
+                                    op8_exact_dedup, op9_toxicity, op10_token_counts)}
 
 ORACLE = {
     "op7_url_filter": r"""

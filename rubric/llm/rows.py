@@ -51,9 +51,8 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     Null ids match null ids.  The join and the removal of repeated rows need
     the same partitioning, so whole rows move once.
     """
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    left = docs.select("*", sha.alias("_sha"))
-    right = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_k"))
-    cond = left["doc_id"].eqNullSafe(right["_id"]) & (left["_sha"] == right["_k"])
-    return (left.join(right, cond, "left_semi").dropDuplicates(["doc_id", "_sha"])
-            .select(*[F.col(c) for c in docs.columns]))
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"),
+                       F.sha2(F.coalesce(docs["text"], F.lit("")), 256).alias("sha"))
+    right = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    same = left["id"].eqNullSafe(right["kept_id"]) & (left["sha"] == right["kept_sha"])
+    return left.join(right, same, "left_semi").dropDuplicates(["id", "sha"]).select("row.*")
