@@ -23,34 +23,77 @@ from .rows import project, python_ready, written
 
 SEQ_LEN = 2048
 END_ID = 1
-#: Whitespace-separated chunks whose ids a worker remembers (two generations of this size).
+#: Chunks, and pre-tokens, whose ids a worker remembers (two generations of this size each).
 MEMO = 150_000
 
 ENCODED = "part int, doc_id long, before long, n_ids long, ids binary"
 
 
-class ChunkIds(dict):
-    """Chunk of UTF-8 without ASCII whitespace -> its ids, four bytes each.
+#: Fixed value: the pattern by which the vocabulary's file splits lower-cased text; what it doesn't match is dropped.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: Chunks of the Latin blocks: composed already, and with one rule for lower case.
+PLAIN = "[!-~\xa1-\u024f]+"
 
-    The vocabulary drops whitespace and no rule looks across it, so a text's
-    ids are those of its chunks, one after the other.  What doesn't fit in
-    the two generations is encoded again.
-    """
 
-    def __init__(self, tokenizer, size: int = MEMO):
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if
+    it prints in Latin-1, else the next letter from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Memo(dict):
+    """Remembers what ``make`` returns for up to two generations of ``size`` keys."""
+
+    def __init__(self, make, size: int):
         super().__init__()
-        self.tokenizer, self.size, self.old = tokenizer, size, {}
+        self.make, self.size, self.old = make, size, {}
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = b"".join(i.to_bytes(4, "little") for i in
-                           self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        self[chunk] = ids
-        return ids
+        self[key] = value
+        return value
+
+
+def chunk_encoder(path: str, memo: int = MEMO):
+    """A function of a chunk of UTF-8 without ASCII whitespace that returns
+    its ids, four bytes each.
+
+    The vocabulary drops whitespace and no rule looks across it, so a text's
+    ids are those of its chunks, one after the other.  A chunk's pre-tokens
+    are encoded one by one and remembered too; chunks with characters beyond
+    the Latin blocks or with special strings go through the library's whole
+    pipeline.
+    """
+    import regex
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    plain, split = regex.compile(PLAIN).fullmatch, regex.compile(PATTERN).findall
+    letter, special = byte_letters(), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def as_bytes(ids) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in ids)
+
+    def pre_token(word: str) -> bytes:
+        spelled = word if word.isascii() else "".join(letter[b] for b in word.encode())
+        return as_bytes(t.id for t in tokenizer.model.tokenize(spelled))
+
+    pre_tokens = Memo(pre_token, memo)
+
+    def chunk(data: bytes) -> bytes:
+        text = data.decode()
+        if plain(text) and not any(s in text for s in special):
+            return b"".join(map(pre_tokens.__getitem__, split(text.lower())))
+        return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    return Memo(chunk, memo).__getitem__
 
 
 def encoder(path: str, end_id: int = END_ID, memo: int = MEMO):
@@ -58,9 +101,7 @@ def encoder(path: str, end_id: int = END_ID, memo: int = MEMO):
     ``ENCODED`` batches."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        chunk_ids = ChunkIds(Tokenizer.from_file(path), memo).__getitem__
+        chunk_ids = chunk_encoder(path, memo)
         end = end_id.to_bytes(4, "little")
         part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
