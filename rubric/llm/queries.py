@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, license_scan, packing, quality, token_counts, toxicity, url_filter
+from . import exact_dedup, fingerprints, jaccard_join, license_scan, packing, quality, token_counts, toxicity, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -51,6 +51,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, quality.train(docs, labels, quality.graded(labels)))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
@@ -79,7 +83,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality, op5_fingerprints, op6_packing, op7_url_filter,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality, op4_jaccard_join, op5_fingerprints, op6_packing, op7_url_filter,
                                     op8_exact_dedup, op9_toxicity, op10_token_counts)}
 
 ORACLE = {
