@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import NOT_SPACE, blocks, flat, mix, words
-from .rows import project, python_ready, written
+from .rows import keep_rows, project, python_ready, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -116,11 +116,11 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
-NODE_COLUMNS = "doc_id long, n long, fp1 long, fp2 long, m1 long, m2 long, prefix array<long>"
+NODE_COLUMNS = "doc_id long, digest binary, n long, fp1 long, fp2 long, m1 long, m2 long, prefix array<long>"
 
 
 def signer(size: int, percent: int, ranks: np.ndarray):
-    """Arrow batches (doc_id, text) -> NODE_COLUMNS."""
+    """Arrow batches (doc_id, text, digest) -> NODE_COLUMNS."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +142,9 @@ def signer(size: int, percent: int, ranks: np.ndarray):
                 ends = np.searchsorted(doc[keep], np.arange(rows + 1))
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[order][keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:end], pa.array(n, pa.int64()), *[pa.array(x.view(np.int64)) for x in out], prefix],
-                    ["doc_id", "n", "fp1", "fp2", "m1", "m2", "prefix"])
+                    [batch.column(0)[first:end], batch.column(2)[first:end], pa.array(n, pa.int64()),
+                     *[pa.array(x.view(np.int64)) for x in out], prefix],
+                    ["doc_id", "digest", "n", "fp1", "fp2", "m1", "m2", "prefix"])
 
     return sign
 
@@ -312,7 +313,9 @@ def opened(percent: int):
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+    """One row per input row: doc_id, n_shingles, component_id, component (a
+    number of its own for each component, null for texts without shingles),
+    text_sha256.
 
     Words are runs of characters other than ASCII whitespace, A-Z
     lower-cased.  component_id is the smallest doc_id that links reach, the
@@ -322,7 +325,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     """
     python_ready(docs.sparkSession)
     docs = project(docs, id_col, text_col)
-    signed = written(docs.mapInArrow(signer(size, percent, class_ranks(docs, size)), NODE_COLUMNS), "jaccard-signed")
+    ranks = class_ranks(docs, size)
+    digested = docs.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
+    signed = written(digested.mapInArrow(signer(size, percent, ranks), NODE_COLUMNS), "jaccard-signed")
     nodes = written(signed.where("n > 0").groupBy("fp1", "fp2", "n").agg(
         F.min("doc_id").alias("doc_id"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("prefix").alias("prefix"))
         .withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
@@ -363,8 +368,20 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     by_node = nodes.select("node", "fp1", "fp2", "n", "doc_id").join(labelled, "node", "left").select(
         "fp1", "fp2", "n", "doc_id", F.coalesce("label", "node").alias("label"))
     least = by_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classes = written(by_node.join(least, "label").select("fp1", "fp2", "n", "component_id"), "jaccard-classes")
-    rows = signed.select("doc_id", "n", "fp1", "fp2")
+    classes = written(by_node.join(least, "label").select("fp1", "fp2", "n", "component_id", F.col("label").alias("component")),
+                      "jaccard-classes")
+    rows = signed.select("doc_id", "digest", "n", "fp1", "fp2")
     return rows.join(classes, ["fp1", "fp2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "component", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns: of each component the one with the
+    smallest doc_id (ids before nulls, then the smaller digest), and all rows
+    without shingles."""
+    found = written(jaccard_components(docs, size, percent), "jaccard-classed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")).alias("first")
+    stay = found.where(F.col("component").isNotNull()).groupBy("component").agg(first).select("first.doc_id", "first.text_sha256")
+    return keep_rows(docs, stay.union(found.where(F.col("component").isNull()).select("doc_id", "text_sha256")))

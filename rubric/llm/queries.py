@@ -52,7 +52,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85).select(
+        "doc_id", "n_shingles", "component_id")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
