@@ -12,6 +12,7 @@ has one boundary record (piece) in each window it touches.  No ids move.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .rows import project, python_ready, written
 SEQ_LEN = 2048
 END_ID = 1
 #: Chunks, and pre-tokens, whose ids a worker remembers (two generations of this size each).
-MEMO = 150_000
+MEMO = 250_000
 
 ENCODED = "part int, doc_id long, before long, n_ids long, ids binary"
 
@@ -33,6 +34,10 @@ ENCODED = "part int, doc_id long, before long, n_ids long, ids binary"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Chunks of the Latin blocks: composed already, and with one rule for lower case.
 PLAIN = "[!-~\xa1-\u024f]+"
+#: Of those, what most chunks are: one pre-token of letters, perhaps one of a mark behind it.
+WORD = "([A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f]+)([.,]?)"
+#: Documents encoded at a time.
+ROWS = 256
 
 
 def byte_letters() -> dict[int, str]:
@@ -71,24 +76,30 @@ def chunk_encoder(path: str, memo: int = MEMO):
     the Latin blocks or with special strings go through the library's whole
     pipeline.
     """
+    import re
+    from struct import pack
+
     import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    plain, split = regex.compile(PLAIN).fullmatch, regex.compile(PATTERN).findall
+    plain, word, split = regex.compile(PLAIN).fullmatch, re.compile(WORD).fullmatch, regex.compile(PATTERN).findall
     letter, special = byte_letters(), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def as_bytes(ids) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    def as_bytes(ids: list[int]) -> bytes:
+        return pack(f"<{len(ids)}I", *ids)
 
     def pre_token(word: str) -> bytes:
         spelled = word if word.isascii() else "".join(letter[b] for b in word.encode())
-        return as_bytes(t.id for t in tokenizer.model.tokenize(spelled))
+        return as_bytes([t.id for t in tokenizer.model.tokenize(spelled)])
 
     pre_tokens = Memo(pre_token, memo)
 
     def chunk(data: bytes) -> bytes:
         text = data.decode()
+        if one := word(text):
+            letters, mark = one.groups()
+            return pre_tokens[letters.lower()] + (pre_tokens[mark] if mark else b"")
         if plain(text) and not any(s in text for s in special):
             return b"".join(map(pre_tokens.__getitem__, split(text.lower())))
         return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
@@ -104,18 +115,16 @@ def encoder(path: str, end_id: int = END_ID, memo: int = MEMO):
         chunk_ids = chunk_encoder(path, memo)
         end = end_id.to_bytes(4, "little")
         part, total = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, before, n_ids = [], [], []
-            for text in batch.column(1).cast(pa.binary()):
-                one = b"".join(map(chunk_ids, text.as_py().split())) + end
-                ids.append(one)
-                before.append(total)
-                n_ids.append(len(one) // 4)
-                total += len(one) // 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(ids), pa.int32()), batch.column(0), pa.array(before, pa.int64()),
-                 pa.array(n_ids, pa.int64()), pa.array(ids, pa.binary())],
-                ["part", "doc_id", "before", "n_ids", "ids"])
+        for whole in batches:
+            for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                ids = [b"".join(map(chunk_ids, text.as_py().split())) + end for text in batch.column(1).cast(pa.binary())]
+                n_ids = [len(x) // 4 for x in ids]
+                before = list(itertools.accumulate(n_ids, initial=total))
+                total = before.pop()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(ids), pa.int32()), batch.column(0), pa.array(before, pa.int64()),
+                     pa.array(n_ids, pa.int64()), pa.array(ids, pa.binary())],
+                    ["part", "doc_id", "before", "n_ids", "ids"])
 
     return encode
 
