@@ -12,10 +12,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, jaccard_join, license_scan, packing, quality, token_counts, toxicity, url_filter
+from . import exact_dedup, fingerprints, jaccard_join, license_scan, packing, quality
+from . import sentencepiece_fst, token_counts, toxicity, url_filter
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, quality.train(docs, labels, quality.graded(labels)))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, number and CRC-32 of the ids, and whether decoding gives the
+    text back (marks in a text come back as spaces)."""
+    path = public_tokenizers.path(PIECES)
+    found = sentencepiece_fst.decode_ids(sentencepiece_fst.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"),
+                        (F.col("decoded") == F.translate("text", sentencepiece_fst.MARK, " ")).alias("round_trip"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85).select(
         "doc_id", "n_shingles", "component_id")
@@ -84,7 +96,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality, op4_jaccard_join, op5_fingerprints, op6_packing, op7_url_filter,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality, op3_sentencepiece, op4_jaccard_join, op5_fingerprints, op6_packing, op7_url_filter,
                                     op8_exact_dedup, op9_toxicity, op10_token_counts)}
 
 ORACLE = {
