@@ -71,3 +71,4 @@ CHECKPOINT_NAME = "epoch_{epoch}_loss_{loss:.2f}_pass_{pass_rate:.2f}"
 METRIC_BATCH_LOSS = "train/batch_loss"
 METRIC_EPOCH_LOSS = "train/epoch_loss"
 METRIC_PASS_RATE = "test/pass_rate"
+METRIC_SAMPLE_OK = "test/sample_ok"      # our own: one 0/1 outcome per test sample

@@ -67,10 +67,14 @@ def seeded_shuffle(df: DataFrame, seed: int, epoch: int, key: str = "sample_id",
             .select(*df.columns, (F.col("_g") - F.col("_first") + 1).alias(name)))
 
 
-def batch_ids(df: DataFrame, batch_size: int, pos: str = "pos", base: int = 1,
-              name: str = "batch_id") -> DataFrame:
-    """Consecutive rows in batches of ``batch_size``, the last one short."""
-    return df.withColumn(name, F.floor((F.col(pos) - F.lit(base)) / F.lit(batch_size)).cast("bigint"))
+def batch_ids(df: DataFrame, batch_size: int | dict[str, int], pos: str = "pos", base: int = 1,
+              name: str = "batch_id", split: str = "split") -> DataFrame:
+    """Consecutive rows in batches of ``batch_size``, the last one short.
+    With a size per split, ids count within the split: a batch is (split, id)."""
+    size = F.lit(batch_size)
+    if isinstance(batch_size, dict):
+        size = F.create_map(*[F.lit(x) for pair in batch_size.items() for x in pair])[F.col(split)]
+    return df.withColumn(name, F.floor((F.col(pos) - F.lit(base)) / size).cast("bigint"))
 
 
 def shard_ids(df: DataFrame, n_shards: int, batch: str = "batch_id", name: str = "shard") -> DataFrame:

@@ -29,17 +29,26 @@ def group_advantage(df: DataFrame, key: str = "sample_id", reward: str = "reward
     """Reward minus its group mean, divided by (group std + eps) when
     ``scale_rewards`` (sample std, as the group-relative trainer does; the
     small ``eps`` guards a near-zero spread).  A group of one row or with
-    zero spread gets advantage 0.0.
+    zero spread gets advantage 0.0.  A row without a reward or without a key
+    keeps a NULL advantage: rows out = rows in.
+
+    ``df`` is a written table (its rows are salted by their position).
     """
     stats = group_stats(df, key, reward)
-    j = salted_join(df, stats, key, counts=stats, n="group_rows")
+    j = salted_join(df, stats, key, counts=stats, n="group_rows", how="left")
     centred = F.col(reward).cast("double") - F.col("group_mean")
     if scale_rewards:
         adv = (F.when(F.col("group_std").isNull() | (F.col("group_std") == 0), F.lit(0.0))
                .otherwise(centred / (F.col("group_std") + F.lit(eps))))
     else:
         adv = F.when(F.col("group_n") <= 1, F.lit(0.0)).otherwise(centred)
-    return j.select(*df.columns, "group_mean", "group_std", adv.alias("advantage"))
+    known = F.col(key).isNotNull() & F.col(reward).isNotNull()
+    return j.select(*df.columns, "group_mean", "group_std", F.when(known, adv).alias("advantage"))
+
+
+def missing_prompts(prompts: DataFrame, completions: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Prompts with no completion at all, which ``group_audit`` cannot see."""
+    return prompts.join(completions.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).select(key), key, "left_anti")
 
 
 def group_audit(df: DataFrame, key: str = "sample_id", gen: str = "gen_idx", reward: str = "reward",

@@ -133,10 +133,10 @@ def build_prompts(samples: DataFrame, image_dir: Column | str = "image_dir",
                      render_chat(F.col("prompt_messages"), True).alias("prompt_text"))
 
 
-def rollout_prompts(samples: DataFrame, image_dir: str, n: int | None = fixed.RL_FIRST_N,
+def rollout_prompts(samples: DataFrame, image_dir: str, n: int | None = None,
                     order: str = "ord") -> DataFrame:
-    """The RL rows (prompt, image path, ground-truth answer) over the
-    first ``n`` samples in file order (S2).  The prompt is rendered without
+    """The RL rows (prompt, image path, ground-truth answer), of all
+    samples or of the first ``n`` in file order (S2).  The prompt is rendered without
     the generation marker.  A row with no answer is kept with a ``reject``
     reason instead of failing the job."""
     src = first_n(samples, n, order) if n is not None else samples

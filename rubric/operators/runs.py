@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.numeric import round_half_up
 
 
 def epoch_loss(metrics: DataFrame, name: str = fixed.METRIC_BATCH_LOSS) -> DataFrame:
@@ -21,11 +20,18 @@ def epoch_loss(metrics: DataFrame, name: str = fixed.METRIC_BATCH_LOSS) -> DataF
             .groupBy("run_id", "epoch").agg(F.avg("value").alias("loss"), F.count(F.lit(1)).alias("n_steps")))
 
 
-def pass_rates(metrics: DataFrame, name: str = "test/sample_ok", digits: int | None = 6) -> DataFrame:
-    """Pass rate per (run, epoch): mean of per-sample 0/1 outcomes."""
-    m = F.avg("value")
+def pass_rates(metrics: DataFrame, name: str = fixed.METRIC_PASS_RATE) -> DataFrame:
+    """Pass rate per (run, epoch) as the run recorded it: the record of the
+    last step (the greatest value, should a step have several)."""
+    last = F.max(F.struct("step", "value"))
     return (metrics.where(F.col("name") == F.lit(name))
-            .groupBy("run_id", "epoch").agg((round_half_up(m, digits) if digits is not None else m).alias("pass_rate")))
+            .groupBy("run_id", "epoch").agg(last.alias("last")).select("run_id", "epoch", F.col("last.value").alias("pass_rate")))
+
+
+def pass_rates_from_outcomes(metrics: DataFrame, name: str = fixed.METRIC_SAMPLE_OK) -> DataFrame:
+    """Pass rate per (run, epoch) of runs that recorded a 0/1 outcome per test sample: their mean."""
+    return (metrics.where(F.col("name") == F.lit(name))
+            .groupBy("run_id", "epoch").agg(F.avg("value").alias("pass_rate")))
 
 
 def eval_schedule(per_epoch: DataFrame, eval_freq: int) -> DataFrame:
@@ -53,14 +59,24 @@ def fmt2(c: Column) -> Column:
 
 
 def checkpoint_name(epoch: Column, loss: Column, pass_rate: Column) -> Column:
-    """``epoch_{e}_loss_{loss:.2f}_pass_{pass:.2f}``."""
-    return F.concat(F.lit("epoch_"), epoch.cast("string"), F.lit("_loss_"), fmt2(loss),
-                    F.lit("_pass_"), fmt2(pass_rate))
+    """``fixed.CHECKPOINT_NAME`` filled in."""
+    head, rest = fixed.CHECKPOINT_NAME.split("{epoch}")
+    middle, rest = rest.split("{loss:.2f}")
+    before, tail = rest.split("{pass_rate:.2f}")
+    return F.concat(F.lit(head), epoch.cast("string"), F.lit(middle), fmt2(loss), F.lit(before), fmt2(pass_rate), F.lit(tail))
+
+
+def require_metrics(metrics: DataFrame, *names: str) -> None:
+    """Raise if the table has no record of one of ``names``: a job on it would quietly return nothing."""
+    for name in names:
+        if metrics.where(F.col("name") == F.lit(name)).limit(1).count() == 0:
+            raise ValueError(f"no record of {name!r} in the metrics table")
 
 
-def best_checkpoint_names(metrics: DataFrame, eval_freq: int, save_freq: int) -> DataFrame:
-    """W5 + W6: names of the checkpoints that would be written."""
-    best = best_checkpoints(pass_rates(metrics), eval_freq, save_freq)
+def best_checkpoint_names(metrics: DataFrame, eval_freq: int, save_freq: int, rates: DataFrame | None = None) -> DataFrame:
+    """W5 + W6: names of the checkpoints that would be written, by the
+    recorded pass rates or the given ``rates`` (run_id, epoch, pass_rate)."""
+    best = best_checkpoints(pass_rates(metrics) if rates is None else rates, eval_freq, save_freq)
     return (best.join(epoch_loss(metrics), ["run_id", "epoch"], "left")
             .select("run_id", "epoch", "pass_rate", "loss",
                     checkpoint_name(F.col("epoch"), F.col("loss"), F.col("pass_rate")).alias("checkpoint")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import rewards as R
 from ..functions import text as T
 
@@ -76,7 +77,7 @@ def score_completions(df: DataFrame, completion: str = "completion",
         *cols, "pred_think", "pred_answer",
         is_correct.alias("is_correct"),
         F.when(gold_null, F.lit(None).cast("int")).otherwise(is_consist).alias("is_consist"),
-        (F.col("_ans_words") <= F.lit(3)).cast("int").alias("is_concise"),
+        (F.col("_ans_words") <= F.lit(fixed.LONG_ANSWER_WORDS)).cast("int").alias("is_concise"),
         F.when(gold_null, F.lit(None).cast("double")).otherwise(F.col("format_reward"))
          .alias("format_reward"),
         F.when(gold_null, F.lit(None).cast("double")).otherwise(main).alias("main_reward"),

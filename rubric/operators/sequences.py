@@ -2,71 +2,86 @@
 label masks (Q1-Q4).
 
 The model tokenizer is an argument (a ``Column -> array<string>`` function);
-the default splits on whitespace.  The vocabulary is built by Spark:
-token counts (partial + final aggregate), then ids by rank of (count desc,
-token) through the distributed ``global_index`` - no single-task sort.
+the default splits on whitespace.  ``tokenise`` makes the token columns; a
+job writes them once and the steps read them (``plans.jobs.sequences_job``).
+The vocabulary is built by Spark: token counts (partial + final aggregate),
+then ids by rank of (count desc, token) through the distributed
+``global_index`` - no single-task sort - or given by the user.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import tokens as whitespace_tokens
 from .batches import global_index
-from .skew import salted_join
+from .skew import content, key_counts, salted_join
 
 Tokenizer = Callable[[Column], Column]
-PAD_ID = 0          # ids of real tokens start at 1
+PAD_ID = 0
+UNK_ID = 1          # tokens that the vocabulary lacks
+FIRST_ID = 2        # ids of real tokens start here
 
 
-def token_lengths(df: DataFrame, prompt: str = "prompt_text", full: str = "chat_text",
-                  max_length: int = 2048, tokenizer: Tokenizer = whitespace_tokens) -> DataFrame:
+def tokenise(df: DataFrame, prompt: str = "prompt_text", full: str = "chat_text",
+             tokenizer: Tokenizer = whitespace_tokens, carry: tuple[str, ...] = ("sample_id", "split")) -> DataFrame:
+    """Token arrays of the full text, and the prompt's number of tokens."""
+    return df.select(*carry, tokenizer(F.col(full)).alias("tokens"), F.size(tokenizer(F.col(prompt))).alias("prompt_len"))
+
+
+def token_lengths(tokens: DataFrame, max_length: int = 2048) -> DataFrame:
     """Q1: prompt and full lengths, and whether the full text is over budget."""
-    s = df.select("*", F.size(tokenizer(F.col(prompt))).alias("prompt_len"),
-                  F.size(tokenizer(F.col(full))).alias("full_len"))
+    s = tokens.select(*[c for c in tokens.columns if c != "tokens"], F.size("tokens").alias("full_len"))
     return s.select("*", (F.col("full_len") > F.lit(max_length)).cast("int").alias("over_budget"))
 
 
-def length_summary(lengths: DataFrame, by: tuple[str, ...] = (), approx: bool = True) -> DataFrame:
-    """Q1 summary; percentiles are approximate (mergeable sketches)."""
+def length_summary(lengths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Q1 summary."""
     aggs = [F.count(F.lit(1)).alias("n"), F.max("full_len").alias("max_len"),
             F.avg("full_len").alias("avg_len"), F.sum("over_budget").alias("n_over")]
-    if approx:
-        aggs.append(F.percentile_approx("full_len", [0.5, 0.9, 0.99]).alias("p50_p90_p99"))
     return (lengths.groupBy(*by) if by else lengths.groupBy()).agg(*aggs)
 
 
-def build_vocabulary(df: DataFrame, text: str = "chat_text", tokenizer: Tokenizer = whitespace_tokens,
-                     first_id: int = PAD_ID + 1) -> DataFrame:
+def length_percentiles(lengths: DataFrame, fractions: dict[str, float], by: str = "split") -> DataFrame:
+    """Q1: for each name the least length that the fraction of rows doesn't
+    exceed - exact at any size: the rows are first counted per length, and
+    the running sums are over distinct lengths."""
+    counts = lengths.groupBy(by, "full_len").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(by)
+    upto = F.sum("n").over(w.orderBy("full_len").rowsBetween(Window.unboundedPreceding, 0))
+    share = counts.select(by, "full_len", (upto / F.sum("n").over(w)).alias("share"))
+    return share.groupBy(by).agg(*[F.min(F.when(F.col("share") >= f, F.col("full_len"))).alias(name) for name, f in fractions.items()])
+
+
+def build_vocabulary(tokens: DataFrame, first_id: int = FIRST_ID) -> DataFrame:
     """Q2: (token, count, id) ranked by count desc, then token."""
-    counts = (df.select(F.explode(tokenizer(F.col(text))).alias("token"))
+    counts = (tokens.select(F.explode("tokens").alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     return global_index(counts, [F.col("count").desc(), F.col("token").asc()], name="id", base=first_id)
 
 
-def encode(df: DataFrame, vocab: DataFrame, key: str = "sample_id", text: str = "chat_text",
-           tokenizer: Tokenizer = whitespace_tokens, max_length: int | None = None,
-           carry: tuple[str, ...] = ()) -> DataFrame:
-    """Q2: token ids in text order, cut to ``max_length`` first so a row's
-    group never exceeds it.  ``key`` must be unique; ``carry`` columns ride
-    along in the grouping key (no join back).  Unknown tokens are dropped.
-    The token join is salted on frequent tokens (the vocabulary's own
-    counts bound each token's occurrences); occurrence rows are unique by
-    (key, pos), so a content hash spreads them without a sort."""
-    toks = tokenizer(F.col(text))
-    if max_length is not None:
-        toks = F.slice(toks, 1, max_length)
-    occ = df.select(key, *carry, F.posexplode_outer(toks).alias("pos", "token"))
-    joined = salted_join(occ, vocab.select("token", "id"), "token",
-                         counts=vocab.select("token", F.col("count").alias("n")), how="left",
-                         salt_by="content")
+def encode(tokens: DataFrame, vocab: DataFrame, key: str = "sample_id", max_length: int | None = None,
+           carry: tuple[str, ...] = (), unk_id: int = UNK_ID) -> DataFrame:
+    """Q2: token ids in text order, of whole texts unless ``max_length`` cuts
+    them (Q3).  A token that ``vocab`` (token, id) lacks gets ``unk_id``, so
+    positions stay.  ``key`` must be unique; a NULL key stops the job, since
+    all such rows would become one.  ``carry`` columns ride along in the
+    grouping key (no join back).  The token join is salted on frequent
+    tokens, by the occurrence (key, position), so no text is needed for it."""
+    toks = F.col("tokens") if max_length is None else F.slice("tokens", 1, max_length)
+    known = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"NULL {key}: ids are needed to put a text's tokens together"))) \
+        .otherwise(F.col(key)).alias(key)
+    occ = tokens.select(known, *carry, F.posexplode_outer(toks).alias("pos", "token"))
+    counts = (vocab.select("token", F.col("count").alias("n")) if "count" in vocab.columns and max_length is None
+              else key_counts(occ, "token"))
+    joined = salted_join(occ, vocab.select("token", "id"), "token", counts=counts, how="left", salt=content(key, "pos"))
+    one = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
     return (joined.groupBy(key, *carry)
-            .agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(),
-                                                    F.struct("pos", "id")))).alias("_p"))
+            .agg(F.sort_array(F.collect_list(one)).alias("_p"))
             .select(key, *carry, F.transform("_p", lambda x: x.getField("id")).alias("input_ids")))
 
 
@@ -105,15 +120,12 @@ def label_mask(padded: Column, n_real: Column, n_pad_left: Column, prompt_len: C
         .otherwise(x)))
 
 
-def build_sequences(prompts: DataFrame, max_length: int, vocab: DataFrame | None = None,
-                    split: str = "split", tokenizer: Tokenizer = whitespace_tokens,
-                    mode: str = "default") -> DataFrame:
-    """The SEQ job over a prompts table with ``prompt_text``/``chat_text``:
-    ids, attention mask and labels per sample (train pads right, val/test
-    pad left; test rows carry no labels)."""
-    lens = token_lengths(prompts, max_length=max_length, tokenizer=tokenizer)
-    vocab = vocab if vocab is not None else build_vocabulary(prompts, tokenizer=tokenizer)
-    enc = encode(lens, vocab, max_length=max_length, tokenizer=tokenizer, carry=(split, "prompt_len"))
+def build_sequences(tokens: DataFrame, max_length: int, vocab: DataFrame,
+                    split: str = "split", mode: str = "default") -> DataFrame:
+    """The SEQ job over token arrays (``tokenise``): ids, attention mask and
+    labels per sample (train pads right, val/test pad left; test rows carry
+    no labels)."""
+    enc = encode(tokens, vocab, max_length=max_length, carry=(split, "prompt_len"))
     left = F.col(split).isin("val", "test")
     padded, mask = truncate_pad(F.col("input_ids"), max_length, left)
     s = enc.select("*", padded.alias("padded_ids"), mask.alias("attention_mask"),

@@ -223,6 +223,30 @@ def r7(spark, sf_dir):
                     r6("max_reward").alias("max_reward"), "status")
 
 
+@register("r7_missing_prompts", O.with_base(scored=False)
+          + "SELECT sample_id FROM samples WHERE sample_id % 4 = 0")
+def r7m(spark, sf_dir):
+    """Every fourth prompt has no completion."""
+    some = TB.completions(spark, sf_dir).where(F.col("sample_id") % 4 != 0)
+    return G.missing_prompts(TB.samples(spark, sf_dir).select("sample_id"), some)
+
+
+@register("r6_group_advantage_nulls", O.with_base(
+    "b AS (SELECT CASE WHEN sample_id % 5 = 0 THEN NULL ELSE sample_id END AS sample_id, sample_id AS row_id, gen_idx, "
+    "CASE WHEN gen_idx = sample_id % 7 THEN NULL ELSE CAST(reward AS DOUBLE) END AS reward FROM scored), "
+    "g AS (SELECT sample_id, avg(reward) AS m, stddev_samp(reward) AS s FROM b WHERE sample_id IS NOT NULL GROUP BY sample_id)")
+    + "SELECT b.sample_id, b.row_id, b.gen_idx, round(CASE WHEN b.sample_id IS NULL OR reward IS NULL THEN NULL "
+      "WHEN s IS NULL OR s = 0 THEN 0.0 ELSE (reward - m) / (s + 1e-4) END, 6) AS advantage "
+      "FROM b LEFT JOIN g ON b.sample_id = g.sample_id")
+def r6_nulls(spark, sf_dir):
+    """A fifth of the rows without a key, others without a reward."""
+    from . import jobs
+    s = jobs.score_job(TB.completions(spark, sf_dir), scratch_path(spark, "scored"), gold="answer")
+    rows = s.select(F.when(F.col("sample_id") % 5 != 0, F.col("sample_id")).alias("sample_id"), F.col("sample_id").alias("row_id"),
+                    "gen_idx", F.when(F.col("gen_idx") != F.col("sample_id") % 7, F.col("reward").cast("double")).alias("reward"))
+    return G.group_advantage(rows).select("sample_id", "row_id", "gen_idx", r6("advantage").alias("advantage"))
+
+
 # ------------------------------------------------------------------ J2
 
 _GOLD_SQL = ("gold AS (SELECT sample_id, answer AS gt_answer FROM samples "
@@ -255,6 +279,23 @@ def j2u(spark, sf_dir):
     return J.unmatched_completions(_bare_completions(spark, sf_dir), _gold(spark, sf_dir)).select(*KEY)
 
 
+@register("j2_unmatched_gold", O.with_base(_GOLD_SQL, scored=False)
+          + "SELECT g.sample_id, g.gt_answer FROM gold g WHERE NOT EXISTS "
+            "(SELECT 1 FROM completions c WHERE c.sample_id = g.sample_id AND c.gen_idx < 6 AND c.sample_id % 3 <> 0)")
+def j2g(spark, sf_dir):
+    """Every third sample has no completion."""
+    some = _bare_completions(spark, sf_dir).where(F.col("sample_id") % 3 != 0)
+    return J.unmatched_gold(_gold(spark, sf_dir), some).select("sample_id", "gt_answer")
+
+
+@register("j2_duplicate_gold", O.with_base(scored=False)
+          + "SELECT image_id AS sample_id, count(*) AS n_gold FROM samples GROUP BY image_id HAVING count(DISTINCT answer) > 1")
+def j2d(spark, sf_dir):
+    """Gold by image: two samples share an image, and their answers mostly differ."""
+    gold = TB.samples(spark, sf_dir).select(F.col("image_id").alias("sample_id"), F.col("answer").alias("gt_answer"))
+    return J.duplicate_gold(gold)
+
+
 @register("j2_eval_labelled", O.with_base(
     _GOLD_SQL,
     "paired AS (SELECT c.sample_id, c.image_id, c.question, c.gen_idx, c.completion, g.gt_answer AS answer "
@@ -282,10 +323,7 @@ _TAGGED = "tagged AS (SELECT *, 'g' || CAST(gen_idx AS VARCHAR) AS tag FROM scor
             "FROM scored) GROUP BY ROLLUP (shard)")
 def a3(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("shard", F.pmod(F.col("sample_id"), F.lit(2)).cast("int"))
-    agg = [F.count("is_correct").alias("n"),
-           F.coalesce(F.sum("is_correct"), F.lit(0)).cast("bigint").alias("n_correct"),
-           F.coalesce(F.sum("is_consist"), F.lit(0)).cast("bigint").alias("n_consist")]
-    return s.rollup("shard").agg(*agg)
+    return E.shard_counters(s)
 
 
 @register("a4_eval_by_tag", O.with_base(_TAGGED)
@@ -355,6 +393,10 @@ CASE WHEN doc_id % 17 = 16 THEN NULL ELSE CASE doc_id % 6 WHEN 0 THEN 'yes' WHEN
 CASE WHEN doc_id % 10 = 8 THEN 'val' WHEN doc_id % 10 = 9 THEN 'test' ELSE 'train' END AS split
 FROM documents)"""
 
+# The files carry no id: a sample's id is its number in the order of splits and lines.
+_FILE_SQL = """filed AS (SELECT * REPLACE (row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END,
+sample_id) - 1 AS sample_id) FROM raw)"""
+
 _TRIGGER_SQL = "chr(10) || '### Question:' || chr(10)"
 _SYS_SQL = O.q(P.fixed.SYSTEM_PROMPT)
 _PROMPT_SQL = f"""pr AS (SELECT *, coalesce(instruction, question, '') AS instruction_text,
@@ -373,7 +415,7 @@ pr3 AS (SELECT *, 'system:text=' || {_SYS_SQL} || chr(10) || 'user:image=|text='
 
 def raw_samples(spark, sf_dir) -> DataFrame:
     d = TB.read_table(spark, sf_dir, "documents")
-    return TB.spread_if_small(SM.derive_raw_samples(d), d)
+    return TB.dealt(SM.derive_raw_samples(d))
 
 
 def prompts(spark, sf_dir) -> DataFrame:
@@ -405,8 +447,8 @@ _p_query("p7_messages", "messages_flat", lambda: [P.flatten_messages(F.col("mess
 _p_query("p8_render_chat", "chat_text", lambda: ["chat_text"])
 
 
-@register("s1_read_samples", O.with_base(_RAW_SQL, scored=False)
-          + "SELECT sample_id, imageId, instruction, question, n_cot, first_cot, answer, split FROM raw")
+@register("s1_read_samples", O.with_base(_RAW_SQL, _FILE_SQL, scored=False)
+          + "SELECT sample_id, imageId, instruction, question, n_cot, first_cot, answer, split FROM filed")
 def s1(spark, sf_dir):
     df = SM.read_splits(spark, _jsonl_cfg(spark, sf_dir))
     n_cot = F.when(F.col("cot").isNull(), F.lit(-1)).otherwise(F.size("cot"))
@@ -414,30 +456,29 @@ def s1(spark, sf_dir):
                      P.first_cot().alias("first_cot"), "answer", "split")
 
 
-@register("s6_read_split", O.with_base(_RAW_SQL, scored=False)
+@register("s6_read_split", O.with_base(_RAW_SQL, _FILE_SQL, scored=False)
           + f"SELECT sample_id, split, CASE split WHEN 'test' THEN '{TEST_IMAGE_DIR}' ELSE '{IMAGE_DIR}' END "
-            "AS image_dir FROM raw")
+            "AS image_dir FROM filed")
 def s6(spark, sf_dir):
     return SM.read_splits(spark, _jsonl_cfg(spark, sf_dir)).select("sample_id", "split", "image_dir")
 
 
-@register("s2_first_n", O.with_base(_RAW_SQL, scored=False)
-          + "SELECT sample_id, imageId FROM raw WHERE split = 'train' ORDER BY sample_id LIMIT 500")
+@register("s2_first_n", O.with_base(_RAW_SQL, _FILE_SQL, scored=False)
+          + "SELECT sample_id, imageId FROM filed WHERE split = 'train' ORDER BY sample_id LIMIT 500")
 def s2(spark, sf_dir):
     train = SM.read_split(spark, _jsonl_cfg(spark, sf_dir), "train")
     return SM.first_n(train, 500).select("sample_id", "imageId")
 
 
-@register("p9_rollout_prompts", O.with_base(_RAW_SQL, scored=False)
+@register("p9_rollout_prompts", O.with_base(_RAW_SQL, _FILE_SQL, scored=False)
           + "SELECT sample_id, '<|im_start|>system' || chr(10) || " + _SYS_SQL + " || '<|im_end|>' || chr(10) "
             "|| '<|im_start|>user' || chr(10) || '<|vision_start|><|image_pad|><|vision_end|>' || "
             + _TRIGGER_SQL + " || coalesce(instruction, question, '') || '<|im_end|>' || chr(10) AS prompt, "
             f"'{IMAGE_DIR}/' || imageId || '.jpg' AS image, answer AS ground_truth_answer, "
             "CASE WHEN answer IS NULL THEN 'missing answer' END AS reject "
-            "FROM (SELECT * FROM raw WHERE split = 'train' ORDER BY sample_id LIMIT 500)")
+            "FROM filed WHERE split = 'train'")
 def p9(spark, sf_dir):
-    train = SM.read_split(spark, _jsonl_cfg(spark, sf_dir), "train")
-    return P.rollout_prompts(train, IMAGE_DIR, n=500)
+    return P.rollout_prompts(SM.read_split(spark, _jsonl_cfg(spark, sf_dir), "train"), IMAGE_DIR)
 
 
 _IMAGES_SQL = ("img AS (SELECT DISTINCT CAST(CAST(floor(doc_id / 2) AS BIGINT) AS VARCHAR) AS image_id "
@@ -477,30 +518,33 @@ def j1m(spark, sf_dir):
 from ..operators import batches as B  # noqa: E402
 from ..operators import runs as RU  # noqa: E402
 
-_SHUF_SQL = ("shuf AS (SELECT sample_id, row_number() OVER (ORDER BY md5('42:1:' || CAST(sample_id AS VARCHAR)), "
-             "sample_id) AS pos FROM samples)")
+_SHUF_SQL = ("shuf AS (SELECT sample_id, split, row_number() OVER (PARTITION BY split ORDER BY CASE WHEN split = 'train' "
+             "THEN md5('42:1:' || CAST(sample_id AS VARCHAR)) END, sample_id) AS pos FROM "
+             "(SELECT sample_id, CASE sample_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split FROM samples))")
+_BATCH_SQL = "CAST(floor((pos - 1) / CASE split WHEN 'train' THEN 8 WHEN 'val' THEN 4 ELSE 2 END) AS BIGINT)"
+BATCH_SIZES = {"train": 8, "val": 4, "test": 2}
 
 
 def _shuffled(spark, sf_dir) -> DataFrame:
-    return B.seeded_shuffle(TB.samples(spark, sf_dir).select("sample_id"), seed=42, epoch=1, split=None)
+    s = TB.samples(spark, sf_dir).select("sample_id", SM.split_of(F.col("sample_id")).alias("split"))
+    return B.seeded_shuffle(s, seed=42, epoch=1)
 
 
-@register("w1_seeded_shuffle", O.with_base(_SHUF_SQL, scored=False) + "SELECT sample_id, pos FROM shuf")
+@register("w1_seeded_shuffle", O.with_base(_SHUF_SQL, scored=False) + "SELECT sample_id, split, pos FROM shuf")
 def w1(spark, sf_dir):
     return _shuffled(spark, sf_dir)
 
 
 @register("w2_batch_ids", O.with_base(_SHUF_SQL, scored=False)
-          + "SELECT sample_id, pos, CAST(floor((pos - 1) / 8) AS BIGINT) AS batch_id FROM shuf")
+          + f"SELECT sample_id, split, pos, {_BATCH_SQL} AS batch_id FROM shuf")
 def w2(spark, sf_dir):
-    return B.batch_ids(_shuffled(spark, sf_dir), 8)
+    return B.batch_ids(_shuffled(spark, sf_dir), BATCH_SIZES)
 
 
 @register("w3_shard_ids", O.with_base(_SHUF_SQL, scored=False)
-          + "SELECT sample_id, CAST(floor((pos - 1) / 8) AS BIGINT) AS batch_id, "
-            "CAST(floor((pos - 1) / 8) % 2 AS INTEGER) AS shard FROM shuf")
+          + f"SELECT sample_id, split, {_BATCH_SQL} AS batch_id, CAST({_BATCH_SQL} % 2 AS INTEGER) AS shard FROM shuf")
 def w3(spark, sf_dir):
-    return B.shard_ids(B.batch_ids(_shuffled(spark, sf_dir), 8), 2).select("sample_id", "batch_id", "shard")
+    return B.shard_ids(B.batch_ids(_shuffled(spark, sf_dir), BATCH_SIZES), 2).select("sample_id", "split", "batch_id", "shard")
 
 
 @register("s5_write_metrics", O.with_base(scored=False, metrics=True)
@@ -529,8 +573,8 @@ def a6(spark, sf_dir):
     return c.select("block", r6("mean_reward").alias("mean_reward"), "n")
 
 
-_PASS_SQL = ("p AS (SELECT run_id, epoch, round(avg(value), 6) AS pass_rate FROM metrics "
-             "WHERE name = 'test/sample_ok' GROUP BY run_id, epoch), "
+_PASS_SQL = ("p AS (SELECT run_id, epoch, arg_max(value, step) AS pass_rate FROM metrics "
+             "WHERE name = 'test/pass_rate' GROUP BY run_id, epoch), "
              "e AS (SELECT *, max(epoch) OVER (PARTITION BY run_id) AS n_epochs FROM p)")
 
 
@@ -547,28 +591,36 @@ _BEST_SQL = ("c AS (SELECT * FROM e WHERE (epoch % 2 = 0 OR epoch = n_epochs) AN
 
 
 @register("w5_best_checkpoints", O.with_base(_PASS_SQL + ", " + _BEST_SQL, scored=False, metrics=True)
-          + "SELECT run_id, epoch, CAST(pass_rate AS DOUBLE) AS pass_rate FROM w WHERE prev IS NULL OR pass_rate > prev")
+          + f"SELECT run_id, epoch, {O.r6('pass_rate')} AS pass_rate FROM w WHERE prev IS NULL OR pass_rate > prev")
 def w5(spark, sf_dir):
     b = RU.best_checkpoints(RU.pass_rates(TB.metrics(spark, sf_dir)), eval_freq=2, save_freq=2)
-    return b.select("run_id", "epoch", "pass_rate")
+    return b.select("run_id", "epoch", r6("pass_rate").alias("pass_rate"))
+
+
+@register("w5_pass_rates_from_outcomes", O.with_base(scored=False, metrics=True)
+          + "SELECT run_id, epoch, round(avg(value), 6) AS pass_rate FROM metrics WHERE name = 'test/sample_ok' "
+            "GROUP BY run_id, epoch")
+def w5o(spark, sf_dir):
+    p = RU.pass_rates_from_outcomes(TB.metrics(spark, sf_dir))
+    return p.select("run_id", "epoch", r6("pass_rate").alias("pass_rate"))
 
 
 @register("w6_checkpoint_name", O.with_base(
     _PASS_SQL + ", " + _BEST_SQL + ", l AS (SELECT run_id, epoch, avg(value) AS loss FROM metrics "
     "WHERE name = 'train/batch_loss' GROUP BY run_id, epoch)", scored=False, metrics=True)
-    + "SELECT w.run_id, w.epoch, w.pass_rate, round(l.loss, 6) AS loss, "
+    + "SELECT w.run_id, w.epoch, round(w.pass_rate, 6) AS pass_rate, round(l.loss, 6) AS loss, "
       "printf('epoch_%d_loss_%.2f_pass_%.2f', w.epoch, l.loss, w.pass_rate) AS checkpoint "
       "FROM w LEFT JOIN l USING (run_id, epoch) WHERE prev IS NULL OR pass_rate > prev")
 def w6(spark, sf_dir):
     n = RU.best_checkpoint_names(TB.metrics(spark, sf_dir), eval_freq=2, save_freq=2)
-    return n.select("run_id", "epoch", "pass_rate", r6("loss").alias("loss"), "checkpoint")
+    return n.select("run_id", "epoch", r6("pass_rate").alias("pass_rate"), r6("loss").alias("loss"), "checkpoint")
 
 
 # ------------------------------------------------------------------ Q1-Q4
 
 from ..operators import sequences as Q  # noqa: E402
 
-MAX_LEN = 192
+MAX_LEN = 2048
 
 _SEQ_SQL = _PROMPT_SQL + f""",
 pt AS (SELECT *, '<|im_start|>system' || chr(10) || {_SYS_SQL} || '<|im_end|>' || chr(10)
@@ -576,10 +628,10 @@ pt AS (SELECT *, '<|im_start|>system' || chr(10) || {_SYS_SQL} || '<|im_end|>' |
   || '<|im_start|>assistant' || chr(10) AS prompt_text FROM pr3),
 tk AS (SELECT sample_id, split, {O.tokens('chat_text')} AS toks, CAST(len({O.tokens('prompt_text')}) AS INTEGER) AS prompt_len FROM pt),
 occ AS (SELECT sample_id, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM tk),
-vocab AS (SELECT token, cnt AS count, row_number() OVER (ORDER BY cnt DESC, token) AS id
+vocab AS (SELECT token, cnt AS count, row_number() OVER (ORDER BY cnt DESC, token) + 1 AS id
           FROM (SELECT token, count(*) AS cnt FROM occ GROUP BY token)),
-enc AS (SELECT o.sample_id, list(v.id ORDER BY o.pos) AS ids FROM occ o JOIN vocab v USING (token)
-        WHERE o.pos < {MAX_LEN} GROUP BY o.sample_id),
+whole AS (SELECT o.sample_id, list(v.id ORDER BY o.pos) AS ids FROM occ o JOIN vocab v USING (token) GROUP BY o.sample_id),
+enc AS (SELECT sample_id, ids[1:{MAX_LEN}] AS ids FROM whole),
 padded AS (SELECT *, CASE WHEN split IN ('val', 'test') THEN list_concat(list_transform(range(n_pad), lambda x: 0), ids)
                           ELSE list_concat(ids, list_transform(range(n_pad), lambda x: 0)) END AS padded_ids,
                      CASE WHEN split IN ('val', 'test') THEN list_concat(list_transform(range(n_pad), lambda x: 0), list_transform(ids, lambda x: 1))
@@ -589,8 +641,20 @@ padded AS (SELECT *, CASE WHEN split IN ('val', 'test') THEN list_concat(list_tr
                  FROM enc e JOIN tk k USING (sample_id)))"""
 
 
-def _prompts_with_text(spark, sf_dir) -> DataFrame:
-    return prompts(spark, sf_dir)
+# Known tokens are those of train rows; the rest have id 1.
+_TRAIN_SQL = _SEQ_SQL.replace("(SELECT token, count(*) AS cnt FROM occ GROUP BY token)",
+                              "(SELECT token, count(*) AS cnt FROM occ JOIN tk USING (sample_id) WHERE split = 'train' GROUP BY token)") \
+    .replace("list(v.id ORDER BY o.pos) AS ids FROM occ o JOIN vocab v", "list(coalesce(v.id, 1) ORDER BY o.pos) AS ids FROM occ o LEFT JOIN vocab v")
+
+
+def _tokens(spark, sf_dir) -> DataFrame:
+    return Q.tokenise(prompts(spark, sf_dir))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _ids_str(c) -> F.Column:
@@ -602,7 +666,7 @@ def _ids_str(c) -> F.Column:
             f"CAST(len({O.tokens('chat_text')}) AS INTEGER) AS full_len, "
             f"CAST(len({O.tokens('chat_text')}) > {MAX_LEN} AS INTEGER) AS over_budget FROM pt")
 def q1(spark, sf_dir):
-    return Q.token_lengths(_prompts_with_text(spark, sf_dir), max_length=MAX_LEN) \
+    return Q.token_lengths(_tokens(spark, sf_dir), max_length=MAX_LEN) \
         .select("sample_id", "split", "prompt_len", "full_len", "over_budget")
 
 
@@ -611,26 +675,36 @@ def q1(spark, sf_dir):
             f"CAST(sum(over_budget) AS BIGINT) AS n_over FROM (SELECT split, CAST(len({O.tokens('chat_text')}) AS INTEGER) "
             f"AS full_len, CAST(len({O.tokens('chat_text')}) > {MAX_LEN} AS INTEGER) AS over_budget FROM pt) GROUP BY split")
 def q1s(spark, sf_dir):
-    lens = Q.token_lengths(_prompts_with_text(spark, sf_dir), max_length=MAX_LEN)
-    s = Q.length_summary(lens, by=("split",), approx=False)
+    s = Q.length_summary(Q.token_lengths(_tokens(spark, sf_dir), max_length=MAX_LEN), by=("split",))
     return s.select("split", "n", "max_len", r6("avg_len").alias("avg_len"), F.col("n_over").cast("bigint"))
 
 
 @register("q2_vocabulary", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False) + "SELECT token, count, id FROM vocab")
 def q2v(spark, sf_dir):
-    return Q.build_vocabulary(_prompts_with_text(spark, sf_dir)).select("token", "count", "id")
+    return Q.build_vocabulary(_tokens(spark, sf_dir)).select("token", "count", "id")
 
 
 @register("q2_encode", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
-          + "SELECT sample_id, array_to_string(ids, ' ') AS input_ids FROM enc")
+          + "SELECT sample_id, array_to_string(ids, ' ') AS input_ids FROM whole")
 def q2e(spark, sf_dir):
-    p = _prompts_with_text(spark, sf_dir)
-    e = Q.encode(p, Q.build_vocabulary(p), max_length=MAX_LEN)
-    return e.select("sample_id", _ids_str("input_ids").alias("input_ids"))
+    t = _written(_tokens(spark, sf_dir), "tokens")
+    return Q.encode(t, Q.build_vocabulary(t)).select("sample_id", _ids_str("input_ids").alias("input_ids"))
+
+
+@register("q2_encode_unknown", O.with_base(_RAW_SQL, _TRAIN_SQL, scored=False)
+          + "SELECT sample_id, array_to_string(ids, ' ') AS input_ids FROM whole")
+def q2u(spark, sf_dir):
+    """A vocabulary of the train split, as a user's own table without counts, for all splits."""
+    t = _written(_tokens(spark, sf_dir), "tokens")
+    vocab = Q.build_vocabulary(t.where("split = 'train'")).select("token", "id")
+    return Q.encode(t, vocab).select("sample_id", _ids_str("input_ids").alias("input_ids"))
 
 
-def _seq(spark, sf_dir, mode="default") -> DataFrame:
-    return Q.build_sequences(_prompts_with_text(spark, sf_dir), MAX_LEN, mode=mode)
+def _seq(spark, sf_dir, mode="default", train_vocab: bool = False) -> DataFrame:
+    """As the SEQ job runs it: the token table is written once."""
+    t = _written(_tokens(spark, sf_dir), "tokens")
+    vocab = Q.build_vocabulary(t.where("split = 'train'") if train_vocab else t)
+    return Q.build_sequences(t, MAX_LEN, vocab, mode=mode)
 
 
 @register("q3_truncate_pad", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
@@ -641,21 +715,33 @@ def q3(spark, sf_dir):
                                       _ids_str("attention_mask").alias("attention_mask"))
 
 
-@register("q4_label_mask", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
-          + "SELECT sample_id, array_to_string(list_transform(padded_ids, lambda x, i: CASE WHEN split = 'test' THEN -100 "
-            "WHEN i - 1 < pad_left THEN -100 WHEN i - 1 - pad_left < prompt_len THEN -100 "
-            "WHEN i - 1 - pad_left >= n_real THEN -100 ELSE x END), ' ') AS labels FROM padded")
+_LABELS_SQL = ("SELECT sample_id, array_to_string(list_transform(padded_ids, lambda x, i: CASE WHEN split = 'test' THEN -100 "
+               "WHEN i - 1 < pad_left THEN -100 WHEN i - 1 - pad_left < prompt_len THEN -100 "
+               "WHEN i - 1 - pad_left >= n_real THEN -100 ELSE x END), ' ') AS labels FROM padded")
+_COMPATIBLE_SQL = ("SELECT sample_id, array_to_string(list_transform(padded_ids, lambda x, i: CASE WHEN split = 'test' THEN -100 "
+                   "WHEN i - 1 < prompt_len THEN -100 ELSE x END), ' ') AS labels FROM padded")
+
+
+@register("q4_label_mask", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False) + _LABELS_SQL)
 def q4(spark, sf_dir):
     return _seq(spark, sf_dir).select("sample_id", _ids_str("labels").alias("labels"))
 
 
-@register("q4_label_mask_compatible", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
-          + "SELECT sample_id, array_to_string(list_transform(padded_ids, lambda x, i: CASE WHEN split = 'test' THEN -100 "
-            "WHEN i - 1 < prompt_len THEN -100 ELSE x END), ' ') AS labels FROM padded")
+@register("q4_label_mask_compatible", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False) + _COMPATIBLE_SQL)
 def q4c(spark, sf_dir):
     return _seq(spark, sf_dir, mode="compatible").select("sample_id", _ids_str("labels").alias("labels"))
 
 
+@register("q4_label_mask_unknown", O.with_base(_RAW_SQL, _TRAIN_SQL, scored=False) + _LABELS_SQL)
+def q4u(spark, sf_dir):
+    return _seq(spark, sf_dir, train_vocab=True).select("sample_id", _ids_str("labels").alias("labels"))
+
+
+@register("q4_label_mask_unknown_compatible", O.with_base(_RAW_SQL, _TRAIN_SQL, scored=False) + _COMPATIBLE_SQL)
+def q4uc(spark, sf_dir):
+    return _seq(spark, sf_dir, mode="compatible", train_vocab=True).select("sample_id", _ids_str("labels").alias("labels"))
+
+
 # ------------------------------------------------------------------ X1-X4, R4, U1
 
 from ..functions import rewards as RW  # noqa: E402
@@ -688,26 +774,28 @@ def x2(spark, sf_dir):
     comp = TB.completions(spark, sf_dir)
     comp = comp.withColumn("tag", F.concat(F.lit("g"), F.col("gen_idx").cast("string")))
     X.run_to_end(X.accuracy_stream(_stream_source(spark, comp, "x2"), sink))
-    return _round_rates(spark.read.parquet(sink))
+    return _round_rates(X.latest_batch(spark, sink))
 
 
-_WIN_SQL = ("wm AS (SELECT CAST(to_timestamp(floor(epoch(ts) / 21600) * 21600) AS TIMESTAMP) AS window_start, "
-            "name, value, ts FROM metrics), "
-            "lim AS (SELECT max(ts) - INTERVAL 1 HOUR AS watermark FROM metrics)")
+def _timed(comp: DataFrame) -> DataFrame:
+    """Completions with an event time: one second a sample."""
+    return comp.withColumn("ts", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+                                  + F.make_dt_interval(secs=F.col("sample_id").cast("decimal(18,6)"))))
 
 
-@register("x3_windowed_mean_stream", O.with_base(_WIN_SQL, scored=False, metrics=True)
-          + "SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, name, round(avg(value), 6) AS mean_value, "
-            "count(*) AS n FROM wm GROUP BY window_start, name "
-            "HAVING window_start + INTERVAL 6 HOUR <= (SELECT watermark FROM lim)")
+@register("x3_windowed_mean_stream", O.with_base()
+          + "SELECT TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 5 MINUTE * CAST(floor(sample_id / 300) AS INTEGER) AS window_start, "
+            "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 5 MINUTE * (CAST(floor(sample_id / 300) AS INTEGER) + 1) AS window_end, "
+            "round(avg(CAST(reward AS DOUBLE)), 6) AS mean_value, count(reward) AS n FROM scored WHERE reward IS NOT NULL GROUP BY floor(sample_id / 300)")
 def x3(spark, sf_dir):
-    """Append mode: a window is final once the watermark (latest event time
-    minus 1 hour) passes its end; the oracle states that rule."""
+    """Mean reward of scored completions per five minutes of event time, the
+    windows that are still open included."""
     sink = scratch_path(spark, "x3-sink")
-    X.run_to_end(X.windowed_mean_stream(_stream_source(spark, TB.metrics(spark, sf_dir), "x3"), sink))
-    out = spark.read.parquet(sink)
+    rows = _timed(scored(spark, sf_dir)).where("reward IS NOT NULL").select("ts", "reward")
+    X.run_to_end(X.windowed_mean_updates(_stream_source(spark, rows, "x3"), sink, window="5 minutes"), allow_late=False)
+    out = X.current_windows(spark, sink)
     return out.select(X.instant_to_ntz(F.col("window_start")).alias("window_start"),
-                      X.instant_to_ntz(F.col("window_end")).alias("window_end"), "name",
+                      X.instant_to_ntz(F.col("window_end")).alias("window_end"),
                       r6("mean_value").alias("mean_value"), "n")
 
 
@@ -715,10 +803,8 @@ def x3(spark, sf_dir):
           + f"SELECT sample_id, gen_idx, is_correct, is_consist, {O.r6('reward')} AS reward FROM scored")
 def x4(spark, sf_dir):
     sink = scratch_path(spark, "x4-sink")
-    comp = TB.completions(spark, sf_dir)
-    comp = comp.withColumn("ts", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-                                  + F.make_dt_interval(secs=F.col("sample_id").cast("decimal(18,6)"))))
-    X.run_to_end(X.dedup_score_stream(_stream_source(spark, comp, "x4", copies=2), sink))
+    comp = _timed(TB.completions(spark, sf_dir))
+    X.run_to_end(X.dedup_score_stream(_stream_source(spark, comp, "x4", copies=2), sink), allow_late=False)
     return spark.read.parquet(sink).select(*KEY, "is_correct", "is_consist", r6("reward").alias("reward"))
 
 
@@ -771,9 +857,5 @@ _PCT_SQL = (f"fl AS (SELECT split, CAST(len({O.tokens('chat_text')}) AS INTEGER)
           + "SELECT split, min(full_len) FILTER (WHERE frac >= 0.5) AS p50, min(full_len) FILTER (WHERE frac >= 0.9) AS p90, "
             "min(full_len) FILTER (WHERE frac >= 0.99) AS p99 FROM cd GROUP BY split")
 def q1p(spark, sf_dir):
-    """Approximate percentiles (mergeable sketch, skew-safe); at this
-    accuracy the sketch is exact for fewer than 100,000 rows per split."""
-    lens = Q.token_lengths(_prompts_with_text(spark, sf_dir), max_length=MAX_LEN)
-    p = F.percentile_approx("full_len", [0.5, 0.9, 0.99], 100000)
-    return lens.groupBy("split").agg(p.alias("p")).select(
-        "split", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"))
+    lens = Q.token_lengths(_tokens(spark, sf_dir), max_length=MAX_LEN)
+    return Q.length_percentiles(lens, {"p50": 0.5, "p90": 0.9, "p99": 0.99})

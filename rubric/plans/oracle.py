@@ -145,9 +145,10 @@ FROM (SELECT *, (sample_id * 7 + gen_idx * 5) % 12 AS k
       FROM (SELECT sample_id, image_id, question, answer, CAST(unnest(range(6)) AS INTEGER) AS gen_idx FROM samples))"""
 
 METRICS = """SELECT user_id % 5 AS run_id, 1 + event_id % 12 AS epoch, event_id AS step,
-CASE event_type WHEN 'view' THEN 'train/batch_loss' ELSE 'test/sample_ok' END AS name,
-CASE event_type WHEN 'view' THEN value WHEN 'click' THEN CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END END AS value, ts
-FROM events WHERE event_type IN ('view', 'click')"""
+CASE event_type WHEN 'view' THEN 'train/batch_loss' WHEN 'click' THEN 'test/pass_rate' WHEN 'purchase' THEN 'train/epoch_loss'
+  WHEN 'signup' THEN 'test/sample_ok' ELSE event_type END AS name,
+CASE event_type WHEN 'click' THEN value / (value + 10) WHEN 'signup' THEN CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END ELSE value END AS value,
+ts FROM events"""
 
 
 def scored_ctes(source: str = "completions", gold: str = "answer", prefix: str = "p",

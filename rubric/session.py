@@ -26,8 +26,11 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+_SCRATCH: list[str] = []
+
 
 def get_session(master: str | None = None, app: str = "rubric",
                 shuffle_partitions: int | None = None,
@@ -71,16 +74,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    # Unset: local runs and tests only.
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="rubric-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark) or tempfile.mkdtemp(prefix="rubric-scratch-")
-    return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique folder below the shared checkpoint folder, until ``clear_scratch``."""
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    """A mark for ``clear_scratch``: folders named later come after it."""
+    return len(_SCRATCH)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the folders that ``scratch_path`` named in this process since
+    the mark; call it when no DataFrame over them is read any more (the end
+    of a job, a benchmark or a test run).  Returns their number."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while len(_SCRATCH) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

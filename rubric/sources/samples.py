@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,9 @@ SPLITS = ("train", "val", "test")
 
 
 def read_samples(spark: SparkSession, path: str | list[str], split: str | None = None,
-                 mode: str = "FAILFAST", schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
+                 mode: str = "FAILFAST", schema: T.StructType = SAMPLE_SCHEMA, number: bool = True) -> DataFrame:
     """JSON Lines -> samples with a fixed schema (absent key == NULL).
+    Files without any ``sample_id`` get one from file order (``numbered``).
 
     ``mode`` FAILFAST stops on a malformed line (as the studied loader did);
     PERMISSIVE keeps it with the raw text in ``_corrupt_record``.  Blank
@@ -44,7 +45,34 @@ def read_samples(spark: SparkSession, path: str | list[str], split: str | None =
     out = df.select("*", ord_.alias("ord"))
     if split is not None:
         out = out.withColumn("split", F.lit(split))
-    return out
+    return numbered(out) if number else out
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` (read_samples) with a stable ``sample_id`` for rows of files
+    that have none: the row's number, from 0, in the order of splits, file
+    paths and lines.  It doesn't depend on how files are split into tasks.
+
+    One aggregate counts rows per file split (a row for each input split);
+    the prefix sums over those are broadcast.  Rows without an id in a file
+    that has ids keep NULL, which keyed operators refuse.
+    """
+    rank = F.lit(0)
+    if "split" in df.columns:
+        for i, s in enumerate(SPLITS):
+            rank = F.when(F.col("split") == s, F.lit(i)).otherwise(rank)
+    # The low 33 bits of ``pos`` count the rows of a task, which reads file splits one after the other.
+    placed = df.select("*", rank.alias("_rank"), F.col("ord.file").alias("_file"), F.col("ord.block").alias("_block"),
+                       F.col("ord.pos").bitwiseAND((1 << 33) - 1).alias("_row"))
+    at = ["_rank", "_file", "_block"]
+    # A data column is counted too, so that lines are parsed as in the main scan.
+    blocks = placed.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"), F.count("sample_id").alias("_own"), F.min("_row").alias("_first"))
+    earlier = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(*at, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+                            (F.sum("_own").over(Window.partitionBy("_rank", "_file")) == 0).alias("_none"))
+    number = F.col("_offset") + F.col("_row") - F.col("_first")
+    return placed.join(F.broadcast(offsets), at).select(
+        *[F.when(F.col("_none"), number).otherwise(F.col(c)).alias(c) if c == "sample_id" else F.col(c) for c in df.columns])
 
 
 def first_n(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
@@ -62,25 +90,27 @@ def split_image_dir(cfg: Mapping, split: str) -> str | None:
     return cfg.get(f"{split}_image_dir", cfg.get("image_dir"))
 
 
-def read_split(spark: SparkSession, cfg: Mapping, split: str, mode: str = "FAILFAST") -> DataFrame | None:
+def read_split(spark: SparkSession, cfg: Mapping, split: str, mode: str = "FAILFAST",
+               number: bool = True) -> DataFrame | None:
     """Samples of one split from a config shaped like the studied one
     (``pipeline.<split>.<split>_file``); None when the split is absent."""
     section = cfg.get("pipeline", {}).get(split)
     if not section or f"{split}_file" not in section:
         return None
-    df = read_samples(spark, section[f"{split}_file"], split=split, mode=mode)
+    df = read_samples(spark, section[f"{split}_file"], split=split, mode=mode, number=number)
     return df.withColumn("image_dir", F.lit(split_image_dir(cfg, split)))
 
 
 def read_splits(spark: SparkSession, cfg: Mapping, splits=SPLITS, mode: str = "FAILFAST") -> DataFrame:
-    """Every configured split, ``unionByName`` with a literal split column."""
-    parts = [d for d in (read_split(spark, cfg, s, mode) for s in splits) if d is not None]
+    """Every configured split, ``unionByName`` with a literal split
+    column; ids assigned here go on from split to split."""
+    parts = [d for d in (read_split(spark, cfg, s, mode, number=False) for s in splits) if d is not None]
     if not parts:
         raise ValueError("no split configured")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return numbered(out)
 
 
 # ------------------------------------------------------------ test input
@@ -112,10 +142,11 @@ def derive_raw_samples(documents: DataFrame) -> DataFrame:
     )
 
 
-def write_jsonl_splits(raw: DataFrame, path: str, n_files: int = 4) -> dict[str, str]:
+def write_jsonl_splits(raw: DataFrame, path: str) -> dict[str, str]:
     """Write raw samples as JSON Lines, one folder per split, files in
     ``sample_id`` order (range partitioning + sort inside each task), so file
-    order equals id order.  Returns {split: folder}."""
-    (raw.repartitionByRange(n_files, "sample_id").sortWithinPartitions("sample_id")
+    order equals id order.  As in the studied files the id itself is not
+    written.  Returns {split: folder}."""
+    (raw.repartitionByRange("sample_id").sortWithinPartitions("sample_id").drop("sample_id")
      .write.mode("overwrite").partitionBy("split").json(path))
     return {s: f"{path}/split={s}" for s in SPLITS}

@@ -28,31 +28,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread_if_small(df: DataFrame, source: DataFrame) -> DataFrame:
-    """Spread ``df`` evenly (round robin) when its ``source`` scan has fewer
-    splits than the cluster has cores (a small parquet file with one row
-    group is read by one task).  At scale the scan already has far more
-    splits than cores and this is a no-op.  Two partitions per core; round
-    robin rather than hashing on a key, since a hot key would put its rows
-    back into one task.  ``getNumPartitions`` plans the scan, it runs no job.
-    """
-    spark = df.sparkSession
-    try:
-        slots = spark.sparkContext.defaultParallelism
-        splits = source.rdd.getNumPartitions()
-    except Exception:  # Spark Connect has no RDD API: leave the plan as it is
-        return df
-    if splits >= slots:
-        return df
-    return df.repartition(2 * slots)
+#: Set by a caller whose input files have fewer splits than the cluster has cores (the test tables are one row
+#: group each): the number of partitions that derived samples are dealt to.  Unset: the scan's own splits.
+INPUT_PARTITIONS = "spark.rubric.inputPartitions"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the caller asked for, if any."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sample per document (question and CoT are the whole document
     text); ``image_id`` repeats (two documents per image) and one CoT in
     ten is NULL."""
-    d = read_table(spark, sf_dir, "documents")
-    return spread_if_small(derive_samples(d), d)
+    return dealt(derive_samples(read_table(spark, sf_dir, "documents")))
 
 
 def derive_samples(documents: DataFrame) -> DataFrame:
@@ -111,21 +102,21 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training scalars derived from ``events``: views are batch losses,
-    clicks are per-sample test outcomes (1.0 when value > 10)."""
-    e = read_table(spark, sf_dir, "events")
-    return derive_metrics(e)
+    """Training scalars derived from ``events``, one per event."""
+    return derive_metrics(read_table(spark, sf_dir, "events"))
+
+
+#: Event type -> metric it stands for; any other type keeps its own name.
+EVENT_METRICS = {"view": fixed.METRIC_BATCH_LOSS, "click": fixed.METRIC_PASS_RATE, "purchase": fixed.METRIC_EPOCH_LOSS,
+                 "signup": fixed.METRIC_SAMPLE_OK}
 
 
 def derive_metrics(events: DataFrame) -> DataFrame:
+    """Losses are the event's value; a pass rate is value / (value + 10),
+    between 0 and 1; an outcome is 1.0 when the value exceeds 10."""
     et, v = F.col("event_type"), F.col("value")
-    return (events.where(et.isin("view", "click"))
-            .select((F.col("user_id") % 5).alias("run_id"),
-                    (F.lit(1) + F.col("event_id") % 12).alias("epoch"),
-                    F.col("event_id").alias("step"),
-                    F.when(et == "view", F.lit(fixed.METRIC_BATCH_LOSS))
-                     .otherwise(F.lit("test/sample_ok")).alias("name"),
-                    F.when(et == "view", v)
-                     .when(et == "click", F.when(v > 10, F.lit(1.0)).otherwise(F.lit(0.0)))
-                     .alias("value"),
-                    F.col("ts")))
+    name, value = et, F.when(et == "click", v / (v + 10)).when(et == "signup", F.when(v > 10, 1.0).otherwise(0.0)).otherwise(v)
+    for event, metric in EVENT_METRICS.items():
+        name = F.when(et == event, F.lit(metric)).otherwise(name)
+    return events.select((F.col("user_id") % 5).alias("run_id"), (F.lit(1) + F.col("event_id") % 12).alias("epoch"),
+                         F.col("event_id").alias("step"), name.alias("name"), value.alias("value"), F.col("ts"))

@@ -66,20 +66,70 @@ def accuracy_stream(stream: DataFrame, sink: str, tag: str = "tag", gold: str =
     """Running counters, accuracy and consistency per tag.
 
     The state is one row of long counters per tag (partial aggregation in
-    each micro-batch).  Complete mode re-emits the small result table, which
-    ``foreachBatch`` overwrites as a whole - an idempotent write.
+    each micro-batch).  Complete mode re-emits the small result table; each
+    batch writes it to a folder of its own, so a batch that is run again
+    overwrites only itself and readers (``latest_batch``) never meet a table
+    that is being replaced.
     """
     spark = stream.sparkSession
     counters = E.eval_counters(S.score_completions(stream, gold=gold), tag)
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        E.with_rates(batch).write.mode("overwrite").parquet(sink)
+    def write(batch: DataFrame, epoch: int) -> None:
+        E.with_rates(batch).write.mode("overwrite").parquet(batch_folder(sink, epoch))
 
     w = (counters.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", _checkpoint(spark, "accuracy", checkpoint)))
     return _start(w, available_now)
 
 
+def batch_folder(sink: str, epoch: int) -> str:
+    return f"{sink}/batch={epoch:012d}"
+
+
+def finished_batches(spark: SparkSession, sink: str) -> list[str]:
+    """Folders of the batches that are written completely, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/batch=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(str(f.getPath().getParent().toString()) for f in found or [])
+
+
+def latest_batch(spark: SparkSession, sink: str) -> DataFrame:
+    """The result as of the last finished batch of a stream that writes ``batch_folder``s."""
+    return spark.read.parquet(finished_batches(spark, sink)[-1])
+
+
+def windowed_mean_updates(stream: DataFrame, sink: str, window: str = "6 hours", delay: str = "1 hour",
+                          ts: str = "ts", value: str = "reward", by: tuple[str, ...] = (),
+                          checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """As ``windowed_mean_stream``, but every batch writes the windows it
+    has changed, open ones too; ``current_windows`` reads the last state of
+    each, so no window is missing because its end hasn't been passed yet."""
+    spark = stream.sparkSession
+    agg = _windowed(stream, window, delay, ts, value, by)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_folder(sink, epoch))
+
+    w = (agg.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", _checkpoint(spark, "window-updates", checkpoint)))
+    return _start(w, available_now)
+
+
+def current_windows(spark: SparkSession, sink: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each window's last written state, of all finished batches."""
+    rows = spark.read.option("basePath", sink).parquet(*finished_batches(spark, sink))
+    keys = ["window_start", "window_end", *by]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct("mean_value", "n"), "batch").alias("last"))
+    return last.select(*keys, "last.mean_value", "last.n")
+
+
+def _windowed(stream: DataFrame, window: str, delay: str, ts: str, value: str, by: tuple[str, ...]) -> DataFrame:
+    agg = (as_event_time(stream, ts).withWatermark(ts, delay)
+           .groupBy(F.window(ts, window).alias("w"), *by)
+           .agg(F.avg(F.col(value).cast("double")).alias("mean_value"), F.count(F.lit(1)).alias("n")))
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "mean_value", "n")
+
+
 def windowed_mean_stream(stream: DataFrame, sink: str, window: str = "6 hours", delay: str = "1 hour",
                          ts: str = "ts", value: str = "value", by: tuple[str, ...] = ("name",),
                          checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
@@ -90,12 +140,7 @@ def windowed_mean_stream(stream: DataFrame, sink: str, window: str = "6 hours",
     watermark; a row between that and the current watermark may still be
     counted (``tests/test_streams.py`` pins this down)."""
     spark = stream.sparkSession
-    agg = (as_event_time(stream, ts).withWatermark(ts, delay)
-           .groupBy(F.window(ts, window).alias("w"), *by)
-           .agg(F.avg(F.col(value).cast("double")).alias("mean_value"), F.count(F.lit(1)).alias("n")))
-    out = agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by,
-                     "mean_value", "n")
-    w = (out.writeStream.format("parquet").outputMode("append")
+    w = (_windowed(stream, window, delay, ts, value, by).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", _checkpoint(spark, "window", checkpoint)).option("path", sink))
     return _start(w, available_now)
 
@@ -105,7 +150,9 @@ def dedup_score_stream(stream: DataFrame, sink: str, keys=("sample_id", "gen_idx
                        available_now: bool = True) -> StreamingQuery:
     """A completion delivered twice (same key within the watermark
     delay) is scored once.  State holds each key only until the watermark
-    passes it, so it stays bounded."""
+    passes it, so it stays bounded.  Rows older than the watermark are left
+    out; ``late_rows`` of the query says how many, and ``run_to_end`` raises
+    if asked to allow none."""
     spark = stream.sparkSession
     dedup = as_event_time(stream, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
     scored = S.score_completions(dedup, gold=gold)
@@ -114,11 +161,20 @@ def dedup_score_stream(stream: DataFrame, sink: str, keys=("sample_id", "gen_idx
     return _start(w, available_now)
 
 
-def run_to_end(q: StreamingQuery, timeout_s: int = 600) -> None:
-    """Wait for an available-now query; raise its error if it failed."""
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {q.name} did not finish in {timeout_s}s")
+def late_rows(q: StreamingQuery) -> int:
+    """Rows that the query left out because they came after the watermark
+    (in the batches whose progress the session still keeps)."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for op in p["stateOperators"])
+
+
+def run_to_end(q: StreamingQuery, allow_late: bool = True) -> int:
+    """Wait for an available-now query; raise its error if it failed.
+    Returns the number of late rows, or raises if there are any and they
+    aren't allowed."""
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    late = late_rows(q)
+    if late and not allow_late:
+        raise RuntimeError(f"{late} rows came after the watermark")
+    return late

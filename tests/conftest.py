@@ -11,7 +11,8 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from rubric.session import get_session
+    from rubric.session import clear_scratch, get_session
     s = get_session("local[*]", app="rubric-tests", shuffle_partitions=8)
     yield s
+    clear_scratch(s)
     s.stop()

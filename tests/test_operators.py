@@ -147,6 +147,126 @@ def test_truncate_pad_and_masks(spark):
 
 # ------------------------------------------------------------------ W1 / W2
 
+def test_unknown_tokens_keep_positions_and_labels(spark):
+    """A user's vocabulary without counts; 'zz' isn't in it."""
+    p = spark.createDataFrame([(1, "train", "zz q1 q2", "zz q1 q2 a b"), (2, "train", "", "")],
+                              "sample_id long, split string, prompt_text string, chat_text string")
+    vocab = spark.createDataFrame([("q1", 2), ("q2", 3), ("a", 4), ("b", 5)], "token string, id long")
+    out = {r.sample_id: r for r in Q.build_sequences(Q.tokenise(p), 6, vocab).collect()}
+    assert out[1].padded_ids == [1, 2, 3, 4, 5, 0] and out[1].labels == [-100, -100, -100, 4, 5, -100]
+    assert out[2].padded_ids == [0] * 6 and out[2].labels == [-100] * 6
+
+
+def test_null_keys_stop_the_encoding(spark):
+    t = spark.createDataFrame([(None, "train", ["a"], 0)], "sample_id long, split string, tokens array<string>, prompt_len int")
+    with pytest.raises(Exception, match="NULL sample_id"):
+        Q.encode(t, spark.createDataFrame([("a", 2)], "token string, id long")).collect()
+
+
+def test_null_keys_and_rewards_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 0, 1.0), (None, 1, None), (1, 0, 2.0), (1, 1, None), (2, 0, None), (3, 0, 1.0), (3, 1, 2.0)],
+                               "sample_id long, gen_idx int, reward double")
+    out = G.group_advantage(df, scale_rewards=False).collect()
+    assert sorted((str(r.sample_id), r.gen_idx, r.advantage) for r in out) == [
+        ("1", 0, 0.0), ("1", 1, None), ("2", 0, None), ("3", 0, -0.5), ("3", 1, 0.5), ("None", 0, None), ("None", 1, None)]
+
+
+def test_files_without_ids_get_stable_ids(spark):
+    d = tempfile.mkdtemp(prefix="rubric-noid-")
+    for split, names in {"train": ("a", "b"), "val": ("c",), "test": ("d",)}.items():
+        os.makedirs(f"{d}/{split}")
+        for f in names:
+            with open(f"{d}/{split}/{f}.jsonl", "w") as out:
+                out.writelines(json.dumps({"imageId": f"{f}{i}", "question": "q" * (i % 50)}) + "\n" for i in range(200))
+    cfg = {"pipeline": {s: {f"{s}_file": f"{d}/{s}"} for s in SM.SPLITS}}
+    want = [f"{f}{i}" for f in "abcd" for i in range(200)]
+    for size in ("128m", "2k"):  # whole files, and many splits of a file
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = SM.read_splits(spark, cfg).select("sample_id", "imageId").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert [r.imageId for r in sorted(rows)] == want and [r.sample_id for r in sorted(rows)] == list(range(800))
+
+
+def test_cli_prompts_then_sequences_on_files_without_ids(spark):
+    from rubric.plans import cli
+    d = tempfile.mkdtemp(prefix="rubric-cli-")
+    with open(f"{d}/train.jsonl", "w") as f:
+        f.writelines(json.dumps({"imageId": str(i), "question": f"what is {i}", "cot": [{"text": "so"}], "answer": "yes"}) + "\n"
+                     for i in range(40))
+    with open(f"{d}/cfg.json", "w") as f:
+        json.dump({"image_dir": "/i", "pipeline": {"train": {"train_file": f"{d}/train.jsonl"}}}, f)
+    cli.main(["prompts", "--samples-config", f"{d}/cfg.json", "--out", f"{d}/prompts"])
+    cli.main(["sequences", "--prompts", f"{d}/prompts", "--out", f"{d}/seq", "--max-length", "512"])
+    assert spark.read.parquet(f"{d}/seq/sequences").select("sample_id").distinct().count() == 40
+    cli.main(["rollouts", "--samples-config", f"{d}/cfg.json", "--out", f"{d}/rollouts", "--generations", "3"])
+    assert spark.read.parquet(f"{d}/rollouts").count() == 120
+
+
+def test_gold_pairing_reports_both_sides(spark):
+    from rubric.operators import joins as J
+    gold = spark.createDataFrame([(1, "yes"), (1, "yes"), (2, "no"), (2, None), (3, "left"), (None, "x")], "sample_id long, gt_answer string")
+    comp = spark.createDataFrame([(1, 0), (2, 0), (None, 0), (9, 0)], "sample_id long, gen_idx int")
+    unique = J.unique_gold(gold)
+    assert sorted(map(tuple, unique.collect())) == [(1, "yes"), (3, "left")]
+    assert [tuple(r) for r in J.duplicate_gold(gold).collect()] == [(2, 2)]
+    assert [tuple(r) for r in J.attach_gold(comp, unique).collect()] == [(1, 0, "yes")]
+    assert sorted((str(r[0]) for r in J.unmatched_completions(comp, unique).collect())) == ["2", "9", "None"]
+    assert sorted((str(r[0]) for r in J.unmatched_gold(gold, comp).collect())) == ["3", "None"]
+
+
+def test_eval_job_on_rendered_instructions(spark):
+    """The completion table as a generation job writes it: image, rendered instruction, completion, tag."""
+    from rubric.plans import jobs
+    from rubric.session import scratch_path
+    comp = spark.createDataFrame([(1, "7", "\n### Question:\nis it?", "<answer>yes</answer>", "e1"), (5, "8", "x", "y", "e1")],
+                                 "sample_id long, image_id string, instruction string, completion string, tag string")
+    gold = spark.createDataFrame([(1, "yes"), (2, "no")], "sample_id long, gt_answer string")
+    out = scratch_path(spark, "eval-rendered")
+    res = jobs.eval_job(spark, comp, gold, out)
+    assert [(r.n, r.n_correct) for r in res["rates"].collect()] == [(1, 1)]
+    assert [r.sample_id for r in spark.read.parquet(f"{out}/unmatched").collect()] == [5]
+    assert [r.sample_id for r in spark.read.parquet(f"{out}/unmatched_gold").collect()] == [2]
+    report = spark.read.json(f"{out}/report").collect()
+    assert [r.instruction for r in report] == ["\n### Question:\nis it?"]
+
+
+def test_checkpoints_need_the_recorded_metrics(spark):
+    m = spark.createDataFrame([(0, 2, 1, "other", 0.5)], "run_id long, epoch long, step long, name string, value double")
+    with pytest.raises(ValueError, match="test/pass_rate"):
+        RU.require_metrics(m, "test/pass_rate")
+    rows = [(0, e, s, "test/pass_rate", v) for e, s, v in ((2, 1, 0.5), (4, 2, 0.5000003), (6, 3, 0.9), (6, 4, 0.2))]
+    best = RU.best_checkpoints(RU.pass_rates(spark.createDataFrame(rows, m.schema)), 2, 2).collect()
+    assert sorted((r.epoch, r.pass_rate) for r in best) == [(2, 0.5), (4, 0.5000003)]
+
+
+def test_scratch_is_shared_and_cleared(spark):
+    from rubric import session
+    mark = session.scratch_mark()
+    path = session.scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert session.clear_scratch(spark, mark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Cluster()
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_global_index_is_distributed_and_dense(spark):
     df = spark.range(0, 1000).withColumnRenamed("id", "sample_id")
     idx = B.global_index(df.withColumn("k", F.md5(F.col("sample_id").cast("string"))), ["k", "sample_id"],

@@ -48,14 +48,13 @@ def test_salted_join_spreads_hot_key_and_equals_plain_join(no_broadcast):
     assert max(r["count"] for r in per_task) < 0.5 * 8000
 
 
-@pytest.mark.parametrize("how,salt_by", [("left", "position"), ("left_semi", "position"),
-                                         ("left_anti", "position"), ("inner", "content")])
-def test_salted_join_kinds(no_broadcast, how, salt_by):
+@pytest.mark.parametrize("how,salt", [("left", None), ("left_semi", None), ("left_anti", None), ("inner", ("sample_id", "gen_idx"))])
+def test_salted_join_kinds(no_broadcast, how, salt):
     spark = no_broadcast
     big = _hot(spark, 3000)
     small = big.where(F.col("sample_id") % 2 == 0).select("sample_id").distinct().withColumn("x", F.lit(1))
     counts = K.key_counts(big, "sample_id")
-    got = sorted(map(tuple, K.salted_join(big, small, "sample_id", counts, how=how, salt_by=salt_by).collect()))
+    got = sorted(map(tuple, K.salted_join(big, small, "sample_id", counts, how=how, salt=K.content(*salt) if salt else None).collect()))
     want = sorted(map(tuple, big.join(small, "sample_id", how).collect()))
     assert got == want
 
@@ -82,3 +81,24 @@ def test_identical_copies_are_spread(no_broadcast):
     per_task = (j.where(F.col("sample_id") == 7).groupBy(F.spark_partition_id().alias("p")).count().collect())
     assert sum(r["count"] for r in per_task) == 3001
     assert len(per_task) >= 4
+
+
+def test_null_keys_are_spread(no_broadcast):
+    """A third of the keys are NULL: a left join keeps those rows, in many tasks."""
+    spark = no_broadcast
+    big = _hot(spark).withColumn("sample_id", F.when(F.col("sample_id") != 0, F.col("sample_id")))
+    small = spark.range(100).select(F.col("id").alias("sample_id"), F.lit(1).alias("y"))
+    for how in ("left", "left_anti"):
+        j = K.salted_join(big, small, "sample_id", K.key_counts(big, "sample_id"), how=how)
+        per_task = j.where("sample_id IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in per_task) == 8000
+        assert len(per_task) >= 4 and max(r["count"] for r in per_task) < 0.5 * 8000
+
+
+def test_joins_by_id_read_no_text(spark):
+    from conftest import SF_SMALL
+    from rubric.plans import catalog
+
+    for name in ("j1_with_image", "j1_missing_image", "j2_attach_gold", "j2_unmatched_completions"):
+        plan = catalog.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" in plan and "text:string" not in plan, name

@@ -3,6 +3,7 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from rubric.session import scratch_path
@@ -39,8 +40,20 @@ def test_late_rows_are_dropped(spark):
            for r in spark.read.parquet(sink).select(X.instant_to_ntz(F.col("window_start")).alias("window_start"),
                                                     "n", "mean_value").collect()}
     assert out == {(0, 1): 1.0, (12, 2): 5.0}
-    dropped = sum(op.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for op in p["stateOperators"])
-    assert dropped == 1
+    assert X.late_rows(q) == 1
+
+
+def test_late_rows_can_be_refused(spark):
+    src, sink = scratch_path(spark, "refuse-src"), scratch_path(spark, "refuse-sink")
+    for ts in ("2024-01-01 13:00:00", "2024-01-01 13:30:00", "2024-01-01 02:00:00", "2024-01-02 00:00:00"):
+        _write(spark, [("m", 1.0, _ts(ts))], SCHEMA, src)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    with pytest.raises(RuntimeError, match="1 rows came after"):
+        X.run_to_end(X.windowed_mean_updates(stream, sink, value="value", by=("name",)), allow_late=False)
+    out = X.current_windows(spark, sink, by=("name",)).collect()
+    # the open window of the last row is there too, and the one that got two rows has its last state
+    assert sorted((r.window_start.hour, r.n) for r in out) == [(0, 1), (12, 2)]
+    assert len(X.finished_batches(spark, sink)) >= 4
 
 
 def test_redelivery_in_a_later_batch_is_scored_once(spark):
