@@ -14,8 +14,9 @@ Compiled from the model file:
   yields if and only if each neighbouring pair is, so the path of finite
   weight is the model's own encoding.
 
-Composition with an input is lazy: states are (place in the input, last
-piece), and the tropical-semiring shortest path takes them place by place.
+Composition with an input is lazy: states are places in the input with the
+last piece before them, and the tropical-semiring shortest path takes them
+place by place.
 Inputs are cut where no piece can reach across (before a run of marks, around
 characters without a piece), and what a cut yields is remembered.
 
@@ -62,6 +63,7 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = i
         self.cut = self._cutter().findall
+        self.edges = Memo(self._edges, len(pieces))
         self.follows = Memo(self._follows, 4 * memo)
         self.remembered = Memo(self._encode_cut, memo)
 
@@ -94,10 +96,11 @@ class Transducer:
             return regex.compile(f"[{breaks}]|[^{breaks}]+")
         return regex.compile(f"[{breaks}]|{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+")
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, text: str) -> tuple[list[str], list, list]:
         """What merging yields: again and again the best neighbours (the
-        first of them) whose join is a piece."""
-        parts = list(text)
+        first of them) whose join is a piece.  Also the steps that changed
+        the first and the last part: (score, that part then)."""
+        parts, first, last = list(text), [], []
         while True:
             best, at = -np.inf, -1
             for i in range(len(parts) - 1):
@@ -105,59 +108,92 @@ class Transducer:
                 if s is not None and s > best:
                     best, at = s, i
             if at < 0:
-                return parts
+                return parts, first, last
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            if at == 0:
+                first.append((best, parts[0]))
+            if at == len(parts) - 1:
+                last.append((best, parts[-1]))
+
+    def _edges(self, piece: int) -> tuple | None:
+        """(first parts, last parts) of a piece while it is merged, each from
+        its character on; None if merging yields something else, or if its
+        steps don't go from high to low scores."""
+        text = self.pieces[piece][0]
+        parts, first, last = self.merged(text)
+        ordered = all(x[0] >= y[0] for steps in (first, last) for x, y in zip(steps, steps[1:]))
+        return ([(np.inf, text[0]), *first], [(np.inf, text[-1]), *last]) if parts == [text] and ordered else None
 
     def _follows(self, pair: tuple[int, int]) -> bool:
-        """May the second piece follow the first (-1: the beginning, or bytes)?"""
-        last, piece = pair
-        right = self.pieces[piece][0]
-        if last < 0:
-            return self.merged(right) == [right]
-        left = self.pieces[last][0]
-        return self.merged(left + right) == [left, right]
+        """May the second piece follow the first (-1: the beginning, or a
+        character without a piece)?
+
+        Merging never joins across the boundary if, whenever the parts on
+        both sides of it could be joined, a step inside one of the pieces
+        comes first: one with a higher score, or as high and further left.
+        """
+        left, right = pair
+        if left < 0:
+            text = self.pieces[right][0]
+            return self.merged(text)[0] == [text]
+        edges, more = self.edges[left], self.edges[right]
+        if edges is None or more is None:
+            left, right = self.pieces[left][0], self.pieces[right][0]
+            return self.merged(left + right)[0] == [left, right]
+        ends, starts = edges[1], more[0]
+        i = j = 0
+        while True:
+            joined = self.score.get(ends[i][1] + starts[j][1], -np.inf)
+            inside_left = ends[i + 1][0] if i + 1 < len(ends) else -np.inf
+            inside_right = starts[j + 1][0] if j + 1 < len(starts) else -np.inf
+            if joined > inside_left and joined >= inside_right and joined > -np.inf:
+                return False
+            if inside_left == inside_right == -np.inf:
+                return True
+            if inside_left >= inside_right:
+                i += 1
+            else:
+                j += 1
 
     def normalise(self, text: str) -> str:
         text = text.replace(" ", MARK)
         return MARK + text if text and self.dummy_prefix else text
 
     def shortest(self, text: str) -> list[int]:
-        """The ids on the shortest path of the composition with ``text``."""
-        merges, follows = self.model == MERGES, self.follows
-        # For each place: last piece -> (weight, place before, last piece there, ids written).
-        states: list[dict] = [{} for _ in range(len(text) + 1)]
-        states[0][-1] = (0.0, -1, -1, ())
-        for i in range(len(text)):
-            here = states[i]
-            if not here:
+        """The ids on the shortest path of the composition with ``text``.
+
+        A place needs one state only: the least weight of a path to it, and
+        that path's last piece.  For a merge model this is so because no two
+        paths of finite weight reach a place (a text has one encoding).
+        """
+        merges, follows, trie, pieces, n = self.model == MERGES, self.follows, self.trie, self.pieces, len(text)
+        weight, last, back, ids = [np.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1), [()] * (n + 1)
+        weight[0] = 0.0
+        for i in range(n):
+            here = weight[i]
+            if here == np.inf:
                 continue
-            node, j = self.trie.get(text[i]), i + 1
+            node, j, before = trie.get(text[i]), i + 1, last[i]
             if node is None or "" not in node:
-                last, (weight, *_) = min(here.items(), key=lambda x: x[1][0])
-                raw = [self.byte_id.get(b) for b in text[i].encode()]
-                ids = (self.unknown,) if None in raw else tuple(raw)
-                self._arrive(states[j], -1, weight + FALLBACK, i, last, ids)
+                if here + FALLBACK < weight[j]:
+                    raw = [self.byte_id.get(b) for b in text[i].encode()]
+                    weight[j], last[j], back[j] = here + FALLBACK, -1, i
+                    ids[j] = (self.unknown,) if None in raw else tuple(raw)
             while node is not None:
                 piece = node.get("")
                 if piece is not None:
-                    for last, (weight, *_) in here.items():
-                        if not merges:
-                            self._arrive(states[j], -1, weight - self.pieces[piece][1], i, last, (piece,))
-                        elif follows[last, piece]:
-                            self._arrive(states[j], piece, weight, i, last, (piece,))
-                node = node.get(text[j]) if j < len(text) else None
+                    cost = (here if follows[before, piece] else np.inf) if merges else here - pieces[piece][1]
+                    if cost < weight[j]:
+                        weight[j], last[j], back[j], ids[j] = cost, piece, i, (piece,)
+                if j == n:
+                    break
+                node = node.get(text[j])
                 j += 1
-        last, out, at = min(states[-1].items(), key=lambda x: x[1][0])[0], [], len(text)
+        out, at = [], n
         while at:
-            _, before, last, ids = states[at][last]
-            out.append(ids)
-            at = before
-        return [i for ids in reversed(out) for i in ids]
-
-    @staticmethod
-    def _arrive(state: dict, piece: int, weight: float, *back) -> None:
-        if piece not in state or weight < state[piece][0]:
-            state[piece] = (weight, *back)
+            out.append(ids[at])
+            at = back[at]
+        return [i for x in reversed(out) for i in x]
 
     def _encode_cut(self, text: str) -> bytes:
         return np.array(self.shortest(text), "<u4").tobytes()
