@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 from ..functions.numeric import round_half_up
 from ..operators import evaluation as E
@@ -28,7 +29,7 @@ def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = O.exact_rounding(sql)
+            ORACLE[name] = sql
         return fn
     return deco
 
@@ -154,8 +155,8 @@ _RATES_SQL = ("count(is_correct) AS n, CAST(coalesce(sum(is_correct), 0) AS BIGI
 def _rates_outer(inner: str, keys: str = "") -> str:
     k = f"{keys}, " if keys else ""
     return (f"SELECT {k}n, n_correct, n_consist, "
-            f"round(CASE WHEN n > 0 THEN n_correct / n ELSE 0.0 END, 6) AS accuracy, "
-            f"round(coalesce(n_consist / nullif(n_correct, 0), 0.0), 6) AS consistency FROM ({inner})")
+            f"{O.r6('CASE WHEN n > 0 THEN n_correct / n ELSE 0.0 END')} AS accuracy, "
+            f"{O.r6('coalesce(n_consist / nullif(n_correct, 0), 0.0)')} AS consistency FROM ({inner})")
 
 
 def _round_rates(df: DataFrame) -> DataFrame:
@@ -169,6 +170,21 @@ def a12(spark, sf_dir):
     return _round_rates(E.accuracy_consistency(scored(spark, sf_dir)))
 
 
+# Every synonym, and golds that are NULL, blank, unstripped or upper case, dealt to completions in turn.
+_BROAD_GOLDS = [w for words in fixed.SYNONYM_GROUPS.values() for w in words] + [None, "", " ", " yes ", "RED", "red car", "It's"]
+_BROAD_SQL = ("broad AS (SELECT *, ([" + ", ".join("NULL" if g is None else O.q(g) for g in _BROAD_GOLDS)
+              + f"])[1 + (sample_id * 6 + gen_idx) % {len(_BROAD_GOLDS)}] AS gold FROM completions)")
+
+
+@register("score_broad_golds", O.with_base(_BROAD_SQL, O.scored_ctes("broad", gold="gold", prefix="b", out="bscored"), scored=False)
+          + f"SELECT sample_id, gen_idx, is_correct, is_consist, {O.r6('main_reward')} AS main_reward FROM bscored")
+def broad(spark, sf_dir):
+    golds = F.array(*[F.lit(g) for g in _BROAD_GOLDS])
+    c = TB.completions(spark, sf_dir).withColumn(
+        "gold", F.get(golds, ((F.col("sample_id") * 6 + F.col("gen_idx")) % len(_BROAD_GOLDS)).cast("int")))
+    return S.score_completions(c, gold="gold").select(*KEY, "is_correct", "is_consist", r6("main_reward").alias("main_reward"))
+
+
 # ------------------------------------------------------------------ R5-R7
 
 from ..operators import groups as G  # noqa: E402
@@ -188,8 +204,8 @@ _ADV_SQL = ("g AS (SELECT sample_id, avg(CAST(reward AS DOUBLE)) AS m, stddev_sa
 
 
 @register("r6_group_advantage", O.with_base(_ADV_SQL)
-          + "SELECT sample_id, gen_idx, round(CAST(reward AS DOUBLE), 6) AS reward, "
-            "round(CASE WHEN s IS NULL OR s = 0 THEN 0.0 ELSE (CAST(reward AS DOUBLE) - m) / (s + 1e-4) END, 6) "
+          + f"SELECT sample_id, gen_idx, {O.r6('reward')} AS reward, "
+            f"{O.r6('CASE WHEN s IS NULL OR s = 0 THEN 0.0 ELSE (CAST(reward AS DOUBLE) - m) / (s + 1e-4) END')} "
             "AS advantage FROM scored JOIN g USING (sample_id)")
 def r6_adv(spark, sf_dir):
     """As the ADVANTAGE job runs it: the SCORE output is written once
@@ -202,7 +218,7 @@ def r6_adv(spark, sf_dir):
 
 
 @register("r6_group_advantage_mean_only", O.with_base(_ADV_SQL.replace("avg(", "count(reward) AS n, avg("))
-          + "SELECT sample_id, gen_idx, round(CASE WHEN n <= 1 THEN 0.0 ELSE CAST(reward AS DOUBLE) - m END, 6) "
+          + f"SELECT sample_id, gen_idx, {O.r6('CASE WHEN n <= 1 THEN 0.0 ELSE CAST(reward AS DOUBLE) - m END')} "
             "AS advantage FROM scored JOIN g USING (sample_id)")
 def r6_mean(spark, sf_dir):
     from . import jobs
@@ -213,7 +229,7 @@ def r6_mean(spark, sf_dir):
 
 @register("r7_group_audit", O.with_base()
           + "SELECT sample_id, count(*) AS n_rows, count(DISTINCT gen_idx) AS n_gens, "
-            "round(min(CAST(reward AS DOUBLE)), 6) AS min_reward, round(max(CAST(reward AS DOUBLE)), 6) AS max_reward, "
+            f"{O.r6('min(CAST(reward AS DOUBLE))')} AS min_reward, {O.r6('max(CAST(reward AS DOUBLE))')} AS max_reward, "
             "CASE WHEN count(*) > count(DISTINCT gen_idx) THEN 'duplicate' WHEN count(DISTINCT gen_idx) < 6 THEN 'missing' "
             "WHEN count(DISTINCT gen_idx) > 6 THEN 'extra' WHEN min(reward) = max(reward) THEN 'flat' ELSE 'ok' END "
             "AS status FROM scored GROUP BY sample_id")
@@ -235,8 +251,8 @@ def r7m(spark, sf_dir):
     "b AS (SELECT CASE WHEN sample_id % 5 = 0 THEN NULL ELSE sample_id END AS sample_id, sample_id AS row_id, gen_idx, "
     "CASE WHEN gen_idx = sample_id % 7 THEN NULL ELSE CAST(reward AS DOUBLE) END AS reward FROM scored), "
     "g AS (SELECT sample_id, avg(reward) AS m, stddev_samp(reward) AS s FROM b WHERE sample_id IS NOT NULL GROUP BY sample_id)")
-    + "SELECT b.sample_id, b.row_id, b.gen_idx, round(CASE WHEN b.sample_id IS NULL OR reward IS NULL THEN NULL "
-      "WHEN s IS NULL OR s = 0 THEN 0.0 ELSE (reward - m) / (s + 1e-4) END, 6) AS advantage "
+    + "SELECT b.sample_id, b.row_id, b.gen_idx, CASE WHEN b.sample_id IS NOT NULL AND reward IS NOT NULL THEN "
+      f"{O.r6('CASE WHEN s IS NULL OR s = 0 THEN 0.0 ELSE (reward - m) / (s + 1e-4) END')} END AS advantage "
       "FROM b LEFT JOIN g ON b.sample_id = g.sample_id")
 def r6_nulls(spark, sf_dir):
     """A fifth of the rows without a key, others without a reward."""
@@ -332,14 +348,18 @@ def a4(spark, sf_dir):
     return _round_rates(E.eval_by_tag(tagged(spark, sf_dir)))
 
 
+def _delta(rate: str) -> str:
+    return O.r6(f"{rate} - max(CASE WHEN model = 'g0' THEN {rate} END) OVER ()")
+
+
 @register("a7_model_comparison", O.with_base(
     _TAGGED,
     f"c AS (SELECT tag AS model, {_RATES_SQL} FROM tagged GROUP BY tag)",
     "r AS (SELECT *, CASE WHEN n > 0 THEN n_correct / n ELSE 0.0 END AS accuracy, "
     "coalesce(n_consist / nullif(n_correct, 0), 0.0) AS consistency FROM c)")
-    + "SELECT model, n, n_correct, n_consist, round(accuracy, 6) AS accuracy, round(consistency, 6) AS consistency, "
-      "round(accuracy - max(CASE WHEN model = 'g0' THEN accuracy END) OVER (), 6) AS accuracy_delta, "
-      "round(consistency - max(CASE WHEN model = 'g0' THEN consistency END) OVER (), 6) AS consistency_delta "
+    + f"SELECT model, n, n_correct, n_consist, {O.r6('accuracy')} AS accuracy, {O.r6('consistency')} AS consistency, "
+      f"{_delta('accuracy')} AS accuracy_delta, "
+      f"{_delta('consistency')} AS consistency_delta "
       "FROM r")
 def a7(spark, sf_dir):
     t = tagged(spark, sf_dir).withColumnRenamed("tag", "model")
@@ -350,7 +370,7 @@ def a7(spark, sf_dir):
 
 
 @register("w7_worst_samples", O.with_base(_TAGGED)
-          + "SELECT tag, CAST(rank AS INTEGER) AS rank, sample_id, gen_idx, round(CAST(reward AS DOUBLE), 6) AS reward "
+          + f"SELECT tag, CAST(rank AS INTEGER) AS rank, sample_id, gen_idx, {O.r6('reward')} AS reward "
             "FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY reward, sample_id, gen_idx) AS rank "
             "FROM tagged) WHERE rank <= 3")
 def w7(spark, sf_dir):
@@ -485,11 +505,23 @@ _IMAGES_SQL = ("img AS (SELECT DISTINCT CAST(CAST(floor(doc_id / 2) AS BIGINT) A
                "FROM documents WHERE lang <> 'de')")
 
 
-def _manifest(spark, sf_dir) -> DataFrame:
-    """Image files written by Spark for the images of non-German documents."""
+def _images(spark, sf_dir) -> DataFrame:
+    """The images of non-German documents."""
     docs = TB.read_table(spark, sf_dir, "documents")
-    images = docs.where(F.col("lang") != "de").select(
+    return docs.where(F.col("lang") != "de").select(
         F.floor(F.col("doc_id") / 2).cast("bigint").cast("string").alias("image_id"))
+
+
+def _manifest_table(spark, sf_dir) -> DataFrame:
+    """A manifest as a table, which is how a store with many images lists them."""
+    path = scratch_path(spark, "manifest")
+    _images(spark, sf_dir).distinct().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _manifest(spark, sf_dir) -> DataFrame:
+    """Image files written by Spark, and listed again."""
+    images = _images(spark, sf_dir)
     path = scratch_path(spark, "images")
     IM.write_image_files(images.select("image_id", F.concat(F.lit("img:"), "image_id").alias("content")), path)
     return IM.image_manifest(spark, path, glob="*.txt", id_pattern=IM.PARTITIONED_ID_PATTERN)
@@ -504,13 +536,13 @@ def s3(spark, sf_dir):
 @register("j1_with_image", O.with_base(_IMAGES_SQL, scored=False)
           + "SELECT sample_id, image_id FROM samples WHERE image_id IN (SELECT image_id FROM img)")
 def j1(spark, sf_dir):
-    return J.with_image(TB.samples(spark, sf_dir), _manifest(spark, sf_dir)).select("sample_id", "image_id")
+    return J.with_image(TB.samples(spark, sf_dir), _manifest_table(spark, sf_dir)).select("sample_id", "image_id")
 
 
 @register("j1_missing_image", O.with_base(_IMAGES_SQL, scored=False)
           + "SELECT sample_id, image_id FROM samples WHERE image_id NOT IN (SELECT image_id FROM img)")
 def j1m(spark, sf_dir):
-    return J.missing_image(TB.samples(spark, sf_dir), _manifest(spark, sf_dir)).select("sample_id", "image_id")
+    return J.missing_image(TB.samples(spark, sf_dir), _manifest_table(spark, sf_dir)).select("sample_id", "image_id")
 
 
 # ------------------------------------------------------------------ W1-W6, A5, A6, S5
@@ -548,7 +580,7 @@ def w3(spark, sf_dir):
 
 
 @register("s5_write_metrics", O.with_base(scored=False, metrics=True)
-          + "SELECT run_id, epoch, step, name, round(value, 6) AS value, ts FROM metrics")
+          + f"SELECT run_id, epoch, step, name, {O.r6('value')} AS value, ts FROM metrics")
 def s5(spark, sf_dir):
     path = scratch_path(spark, "metrics")
     SK.write_metrics(TB.metrics(spark, sf_dir), path)
@@ -558,7 +590,7 @@ def s5(spark, sf_dir):
 
 
 @register("a5_epoch_loss", O.with_base(scored=False, metrics=True)
-          + "SELECT run_id, epoch, round(avg(value), 6) AS loss, count(*) AS n_steps FROM metrics "
+          + f"SELECT run_id, epoch, {O.r6('avg(value)')} AS loss, count(*) AS n_steps FROM metrics "
             "WHERE name = 'train/batch_loss' GROUP BY run_id, epoch")
 def a5(spark, sf_dir):
     e = RU.epoch_loss(TB.metrics(spark, sf_dir))
@@ -566,7 +598,7 @@ def a5(spark, sf_dir):
 
 
 @register("a6_reward_curve", O.with_base()
-          + "SELECT CAST(floor(sample_id / 10) AS BIGINT) AS block, round(avg(CAST(reward AS DOUBLE)), 6) AS mean_reward, "
+          + f"SELECT CAST(floor(sample_id / 10) AS BIGINT) AS block, {O.r6('avg(CAST(reward AS DOUBLE))')} AS mean_reward, "
             "count(*) AS n FROM scored GROUP BY 1")
 def a6(spark, sf_dir):
     c = RU.reward_curve(scored(spark, sf_dir), "sample_id", 10)
@@ -598,7 +630,7 @@ def w5(spark, sf_dir):
 
 
 @register("w5_pass_rates_from_outcomes", O.with_base(scored=False, metrics=True)
-          + "SELECT run_id, epoch, round(avg(value), 6) AS pass_rate FROM metrics WHERE name = 'test/sample_ok' "
+          + f"SELECT run_id, epoch, {O.r6('avg(value)')} AS pass_rate FROM metrics WHERE name = 'test/sample_ok' "
             "GROUP BY run_id, epoch")
 def w5o(spark, sf_dir):
     p = RU.pass_rates_from_outcomes(TB.metrics(spark, sf_dir))
@@ -608,7 +640,7 @@ def w5o(spark, sf_dir):
 @register("w6_checkpoint_name", O.with_base(
     _PASS_SQL + ", " + _BEST_SQL + ", l AS (SELECT run_id, epoch, avg(value) AS loss FROM metrics "
     "WHERE name = 'train/batch_loss' GROUP BY run_id, epoch)", scored=False, metrics=True)
-    + "SELECT w.run_id, w.epoch, round(w.pass_rate, 6) AS pass_rate, round(l.loss, 6) AS loss, "
+    + f"SELECT w.run_id, w.epoch, {O.r6('w.pass_rate')} AS pass_rate, {O.r6('l.loss')} AS loss, "
       "printf('epoch_%d_loss_%.2f_pass_%.2f', w.epoch, l.loss, w.pass_rate) AS checkpoint "
       "FROM w LEFT JOIN l USING (run_id, epoch) WHERE prev IS NULL OR pass_rate > prev")
 def w6(spark, sf_dir):
@@ -671,7 +703,7 @@ def q1(spark, sf_dir):
 
 
 @register("q1_length_summary", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
-          + f"SELECT split, count(*) AS n, max(full_len) AS max_len, round(avg(full_len), 6) AS avg_len, "
+          + f"SELECT split, count(*) AS n, max(full_len) AS max_len, {O.r6('avg(full_len)')} AS avg_len, "
             f"CAST(sum(over_budget) AS BIGINT) AS n_over FROM (SELECT split, CAST(len({O.tokens('chat_text')}) AS INTEGER) "
             f"AS full_len, CAST(len({O.tokens('chat_text')}) > {MAX_LEN} AS INTEGER) AS over_budget FROM pt) GROUP BY split")
 def q1s(spark, sf_dir):
@@ -786,7 +818,7 @@ def _timed(comp: DataFrame) -> DataFrame:
 @register("x3_windowed_mean_stream", O.with_base()
           + "SELECT TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 5 MINUTE * CAST(floor(sample_id / 300) AS INTEGER) AS window_start, "
             "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 5 MINUTE * (CAST(floor(sample_id / 300) AS INTEGER) + 1) AS window_end, "
-            "round(avg(CAST(reward AS DOUBLE)), 6) AS mean_value, count(reward) AS n FROM scored WHERE reward IS NOT NULL GROUP BY floor(sample_id / 300)")
+            f"{O.r6('avg(CAST(reward AS DOUBLE))')} AS mean_value, count(reward) AS n FROM scored WHERE reward IS NOT NULL GROUP BY floor(sample_id / 300)")
 def x3(spark, sf_dir):
     """Mean reward of scored completions per five minutes of event time, the
     windows that are still open included."""
@@ -809,8 +841,9 @@ def x4(spark, sf_dir):
 
 
 @register("r4_reward_registry", O.with_base()
-          + "SELECT sample_id, gen_idx, round(CAST(CAST(CAST(0.0 AS DOUBLE) + format_reward * CAST(0.5 AS DOUBLE) "
-            "+ main_reward AS FLOAT) AS DOUBLE), 6) AS total_reward FROM scored")
+          + "SELECT sample_id, gen_idx, "
+          + O.r6("CAST(CAST(0.0 AS DOUBLE) + format_reward * CAST(0.5 AS DOUBLE) + main_reward AS FLOAT)")
+          + " AS total_reward FROM scored")
 def r4(spark, sf_dir):
     reg = RW.default_registry()
     total = reg.total({"format": 0.5, "correctness_consistency": 1.0})
@@ -836,14 +869,14 @@ def u1(spark, sf_dir):
 # ------------------------------------------------------------------ A1, A2 separately; Q1 percentiles
 
 @register("a1_accuracy", O.with_base()
-          + "SELECT round(CASE WHEN count(is_correct) > 0 THEN sum(is_correct) / count(is_correct) ELSE 0.0 END, 6) "
+          + f"SELECT {O.r6('CASE WHEN count(is_correct) > 0 THEN sum(is_correct) / count(is_correct) ELSE 0.0 END')} "
             "AS accuracy FROM scored")
 def a1(spark, sf_dir):
     return E.accuracy_consistency(scored(spark, sf_dir)).select(r6("accuracy").alias("accuracy"))
 
 
 @register("a2_consistency", O.with_base()
-          + "SELECT round(coalesce(sum(is_consist) / nullif(sum(is_correct), 0), 0.0), 6) AS consistency FROM scored")
+          + f"SELECT {O.r6('coalesce(sum(is_consist) / nullif(sum(is_correct), 0), 0.0)')} AS consistency FROM scored")
 def a2(spark, sf_dir):
     return E.accuracy_consistency(scored(spark, sf_dir)).select(r6("consistency").alias("consistency"))
 

@@ -26,8 +26,18 @@ _NODES = ["SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin", "BroadcastNe
 
 
 def final_plan(plan: str) -> str:
-    """AQE prints the final plan and then the initial one; keep the final."""
-    return plan.split("== Initial Plan ==")[0]
+    """The plan that ran, scalar subqueries included: initial plans, of the
+    query and of its subqueries, are left out (their lines are indented
+    below the marker)."""
+    kept, below = [], None
+    for line in plan.split("\n"):
+        if below is not None and len(line) > below and line[below] == " ":
+            continue
+        below = line.find("+- == Initial Plan ==")
+        if below < 0:
+            below = None
+            kept.append(line)
+    return "\n".join(kept)
 
 
 def summarise(plan: str) -> dict:
@@ -52,13 +62,13 @@ def summarise(plan: str) -> dict:
         pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", line)
         scans.append((table, schema.group(1) if schema else "?", pushed.group(1) if pushed else ""))
     return {"exchanges": exchanges, "nodes": {k: v for k, v in nodes.items() if v},
-            "scans": sorted(set(scans))}
+            "scans": sorted(Counter(scans).items())}
 
 
 def report(spark, sf_dir: str, names=HEADLINE) -> str:
     out = ["# PLANS", "",
            f"Final adaptive plans of the headline queries at `{sf_dir}`, generated by "
-           "`python -m rubric.plans.explain`. Counts cover the final plan; scalar subqueries are planned separately.", ""]
+           "`python -m rubric.plans.explain`. Counts cover the final plan with its scalar subqueries; a scan counts as often as it ran.", ""]
     for name in names:
         df = catalog.QUERIES[name](spark, sf_dir)
         df.collect()
@@ -72,8 +82,8 @@ def report(spark, sf_dir: str, names=HEADLINE) -> str:
         ex = ", ".join(f"{k} x{v}" for k, v in sorted(s["exchanges"].items())) or "none"
         out.append(f"- exchanges: {ex}")
         out.append("- operators: " + (", ".join(f"{k} x{v}" for k, v in sorted(s["nodes"].items())) or "projections only"))
-        for table, cols, pushed in s["scans"]:
-            out.append(f"- scan `{table}`: `{cols}`" + (f"; pushed filters `[{pushed}]`" if pushed else ""))
+        for (table, cols, pushed), n in s["scans"]:
+            out.append(f"- scan `{table}` x{n}: `{cols}`" + (f"; pushed filters `[{pushed}]`" if pushed else ""))
         out.append("")
     return "\n".join(out)
 

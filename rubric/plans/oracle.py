@@ -72,52 +72,11 @@ def format_reward(x: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6)"
-
-
-def _round6(expr: str) -> str:
-    return (f"(CASE WHEN abs(CAST({expr} AS DOUBLE)) < 1e12 THEN floor(CAST({expr} AS DOUBLE) * 1e6 + 0.5) / 1e6 "
-            f"ELSE CAST({expr} AS DOUBLE) END)")
-
-
-def exact_rounding(sql: str) -> str:
-    """Rewrite every ``round(expr, 6)`` into floor(x * 1e6 + 0.5) / 1e6, the
-    form Spark computes too (see ``functions.numeric.round_half_up``), so
-    six-digit values compare exactly.  Quoted literals are skipped."""
-    out, i, n = [], 0, len(sql)
-    while i < n:
-        if sql.startswith("round(", i) and (i == 0 or not (sql[i - 1].isalnum() or sql[i - 1] == "_")):
-            depth, j, quote = 0, i + 5, False
-            while j < n:
-                ch = sql[j]
-                if quote:
-                    if ch == "'":
-                        quote = False
-                elif ch == "'":
-                    quote = True
-                elif ch == "(":
-                    depth += 1
-                elif ch == ")":
-                    depth -= 1
-                    if depth == 0:
-                        break
-                j += 1
-            inner = exact_rounding(sql[i + 6:j])
-            head, sep, digits = inner.rpartition(",")
-            if sep and digits.strip() == "6":
-                out.append(_round6(head))
-            else:
-                out.append("round(" + inner + ")")
-            i = j + 1
-            continue
-        if sql[i] == "'":
-            j = sql.index("'", i + 1)
-            out.append(sql[i:j + 1])
-            i = j + 1
-            continue
-        out.append(sql[i])
-        i += 1
-    return "".join(out)
+    """``x`` rounded to six digits as floor(x * 1e6 + 0.5) / 1e6, the form
+    Spark computes too (``functions.numeric.round_half_up``), so six-digit
+    values compare exactly."""
+    d = f"CAST({x} AS DOUBLE)"
+    return f"(CASE WHEN abs({d}) < 1e12 THEN floor({d} * 1e6 + 0.5) / 1e6 ELSE {d} END)"
 
 
 # ------------------------------------------------------------ derivations

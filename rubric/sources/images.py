@@ -1,8 +1,11 @@
 """Image manifest (S3): which image files exist, without decoding them.
 
-``binaryFile`` lists files in parallel; selecting only path, length and
-modification time prunes the ``content`` column, so no image bytes are
-read.  The id is taken from the file path by a regex.
+Selecting only path, length and modification time prunes the ``content``
+column of ``binaryFile``, so no image bytes are read.  The id is taken from
+the file path by a regex.  The files of a folder are listed into the
+driver's file index, one entry each: list folders of a few million files
+part by part (``glob``), write the parts to one table, and give the joins
+(J1) that table - they take any table with an image id.
 """
 
 from __future__ import annotations
