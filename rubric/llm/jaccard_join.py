@@ -5,15 +5,16 @@ percent * |A | B|.  Every link between different sets is found:
 
 1. Nodes.  Equal sets are one node, so copies cost one row.
 2. Groups.  Nodes with one min-hash are put together in groups of about
-   ``GROUP`` nodes and linked there, twice with two min-hashes; what is
-   linked so far forms components.  A group for the search below is a
-   component or a part of one.
+   ``GROUP`` nodes and linked there, then, with a second min-hash, one node
+   of each component so far and the nodes without links.  A group for the
+   search below is a component or a part of one.
 3. Token-group matrix.  For each group the union of its members' prefixes:
    the first n - ceil(t * n) + 1 shingles of a set, rarest first.  Linked
    sets share a shingle of their prefixes, so a query whose prefix misses
-   the union has no link there.  Sizes, and how much can still be shared
-   after the last shingle that both have, bound the overlap further.
-   Queries only look at groups of other, larger components.
+   the union has no link there.  The first shingle they share must leave
+   enough behind it in both, and sizes must fit; for groups of one, what can
+   still be shared after the last one in the prefixes bounds the overlap
+   further.  Queries only look at groups of other, larger components.
 4. Only groups within the bound are opened: members and queries meet, whole
    sets are compared.
 5. Components of all links, by label propagation with pointer jumping.
@@ -100,9 +101,9 @@ def class_ranks(docs: DataFrame, size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["class", "n"])
 
-    counted = docs.mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
+    counted = docs.mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << CLASS_BITS)
-    counts[counted["class"]] = counted["n"]
+    counts[counted.column("class").to_numpy()] = counted.column("n").to_numpy()
     steps = np.floor(16 * np.log2(counts + 1))
     return np.minimum(steps - steps.min(), 255).astype(np.uint8)
 
@@ -149,19 +150,31 @@ def signer(size: int, percent: int, ranks: np.ndarray):
     return sign
 
 
-def matched(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
-    """left.join(right): by a broadcast if ``right`` has few enough ``rows``, else by a shuffle."""
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
+    """left.join(right): by a broadcast if ``right``, a written table, has few
+    enough rows, else by a shuffle."""
+    rows = right.count() if rows is None else rows
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFrame:
+def whole_sets(docs: DataFrame, signed: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFrame:
     """(node, n, s: sorted shingles) of ``nodes`` (node, doc_id, fp1, fp2),
-    made from the texts of those documents again."""
-    wanted = written(nodes.select("node", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"),
-                                  "fp1", "fp2"), f"{name}-wanted")
+    made from the texts of those documents again.
+
+    ``signed`` says which ids repeat with one and the same set; only their
+    texts have to be brought together to have one of each.
+    """
+    no_nulls = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+    wanted = written(nodes.select("node", *no_nulls, "fp1", "fp2"), f"{name}-wanted")
     rows = wanted.count()
-    named = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    texts = matched(named, wanted.select("id", "no_id").distinct(), ["id", "no_id"], "left_semi", rows)
+    repeated = written(signed.select(*no_nulls, "fp1", "fp2").groupBy("id", "no_id", "fp1", "fp2").agg(F.count(F.lit(1)).alias("k"))
+                       .where("k > 1").select("id", "no_id").distinct(), f"{name}-repeated")
+    named = docs.select(*no_nulls, "text")
+    texts = matched(named, wanted.select("id", "no_id"), ["id", "no_id"], "left_semi", rows)
+    n_repeated = repeated.count()
+    if n_repeated:
+        texts = matched(texts, repeated, ["id", "no_id"], "left_anti", n_repeated).union(
+            matched(texts, repeated, ["id", "no_id"], "left_semi", n_repeated).dropDuplicates(["id", "no_id", "text"]))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +193,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataF
                      pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))],
                     ["id", "no_id", "fp1", "fp2", "n", "s"])
 
-    made = texts.dropDuplicates(["id", "no_id", "text"]).mapInArrow(
-        make, "id long, no_id boolean, fp1 long, fp2 long, n long, s array<long>")
+    made = texts.mapInArrow(make, "id long, no_id boolean, fp1 long, fp2 long, n long, s array<long>")
     found = matched(made, wanted, ["id", "no_id", "fp1", "fp2"], "inner", rows)
     return written(found.select("node", "n", "s"), f"{name}-sets")
 
@@ -235,13 +247,17 @@ def in_group(percent: int):
     return link
 
 
-def group_links(nodes: DataFrame, sets: DataFrame, key: str, percent: int) -> DataFrame:
-    """Links inside groups of nodes that share ``key``.  Keys with many nodes are dealt to several groups."""
-    sizes = written(nodes.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "jaccard-sizes")
-    dealt = nodes.join(sizes, key).select(
-        "node", key, F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / GROUP)).alias("part"))
-    grouped = sets.join(written(dealt, "jaccard-dealt"), "node").select("node", key, "part", "s")
-    return grouped.groupBy(key, "part").applyInArrow(in_group(percent), "a long, b long")
+def shared_key(nodes: DataFrame, key: str, name: str) -> DataFrame:
+    """(node, key, part) of the nodes that share ``key`` with others.  Keys with many nodes are dealt to several parts."""
+    sizes = written(nodes.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where("k > 1"), f"{name}-sizes")
+    return written(matched(nodes, sizes, [key], "inner").select(
+        "node", F.col(key).alias("key"), F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / GROUP)).alias("part")), name)
+
+
+def group_links(sets: DataFrame, dealt: DataFrame, percent: int, name: str) -> DataFrame:
+    """Links inside the groups of ``dealt`` (``shared_key``)."""
+    grouped = matched(sets, dealt, ["node"], "inner").select("node", "key", "part", "s")
+    return written(grouped.groupBy("key", "part").applyInArrow(in_group(percent), "a long, b long"), name)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,13 +267,16 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "components-links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")),
                      "components-labels")
+    rows = labels.count()
     while True:
-        near = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near")))
-        now = labels.join(near, labels["node"] == near["a"]).select(
-            "node", "label", F.least("label", "near").alias("low"))
+        # A node's own label counts as that of a neighbour.
+        near = matched(both, labels.select(F.col("node").alias("b"), "label"), ["b"], "inner", rows).select(
+            F.col("a").alias("node"), F.col("label").alias("low"), F.lit(None).cast("long").alias("label"))
+        own = labels.select("node", F.col("label").alias("low"), "label")
+        now = near.union(own).groupBy("node").agg(F.min("low").alias("low"), F.max("label").alias("label"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        new = written(now.join(jump, "low").select("node", F.col("far").alias("label"),
-                                                   (F.col("far") < F.col("label")).alias("moved")), "components-labels")
+        new = written(matched(now, jump, ["low"], "inner", rows).select(
+            "node", F.col("far").alias("label"), (F.col("far") < F.col("label")).alias("moved")), "components-labels")
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
             return labels
@@ -280,12 +299,17 @@ def candidates(nodes: DataFrame, groups: DataFrame, rows: int, percent: int) ->
     query = tokens.select("token", "node", "n", "comp", "size", "at")
     larger = F.struct("size", "comp") < F.struct("g_size", "g_comp")
     sizes = (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
-    hits = query.join(matrix, "token").where(larger & sizes).groupBy("node", "g_comp", "g_part").agg(
+    # The first shingle that a linked pair shares has the shared ones behind it, in both sets.
+    shared = percent * (F.col("n") + F.col("least"))
+    room = ((100 + percent) * (F.col("n") - F.col("at")) >= shared) & ((100 + percent) * (F.col("rest") + 1) >= shared)
+    hits = query.join(matrix, "token").where(larger & sizes & room).groupBy("node", "g_comp", "g_part").agg(
         F.count(F.lit(1)).alias("c"), F.max("at").alias("last"), F.max_by("rest", "at").alias("rest"),
-        F.max("n").alias("n"), F.min("least").alias("least"))
+        F.max("n").alias("n"), F.min("least").alias("least"), F.max("g_size").alias("g_size"))
+    # In a group of one, all that both share up to the last one in the prefixes has been counted.  A larger group's
+    # last one may be another member's, so there the whole union decides when it is opened.
     bound = F.col("c") + F.least(F.col("n") - F.col("last") - 1, F.col("rest"))
     least = F.greatest("least", F.ceil(percent * F.col("n") / 100))
-    return hits.where(bound * (100 + percent) >= percent * (F.col("n") + least)).select(
+    return hits.where((F.col("g_size") > 1) | (bound * (100 + percent) >= percent * (F.col("n") + least))).select(
         "node", F.col("g_comp").alias("comp"), F.col("g_part").alias("part"))
 
 
@@ -305,8 +329,9 @@ def opened(percent: int):
         some = np.flatnonzero(near.any(1))
         if len(some):
             near[some] = linked([queries[i] for i in some], members, percent)
-        hit, member = np.nonzero(near)
-        return pa.table({"a": pa.array(node[is_query][hit], pa.int64()), "b": pa.array(node[~is_query][member], pa.int64())})
+        hit = np.flatnonzero(near.any(1))  # members are one component, so one link to any of them says it all
+        return pa.table({"a": pa.array(node[is_query][hit], pa.int64()),
+                         "b": pa.array(node[~is_query][near[hit].argmax(1)], pa.int64())})
 
     return link
 
@@ -332,35 +357,40 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         F.min("doc_id").alias("doc_id"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("prefix").alias("prefix"))
         .withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
-    # Groups of nodes with one min-hash.
-    shared = [nodes.groupBy(m).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(m) for m in ("m1", "m2")]
-    in_groups = nodes.join(shared[0], "m1", "left_semi").select("node", "doc_id", "fp1", "fp2").union(
-        nodes.join(shared[1], "m2", "left_semi").select("node", "doc_id", "fp1", "fp2")).distinct()
-    sets = whole_sets(docs, in_groups, size, "jaccard-groups")
-    links = written(group_links(nodes.select("node", "m1"), sets, "m1", percent).union(
-        group_links(nodes.select("node", "m2"), sets, "m2", percent)), "jaccard-links")
+    # Groups of nodes with one min-hash; then of what that left apart, with another.
+    by_first = shared_key(nodes.select("node", "m1"), "m1", "jaccard-first")
+    by_second = shared_key(nodes.select("node", "m2"), "m2", "jaccard-second")
+    some = written(by_first.select("node").union(by_second.select("node")).distinct(), "jaccard-some")
+    sets = whole_sets(docs, signed, matched(nodes.select("node", "doc_id", "fp1", "fp2"), some, ["node"], "inner"), size, "jaccard-groups")
+    links = group_links(sets, by_first, percent, "jaccard-links")
+    labels = components(links)
+    inner = written(labels.where("label < node").select("node"), "jaccard-inner")
+    apart = shared_key(matched(matched(nodes.select("node", "m2"), some, ["node"], "inner"), inner, ["node"], "left_anti"),
+                       "m2", "jaccard-apart")
+    links = links.union(group_links(sets, apart, percent, "jaccard-links"))
     labels = components(links)
 
     # Their components, in parts, are the groups of the matrix.
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    groups = written(labels.join(sizes, "label").select(
+    sizes = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "jaccard-comps")
+    groups = written(matched(labels, sizes, ["label"], "inner").select(
         "node", F.col("label").alias("comp"), "size",
         F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int").alias("part")), "jaccard-parts")
-    n_grouped = groups.count()
-    wanted = written(candidates(nodes.select("node", "n", "prefix"), groups, n_grouped, percent), "jaccard-candidates")
+    wanted = written(candidates(nodes.select("node", "n", "prefix"), groups, groups.count(), percent), "jaccard-candidates")
 
     # Members and queries of the groups to open, the queries in as many portions as they need.
     to_open = written(wanted.groupBy("comp", "part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("portions")),
                       "jaccard-open")
-    queries = wanted.join(to_open, ["comp", "part"]).select(
+    n_open = to_open.count()
+    queries = matched(wanted, to_open, ["comp", "part"], "inner", n_open).select(
         "node", "comp", "part", F.pmod(F.xxhash64("node"), F.col("portions")).cast("int").alias("portion"), F.lit(True).alias("query"))
-    singles = to_open.join(groups, to_open["comp"] == groups["comp"], "left_anti").select(
-        F.col("comp").alias("node"), "comp", "part", "portions")
-    members = to_open.join(groups, ["comp", "part"]).select("node", "comp", "part", "portions").union(singles).select(
+    in_parts = matched(groups, to_open, ["comp", "part"], "inner", n_open).select("node", "comp", "part", "portions")
+    singles = to_open.join(groups.select("comp"), "comp", "left_anti").select(F.col("comp").alias("node"), "comp", "part", "portions")
+    members = in_parts.union(singles).select(
         "node", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(False).alias("query"))
     meet = written(queries.union(members), "jaccard-meet")
-    more = whole_sets(docs, meet.select("node").distinct().join(nodes, "node"), size, "jaccard-opened")
-    met = meet.join(more, "node").groupBy("comp", "part", "portion").applyInArrow(opened(percent), "a long, b long")
+    opening = written(meet.select("node").distinct(), "jaccard-opening")
+    more = whole_sets(docs, signed, matched(nodes.select("node", "doc_id", "fp1", "fp2"), opening, ["node"], "inner"), size, "jaccard-opened")
+    met = matched(more, meet, ["node"], "inner").groupBy("comp", "part", "portion").applyInArrow(opened(percent), "a long, b long")
     found = written(met, "jaccard-found")
 
     # What the new links add to the components; then every document's.
