@@ -12,6 +12,7 @@ has one boundary record (piece) in each window it touches.  No ids move.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -66,6 +67,7 @@ class Memo(dict):
         return value
 
 
+@functools.lru_cache(maxsize=2)
 def chunk_encoder(path: str, memo: int = MEMO):
     """A function of a chunk of UTF-8 without ASCII whitespace that returns
     its ids, four bytes each.
@@ -74,7 +76,7 @@ def chunk_encoder(path: str, memo: int = MEMO):
     ids are those of its chunks, one after the other.  A chunk's pre-tokens
     are encoded one by one and remembered too; chunks with characters beyond
     the Latin blocks or with special strings go through the library's whole
-    pipeline.
+    pipeline.  A worker process has one function for all its tasks.
     """
     import re
     from struct import pack

@@ -26,6 +26,7 @@ dropped.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,7 @@ class Transducer:
             node[""] = i
         self.cut = self._cutter().findall
         self.edges = Memo(self._edges, len(pieces))
-        self.follows = Memo(self._follows, 4 * memo)
+        self.follows = Memo(self._follows, 2 * memo)
         self.remembered = Memo(self._encode_cut, memo)
 
     @classmethod
@@ -124,15 +125,17 @@ class Transducer:
         ordered = all(x[0] >= y[0] for steps in (first, last) for x, y in zip(steps, steps[1:]))
         return ([(np.inf, text[0]), *first], [(np.inf, text[-1]), *last]) if parts == [text] and ordered else None
 
-    def _follows(self, pair: tuple[int, int]) -> bool:
-        """May the second piece follow the first (-1: the beginning, or a
-        character without a piece)?
+    def _follows(self, pair: int) -> bool:
+        """May a piece follow another (or the beginning, or a character
+        without a piece)?  ``pair``: (number of the other + 1, or 0) times the
+        number of pieces, plus the piece's number.
 
         Merging never joins across the boundary if, whenever the parts on
         both sides of it could be joined, a step inside one of the pieces
         comes first: one with a higher score, or as high and further left.
         """
-        left, right = pair
+        left, right = divmod(pair, len(self.pieces))
+        left -= 1
         if left < 0:
             text = self.pieces[right][0]
             return self.merged(text)[0] == [text]
@@ -173,7 +176,7 @@ class Transducer:
             here = weight[i]
             if here == np.inf:
                 continue
-            node, j, before = trie.get(text[i]), i + 1, last[i]
+            node, j, before = trie.get(text[i]), i + 1, (last[i] + 1) * len(pieces)
             if node is None or "" not in node:
                 if here + FALLBACK < weight[j]:
                     raw = [self.byte_id.get(b) for b in text[i].encode()]
@@ -182,7 +185,7 @@ class Transducer:
             while node is not None:
                 piece = node.get("")
                 if piece is not None:
-                    cost = (here if follows[before, piece] else np.inf) if merges else here - pieces[piece][1]
+                    cost = (here if follows[before + piece] else np.inf) if merges else here - pieces[piece][1]
                     if cost < weight[j]:
                         weight[j], last[j], back[j], ids[j] = cost, piece, i, (piece,)
                 if j == n:
@@ -208,13 +211,19 @@ class Transducer:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+@functools.lru_cache(maxsize=2)
+def transducer(path: str) -> Transducer:
+    """One for each worker process: what it remembers serves all its tasks."""
+    return Transducer.from_file(path)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text, ids (binary, four bytes each,
     little-endian).  A null or empty text has no ids."""
     python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Transducer.from_file(path).encode
+        encode = transducer(path).encode
         for batch in batches:
             ids = pa.array([encode(t.as_py()) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["doc_id", "text", "ids"])
@@ -228,7 +237,7 @@ def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = Transducer.from_file(path).decode
+        decode = transducer(path).decode
         for batch in batches:
             texts = pa.array([decode(x.as_py() or b"") for x in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])

@@ -13,6 +13,7 @@ share.  So the operator has no shuffle at all.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,25 +71,28 @@ def blocks(n_bytes: list[int], size: int = BLOCK) -> Iterator[tuple[int, int]]:
         yield first, len(n_bytes)
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(path: str, memo: int):
+    """(tokenizer, its special strings, counts): one for each worker process, so what it remembers serves all its tasks."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()], PieceCounts(tokenizer, memo)
+
+
 def counter(path: str, memo: int = MEMO):
     """A function of Arrow batches (doc_id, text) that yields (doc_id, n_bytes, n_tokens)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         import regex
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            special = [x["content"] for x in json.load(f)["added_tokens"]]
         split, plain = regex.compile(PATTERN).findall, regex.compile(PLAIN).fullmatch
-        counts = PieceCounts(tokenizer, memo)
+        tokenizer, special, counts = loaded(path, memo)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n_bytes = [len(t.encode()) for t in texts]
