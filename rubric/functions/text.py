@@ -13,6 +13,8 @@ reproduce them:
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,27 +95,31 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _group_arrays() -> list[tuple[str, Column]]:
+Groups = Mapping[str, Sequence[str]]
+
+
+def _group_arrays(groups: Groups) -> list[tuple[str, Column]]:
     # one SQL array literal per group: a single call instead of one per word
     return [(name, F.expr("array(" + ", ".join(_sql_str(w) for w in words) + ")"))
-            for name, words in fixed.SYNONYM_GROUPS.items()]
+            for name, words in groups.items()]
 
 
-def synonym_group_name(clean_gold) -> Column:
-    """T4: name of the synonym group holding the cleaned gold, else NULL."""
+def synonym_group_name(clean_gold, groups: Groups = fixed.SYNONYM_GROUPS) -> Column:
+    """T4: name of the synonym group holding the cleaned gold, else NULL.
+    ``groups``: names and their (cleaned) words, tried in their order."""
     g = _col(clean_gold)
-    expr = None
-    for name, arr in _group_arrays():
+    expr = F.lit(None).cast("string") if not groups else None
+    for name, arr in _group_arrays(groups):
         cond = F.array_contains(arr, g)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr
 
 
-def synonym_group_words(clean_gold) -> Column:
+def synonym_group_words(clean_gold, groups: Groups = fixed.SYNONYM_GROUPS) -> Column:
     """T4: the word list of the cleaned gold's group (array) or NULL."""
     g = _col(clean_gold)
-    expr = None
-    for _, arr in _group_arrays():
+    expr = F.lit(None).cast("array<string>") if not groups else None
+    for _, arr in _group_arrays(groups):
         cond = F.array_contains(arr, g)
         expr = F.when(cond, arr) if expr is None else expr.when(cond, arr)
     return expr
@@ -132,11 +138,11 @@ def match_prepared(pred_clean, pred_tokens, gold_clean, gold_group) -> Column:
             .otherwise(F.array_contains(pt, gc)))
 
 
-def is_match(pred, gold) -> Column:
+def is_match(pred, gold, groups: Groups = fixed.SYNONYM_GROUPS) -> Column:
     """T5: does the prediction match the gold answer?"""
     pc = clean_text(pred)
     gc = clean_text(gold)
-    return match_prepared(pc, tokens(pc), gc, synonym_group_words(gc))
+    return match_prepared(pc, tokens(pc), gc, synonym_group_words(gc, groups))
 
 
 def tag_names(c) -> Column:

@@ -28,8 +28,8 @@ def parse_completions(df: DataFrame, completion: str = "completion") -> DataFram
 
 
 def score_completions(df: DataFrame, completion: str = "completion",
-                      gold: str = "gt_answer") -> DataFrame:
-    """Add the scored columns of the SCORE job.
+                      gold: str = "gt_answer", groups: T.Groups = fixed.SYNONYM_GROUPS) -> DataFrame:
+    """Add the scored columns of the SCORE job.  ``groups``: synonyms (T4).
 
     * ``is_correct`` = T5(answer, gold); ``is_consist`` = T5(think, gold) only
       when correct (evaluation rule, T8).
@@ -49,7 +49,7 @@ def score_completions(df: DataFrame, completion: str = "completion",
     )
     s2 = s1.select(
         "*",
-        T.synonym_group_words(F.col("_gold_clean")).alias("_gold_group"),
+        T.synonym_group_words(F.col("_gold_clean"), groups).alias("_gold_group"),
         T.clean_text(F.col("pred_answer")).alias("_ans_clean"),
         T.n_words(F.col("pred_answer")).alias("_ans_words"),
     )

@@ -21,16 +21,6 @@ REPORT_SCHEMA = T.StructType([
     T.StructField("is_consist", T.IntegerType()),
 ])
 
-METRIC_SCHEMA = T.StructType([
-    T.StructField("run_id", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("step", T.LongType()),
-    T.StructField("epoch", T.IntegerType()),
-    T.StructField("ts", T.TimestampType()),
-])
-
-
 def write_eval_report(records: DataFrame, path: str, tag: str = "tag", mode: str = "overwrite") -> None:
     """JSON Lines, one folder per tag; NULL fields are written as null.
 

@@ -316,6 +316,14 @@ def test_score_stream_equals_batch(spark):
     assert got == sorted(tuple(r) for r in batch.collect())
 
 
+def test_own_synonyms(spark):
+    df = spark.createDataFrame([("<answer>a crimson hat</answer>", "red"), ("<answer>yep</answer>", "yes")], "completion string, gt_answer string")
+    own = {"red": ["red", "crimson"]}
+    assert [r.is_correct for r in S.score_completions(df, groups=own).collect()] == [1, 0]
+    assert [r.is_correct for r in S.score_completions(df).collect()] == [0, 1]
+    assert [r.is_correct for r in S.score_completions(df, groups={}).collect()] == [0, 0]
+
+
 def test_eval_job_plan(spark):
     """SCORE has no Python and no exchange; EVAL is one partial+final aggregate."""
     s = catalog.scored(spark, SF_SMALL)
