@@ -96,14 +96,16 @@ def scratch_mark() -> int:
     return len(_SCRATCH)
 
 
-def clear_scratch(spark: SparkSession, since: int = 0) -> int:
+def clear_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
     """Delete the folders that ``scratch_path`` named in this process since
-    the mark; call it when no DataFrame over them is read any more (the end
-    of a job, a benchmark or a test run).  Returns their number."""
+    the mark, but those of ``keep``; call it when no DataFrame over them is
+    read any more (the end of a job, a benchmark or a test run).  Returns
+    their number."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while len(_SCRATCH) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    for name in [x for x in _SCRATCH[since:] if x not in keep]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
+        _SCRATCH.remove(name)
     return n
 
 
