@@ -13,7 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rubric.llm import exact_dedup, jaccard_join, packing, quality, queries, toxicity
-from rubric.llm.rows import keep_rows, written
+from rubric.llm.rows import forget, keep_rows, written
+from rubric.session import scratch_mark
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    docs, mark = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

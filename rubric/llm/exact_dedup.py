@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import project, written
+from ..session import scratch_mark
+from .rows import forget, project, written
 
 CAPACITY = 8192
 MAX_DEPTH = 14
@@ -64,6 +65,7 @@ def build_index(keyed: DataFrame, capacity: int = CAPACITY,
     """
     texts = keyed.groupBy("h", "text").agg(F.max("doc_id").alias("keep_id"),
                                            F.count(F.lit(1)).alias("group_size"))
+    spark, mark = keyed.sparkSession, scratch_mark()
     entries = written(texts.select("h", F.unhex(F.sha2("text", 256)).alias("digest"), "keep_id", "group_size"),
                       "dedup-entries")
     cells = written(directory(entries, capacity, max_depth), "dedup-directory")
@@ -72,7 +74,9 @@ def build_index(keyed: DataFrame, capacity: int = CAPACITY,
              .select("bucket", "h", (F.row_number().over(chained) - 1).alias("chain"),
                      "digest", "keep_id", "group_size")
              .repartitionByRange("bucket", "h", "chain").sortWithinPartitions("bucket", "h", "chain"))
-    return written(index, "dedup-index"), cells
+    index = written(index, "dedup-index")
+    forget(spark, mark, index, cells)
+    return index, cells
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_mark
 from .hashing import NOT_SPACE, blocks, flat, mix, words
-from .rows import keep_rows, project, python_ready, written
+from .rows import forget, keep_rows, project, python_ready, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -348,7 +349,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     text, or one of whitespace, has no shingles and no links.  Equal texts
     are one class, whatever their ids.
     """
-    python_ready(docs.sparkSession)
+    spark, mark = docs.sparkSession, scratch_mark()
+    python_ready(spark)
     docs = project(docs, id_col, text_col)
     ranks = class_ranks(docs, size)
     digested = docs.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
@@ -400,6 +402,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     least = by_node.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     classes = written(by_node.join(least, "label").select("fp1", "fp2", "n", "component_id", F.col("label").alias("component")),
                       "jaccard-classes")
+    forget(spark, mark, signed, classes)
     rows = signed.select("doc_id", "digest", "n", "fp1", "fp2")
     return rows.join(classes, ["fp1", "fp2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

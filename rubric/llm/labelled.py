@@ -21,12 +21,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: Column, max_rows: i
     ``label`` is a column of ``labels``; rows where it or the id is null
     don't count.  The labels chosen are ``max_rows`` rows at most, so they
     are broadcast, and the documents are read once without a shuffle.  An id
-    that documents repeat counts once.
+    that documents repeat counts once, one that labels repeat has its largest
+    label.
     """
     doc_id = labels["doc_id"].cast("long")
     chosen = (labels.select(doc_id.alias("doc_id"), label.alias("label"))
               .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-              .groupBy("doc_id").agg(F.max("label").alias("label")))
+              .groupBy("doc_id").agg(F.max("label").alias("label"))
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     found = project(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id").agg(F.max(F.struct("label", "text")).alias("x")).select("x.label", "x.text")

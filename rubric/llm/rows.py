@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, ship_package
+from ..session import clear_scratch, scratch_path, ship_package
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -36,7 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since the mark (``session.scratch_mark``) but ``keep``."""
+    clear_scratch(spark, since, tuple(df.scratch for df in keep))
 
 
 def python_ready(spark: SparkSession) -> None:
