@@ -12,9 +12,9 @@ percent * |A | B|.  Every link between different sets is found:
    the first n - ceil(t * n) + 1 shingles of a set, rarest first.  Linked
    sets share a shingle of their prefixes, so a query whose prefix misses
    the union has no link there.  The first shingle they share must leave
-   enough behind it in both, and sizes must fit; for groups of one, what can
-   still be shared after the last one in the prefixes bounds the overlap
-   further.  Queries only look at groups of other, larger components.
+   enough behind it in both, and sizes must fit; for groups of one, the
+   prefixes themselves bound the overlap further.  Queries only look at
+   groups of other, larger components.
 4. Only groups within the bound are opened: members and queries meet, whole
    sets are compared.
 5. Components of all links, by label propagation with pointer jumping.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_mark
@@ -118,7 +118,7 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
-NODE_COLUMNS = "doc_id long, digest binary, n long, fp1 long, fp2 long, m1 long, m2 long, prefix array<long>"
+NODE_COLUMNS = "doc_id long, digest binary, n long, fp1 long, fp2 long, m1 long, m2 long, tail long, prefix array<long>"
 
 
 def signer(size: int, percent: int, ranks: np.ndarray):
@@ -142,11 +142,14 @@ def signer(size: int, percent: int, ranks: np.ndarray):
                 place = np.arange(len(doc)) - np.repeat(at, n[some])
                 keep = place < (n - need(n, percent) + 1)[doc]
                 ends = np.searchsorted(doc[keep], np.arange(rows + 1))
+                # Where the prefix ends in the order of all shingles: rank, then hash, as far as 63 bits hold.
+                tail, ending = np.zeros(rows, np.int64), h[order][keep][ends[1:][some] - 1]
+                tail[some] = (ranks[shingle_class(ending)].astype(np.int64) << 55) | (ending >> np.uint64(9)).astype(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[order][keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[first:end], batch.column(2)[first:end], pa.array(n, pa.int64()),
-                     *[pa.array(x.view(np.int64)) for x in out], prefix],
-                    ["doc_id", "digest", "n", "fp1", "fp2", "m1", "m2", "prefix"])
+                     *[pa.array(x.view(np.int64)) for x in out], pa.array(tail), prefix],
+                    ["doc_id", "digest", "n", "fp1", "fp2", "m1", "m2", "tail", "prefix"])
 
     return sign
 
@@ -283,35 +286,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def part_of(size) -> Column:
+    """The part of its component that a node is in."""
+    return F.pmod(F.xxhash64("node"), F.ceil(size / GROUP)).cast("int")
+
+
 def candidates(nodes: DataFrame, groups: DataFrame, rows: int, percent: int) -> DataFrame:
-    """(node, comp, part) for each group that a query node has to open.
+    """(node, comp, part, alone) for each group that a query node may have to open.
 
-    ``groups``: (node, comp, size, part) of nodes in components of several;
-    any other node is a component of its own.
+    ``groups``: (node, comp, size) of nodes in components of several; any
+    other node is a component of its own (``alone``).
     """
-    placed = matched(nodes, groups, ["node"], "left", rows).select(
-        "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"),
-        F.coalesce("part", F.lit(0)).alias("part"), "prefix")
-    tokens = placed.select("node", "n", "comp", "size", "part", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    placed = matched(nodes, groups.select("node", "comp", "size"), ["node"], "left", rows)
+    # Both sides of the join below need the same columns, so the shingles are dealt out once.
+    tokens = placed.select("node", "n", "comp", "size", F.posexplode("prefix").alias("at", "token")).repartition("token").select(
+        "token", "node", "n", "at", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
     # The matrix: which groups have the token; what a member has left behind it, and sizes, at the most.
-    matrix = tokens.groupBy("token", "comp", "part").agg(
+    matrix = tokens.groupBy("token", F.col("comp").alias("g_comp"), part_of(F.col("size")).alias("g_part")).agg(
         F.max("size").alias("g_size"), F.max(F.col("n") - F.col("at") - 1).alias("rest"),
-        F.min("n").alias("least"), F.max("n").alias("most")).withColumnsRenamed({"comp": "g_comp", "part": "g_part"})
-    query = tokens.select("token", "node", "n", "comp", "size", "at")
+        F.min("n").alias("least"), F.max("n").alias("most"))
     larger = F.struct("size", "comp") < F.struct("g_size", "g_comp")
     sizes = (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
     # The first shingle that a linked pair shares has the shared ones behind it, in both sets.
     shared = percent * (F.col("n") + F.col("least"))
     room = ((100 + percent) * (F.col("n") - F.col("at")) >= shared) & ((100 + percent) * (F.col("rest") + 1) >= shared)
-    hits = query.join(matrix, "token").where(larger & sizes & room).groupBy("node", "g_comp", "g_part").agg(
-        F.count(F.lit(1)).alias("c"), F.max("at").alias("last"), F.max_by("rest", "at").alias("rest"),
-        F.max("n").alias("n"), F.min("least").alias("least"), F.max("g_size").alias("g_size"))
-    # In a group of one, all that both share up to the last one in the prefixes has been counted.  A larger group's
-    # last one may be another member's, so there the whole union decides when it is opened.
-    bound = F.col("c") + F.least(F.col("n") - F.col("last") - 1, F.col("rest"))
-    least = F.greatest("least", F.ceil(percent * F.col("n") / 100))
-    return hits.where((F.col("g_size") > 1) | (bound * (100 + percent) >= percent * (F.col("n") + least))).select(
-        "node", F.col("g_comp").alias("comp"), F.col("g_part").alias("part"))
+    return tokens.join(matrix, "token").where(larger & sizes & room).groupBy("node", "g_comp", "g_part").agg(
+        F.max("g_size").alias("g_size")).select(
+        "node", F.col("g_comp").alias("comp"), F.col("g_part").alias("part"), (F.col("g_size") == 1).alias("alone"))
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (node, comp) of single nodes whose prefixes let them be linked.
+
+    Of two prefixes take the one that ends first in the order of shingles:
+    its shingles that the other prefix lacks, the other set lacks.  What it
+    shares, and all behind it, bounds the overlap.
+    """
+    ends = nodes.select("node", "n", "tail", "prefix")
+    left = matched(ends, pairs, ["node"], "inner")
+    right = matched(ends, written(pairs.select(F.col("comp").alias("node")).distinct(), "jaccard-ends"), ["node"], "inner").select(
+        F.col("node").alias("comp"), F.col("n").alias("n2"), F.col("tail").alias("tail2"), F.col("prefix").alias("prefix2"))
+    behind = lambda n: F.ceil(percent * F.col(n) / 100) - 1
+    most = F.size(F.array_intersect("prefix", "prefix2")) + (
+        F.when(F.col("tail") < F.col("tail2"), behind("n")).when(F.col("tail") > F.col("tail2"), behind("n2"))
+        .otherwise(F.greatest(behind("n"), behind("n2"))))
+    return left.join(right, "comp").where((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))).select("node", "comp")
 
 
 def opened(percent: int):
@@ -356,7 +375,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     digested = docs.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
     signed = written(digested.mapInArrow(signer(size, percent, ranks), NODE_COLUMNS), "jaccard-signed")
     nodes = written(signed.where("n > 0").groupBy("fp1", "fp2", "n").agg(
-        F.min("doc_id").alias("doc_id"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("prefix").alias("prefix"))
+        F.min("doc_id").alias("doc_id"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("tail").alias("tail"),
+        F.first("prefix").alias("prefix"))
         .withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
     # Groups of nodes with one min-hash; then of what that left apart, with another.
@@ -375,9 +395,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     # Their components, in parts, are the groups of the matrix.
     sizes = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "jaccard-comps")
     groups = written(matched(labels, sizes, ["label"], "inner").select(
-        "node", F.col("label").alias("comp"), "size",
-        F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int").alias("part")), "jaccard-parts")
-    wanted = written(candidates(nodes.select("node", "n", "prefix"), groups, groups.count(), percent), "jaccard-candidates")
+        "node", F.col("label").alias("comp"), "size", part_of(F.col("size")).alias("part")), "jaccard-parts")
+    hits = written(candidates(nodes.select("node", "n", "prefix"), groups, groups.count(), percent), "jaccard-candidates")
+    pairs = written(hits.where("alone").select("node", "comp"), "jaccard-pairs")
+    wanted = written(hits.where("NOT alone").select("node", "comp", "part").union(
+        bounded(pairs, nodes, percent).select("node", "comp", F.lit(0).alias("part"))), "jaccard-bounded")
 
     # Members and queries of the groups to open, the queries in as many portions as they need.
     to_open = written(wanted.groupBy("comp", "part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("portions")),
