@@ -27,7 +27,9 @@ dropped.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from .rows import project, python_ready
 
 MARK = "▁"
 #: Cuts, and pairs of pieces, that a worker remembers (two generations of this size each).
-MEMO = 150_000
+MEMO = 250_000
 #: Kinds of pieces, and of models, in model files.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
@@ -65,7 +67,7 @@ class Transducer:
             node[""] = i
         self.cut = self._cutter().findall
         self.edges = Memo(self._edges, len(pieces))
-        self.follows = Memo(self._follows, 2 * memo)
+        self.follows = Memo(self._follows, memo)
         self.remembered = Memo(self._encode_cut, memo)
 
     @classmethod
@@ -90,12 +92,10 @@ class Transducer:
 
     def _cutter(self):
         """Cuts normalised text where no piece reaches across."""
-        import regex
-
-        breaks = "".join(regex.escape(chr(c)) for c in range(128) if chr(c) not in self.trie)
+        breaks = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in self.trie)
         if any(MARK in p.lstrip(MARK) for p in self.ids):  # a piece has marks behind other characters
-            return regex.compile(f"[{breaks}]|[^{breaks}]+")
-        return regex.compile(f"[{breaks}]|{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+")
+            return re.compile(f"[{breaks}]|[^{breaks}]+")
+        return re.compile(f"[{breaks}]|{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+")
 
     def merged(self, text: str) -> tuple[list[str], list, list]:
         """What merging yields: again and again the best neighbours (the
@@ -170,13 +170,14 @@ class Transducer:
         paths of finite weight reach a place (a text has one encoding).
         """
         merges, follows, trie, pieces, n = self.model == MERGES, self.follows, self.trie, self.pieces, len(text)
-        weight, last, back, ids = [np.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1), [()] * (n + 1)
+        never, n_pieces = float("inf"), len(self.pieces)
+        weight, last, back, ids = [never] * (n + 1), [-1] * (n + 1), [0] * (n + 1), [()] * (n + 1)
         weight[0] = 0.0
         for i in range(n):
             here = weight[i]
-            if here == np.inf:
+            if here == never:
                 continue
-            node, j, before = trie.get(text[i]), i + 1, (last[i] + 1) * len(pieces)
+            node, j, before = trie.get(text[i]), i + 1, (last[i] + 1) * n_pieces
             if node is None or "" not in node:
                 if here + FALLBACK < weight[j]:
                     raw = [self.byte_id.get(b) for b in text[i].encode()]
@@ -185,8 +186,8 @@ class Transducer:
             while node is not None:
                 piece = node.get("")
                 if piece is not None:
-                    cost = (here if follows[before + piece] else np.inf) if merges else here - pieces[piece][1]
-                    if cost < weight[j]:
+                    cost = here if merges else here - pieces[piece][1]
+                    if cost < weight[j] and (not merges or follows[before + piece]):
                         weight[j], last[j], back[j], ids[j] = cost, piece, i, (piece,)
                 if j == n:
                     break
@@ -199,7 +200,8 @@ class Transducer:
         return [i for x in reversed(out) for i in x]
 
     def _encode_cut(self, text: str) -> bytes:
-        return np.array(self.shortest(text), "<u4").tobytes()
+        ids = self.shortest(text)
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, four bytes each."""
