@@ -3,11 +3,13 @@
 The lexicon holds the terms whose document frequency lies in a band: neither
 so common that they say nothing nor so rare that an edit loses them.  A
 text's terms in one lexicon, distinct and sorted, are hashed to one value.
-A fingerprint has such a value for each of 112 random subsets of the lexicon:
+A fingerprint has such a value for each of many random subsets of the lexicon:
 14 draws, and of each the subsets that keep 1/4, 1/8 and so on to 1/512 of the
-lexicon, one inside the other.  Two versions of a text agree in a subset if
-the edit touched none of its terms, so the share of subsets that agree is a
-likeness; small subsets suit long texts and large ones short texts.
+lexicon, one inside the other; further on if the longest text has so many
+terms that ``FEW`` of them are a smaller share.  Two versions of a text agree
+in a subset if the edit touched none of its terms, so the share of subsets
+that agree is a likeness; small subsets suit long texts and large ones short
+texts.
 
 The lexicon is a bit set over ``LEXICON`` hash classes of terms, counted over
 all documents, so its size doesn't grow with the vocabulary.  Terms that
@@ -31,11 +33,11 @@ TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEXICON = 1 << 18
 #: Document frequencies of the lexicon's terms, as shares of the documents.
 BAND = (0.0005, 0.05)
-#: Of a term's 512 random values in a draw, how many keep it.
+#: Of a term's 512 random values in a draw, how many keep it; longer ladders have ``ladder``.
 KEEP = (128, 64, 32, 16, 8, 4, 2, 1)
-#: Draws; 9 bits of a random 64-bit number each, 7 draws from one number.
+#: The ladder goes on until a subset has so many terms of the longest text, or fewer.
+FEW = 2
 DRAWS = 14
-PER_NUMBER = 7
 #: Values are numbers below this, 0 for a subset without terms.
 VALUES = 1 << 20
 
@@ -47,23 +49,36 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, size: int = LEXICON,
-            text_col: str = "text") -> list[int]:
-    """The bit set, as size / 64 signed 64-bit numbers.
+            text_col: str = "text") -> tuple[list[int], int]:
+    """The bit set, as size / 64 signed 64-bit numbers, and the number of
+    terms of the longest text.
 
     A class is in if its document frequency (a document counts once for each
     term it has there) is in the band, and at least 1.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
-    counts = docs.select(F.explode(terms(text)).alias("t")).groupBy(F.pmod("t", F.lit(size)).alias("class")).agg(
-        F.count(F.lit(1)).alias("n"))
-    n_docs = docs.count()
-    inside = counts.where(F.col("n").between(band[0] * n_docs, band[1] * n_docs))
-    bits = (inside.groupBy(F.expr("class div 64").cast("int").alias("at"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(class % 64 as int))")).alias("bits")).collect())
+    classes = docs.select(F.transform(terms(text), lambda t: F.pmod(t, F.lit(size)).cast("int")).alias("classes"))
+    # Class -1 counts the documents.
+    counts = classes.select(F.explode(F.concat(F.array(F.lit(-1)), "classes")).alias("class"), F.size("classes").alias("n_terms")).groupBy(
+        "class").agg(F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms"))
+    found = counts.groupBy(F.floor(F.col("class") / 64).cast("int").alias("at")).agg(
+        F.collect_list(F.struct(F.pmod("class", F.lit(64)).alias("bit"), "n")).alias("counts"), F.max("n_terms").alias("n_terms")).collect()
+    n_docs = next((r["counts"][0]["n"] for r in found if r["at"] < 0), 0)
     out = [0] * (size // 64)
-    for r in bits:
-        out[r["at"]] = r["bits"]
-    return out
+    for r in found:
+        if r["at"] >= 0:
+            word = sum(1 << c["bit"] for c in r["counts"] if band[0] * n_docs <= c["n"] <= band[1] * n_docs)
+            out[r["at"]] = word - (word >> 63 << 64)
+    return out, max((r["n_terms"] for r in found), default=0)
+
+
+def ladder(longest: int) -> tuple[int, ...]:
+    """``KEEP``, or with more levels if ``longest`` terms need them: of 2^bits
+    random values of a term, how many keep it; bits is the length plus one."""
+    levels = len(KEEP)
+    while longest > FEW << levels + 1:
+        levels += 1
+    return tuple(1 << k for k in reversed(range(levels)))
 
 
 def long_array(values: list[int]) -> Column:
@@ -76,12 +91,15 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def fingerprint(text: Column, in_band: Column, size: int = LEXICON) -> Column:
+def fingerprint(text: Column, in_band: Column, size: int = LEXICON, keep: tuple[int, ...] = KEEP) -> Column:
     """The values of a text, one for each subset, 0 for a subset that has
-    none of its terms.  ``in_band``: ``lexicon`` as an array column.  A text
-    with terms, but none of the lexicon, has the hash of all its terms
+    none of its terms.  ``in_band``: ``lexicon`` as an array column; ``keep``:
+    ``ladder`` of all the texts compared.  A text with terms, but none of the lexicon, has the hash of all its terms
     everywhere; one without terms has zeros."""
 
+    bits = len(keep) + 1
+    per_number = 64 // bits
+
     def value(some: Column) -> Column:
         return F.when(F.size(some) > 0, F.pmod(F.hash(some), F.lit(VALUES - 1)) + 1).otherwise(F.lit(0))
 
@@ -90,17 +108,19 @@ def fingerprint(text: Column, in_band: Column, size: int = LEXICON) -> Column:
                                                F.pmod(t, F.lit(64)).cast("int")) == 1)
         # Each term brings its random numbers along.
         drawn = F.transform(kept, lambda t: F.struct(
-            t.alias("t"), *[F.xxhash64(t, F.lit(i)).alias(f"r{i}") for i in range(DRAWS // PER_NUMBER)]))
+            t.alias("t"), *[F.xxhash64(t, F.lit(i)).alias(f"r{i}") for i in range(-(-DRAWS // per_number))]))
 
         def nested(pairs: Column, draw: int, level: int = 0) -> Column:
             """The values of a draw's subsets from ``level`` on, each filtered out of the one before."""
-            if level == len(KEEP):
+            if level == len(keep):
                 return F.array().cast("array<int>")
-            number, shift = f"r{draw // PER_NUMBER}", 9 * (draw % PER_NUMBER)
-            return bind(F.filter(pairs, lambda p: F.shiftrightunsigned(p[number], shift).bitwiseAND(511) < KEEP[level]),
-                        lambda chosen: F.concat(F.array(value(chosen["t"])), nested(chosen, draw, level + 1)))
+            number, shift = f"r{draw // per_number}", bits * (draw % per_number)
+            none = F.array_repeat(F.lit(0), len(keep) - level)
+            return bind(F.filter(pairs, lambda p: F.shiftrightunsigned(p[number], shift).bitwiseAND((1 << bits) - 1) < keep[level]),
+                        lambda chosen: F.when(F.size(chosen) > 0, F.concat(F.array(value(chosen["t"])), nested(chosen, draw, level + 1)))
+                        .otherwise(none))
 
-        whole = F.array_repeat(value(of), len(KEEP) * DRAWS)
+        whole = F.array_repeat(value(of), len(keep) * DRAWS)
         return bind(drawn, lambda pairs: F.when(F.size(pairs) > 0, F.concat(*[nested(pairs, d) for d in range(DRAWS)]))
                     .otherwise(whole))
 
@@ -121,13 +141,15 @@ def as_string(values: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, in_band: list[int] | None = None, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", keep: tuple[int, ...] = KEEP) -> DataFrame:
     """One row per input row: doc_id, text and ``values`` (see
-    ``fingerprint``).  A null text counts as empty.  No shuffle but the
-    lexicon's counts."""
-    in_band = in_band or lexicon(docs, text_col=text_col)
+    ``fingerprint``).  A null text counts as empty.  Without a lexicon, it and
+    the ladder are those of ``docs``.  No shuffle but the lexicon's counts."""
+    if in_band is None:
+        in_band, longest = lexicon(docs, text_col=text_col)
+        keep = ladder(longest)
     bits = long_array(in_band)
-    return project(docs, id_col, text_col).select("doc_id", "text", fingerprint(F.col("text"), bits).alias("values"))
+    return project(docs, id_col, text_col).select("doc_id", "text", fingerprint(F.col("text"), bits, keep=keep).alias("values"))
 
 
 def block_ends(rows: DataFrame, n: int) -> list[int]:
@@ -185,12 +207,12 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """How the fingerprints hold when half of a text is replaced by the start
     of the next document's: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next."""
-    in_band = lexicon(docs, text_col=text_col)
-    bits = long_array(in_band)
-    pairs = with_next(fingerprints(docs, in_band, id_col, text_col), ["text", "values"])
+    in_band, longest = lexicon(docs, text_col=text_col)
+    bits, keep = long_array(in_band), ladder(longest)
+    pairs = with_next(fingerprints(docs, in_band, id_col, text_col, keep), ["text", "values"])
     changed = pairs.select("doc_id", "values", "next_values", F.length("text").cast("long").alias("n_chars"),
                            edited(F.col("text"), F.col("next_text")).alias("edited"))
-    valued = changed.select("*", fingerprint(F.col("edited"), bits).alias("edited_values"))
+    valued = changed.select("*", fingerprint(F.col("edited"), bits, keep=keep).alias("edited_values"))
     return valued.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                          as_string(F.col("values")).alias("fingerprint"),
                          as_string(F.col("edited_values")).alias("edited_fingerprint"),

@@ -74,6 +74,15 @@ def test_fingerprints_of_few_rows(spark, empty):
     assert sorted(r.edited_sha256 for r in nulls) == sorted([brute.sha("abxy"), brute.sha("xa")])
 
 
+def test_half_edited_long_texts_stay_alike(spark):
+    """40,000 terms each: 1/512 of them is always touched by the edit."""
+    texts = [" ".join(f"{c}{i}" for i in range(40_000)) for c in "pq"] + [f"filler {i}" for i in range(38)]
+    rows = fingerprints.edit_report(make_docs(spark, list(enumerate(texts)))).collect()
+    long = [r for r in rows if r.n_chars > 100_000]
+    assert len(long) == 2 and all(r.near_edited > 0.01 for r in long)
+    assert all(r.near_next < 0.01 for r in long) and len({len(r.fingerprint) for r in rows}) == 1
+
+
 def test_url_filter_agrees_with_its_sql_on_odd_urls(spark):
     import duckdb
 
