@@ -12,9 +12,14 @@ that agree is a likeness; small subsets suit long texts and large ones short
 texts.
 
 The lexicon is a bit set over ``LEXICON`` hash classes of terms, counted over
-all documents, so its size doesn't grow with the vocabulary.  Terms that
+all distinct texts, so its size doesn't grow with the vocabulary.  Terms that
 share a class are in or out together.
 
+Some texts have hardly a term in the lexicon: short ones, those of a large
+group of near copies, whose terms are too common, and all texts of a table of
+less than 20.  So seven more draws take subsets of all terms, and two texts
+are compared by these where either has too few lexicon terms.
+
 Built-in functions only.
 """
 
@@ -37,7 +42,12 @@ BAND = (0.0005, 0.05)
 KEEP = (128, 64, 32, 16, 8, 4, 2, 1)
 #: The ladder goes on until a subset has so many terms of the longest text, or fewer.
 FEW = 2
-DRAWS = 14
+#: Draws from the lexicon, draws from all terms, and both.
+LEXICAL = 14
+WHOLE = 7
+DRAWS = LEXICAL + WHOLE
+#: Texts with less than one lexicon term in so many terms have no values for the lexicon.
+SPARSE = 8
 #: Values are numbers below this, 0 for a subset without terms.
 VALUES = 1 << 20
 
@@ -53,12 +63,14 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, size: int = LEXIC
     """The bit set, as size / 64 signed 64-bit numbers, and the number of
     terms of the longest text.
 
-    A class is in if its document frequency (a document counts once for each
-    term it has there) is in the band, and at least 1.
+    A class is in if its document frequency (a distinct text counts once for
+    each term it has there) is in the band, and at least 1.  Copies move as
+    their classes, one for each task at most.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
-    classes = docs.select(F.transform(terms(text), lambda t: F.pmod(t, F.lit(size)).cast("int")).alias("classes"))
-    # Class -1 counts the documents.
+    classes = docs.select(F.xxhash64(text).alias("text_hash"), F.transform(
+        terms(text), lambda t: F.pmod(t, F.lit(size)).cast("int")).alias("classes")).dropDuplicates(["text_hash"])
+    # Class -1 counts the texts.
     counts = classes.select(F.explode(F.concat(F.array(F.lit(-1)), "classes")).alias("class"), F.size("classes").alias("n_terms")).groupBy(
         "class").agg(F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms"))
     found = counts.groupBy(F.floor(F.col("class") / 64).cast("int").alias("at")).agg(
@@ -94,9 +106,10 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 def fingerprint(text: Column, in_band: Column, size: int = LEXICON, keep: tuple[int, ...] = KEEP) -> Column:
     """The values of a text, one for each subset, 0 for a subset that has
     none of its terms.  ``in_band``: ``lexicon`` as an array column; ``keep``:
-    ``ladder`` of all the texts compared.  A text with terms, but none of the lexicon, has the hash of all its terms
-    everywhere; one without terms has zeros."""
-
+    ``ladder`` of all the texts compared.  First come the draws from the
+    lexicon, zeros if it has less than one in ``SPARSE`` of the text's terms;
+    then those from all terms, whose first subsets have one term at least, that
+    with the smallest number.  A text without terms has zeros."""
     bits = len(keep) + 1
     per_number = 64 // bits
 
@@ -106,34 +119,54 @@ def fingerprint(text: Column, in_band: Column, size: int = LEXICON, keep: tuple[
     def values(of: Column) -> Column:
         kept = F.filter(of, lambda t: F.getbit(F.get(in_band, F.floor(F.pmod(t, F.lit(size)) / 64).cast("int")),
                                                F.pmod(t, F.lit(64)).cast("int")) == 1)
-        # Each term brings its random numbers along.
-        drawn = F.transform(kept, lambda t: F.struct(
-            t.alias("t"), *[F.xxhash64(t, F.lit(i)).alias(f"r{i}") for i in range(-(-DRAWS // per_number))]))
 
-        def nested(pairs: Column, draw: int, level: int = 0) -> Column:
+        def drawn(some: Column, draws: int) -> Column:
+            """Each term with its random numbers."""
+            return F.transform(some, lambda t: F.struct(
+                t.alias("t"), *[F.xxhash64(t, F.lit(i)).alias(f"r{i}") for i in range(-(-draws // per_number))]))
+
+        def nested(pairs: Column, draw: int, whole: bool, level: int = 0) -> Column:
             """The values of a draw's subsets from ``level`` on, each filtered out of the one before."""
             if level == len(keep):
                 return F.array().cast("array<int>")
             number, shift = f"r{draw // per_number}", bits * (draw % per_number)
+
+            def random(p: Column) -> Column:
+                return F.shiftrightunsigned(p[number], shift).bitwiseAND((1 << bits) - 1)
+
             none = F.array_repeat(F.lit(0), len(keep) - level)
-            return bind(F.filter(pairs, lambda p: F.shiftrightunsigned(p[number], shift).bitwiseAND((1 << bits) - 1) < keep[level]),
-                        lambda chosen: F.when(F.size(chosen) > 0, F.concat(F.array(value(chosen["t"])), nested(chosen, draw, level + 1)))
-                        .otherwise(none))
+            if whole and level == 0:
+                least = F.array_min(F.transform(pairs, lambda p: F.struct(random(p).alias("r"), p["t"].alias("t"))))["t"]
+                none = F.concat(F.array(value(F.array(least))), F.array_repeat(F.lit(0), len(keep) - 1))
+            return bind(F.filter(pairs, lambda p: random(p) < keep[level]),
+                        lambda chosen: F.when(F.size(chosen) > 0, F.concat(
+                            F.array(value(chosen["t"])), nested(chosen, draw, whole, level + 1))).otherwise(none))
+
+        def part(some: Column, draws: int, whole: bool, has: Column) -> Column:
+            return F.when(has, bind(drawn(some, draws), lambda pairs: F.concat(*[nested(pairs, d, whole) for d in range(draws)]))
+                          ).otherwise(F.array_repeat(F.lit(0), draws * len(keep)))
 
-        whole = F.array_repeat(value(of), len(keep) * DRAWS)
-        return bind(drawn, lambda pairs: F.when(F.size(pairs) > 0, F.concat(*[nested(pairs, d) for d in range(DRAWS)]))
-                    .otherwise(whole))
+        lexical = bind(kept, lambda some: part(some, LEXICAL, False, (F.size(some) > 0) & (F.size(some) * SPARSE >= F.size(of))))
+        return F.concat(lexical, part(of, WHOLE, True, F.size(of) > 0))
 
     return bind(terms(text), values)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Equal fingerprints: 1.  Else the share of agreeing subsets among those
-    that have terms of either text."""
+    that have terms of either text: subsets of the lexicon, or where either
+    text has no values for these, of all terms."""
+
+    def share(both: Column) -> Column:
+        any_term = F.filter(both, lambda p: (p["a"] != 0) | (p["b"] != 0))
+        return F.size(F.filter(any_term, lambda p: p["a"] == p["b"])) / F.size(any_term)
+
     both = F.arrays_zip(a.alias("a"), b.alias("b"))
-    any_term = F.filter(both, lambda p: (p["a"] != 0) | (p["b"] != 0))
-    agree = F.filter(any_term, lambda p: p["a"] == p["b"])
-    return F.when(a == b, F.lit(1.0)).otherwise(F.size(agree) / F.size(any_term))
+    n = (F.size(a) * LEXICAL / DRAWS).cast("int")
+    lexical = F.slice(both, F.lit(1), n)
+    has = F.exists(lexical, lambda p: p["a"] != 0) & F.exists(lexical, lambda p: p["b"] != 0)
+    return F.when(a == b, F.lit(1.0)).otherwise(
+        bind(F.when(has, lexical).otherwise(F.slice(both, n + 1, F.size(a) - n)), share))
 
 
 def as_string(values: Column) -> Column:

@@ -83,6 +83,27 @@ def test_half_edited_long_texts_stay_alike(spark):
     assert all(r.near_next < 0.01 for r in long) and len({len(r.fingerprint) for r in rows}) == 1
 
 
+def test_texts_without_lexicon_terms_have_a_likeness(spark):
+    """Near copies hold half of the table, so their terms are above the band."""
+    hot = " ".join(f"hot{i}" for i in range(200))
+    other = [" ".join(f"o{k}x{i}" for i in range(200)) for k in range(20)]
+    near = [hot.replace(f"hot{k} ", f"changed{k} ") for k in range(3, 23)]
+    got = {r.doc_id: r for r in fingerprints.edit_report(make_docs(spark, list(enumerate(other[:1] + near + other[1:])))).collect()}
+    assert min(got[i].near_next for i in range(2, 21)) > 0.3  # the next one is a near copy
+    assert got[1].near_edited > 0 and got[1].near_next == 0  # the next one is another text
+    few = fingerprints.edit_report(make_docs(spark, [(1, "a b c d e f g h"), (2, "a b c d e f g i")])).collect()
+    assert all(0 < r.near_next < 1 for r in few)
+    short = fingerprints.edit_report(make_docs(spark, [(i, f"word{i}") for i in range(18)])).collect()
+    assert all(r.near_next == 0 for r in short)
+
+
+def test_copies_do_not_push_terms_out_of_the_lexicon(spark):
+    texts = [f"one{i} two{i}" for i in range(40)]
+    bits, longest = fingerprints.lexicon(make_docs(spark, list(enumerate(texts))))
+    assert any(bits) and longest == 2
+    assert fingerprints.lexicon(make_docs(spark, list(enumerate(texts + texts[:1] * 30)))) == (bits, longest)
+
+
 def test_url_filter_agrees_with_its_sql_on_odd_urls(spark):
     import duckdb
 
