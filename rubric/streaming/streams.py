@@ -9,9 +9,11 @@ either the file sink (exactly-once through its commit log) or a
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import evaluation as E
 from ..operators import scoring as S
@@ -23,6 +25,7 @@ def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
 
 
 def _start(writer, available_now: bool) -> StreamingQuery:
+    _dropped(SparkSession.active())
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
@@ -147,24 +150,106 @@ def windowed_mean_stream(stream: DataFrame, sink: str, window: str = "6 hours",
 
 def dedup_score_stream(stream: DataFrame, sink: str, keys=("sample_id", "gen_idx"), ts: str = "ts",
                        delay: str = "1 day", gold: str = "answer", checkpoint: str | None = None,
-                       available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True, rejects: str | None = None) -> StreamingQuery:
     """A completion delivered twice (same key within the watermark
-    delay) is scored once.  State holds each key only until the watermark
-    passes it, so it stays bounded.  Rows older than the watermark are left
-    out; ``late_rows`` of the query says how many, and ``run_to_end`` raises
-    if asked to allow none."""
+    delay) is scored once.
+
+    The watermark of a batch is the latest event time of the batches before
+    it minus ``delay``.  Rows older than it are written unscored to
+    ``rejects`` (default: ``sink`` + "-rejects"), so each row is in the sink,
+    a redelivery of a row there, or among the rejects.  A key stays open until
+    the watermark is ``delay`` past its first row; only the batches that hold
+    open keys are read again.  ``scored_rows`` and ``rejected_rows`` read the
+    finished batches; ``late_rows`` counts the rejects of all of them, and
+    ``run_to_end`` raises if asked to allow none."""
     spark = stream.sparkSession
-    dedup = as_event_time(stream, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
-    scored = S.score_completions(dedup, gold=gold)
-    w = (scored.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", _checkpoint(spark, "dedup", checkpoint)).option("path", sink))
-    return _start(w, available_now)
+    rejects, marks = rejects or f"{sink}-rejects", f"{sink}-marks"
+    keys, wait = list(keys), F.expr(f"INTERVAL {delay}")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = as_event_time(batch, ts)
+        done = {int(f.rsplit("=", 1)[1]): f for f in finished_batches(spark, marks)}
+        last = max((e for e in done if e < epoch), default=None)
+        # The batches that may hold open keys, with their latest event times.
+        known = spark.read.parquet(done[last]) if last is not None else spark.createDataFrame([], f"epoch long, {ts} timestamp")
+        known = known.select("epoch", ts)
+        mark = known.agg((F.max(ts) - wait).alias("_mark"))
+        marked = rows.crossJoin(F.broadcast(mark))
+        late = F.coalesce(F.col(ts) < F.col("_mark"), F.lit(False))
+        fresh = marked.where(~late).drop("_mark").dropDuplicates(keys)
+        open_batches = [r.epoch for r in known.select("epoch").collect()]
+        if open_batches:
+            seen = spark.read.parquet(*[batch_folder(sink, e) for e in open_batches]).crossJoin(F.broadcast(mark))
+            seen = seen.where(F.col(ts) >= F.col("_mark") - wait).select(*[F.col(k).alias(f"seen_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"seen_{k}")) for k in keys]
+            fresh = fresh.join(seen, same, "left_anti")
+        marked.where(late).drop("_mark").write.mode("overwrite").parquet(batch_folder(rejects, epoch))
+        S.score_completions(fresh, gold=gold).write.mode("overwrite").parquet(batch_folder(sink, epoch))
+        here = rows.agg(F.lit(epoch).cast("long").alias("epoch"), F.max(ts).alias(ts))
+        both = known.unionByName(here.where(F.col(ts).isNotNull()))
+        open_ = both.crossJoin(both.agg((F.max(ts) - wait - wait).alias("end"))).where(F.col(ts) >= F.col("end")).drop("end")
+        open_.coalesce(1).write.mode("overwrite").parquet(batch_folder(marks, epoch))
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", _checkpoint(spark, "dedup", checkpoint))
+    q = _start(w, available_now)
+    q.rejects = rejects
+    return q
+
+
+def scored_rows(spark: SparkSession, sink: str) -> DataFrame:
+    """What finished batches of ``dedup_score_stream`` have written."""
+    return spark.read.option("basePath", sink).parquet(*finished_batches(spark, sink))
+
+
+def rejected_rows(spark: SparkSession, rejects: str) -> DataFrame:
+    """The late rows of finished batches, with the number of each one's batch."""
+    return scored_rows(spark, rejects)
+
+
+class _Dropped(StreamingQueryListener):
+    """Adds up, over all batches of a run, the rows that Spark dropped behind the watermark."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.rows[run] = self.rows.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+
+_listeners: dict[str, _Dropped] = {}
+
+
+def _dropped(spark: SparkSession) -> _Dropped:
+    """The session's listener; one for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _listeners:
+        _listeners[app] = _Dropped()
+        spark.streams.addListener(_listeners[app])
+    return _listeners[app]
 
 
 def late_rows(q: StreamingQuery) -> int:
-    """Rows that the query left out because they came after the watermark
-    (in the batches whose progress the session still keeps)."""
-    return sum(op.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for op in p["stateOperators"])
+    """Rows that the query left out because they came after the watermark, in
+    all its batches: those in the reject folder if it has one, else those
+    that Spark dropped in this run."""
+    spark = SparkSession.active()
+    if getattr(q, "rejects", None):
+        return rejected_rows(spark, q.rejects).count() if finished_batches(spark, q.rejects) else 0
+    dropped, run = _dropped(spark), str(q.runId)
+    if not q.isActive and not dropped.ended.setdefault(run, threading.Event()).wait(120):
+        raise RuntimeError("the end of the query wasn't reported, so its late rows aren't known")
+    return dropped.rows.get(run, 0)
 
 
 def run_to_end(q: StreamingQuery, allow_late: bool = True) -> int:

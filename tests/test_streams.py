@@ -66,3 +66,24 @@ def test_redelivery_in_a_later_batch_is_scored_once(spark):
     X.run_to_end(X.dedup_score_stream(stream, sink))
     rows = spark.read.parquet(sink).select("sample_id", "is_correct", "is_consist").collect()
     assert sorted(tuple(r) for r in rows) == [(1, 1, 1), (2, 1, 0)]
+
+
+def test_late_completions_are_kept_and_counted(spark):
+    """More batches than the progress updates that a session keeps."""
+    schema = "sample_id long, gen_idx int, completion string, answer string, ts timestamp_ntz"
+    src, sink = scratch_path(spark, "reject-src"), scratch_path(spark, "reject-sink")
+    for i, ts in [(1, "2024-01-05 00:00:00"), (1, "2024-01-05 00:00:00"), (2, "2024-01-01 00:00:00"), (3, "2024-01-05 01:00:00"),
+                                 (4, "2024-01-05 02:00:00"), (5, "2024-01-05 03:00:00")]:
+        _write(spark, [(i, 0, "<answer>yes</answer>", "yes", _ts(ts))], schema, src)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
+    try:
+        q = X.dedup_score_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), sink)
+        assert X.run_to_end(q) == 1 and len(q.recentProgress) <= 2
+        windows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).withColumn("value", F.lit(1.0))
+        w = X.windowed_mean_updates(windows, scratch_path(spark, "reject-windows"), value="value")
+        with pytest.raises(RuntimeError, match="1 rows came after"):
+            X.run_to_end(w, allow_late=False)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert [(r.sample_id, r.answer) for r in X.rejected_rows(spark, q.rejects).collect()] == [(2, "yes")]
+    assert sorted(r.sample_id for r in X.scored_rows(spark, sink).collect()) == [1, 3, 4, 5]
