@@ -10,9 +10,10 @@ pairs that mean more together than their weights say, such as an insult and
 a group's name.
 
 Fitting sees a bounded sample (``MAX_ROWS`` documents).  Its terms are
-screened first: those whose link with the label is stronger than chance
-stay, ``MAX_TERMS`` at most; all other terms weigh nothing.  So a model is a
-few hundred kB at any size of the corpus, and scoring is a narrow pass.
+screened first: those whose own link with the label is stronger than chance
+stay, however many; all other terms weigh nothing, so pairs of which neither
+term alone goes with the label are not learnt.  A model has the terms of the
+sample at most, ``SPACE`` of them, and scoring is a narrow pass.
 """
 
 from __future__ import annotations
@@ -34,8 +35,6 @@ SPACE = 1 << 20
 PREFIXES = (4, 5, 6)
 #: Labelled documents that fitting looks at.
 MAX_ROWS = 12_000
-#: Terms that a model has.
-MAX_TERMS = 4096
 #: Fixed value: the chi-square statistic that one term in ten thousand exceeds by chance.
 CHANCE = 15.14
 FACTORS = 8
@@ -87,16 +86,14 @@ def _pairs(n: int, doc: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def screen(y: np.ndarray, doc: np.ndarray, term: np.ndarray) -> np.ndarray:
-    """The terms that go with the label more than by chance, strongest first, sorted."""
+    """The terms that go with the label more than by chance, sorted."""
     seen = np.bincount(term, minlength=SPACE).astype(float)
     hits = np.bincount(term, y[doc], SPACE)
     n, pos = len(y), y.sum()
     with np.errstate(all="ignore"):
         chi = (hits * (n - pos - seen + hits) - (seen - hits) * (pos - hits)) ** 2 * n / (
             pos * (n - pos) * seen * (n - seen))
-    chi = np.where((seen >= 2) & np.isfinite(chi), chi, 0)
-    best = np.argsort(-chi, kind="stable")[:MAX_TERMS]
-    return np.sort(best[chi[best] > CHANCE])
+    return np.flatnonzero((seen >= 2) & np.isfinite(chi) & (chi > CHANCE))
 
 
 def fit(y: np.ndarray, doc: np.ndarray, term: np.ndarray) -> Model:
@@ -159,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     """The model of ``max_rows`` labelled documents (see ``training_rows``).
 
     Terms are made where the texts are; one task fits the bounded rest.  The
-    model that reaches the driver has ``MAX_TERMS`` terms at most.
+    model that reaches the driver has the terms that were screened in.
     """
     python_ready(docs.sparkSession)
     rows = training_rows(docs, labels, labels[label_col].cast("int"), max_rows, id_col, text_col)

@@ -42,6 +42,12 @@ def test_pairs_are_learnt_that_single_weights_miss():
     assert model.v[at[0]] @ model.v[at[1]] > 0
 
 
+def test_all_terms_that_go_with_the_label_stay():
+    y, terms = np.repeat([1.0, 0.0], 20), np.arange(10, 6010)
+    doc = np.repeat(np.arange(20), len(terms))
+    assert toxicity.screen(y, doc, np.tile(terms, 20)).tolist() == terms.tolist()
+
+
 def test_pair_sum_is_the_sum_over_pairs():
     r = np.random.default_rng(1)
     v = r.normal(size=(6, 3))
