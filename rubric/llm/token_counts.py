@@ -31,7 +31,7 @@ BLOCK = 2 << 20
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Code points of the Latin blocks and general punctuation, whose classes no Unicode version has changed; texts
-#: with others are split by the library itself.
+#: with others are encoded whole by the library itself.
 PLAIN = "[\x00-ɏ‐-‧]*"
 
 
