@@ -53,6 +53,11 @@ NOTICES = (
     Template("Apache 2.0 notice", "apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
     Template("GPL 2 notice", "gpl-2.0", "gnu general public license version 2", ("general public license", "version 2")),
     Template("GPL 3 notice", "gpl-3.0", "gnu general public license version 3", ("general public license", "version 3")),
+    *[Template(f"GPL {n} header{', either' * bool(either)}", f"gpl-{n}.0",
+               "under the terms of the gnu general public license as published by the free software foundation "
+               f"{either}version {n} of the license",
+               (f"gnu general public license as published by the free software foundation {either}version {n} of the license",))
+      for n in (2, 3) for either in ("either ", "")],
     Template("LGPL notice", "lgpl", "gnu lesser general public license", ("lesser general public license",)),
     Template("AGPL notice", "agpl", "gnu affero general public license", ("affero general public license",)),
     Template("MPL 2.0 notice", "mpl-2.0", "mozilla public license version 2 0", ("mozilla public license",)),

@@ -29,6 +29,15 @@ def test_notices_need_votes_and_key_phrases(spark):
     assert got == {0: {"mit-text"}, 1: {"mit-text"}, 2: set(), 3: set(), 4: {"apache-2.0"}, 5: set(), 6: set(), 7: {"cc-by-nc"}}
 
 
+def test_gpl_file_headers(spark):
+    header = ("you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by "
+              "the Free Software Foundation; {}version {} of the License, or (at your option) any later version.")
+    kinds = [("", "either ", "2"), ("", "either ", "3"), ("", "", "2"), ("Lesser ", "either ", "3"), ("Affero ", "either ", "3")]
+    docs = make_docs(spark, [(i, header.format(*k)) for i, k in enumerate(kinds)])
+    got = {r.doc_id: {m.label for m in r.matches if m.kind == "notice"} for r in license_scan.scan(docs, TEMPLATES).collect()}
+    assert got == {0: {"gpl-2.0"}, 1: {"gpl-3.0"}, 2: {"gpl-2.0"}, 3: {"lgpl"}, 4: {"agpl"}}
+
+
 def test_license_scan_of_an_empty_table(empty):
     assert license_scan.scan(empty, TEMPLATES).collect() == []
 
