@@ -8,7 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tables_at import SF_SMALL
 from rubric.operators import batches as B
 from rubric.operators import evaluation as E
 from rubric.operators import groups as G

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from tables_at import SF_SMALL
 
 import __spark_entry__ as entry_mod
 from rubric.plans import catalog, compare

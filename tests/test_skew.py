@@ -96,7 +96,7 @@ def test_null_keys_are_spread(no_broadcast):
 
 
 def test_joins_by_id_read_no_text(spark):
-    from conftest import SF_SMALL
+    from tables_at import SF_SMALL
     from rubric.plans import catalog
 
     for name in ("j1_with_image", "j1_missing_image", "j2_attach_gold", "j2_unmatched_completions"):
