@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprints, jaccard_join, license_scan, packing, quality
-from . import sentencepiece_fst, token_counts, toxicity, url_filter
+from . import sentencepiece_fst, token_counts, toxicity, url_filter, whitening
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -96,8 +96,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality, op3_sentencepiece, op4_jaccard_join, op5_fingerprints, op6_packing, op7_url_filter,
-                                    op8_exact_dedup, op9_toxicity, op10_token_counts)}
+                                    op8_exact_dedup, op9_toxicity, op10_token_counts, op12_whitening)}
 
 ORACLE = {
     "op7_url_filter": r"""
