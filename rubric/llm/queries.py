@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprints, jaccard_join, license_scan, packing, quality
-from . import sentencepiece_fst, token_counts, toxicity, url_filter, whitening
+from . import sentencepiece_fst, token_counts, toxicity, url_filter, warc, whitening
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -100,8 +100,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality, op3_sentencepiece, op4_jaccard_join, op5_fingerprints, op6_packing, op7_url_filter,
-                                    op8_exact_dedup, op9_toxicity, op10_token_counts, op12_whitening)}
+                                    op8_exact_dedup, op9_toxicity, op10_token_counts, op12_whitening, op13_warc)}
 
 ORACLE = {
     "op7_url_filter": r"""
@@ -133,4 +137,12 @@ SELECT doc_id,
        doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents""",
+    "op13_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN n >= 100 AND first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+FROM p""",
 }
