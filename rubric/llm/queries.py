@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, jaccard_join, license_scan, packing, quality
+from . import alignment, exact_dedup, fingerprints, jaccard_join, license_scan, packing, quality
 from . import sentencepiece_fst, token_counts, toxicity, url_filter, warc, whitening
 
 WORD_BPE = "word_bpe_49k.json"
@@ -96,6 +96,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -105,7 +109,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality, op3_sentencepiece, op4_jaccard_join, op5_fingerprints, op6_packing, op7_url_filter,
-                                    op8_exact_dedup, op9_toxicity, op10_token_counts, op12_whitening, op13_warc)}
+                                    op8_exact_dedup, op9_toxicity, op10_token_counts, op11_alignment, op12_whitening, op13_warc)}
 
 ORACLE = {
     "op7_url_filter": r"""
