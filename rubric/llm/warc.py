@@ -275,9 +275,12 @@ def read_records(entries: DataFrame, payloads: bool = True, span: int = SPAN) ->
     Entries are dealt out by package and ``span`` bytes of it, so a task reads
     neighbours by one range; a row repeated in ``entries`` is read again.
     """
-    python_ready(entries.sparkSession)
+    spark = entries.sparkSession
+    python_ready(spark)
+    # A given number: entries are small beside the records they name, so their bytes say nothing about the work.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = entries.select("archive", "offset", "length").where("offset IS NOT NULL").repartition(
-        "archive", F.expr(f"offset div {span}")).sortWithinPartitions("archive", "offset")
+        parts, "archive", F.expr(f"offset div {span}")).sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
