@@ -476,7 +476,8 @@ def long_fragments(rows: DataFrame, path_a: str, path_b: str, size: int = RANGE,
         one, first = sum((unpacked(r) for r in found), Fragment()), found[0]
         return pa.Table.from_batches([fragment_batch(packed(first["key"], first["doc_id"], first["part"] // fan, first["parts"], one))])
 
-    out = ranges.repartition("key", "part").mapInArrow(align, FRAGMENTS)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = ranges.repartition(parts, "key", "part").mapInArrow(align, FRAGMENTS)
     while most > 1:
         out = out.withColumn("above", F.floor(F.col("part") / fan)).groupBy("key", "above").applyInArrow(compose, FRAGMENTS)
         most = -(-most // fan)
