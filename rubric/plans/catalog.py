@@ -777,6 +777,7 @@ def q4uc(spark, sf_dir):
 # ------------------------------------------------------------------ X1-X4, R4, U1
 
 from ..functions import rewards as RW  # noqa: E402
+from ..streaming import groups as XG  # noqa: E402
 from ..streaming import streams as X  # noqa: E402
 
 
@@ -835,9 +836,49 @@ def x3(spark, sf_dir):
           + f"SELECT sample_id, gen_idx, is_correct, is_consist, {O.r6('reward')} AS reward FROM scored")
 def x4(spark, sf_dir):
     sink = scratch_path(spark, "x4-sink")
-    comp = _timed(TB.completions(spark, sf_dir))
+    comp = _timed(TB.completions(spark, sf_dir)).select(*KEY, "answer", "completion", "ts")
     X.run_to_end(X.dedup_score_stream(_stream_source(spark, comp, "x4", copies=2), sink), allow_late=False)
-    return spark.read.parquet(sink).select(*KEY, "is_correct", "is_consist", r6("reward").alias("reward"))
+    return X.scored_rows(spark, sink).select(*KEY, "is_correct", "is_consist", r6("reward").alias("reward"))
+
+
+_ARRIVING_SQL = "arriving AS (SELECT sample_id, gen_idx, CAST(reward AS DOUBLE) AS reward FROM scored WHERE NOT (sample_id % 7 = 3 AND gen_idx = 5))"
+
+
+def _arriving(spark, sf_dir) -> str:
+    """The sink of R6 and R7 over scored rows that arrive in three deliveries:
+    generations 3 to 5, then 0 to 2, then 0 of every fifth sample again.  Every
+    seventh group lacks a generation.  A last row long after the others lets the timers of all groups pass."""
+    from . import jobs
+    src, sink, days = scratch_path(spark, "groups-src"), scratch_path(spark, "groups-sink"), 400
+    done = jobs.score_job(TB.completions(spark, sf_dir), scratch_path(spark, "scored"), gold="answer")
+    rows = _timed(done.select(*KEY, F.col("reward").cast("double"))).where("NOT (sample_id % 7 = 3 AND gen_idx = 5)")
+    for part in ("gen_idx >= 3", "gen_idx < 3", "gen_idx = 0 AND sample_id % 5 = 0"):
+        rows.where(part).write.mode("append").parquet(src)
+    last = spark.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[:-1]],
+                                 F.lit("2030-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
+    last.write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).parquet(src)
+    X.run_to_end(XG.advantage_stream(stream, sink, delay_ms=days * 86_400_000), allow_late=False)
+    return sink
+
+
+@register("r6_advantage_stream", O.with_base(
+    _ARRIVING_SQL, "g AS (SELECT sample_id, avg(reward) AS m, stddev_samp(reward) AS s FROM arriving GROUP BY sample_id)")
+    + f"SELECT sample_id, gen_idx, {O.r6('reward')} AS reward, "
+      f"{O.r6('CASE WHEN s IS NULL OR s = 0 THEN 0.0 ELSE (reward - m) / (s + 1e-4) END')} AS advantage FROM arriving JOIN g USING (sample_id)")
+def r6_stream(spark, sf_dir):
+    rows = XG.advantages(spark, _arriving(spark, sf_dir)).where("sample_id IS NOT NULL")
+    return rows.select(*KEY, r6("reward").alias("reward"), r6("advantage").alias("advantage"))
+
+
+@register("r7_audit_stream", O.with_base(_ARRIVING_SQL)
+          + "SELECT sample_id, count(*) + CAST(sample_id % 5 = 0 AS BIGINT) AS n_rows, count(DISTINCT gen_idx) AS n_gens, "
+            f"{O.r6('min(reward)')} AS min_reward, {O.r6('max(reward)')} AS max_reward, "
+            "CASE WHEN sample_id % 5 = 0 THEN 'duplicate' WHEN count(DISTINCT gen_idx) < 6 THEN 'missing' "
+            "WHEN min(reward) = max(reward) THEN 'flat' ELSE 'ok' END AS status FROM arriving GROUP BY sample_id")
+def r7_stream(spark, sf_dir):
+    a = XG.audits(spark, _arriving(spark, sf_dir))
+    return a.select("sample_id", "n_rows", "n_gens", r6("min_reward").alias("min_reward"), r6("max_reward").alias("max_reward"), "status")
 
 
 @register("r4_reward_registry", O.with_base()

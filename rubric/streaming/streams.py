@@ -4,20 +4,24 @@ Same Column functions as the batch jobs.  Every query keeps its progress
 and state in a checkpoint folder under the shared checkpoint directory, so
 a restarted driver or a lost executor resumes where it stopped; sinks are
 either the file sink (exactly-once through its commit log) or a
-``foreachBatch`` that overwrites idempotently per batch.
+``foreachBatch`` that overwrites idempotently per batch.  Groups of
+completions on streams are in ``groups``.
 """
 
 from __future__ import annotations
 
 import threading
+from contextlib import contextmanager
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType, TimestampType
 
 from ..operators import evaluation as E
 from ..operators import scoring as S
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 
 def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
@@ -31,6 +35,7 @@ def _start(writer, available_now: bool) -> StreamingQuery:
 
 
 _EPOCH_NTZ = "1970-01-01 00:00:00"
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def ntz_to_instant(c) -> F.Column:
@@ -150,60 +155,106 @@ def windowed_mean_stream(stream: DataFrame, sink: str, window: str = "6 hours",
 
 def dedup_score_stream(stream: DataFrame, sink: str, keys=("sample_id", "gen_idx"), ts: str = "ts",
                        delay: str = "1 day", gold: str = "answer", checkpoint: str | None = None,
-                       available_now: bool = True, rejects: str | None = None) -> StreamingQuery:
+                       available_now: bool = True) -> StreamingQuery:
     """A completion delivered twice (same key within the watermark
     delay) is scored once.
 
-    The watermark of a batch is the latest event time of the batches before
-    it minus ``delay``.  Rows older than it are written unscored to
-    ``rejects`` (default: ``sink`` + "-rejects"), so each row is in the sink,
-    a redelivery of a row there, or among the rejects.  A key stays open until
-    the watermark is ``delay`` past its first row; only the batches that hold
-    open keys are read again.  ``scored_rows`` and ``rejected_rows`` read the
-    finished batches; ``late_rows`` counts the rejects of all of them, and
-    ``run_to_end`` raises if asked to allow none."""
+    ``arrivals`` marks the rows behind the watermark; the engine's own
+    deduplication keeps the keys of the others in its state store (RocksDB)
+    until the watermark is ``delay`` past their first row.  A batch reads its own
+    rows and the state of their keys, so its cost doesn't grow with the batches before it.
+
+    The sink is one file sink (exactly once through its log), in two folders:
+    ``late=0`` has the scored rows (``scored_rows``), ``late=1`` the late
+    ones, unscored (``rejected_rows``).  So each row is in the sink, or a
+    redelivery of a row there.  ``late_rows`` counts the rejects of all batches, and
+    ``run_to_end`` raises if asked to allow none.  A row without a key column is
+    a key of its own kind (nulls are equal); one without ``ts`` is never late."""
     spark = stream.sparkSession
-    rejects, marks = rejects or f"{sink}-rejects", f"{sink}-marks"
-    keys, wait = list(keys), F.expr(f"INTERVAL {delay}")
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        rows = as_event_time(batch, ts)
-        done = {int(f.rsplit("=", 1)[1]): f for f in finished_batches(spark, marks)}
-        last = max((e for e in done if e < epoch), default=None)
-        # The batches that may hold open keys, with their latest event times.
-        known = spark.read.parquet(done[last]) if last is not None else spark.createDataFrame([], f"epoch long, {ts} timestamp")
-        known = known.select("epoch", ts)
-        mark = known.agg((F.max(ts) - wait).alias("_mark"))
-        marked = rows.crossJoin(F.broadcast(mark))
-        late = F.coalesce(F.col(ts) < F.col("_mark"), F.lit(False))
-        fresh = marked.where(~late).drop("_mark").dropDuplicates(keys)
-        open_batches = [r.epoch for r in known.select("epoch").collect()]
-        if open_batches:
-            seen = spark.read.parquet(*[batch_folder(sink, e) for e in open_batches]).crossJoin(F.broadcast(mark))
-            seen = seen.where(F.col(ts) >= F.col("_mark") - wait).select(*[F.col(k).alias(f"seen_{k}") for k in keys])
-            same = [F.col(k).eqNullSafe(F.col(f"seen_{k}")) for k in keys]
-            fresh = fresh.join(seen, same, "left_anti")
-        marked.where(late).drop("_mark").write.mode("overwrite").parquet(batch_folder(rejects, epoch))
-        S.score_completions(fresh, gold=gold).write.mode("overwrite").parquet(batch_folder(sink, epoch))
-        here = rows.agg(F.lit(epoch).cast("long").alias("epoch"), F.max(ts).alias(ts))
-        both = known.unionByName(here.where(F.col(ts).isNotNull()))
-        open_ = both.crossJoin(both.agg((F.max(ts) - wait - wait).alias("end"))).where(F.col(ts) >= F.col("end")).drop("end")
-        open_.coalesce(1).write.mode("overwrite").parquet(batch_folder(marks, epoch))
-
-    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", _checkpoint(spark, "dedup", checkpoint))
-    q = _start(w, available_now)
-    q.rejects = rejects
+    marked = arrivals(stream, list(keys), ts, delay)
+    # Late rows are told apart by their time too: only a late row that comes again as it was counts as redelivered.
+    fresh = marked.withColumn(_LATE_AT, F.when(F.col(_LATE), F.col(_MICROS))).dropDuplicatesWithinWatermark([*keys, _LATE, _LATE_AT])
+    scored = S.score_completions(fresh, gold=gold)
+    extra = [c for c in scored.columns if c not in fresh.columns]
+    out = scored.select(*[F.col(c) for c in stream.columns if c != ts], F.timestamp_micros(_MICROS).alias(ts),
+                        *[F.when(~F.col(_LATE), F.col(c)).alias(c) for c in extra], F.col(_LATE).cast("int").alias("late"))
+    w = (out.writeStream.format("parquet").outputMode("append").partitionBy("late")
+         .option("checkpointLocation", _checkpoint(spark, "dedup", checkpoint)).option("path", sink))
+    with stateful(spark):
+        q = _start(w, available_now)
+    q.sink = sink
     return q
 
 
+_LATE, _MICROS, _AT, _LATE_AT, _DEAL = "_late", "_micros", "_at", "_late_at", "_deal"
+
+
+class _Arrivals(StatefulProcessor):
+    """Passes rows on with ``_late``: whether they are behind the watermark.
+    Keeps no state; the engine tells each group the watermark of its batch."""
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns, self.row = columns, Row(*columns, _LATE, _AT)
+
+    def init(self, handle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        least = mark + 1  # what goes on must be younger than the watermark
+        for r in rows:
+            micros = r[_MICROS]
+            late = mark > 0 and micros is not None and micros < mark
+            at = _EPOCH + timedelta(microseconds=least if micros is None else max(micros, least))
+            yield self.row(*[r[c] for c in self.columns], late, at)
+
+    def close(self) -> None:
+        pass
+
+
+def arrivals(stream: DataFrame, spread: list[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
+    """``stream`` with ``ts`` as ``_micros``, ``_late`` (older than the latest
+    event time of the batches before, less ``delay``), and ``_at``, the event
+    time for what follows: late rows are carried on at the watermark instead
+    of being dropped.  Rows are dealt by a hash of ``spread`` and ``ts``."""
+    spark = stream.sparkSession
+    ship_package(spark)
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    timed = as_event_time(stream, ts).withWatermark(ts, delay)
+    kept = [c for c in stream.columns if c != ts]
+    # Without the event-time column itself: the engine would drop late rows before they are seen.
+    rows = timed.select(*kept, F.unix_micros(ts).alias(_MICROS), F.pmod(F.xxhash64(*spread, ts), F.lit(parts)).cast("int").alias(_DEAL))
+    schema = StructType([*[stream.schema[c] for c in kept], StructField(_MICROS, LongType()), StructField(_LATE, BooleanType()),
+                         StructField(_AT, TimestampType())])
+    return rows.groupBy(_DEAL).transformWithState(_Arrivals([*kept, _MICROS]), schema, "append", "EventTime", eventTimeColumnName=_AT)
+
+
+#: State on disk, with logs of changes instead of whole copies for each batch.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+@contextmanager
+def stateful(spark: SparkSession):
+    """Queries started inside keep their state as ``STATE`` says, whatever the session's setting (it is put back)."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def scored_rows(spark: SparkSession, sink: str) -> DataFrame:
-    """What finished batches of ``dedup_score_stream`` have written."""
-    return spark.read.option("basePath", sink).parquet(*finished_batches(spark, sink))
+    """What ``dedup_score_stream`` has scored."""
+    return spark.read.parquet(sink).where("late = 0").drop("late")
 
 
-def rejected_rows(spark: SparkSession, rejects: str) -> DataFrame:
-    """The late rows of finished batches, with the number of each one's batch."""
-    return scored_rows(spark, rejects)
+def rejected_rows(spark: SparkSession, sink: str) -> DataFrame:
+    """The late rows, unscored."""
+    return spark.read.parquet(sink).where("late = 1").drop("late")
 
 
 class _Dropped(StreamingQueryListener):
@@ -241,11 +292,11 @@ def _dropped(spark: SparkSession) -> _Dropped:
 
 def late_rows(q: StreamingQuery) -> int:
     """Rows that the query left out because they came after the watermark, in
-    all its batches: those in the reject folder if it has one, else those
+    all its batches: the late rows in its sink if it keeps them, else those
     that Spark dropped in this run."""
     spark = SparkSession.active()
-    if getattr(q, "rejects", None):
-        return rejected_rows(spark, q.rejects).count() if finished_batches(spark, q.rejects) else 0
+    if getattr(q, "sink", None):
+        return rejected_rows(spark, q.sink).count()
     dropped, run = _dropped(spark), str(q.runId)
     if not q.isActive and not dropped.ended.setdefault(run, threading.Event()).wait(120):
         raise RuntimeError("the end of the query wasn't reported, so its late rows aren't known")

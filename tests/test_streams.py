@@ -64,7 +64,7 @@ def test_redelivery_in_a_later_batch_is_scored_once(spark):
     _write(spark, [row], schema, src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     X.run_to_end(X.dedup_score_stream(stream, sink))
-    rows = spark.read.parquet(sink).select("sample_id", "is_correct", "is_consist").collect()
+    rows = X.scored_rows(spark, sink).select("sample_id", "is_correct", "is_consist").collect()
     assert sorted(tuple(r) for r in rows) == [(1, 1, 1), (2, 1, 0)]
 
 
@@ -85,5 +85,5 @@ def test_late_completions_are_kept_and_counted(spark):
             X.run_to_end(w, allow_late=False)
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
-    assert [(r.sample_id, r.answer) for r in X.rejected_rows(spark, q.rejects).collect()] == [(2, "yes")]
+    assert [(r.sample_id, r.answer) for r in X.rejected_rows(spark, sink).collect()] == [(2, "yes")]
     assert sorted(r.sample_id for r in X.scored_rows(spark, sink).collect()) == [1, 3, 4, 5]
