@@ -837,7 +837,8 @@ def x3(spark, sf_dir):
 def x4(spark, sf_dir):
     sink = scratch_path(spark, "x4-sink")
     comp = _timed(TB.completions(spark, sf_dir)).select(*KEY, "answer", "completion", "ts")
-    X.run_to_end(X.dedup_score_stream(_stream_source(spark, comp, "x4", copies=2), sink), allow_late=False)
+    X.run_to_end(X.dedup_score_stream(_stream_source(spark, comp, "x4", copies=2), sink,
+                                      columns=["is_correct", "is_consist", "reward"]), allow_late=False)
     return X.scored_rows(spark, sink).select(*KEY, "is_correct", "is_consist", r6("reward").alias("reward"))
 
 
@@ -848,10 +849,9 @@ def _arriving(spark, sf_dir) -> str:
     """The sink of R6 and R7 over scored rows that arrive in three deliveries:
     generations 3 to 5, then 0 to 2, then 0 of every fifth sample again.  Every
     seventh group lacks a generation.  A last row long after the others lets the timers of all groups pass."""
-    from . import jobs
     src, sink, days = scratch_path(spark, "groups-src"), scratch_path(spark, "groups-sink"), 400
-    done = jobs.score_job(TB.completions(spark, sf_dir), scratch_path(spark, "scored"), gold="answer")
-    rows = _timed(done.select(*KEY, F.col("reward").cast("double"))).where("NOT (sample_id % 7 = 3 AND gen_idx = 5)")
+    done = _written(scored(spark, sf_dir).select(*KEY, F.col("reward").cast("double")), "rewards")
+    rows = _timed(done).where("NOT (sample_id % 7 = 3 AND gen_idx = 5)")
     for part in ("gen_idx >= 3", "gen_idx < 3", "gen_idx = 0 AND sample_id % 5 = 0"):
         rows.where(part).write.mode("append").parquet(src)
     last = spark.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[:-1]],

@@ -81,7 +81,7 @@ class _Groups(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         key, mark = key[0], timerValues.getCurrentWatermarkInMs()
-        held = self.group.get() if self.group.exists() else None
+        held = self.group.get()  # None: a new group
         gens, rewards, n_rows, done = (list(held[0]), list(held[1]), held[2], held[3]) if held else ([], [], 0, False)
         seen, first = set(gens), None
         for r in rows:

@@ -155,7 +155,7 @@ def windowed_mean_stream(stream: DataFrame, sink: str, window: str = "6 hours",
 
 def dedup_score_stream(stream: DataFrame, sink: str, keys=("sample_id", "gen_idx"), ts: str = "ts",
                        delay: str = "1 day", gold: str = "answer", checkpoint: str | None = None,
-                       available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True, columns: list[str] | None = None) -> StreamingQuery:
     """A completion delivered twice (same key within the watermark
     delay) is scored once.
 
@@ -164,20 +164,24 @@ def dedup_score_stream(stream: DataFrame, sink: str, keys=("sample_id", "gen_idx
     until the watermark is ``delay`` past their first row.  A batch reads its own
     rows and the state of their keys, so its cost doesn't grow with the batches before it.
 
+    ``columns``: those of the stream and of SCORE that the sink gets besides the
+    keys and ``ts``, by default all.  Scores are computed where rows are read,
+    so a text that isn't among them never moves.
+
     The sink is one file sink (exactly once through its log), in two folders:
     ``late=0`` has the scored rows (``scored_rows``), ``late=1`` the late
-    ones, unscored (``rejected_rows``).  So each row is in the sink, or a
+    ones, without scores (``rejected_rows``).  So each row is in the sink, or a
     redelivery of a row there.  ``late_rows`` counts the rejects of all batches, and
     ``run_to_end`` raises if asked to allow none.  A row without a key column is
     a key of its own kind (nulls are equal); one without ``ts`` is never late."""
-    spark = stream.sparkSession
-    marked = arrivals(stream, list(keys), ts, delay)
+    spark, keys = stream.sparkSession, list(keys)
+    scored = S.score_completions(stream, gold=gold)
+    wanted = [c for c in scored.columns if c != ts and (columns is None or c in columns or c in keys)]
+    marked = arrivals(scored.select(*wanted, ts), keys, ts, delay)
     # Late rows are told apart by their time too: only a late row that comes again as it was counts as redelivered.
     fresh = marked.withColumn(_LATE_AT, F.when(F.col(_LATE), F.col(_MICROS))).dropDuplicatesWithinWatermark([*keys, _LATE, _LATE_AT])
-    scored = S.score_completions(fresh, gold=gold)
-    extra = [c for c in scored.columns if c not in fresh.columns]
-    out = scored.select(*[F.col(c) for c in stream.columns if c != ts], F.timestamp_micros(_MICROS).alias(ts),
-                        *[F.when(~F.col(_LATE), F.col(c)).alias(c) for c in extra], F.col(_LATE).cast("int").alias("late"))
+    out = fresh.select(*[F.when(~F.col(_LATE), F.col(c)).alias(c) if c in S.SCORED_COLUMNS else F.col(c) for c in wanted],
+                       F.timestamp_micros(_MICROS).alias(ts), F.col(_LATE).cast("int").alias("late"))
     w = (out.writeStream.format("parquet").outputMode("append").partitionBy("late")
          .option("checkpointLocation", _checkpoint(spark, "dedup", checkpoint)).option("path", sink))
     with stateful(spark):

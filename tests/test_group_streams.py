@@ -85,12 +85,13 @@ def test_a_restart_goes_on_where_it_stopped(spark):
 
 
 def test_many_batches_cost_the_same(spark):
-    """X4 over 200 micro-batches whose watermark moves on: neither the state nor a batch's time grows."""
+    """X4 over many micro-batches whose watermark moves on: a batch's time doesn't grow (``RUBRIC_BATCHES=200`` takes some minutes)."""
+    n = int(os.environ.get("RUBRIC_BATCHES", 40))
     schema = "sample_id long, gen_idx int, completion string, answer string, ts timestamp_ntz"
     src, sink = scratch_path(spark, "many-src"), scratch_path(spark, "many-sink")
-    rows = [(i // 2, 0, "<answer>yes</answer>", "yes", at(60 * (i // 2))) for i in range(400)]  # each twice, an hour apart
+    rows = [(i // 2, 0, "<answer>yes</answer>", "yes", at(60 * (i // 2))) for i in range(2 * n)]  # each twice
     frame = spark.createDataFrame(rows, schema)
-    frame.repartitionByRange(200, "sample_id").write.parquet(src)
+    frame.repartitionByRange(n, "sample_id").write.parquet(src)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 500)
@@ -102,11 +103,11 @@ def test_many_batches_cost_the_same(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     done = [p for p in q.recentProgress if p["numInputRows"]]
-    assert len(done) == 200
+    assert len(done) == n
     took = [p["batchDuration"] for p in done]
-    early, late = sorted(took[20:60])[20], sorted(took[160:200])[20]
+    early, late = (sorted(some)[len(some) // 2] for some in (took[n // 10:n // 3], took[-n // 4:]))
     assert late < 2 * early, (early, late)
-    assert X.scored_rows(spark, sink).count() == 200 == X.scored_rows(spark, sink).select("sample_id").distinct().count()
+    assert X.scored_rows(spark, sink).count() == n == X.scored_rows(spark, sink).select("sample_id").distinct().count()
 
 
 def test_state_ends_with_the_watermark(spark):
