@@ -6,7 +6,8 @@ the default splits on whitespace.  ``tokenise`` makes the token columns; a
 job writes them once and the steps read them (``plans.jobs.sequences_job``).
 The vocabulary is built by Spark: token counts (partial + final aggregate),
 then ids by rank of (count desc, token) through the distributed
-``global_index`` - no single-task sort - or given by the user.
+``global_index`` - no single-task sort - or given by the user.  Texts are
+encoded in blocks with dictionaries of their own (``blocks``).
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import tokens as whitespace_tokens
+from ..session import scratch_path
+from . import blocks
 from .batches import global_index
-from .skew import content, key_counts, salted_join
 
 Tokenizer = Callable[[Column], Column]
 PAD_ID = 0
@@ -61,28 +63,47 @@ def build_vocabulary(tokens: DataFrame, first_id: int = FIRST_ID) -> DataFrame:
     """Q2: (token, count, id) ranked by count desc, then token."""
     counts = (tokens.select(F.explode("tokens").alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    return global_index(counts, [F.col("count").desc(), F.col("token").asc()], name="id", base=first_id)
+    return rank_vocabulary(counts, first_id)
+
+
+def rank_vocabulary(counts: DataFrame, first_id: int = FIRST_ID) -> DataFrame:
+    """Ids by rank.  The counts are written first: the sort samples them for
+    its ranges and then reads them, and neither should count the corpus."""
+    path = scratch_path(counts.sparkSession, "token-counts")
+    counts.write.parquet(path)
+    written = counts.sparkSession.read.parquet(path)
+    return global_index(written, [F.col("count").desc(), F.col("token").asc()], name="id", base=first_id)
+
+
+def code_tokens(tokens: DataFrame, key: str = "sample_id", max_length: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Q2: coded blocks (``blocks``) of whole texts, or of their first
+    ``max_length`` tokens (Q3).  A NULL key stops the job: such a sequence
+    belongs to no sample.  ``build_vocabulary_of`` and ``encode_blocks`` read
+    them, so a job that needs both tokenises once."""
+    toks = F.col("tokens") if max_length is None else F.slice("tokens", 1, max_length)
+    known = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"NULL {key}: a sequence needs the id of its sample"))) \
+        .otherwise(F.col(key)).alias(key)
+    return blocks.code_blocks(tokens.select(known, *carry, toks.alias("tokens")), carry=(key, *carry))
+
+
+def build_vocabulary_of(coded: DataFrame, first_id: int = FIRST_ID) -> DataFrame:
+    """``build_vocabulary`` from coded blocks of whole texts."""
+    return rank_vocabulary(blocks.token_counts(coded), first_id)
+
+
+def encode_blocks(coded: DataFrame, vocab: DataFrame, unk_id: int = UNK_ID) -> DataFrame:
+    """Q2: the key, the carried columns and ``input_ids`` of coded blocks."""
+    carry = tuple(c for c in coded.columns if c not in blocks.OWN)
+    return blocks.decode_blocks(coded, blocks.block_ids(coded, vocab, unk_id), carry, unk_id)
 
 
 def encode(tokens: DataFrame, vocab: DataFrame, key: str = "sample_id", max_length: int | None = None,
            carry: tuple[str, ...] = (), unk_id: int = UNK_ID) -> DataFrame:
     """Q2: token ids in text order, of whole texts unless ``max_length`` cuts
     them (Q3).  A token that ``vocab`` (token, id) lacks gets ``unk_id``, so
-    positions stay.  ``key`` must be unique; a NULL key stops the job, since
-    all such rows would become one.  ``carry`` columns ride along in the
-    grouping key (no join back).  The token join is salted on frequent
-    tokens, by the occurrence (key, position), so no text is needed for it."""
-    toks = F.col("tokens") if max_length is None else F.slice("tokens", 1, max_length)
-    known = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"NULL {key}: ids are needed to put a text's tokens together"))) \
-        .otherwise(F.col(key)).alias(key)
-    occ = tokens.select(known, *carry, F.posexplode_outer(toks).alias("pos", "token"))
-    counts = (vocab.select("token", F.col("count").alias("n")) if "count" in vocab.columns and max_length is None
-              else key_counts(occ, "token"))
-    joined = salted_join(occ, vocab.select("token", "id"), "token", counts=counts, how="left", salt=content(key, "pos"))
-    one = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
-    return (joined.groupBy(key, *carry)
-            .agg(F.sort_array(F.collect_list(one)).alias("_p"))
-            .select(key, *carry, F.transform("_p", lambda x: x.getField("id")).alias("input_ids")))
+    positions stay.  A NULL key stops the job; rows that repeat a key stay
+    apart.  ``carry`` columns ride along."""
+    return encode_blocks(code_tokens(tokens, key, max_length, carry), vocab, unk_id)
 
 
 def truncate_pad(ids: Column, max_length: int, left: Column, pad_id: int = PAD_ID) -> tuple[Column, Column]:
@@ -126,6 +147,12 @@ def build_sequences(tokens: DataFrame, max_length: int, vocab: DataFrame,
     labels per sample (train pads right, val/test pad left; test rows carry
     no labels)."""
     enc = encode(tokens, vocab, max_length=max_length, carry=(split, "prompt_len"))
+    return pad_sequences(enc, max_length, split, mode)
+
+
+def pad_sequences(enc: DataFrame, max_length: int, split: str = "split", mode: str = "default") -> DataFrame:
+    """Q3 and Q4 of encoded rows (``input_ids``, the split and ``prompt_len``)."""
+    enc = enc.withColumn("input_ids", F.slice("input_ids", 1, max_length))
     left = F.col(split).isin("val", "test")
     padded, mask = truncate_pad(F.col("input_ids"), max_length, left)
     s = enc.select("*", padded.alias("padded_ids"), mask.alias("attention_mask"),

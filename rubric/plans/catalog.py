@@ -719,8 +719,8 @@ def q2v(spark, sf_dir):
 @register("q2_encode", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)
           + "SELECT sample_id, array_to_string(ids, ' ') AS input_ids FROM whole")
 def q2e(spark, sf_dir):
-    t = _written(_tokens(spark, sf_dir), "tokens")
-    return Q.encode(t, Q.build_vocabulary(t)).select("sample_id", _ids_str("input_ids").alias("input_ids"))
+    coded = Q.code_tokens(_tokens(spark, sf_dir))
+    return Q.encode_blocks(coded, Q.build_vocabulary_of(coded)).select("sample_id", _ids_str("input_ids").alias("input_ids"))
 
 
 @register("q2_encode_unknown", O.with_base(_RAW_SQL, _TRAIN_SQL, scored=False)
@@ -733,10 +733,13 @@ def q2u(spark, sf_dir):
 
 
 def _seq(spark, sf_dir, mode="default", train_vocab: bool = False) -> DataFrame:
-    """As the SEQ job runs it: the token table is written once."""
-    t = _written(_tokens(spark, sf_dir), "tokens")
-    vocab = Q.build_vocabulary(t.where("split = 'train'") if train_vocab else t)
-    return Q.build_sequences(t, MAX_LEN, vocab, mode=mode)
+    """As the SEQ job runs it: texts are tokenised once, into coded blocks;
+    with a vocabulary of the train split, the token table is written and read twice."""
+    if train_vocab:
+        t = _written(_tokens(spark, sf_dir), "tokens")
+        return Q.build_sequences(t, MAX_LEN, Q.build_vocabulary(t.where("split = 'train'")), mode=mode)
+    coded = Q.code_tokens(_tokens(spark, sf_dir), carry=("split", "prompt_len"))
+    return Q.pad_sequences(Q.encode_blocks(coded, Q.build_vocabulary_of(coded)), MAX_LEN, mode=mode)
 
 
 @register("q3_truncate_pad", O.with_base(_RAW_SQL, _SEQ_SQL, scored=False)

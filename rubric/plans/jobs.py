@@ -54,15 +54,14 @@ def eval_job(spark: SparkSession, completions: DataFrame, gold: DataFrame, out_d
 
 def sequences_job(prompts: DataFrame, out: str, max_length: int, mode: str = "default",
                   vocab: DataFrame | None = None) -> DataFrame:
-    """SEQ: prompts are tokenised once and written; the vocabulary (unless
-    given) and the sequences read the token table."""
+    """SEQ: prompts are tokenised once, into coded blocks; the vocabulary
+    (unless given) counts whole texts there, and the sequences take their first ``max_length`` ids."""
     spark = prompts.sparkSession
-    Q.tokenise(prompts).write.mode("overwrite").parquet(f"{out}/tokens")
-    tokens = spark.read.parquet(f"{out}/tokens")
+    coded = Q.code_tokens(Q.tokenise(prompts), carry=("split", "prompt_len"))
     if vocab is None:
-        Q.build_vocabulary(tokens).write.mode("overwrite").parquet(f"{out}/vocabulary")
+        Q.build_vocabulary_of(coded).write.mode("overwrite").parquet(f"{out}/vocabulary")
         vocab = spark.read.parquet(f"{out}/vocabulary")
-    Q.build_sequences(tokens, max_length, vocab, mode=mode).write.mode("overwrite").parquet(f"{out}/sequences")
+    Q.pad_sequences(Q.encode_blocks(coded, vocab), max_length, mode=mode).write.mode("overwrite").parquet(f"{out}/sequences")
     return spark.read.parquet(f"{out}/sequences")
 
 
