@@ -233,11 +233,13 @@ def arrivals(stream: DataFrame, spread: list[str], ts: str = "ts", delay: str =
     return rows.groupBy(_DEAL).transformWithState(_Arrivals([*kept, _MICROS]), schema, "append", "EventTime", eventTimeColumnName=_AT)
 
 
-#: State on disk, with logs of changes instead of whole copies for each batch, and no space taken in advance (a store
-#: for each partition would take some megabytes).
+#: State on disk, with logs of changes instead of whole copies for each batch, no space taken in advance (a store
+#: for each partition would take some megabytes), and one bound of memory for all stores of an executor.
 STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
 
 
 @contextmanager
