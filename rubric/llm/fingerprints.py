@@ -42,6 +42,8 @@ BAND = (0.0005, 0.05)
 KEEP = (128, 64, 32, 16, 8, 4, 2, 1)
 #: The ladder goes on until a subset has so many terms of the longest text, or fewer.
 FEW = 2
+#: Levels that are filtered out of the step before; those between are filtered out of these.
+STEPS = (0, 3, 7)
 #: Draws from the lexicon, draws from all terms, and both.
 LEXICAL = 14
 WHOLE = 7
@@ -114,7 +116,8 @@ def fingerprint(text: Column, in_band: Column, size: int = LEXICON, keep: tuple[
     per_number = 64 // bits
 
     def value(some: Column) -> Column:
-        return F.when(F.size(some) > 0, F.pmod(F.hash(some), F.lit(VALUES - 1)) + 1).otherwise(F.lit(0))
+        """Of terms with their random numbers (bound: it is used twice)."""
+        return F.when(F.size(some) > 0, F.pmod(F.hash(some["t"]), F.lit(VALUES - 1)) + 1).otherwise(F.lit(0))
 
     def values(of: Column) -> Column:
         kept = F.filter(of, lambda t: F.getbit(F.get(in_band, F.floor(F.pmod(t, F.lit(size)) / 64).cast("int")),
@@ -125,25 +128,34 @@ def fingerprint(text: Column, in_band: Column, size: int = LEXICON, keep: tuple[
             return F.transform(some, lambda t: F.struct(
                 t.alias("t"), *[F.xxhash64(t, F.lit(i)).alias(f"r{i}") for i in range(-(-draws // per_number))]))
 
-        def nested(pairs: Column, draw: int, whole: bool, level: int = 0) -> Column:
-            """The values of a draw's subsets from ``level`` on, each filtered out of the one before."""
-            if level == len(keep):
-                return F.array().cast("array<int>")
+        def levels(pairs: Column, draw: int, whole: bool) -> Column:
+            """The values of a draw's subsets: each level is filtered out of one of the few
+            levels of ``STEPS``, so all terms are looked at once."""
             number, shift = f"r{draw // per_number}", bits * (draw % per_number)
 
             def random(p: Column) -> Column:
                 return F.shiftrightunsigned(p[number], shift).bitwiseAND((1 << bits) - 1)
 
-            none = F.array_repeat(F.lit(0), len(keep) - level)
-            if whole and level == 0:
+            def some(of: Column, at: list[int]) -> Column:
+                return F.transform(F.array(*[F.lit(keep[k]) for k in at]), lambda most: bind(F.filter(of, lambda p: random(p) < most), value))
+
+            def step(of: Column, at: int) -> Column:
+                upto = min((x for x in STEPS if x > at), default=len(keep))
+                return bind(F.filter(of, lambda p: random(p) < keep[at]), lambda chosen: F.when(F.size(chosen) > 0, F.concat(
+                    F.array(value(chosen)), some(chosen, list(range(at + 1, upto))),
+                    *([step(chosen, upto)] if upto < len(keep) else []))).otherwise(none(at)))
+
+            def none(at: int) -> Column:
+                zeros = F.array_repeat(F.lit(0), len(keep) - at)
+                if not whole or at:
+                    return zeros
                 least = F.array_min(F.transform(pairs, lambda p: F.struct(random(p).alias("r"), p["t"].alias("t"))))["t"]
-                none = F.concat(F.array(value(F.array(least))), F.array_repeat(F.lit(0), len(keep) - 1))
-            return bind(F.filter(pairs, lambda p: random(p) < keep[level]),
-                        lambda chosen: F.when(F.size(chosen) > 0, F.concat(
-                            F.array(value(chosen["t"])), nested(chosen, draw, whole, level + 1))).otherwise(none))
+                return F.concat(F.array(bind(F.array(F.struct(least.alias("t"))), value)), F.array_repeat(F.lit(0), len(keep) - 1))
+
+            return step(pairs, 0)
 
         def part(some: Column, draws: int, whole: bool, has: Column) -> Column:
-            return F.when(has, bind(drawn(some, draws), lambda pairs: F.concat(*[nested(pairs, d, whole) for d in range(draws)]))
+            return F.when(has, bind(drawn(some, draws), lambda pairs: F.concat(*[levels(pairs, d, whole) for d in range(draws)]))
                           ).otherwise(F.array_repeat(F.lit(0), draws * len(keep)))
 
         lexical = bind(kept, lambda some: part(some, LEXICAL, False, (F.size(some) > 0) & (F.size(some) * SPARSE >= F.size(of))))

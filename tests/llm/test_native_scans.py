@@ -3,6 +3,7 @@ import re
 from fnmatch import fnmatchcase
 
 import brute
+import pytest
 from cases import EDGE, make_docs
 
 from rubric.llm import fingerprints, license_scan, queries, url_filter
