@@ -25,7 +25,7 @@ from .rows import project, python_ready, written
 
 SEQ_LEN = 2048
 END_ID = 1
-#: Chunks, and pre-tokens, whose ids a worker remembers (two generations of this size each).
+#: Chunks and pre-tokens whose ids a worker remembers, in one of two generations.
 MEMO = 250_000
 
 ENCODED = "part int, doc_id long, before long, n_ids long, ids binary"
@@ -37,6 +37,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 PLAIN = "[!-~\xa1-\u024f]+"
 #: Of those, what most chunks are: one pre-token of letters, perhaps one of a mark behind it.
 WORD = "([A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f]+)([.,]?)"
+#: Longest chunk that is remembered.
+LONGEST = 64
 #: Documents encoded at a time.
 ROWS = 256
 
@@ -50,13 +52,17 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memo(dict):
-    """Remembers what ``make`` returns for up to two generations of ``size`` keys."""
+    """Remembers what ``make`` returns for up to two generations of ``size``
+    keys.  Keys longer than ``longest`` are made anew each time, so the bytes
+    held are bounded too."""
 
-    def __init__(self, make, size: int):
+    def __init__(self, make, size: int, longest: int | None = None):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.old, self.longest = make, size, {}, longest
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -95,7 +101,7 @@ def chunk_encoder(path: str, memo: int = MEMO):
         spelled = word if word.isascii() else "".join(letter[b] for b in word.encode())
         return as_bytes([t.id for t in tokenizer.model.tokenize(spelled)])
 
-    pre_tokens = Memo(pre_token, memo)
+    pre_tokens = Memo(pre_token, memo // 2, LONGEST)
 
     def chunk(data: bytes) -> bytes:
         text = data.decode()
@@ -106,7 +112,7 @@ def chunk_encoder(path: str, memo: int = MEMO):
             return b"".join(map(pre_tokens.__getitem__, split(text.lower())))
         return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    return Memo(chunk, memo).__getitem__
+    return Memo(chunk, memo // 2, LONGEST).__getitem__
 
 
 def encoder(path: str, end_id: int = END_ID, memo: int = MEMO):

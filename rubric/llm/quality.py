@@ -220,13 +220,12 @@ def rate(docs: DataFrame, model: Model, good: int = GOOD, keep: float = KEEP,
 
 
 def keep_good(docs: DataFrame, model: Model, good: int = GOOD, keep: float = KEEP, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose tail probability reaches ``keep``."""
+    """The rows of ``docs``, all columns, whose tail probability reaches
+    ``keep``.  Only texts go to Python."""
     python_ready(docs.sparkSession)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tails = text_tails(model, batch.column(at).fill_null(""))
-            yield batch.filter(pa.array(model.tail(tails, good) >= keep))
+    @F.arrow_udf("double")
+    def tail(texts: pa.Array) -> pa.Array:
+        return pa.array(model.tail(text_tails(model, texts), good), pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(tail(F.coalesce(docs[text_col], F.lit(""))) >= keep)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import Memo
+from .packing import LONGEST, Memo
 from .rows import project, python_ready
 
 MARK = "▁"
@@ -68,7 +68,7 @@ class Transducer:
         self.cut = self._cutter().findall
         self.edges = Memo(self._edges, len(pieces))
         self.follows = Memo(self._follows, memo)
-        self.remembered = Memo(self._encode_cut, memo)
+        self.remembered = Memo(self._encode_cut, memo, LONGEST)
 
     @classmethod
     def from_file(cls, path: str, memo: int = MEMO) -> Transducer:

@@ -190,12 +190,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``THRESHOLD``."""
+    """The rows of ``docs``, all columns, that score below ``THRESHOLD``.
+    Only texts go to Python."""
     python_ready(docs.sparkSession)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(text_scores(model, batch.column(at).fill_null("")) < THRESHOLD))
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array(text_scores(model, texts), pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scores(F.coalesce(docs[text_col], F.lit(""))) < THRESHOLD)
