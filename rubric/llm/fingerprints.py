@@ -4,23 +4,24 @@ The lexicon holds the terms whose document frequency lies in a band: neither
 so common that they say nothing nor so rare that an edit loses them.  A
 text's terms in one lexicon, distinct and sorted, are hashed to one value.
 A fingerprint has such a value for each of many random subsets of the lexicon:
-14 draws, and of each the subsets that keep 1/4, 1/8 and so on to 1/512 of the
-lexicon, one inside the other; further on if the longest text has so many
-terms that ``FEW`` of them are a smaller share.  Two versions of a text agree
-in a subset if the edit touched none of its terms, so the share of subsets
-that agree is a likeness; small subsets suit long texts and large ones short
-texts.
+``LEXICAL`` draws, and of each the subsets that keep 1/4, 1/8 and so on, one
+inside the other (``LEVELS``).  Two versions of a text agree in a subset if the
+edit touched none of its terms, so the share of subsets that agree is a
+likeness; small subsets suit long texts and large ones short texts.
 
 The lexicon is a bit set over ``LEXICON`` hash classes of terms, counted over
 all distinct texts, so its size doesn't grow with the vocabulary.  Terms that
-share a class are in or out together.
+share a class are in or out together.  With the same lexicon a text has the
+same fingerprint in every table.
 
-Some texts have hardly a term in the lexicon: short ones, those of a large
-group of near copies, whose terms are too common, and all texts of a table of
-less than 20.  So seven more draws take subsets of all terms, and two texts
-are compared by these where either has too few lexicon terms.
+Fallback: some texts have hardly a term in the lexicon (short ones, those of a
+large group of near copies, whose terms are too common, and all texts of a
+table of less than 20).  So ``WHOLE`` more draws take subsets of all terms, and
+two texts are compared by these where either has too few lexicon terms
+(``SPARSE``).  A text without any term counts as a single term, itself.
 
-Built-in functions only.
+Built-in functions only.  The fingerprint is written as SQL text: its many
+nested functions would take seconds to build one call at a time.
 """
 
 from __future__ import annotations
@@ -30,69 +31,58 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import lower_ascii, project
+from .rows import ASCII_LOWER, ASCII_UPPER, project
 
-#: Fixed value: a term is a run of none of these characters (A-Z are lower-cased before).
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what lies between terms (A-Z are lower-cased before).
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Hash classes of terms.
 LEXICON = 1 << 18
 #: Document frequencies of the lexicon's terms, as shares of the documents.
 BAND = (0.0005, 0.05)
-#: Of a term's 512 random values in a draw, how many keep it; longer ladders have ``ladder``.
-KEEP = (128, 64, 32, 16, 8, 4, 2, 1)
-#: The ladder goes on until a subset has so many terms of the longest text, or fewer.
-FEW = 2
-#: Levels that are filtered out of the step before; those between are filtered out of these.
+#: Subsets of a draw: level k keeps one in 2^(k + 2) terms.
+LEVELS = 15
+#: Levels that are filtered out of the one before in this list; those between are filtered out of these.
 STEPS = (0, 3, 7)
 #: Draws from the lexicon, draws from all terms, and both.
-LEXICAL = 14
-WHOLE = 7
+LEXICAL = 6
+WHOLE = 2
 DRAWS = LEXICAL + WHOLE
 #: Texts with less than one lexicon term in so many terms have no values for the lexicon.
 SPARSE = 8
 #: Values are numbers below this, 0 for a subset without terms.
 VALUES = 1 << 20
+#: Random bits of a term in a draw, and draws that one 64-bit number serves.
+BITS = LEVELS + 1
+PER_NUMBER = 64 // BITS
 
 
-def terms(text: Column) -> Column:
-    """The distinct terms of a text as sorted 64-bit hashes."""
-    found = F.regexp_extract_all(lower_ascii(text), F.lit(TERM), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
+def terms_sql(text: str) -> str:
+    """The distinct terms of a text (SQL) as sorted 64-bit hashes."""
+    found = f"filter(split(translate({text}, '{ASCII_UPPER}', '{ASCII_LOWER}'), r'{BETWEEN}'), w -> w != '')"
+    return f"array_sort(array_distinct(transform({found}, w -> xxhash64(w))))"
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, size: int = LEXICON,
-            text_col: str = "text") -> tuple[list[int], int]:
-    """The bit set, as size / 64 signed 64-bit numbers, and the number of
-    terms of the longest text.
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, size: int = LEXICON, text_col: str = "text") -> list[int]:
+    """The bit set, as size / 64 signed 64-bit numbers.
 
     A class is in if its document frequency (a distinct text counts once for
     each term it has there) is in the band, and at least 1.  Copies move as
     their classes, one for each task at most.
     """
-    text = F.coalesce(docs[text_col], F.lit(""))
-    classes = docs.select(F.xxhash64(text).alias("text_hash"), F.transform(
-        terms(text), lambda t: F.pmod(t, F.lit(size)).cast("int")).alias("classes")).dropDuplicates(["text_hash"])
+    texts = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    classes = texts.select(F.xxhash64("text").alias("text_hash"), F.expr(
+        f"transform({terms_sql('text')}, t -> cast(pmod(t, {size}) as int))").alias("classes")).dropDuplicates(["text_hash"])
     # Class -1 counts the texts.
-    counts = classes.select(F.explode(F.concat(F.array(F.lit(-1)), "classes")).alias("class"), F.size("classes").alias("n_terms")).groupBy(
-        "class").agg(F.count(F.lit(1)).alias("n"), F.max("n_terms").alias("n_terms"))
+    counts = classes.select(F.explode(F.concat(F.array(F.lit(-1)), "classes")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     found = counts.groupBy(F.floor(F.col("class") / 64).cast("int").alias("at")).agg(
-        F.collect_list(F.struct(F.pmod("class", F.lit(64)).alias("bit"), "n")).alias("counts"), F.max("n_terms").alias("n_terms")).collect()
+        F.collect_list(F.struct(F.pmod("class", F.lit(64)).alias("bit"), "n")).alias("counts")).collect()
     n_docs = next((r["counts"][0]["n"] for r in found if r["at"] < 0), 0)
     out = [0] * (size // 64)
     for r in found:
         if r["at"] >= 0:
             word = sum(1 << c["bit"] for c in r["counts"] if band[0] * n_docs <= c["n"] <= band[1] * n_docs)
             out[r["at"]] = word - (word >> 63 << 64)
-    return out, max((r["n_terms"] for r in found), default=0)
-
-
-def ladder(longest: int) -> tuple[int, ...]:
-    """``KEEP``, or with more levels if ``longest`` terms need them: of 2^bits
-    random values of a term, how many keep it; bits is the length plus one."""
-    levels = len(KEEP)
-    while longest > FEW << levels + 1:
-        levels += 1
-    return tuple(1 << k for k in reversed(range(levels)))
+    return out
 
 
 def long_array(values: list[int]) -> Column:
@@ -105,63 +95,71 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def fingerprint(text: Column, in_band: Column, size: int = LEXICON, keep: tuple[int, ...] = KEEP) -> Column:
-    """The values of a text, one for each subset, 0 for a subset that has
-    none of its terms.  ``in_band``: ``lexicon`` as an array column; ``keep``:
-    ``ladder`` of all the texts compared.  First come the draws from the
-    lexicon, zeros if it has less than one in ``SPARSE`` of the text's terms;
-    then those from all terms, whose first subsets have one term at least, that
-    with the smallest number.  A text without terms has zeros."""
-    bits = len(keep) + 1
-    per_number = 64 // bits
+def let(name: str, value: str, use: str) -> str:
+    """``bind`` in SQL."""
+    return f"transform(array({value}), {name} -> {use})[0]"
+
 
-    def value(some: Column) -> Column:
-        """Of terms with their random numbers (bound: it is used twice)."""
-        return F.when(F.size(some) > 0, F.pmod(F.hash(some["t"]), F.lit(VALUES - 1)) + 1).otherwise(F.lit(0))
+def value_sql(some: str) -> str:
+    """Of terms with their random numbers, bound to a name."""
+    return f"if(size({some}) > 0, pmod(hash({some}.t), {VALUES - 1}) + 1, 0)"
 
-    def values(of: Column) -> Column:
-        kept = F.filter(of, lambda t: F.getbit(F.get(in_band, F.floor(F.pmod(t, F.lit(size)) / 64).cast("int")),
-                                               F.pmod(t, F.lit(64)).cast("int")) == 1)
 
-        def drawn(some: Column, draws: int) -> Column:
-            """Each term with its random numbers."""
-            return F.transform(some, lambda t: F.struct(
-                t.alias("t"), *[F.xxhash64(t, F.lit(i)).alias(f"r{i}") for i in range(-(-draws // per_number))]))
+def draw_sql(pairs: str, draw: int, whole: bool) -> str:
+    """The values of a draw's subsets: each level is filtered out of one of
+    the few levels of ``STEPS``, so all terms are looked at once."""
+    number, shift, mask = f"r{draw // PER_NUMBER}", BITS * (draw % PER_NUMBER), (1 << BITS) - 1
 
-        def levels(pairs: Column, draw: int, whole: bool) -> Column:
-            """The values of a draw's subsets: each level is filtered out of one of the few
-            levels of ``STEPS``, so all terms are looked at once."""
-            number, shift = f"r{draw // per_number}", bits * (draw % per_number)
+    def random(p: str) -> str:
+        return f"(shiftrightunsigned({p}.{number}, {shift}) & {mask})"
 
-            def random(p: Column) -> Column:
-                return F.shiftrightunsigned(p[number], shift).bitwiseAND((1 << bits) - 1)
+    def keep(level: int) -> int:
+        return 1 << (LEVELS - 1 - level)
 
-            def some(of: Column, at: list[int]) -> Column:
-                return F.transform(F.array(*[F.lit(keep[k]) for k in at]), lambda most: bind(F.filter(of, lambda p: random(p) < most), value))
+    def none(level: int) -> str:
+        zeros = f"array_repeat(0, {LEVELS - level})"
+        if not whole or level:
+            return zeros
+        least = f"array_min(transform({pairs}, p -> struct({random('p')} as r, p.t as t)))"
+        return f"concat(array({let('one', f'array({least})', value_sql('one'))}), array_repeat(0, {LEVELS - 1}))"
 
-            def step(of: Column, at: int) -> Column:
-                upto = min((x for x in STEPS if x > at), default=len(keep))
-                return bind(F.filter(of, lambda p: random(p) < keep[at]), lambda chosen: F.when(F.size(chosen) > 0, F.concat(
-                    F.array(value(chosen)), some(chosen, list(range(at + 1, upto))),
-                    *([step(chosen, upto)] if upto < len(keep) else []))).otherwise(none(at)))
+    def step(of: str, level: int) -> str:
+        upto = min((x for x in STEPS if x > level), default=LEVELS)
+        name = f"c{level}"
+        parts = [f"array({value_sql(name)})"]
+        if upto > level + 1:
+            limits = ", ".join(str(keep(k)) for k in range(level + 1, upto))
+            inner = let("some", f"filter({name}, p -> {random('p')} < most)", value_sql("some"))
+            parts.append(f"transform(array({limits}), most -> {inner})")
+        if upto < LEVELS:
+            parts.append(step(name, upto))
+        return let(name, f"filter({of}, p -> {random('p')} < {keep(level)})",
+                   f"if(size({name}) > 0, concat({', '.join(parts)}), {none(level)})")
 
-            def none(at: int) -> Column:
-                zeros = F.array_repeat(F.lit(0), len(keep) - at)
-                if not whole or at:
-                    return zeros
-                least = F.array_min(F.transform(pairs, lambda p: F.struct(random(p).alias("r"), p["t"].alias("t"))))["t"]
-                return F.concat(F.array(bind(F.array(F.struct(least.alias("t"))), value)), F.array_repeat(F.lit(0), len(keep) - 1))
+    return step(pairs, 0)
 
-            return step(pairs, 0)
 
-        def part(some: Column, draws: int, whole: bool, has: Column) -> Column:
-            return F.when(has, bind(drawn(some, draws), lambda pairs: F.concat(*[levels(pairs, d, whole) for d in range(draws)]))
-                          ).otherwise(F.array_repeat(F.lit(0), draws * len(keep)))
+def fingerprint(text: str, in_band: list[int], size: int = LEXICON) -> Column:
+    """The values of the texts of a column, one for each subset, 0 for a
+    subset that has none of its terms.  ``in_band``: ``lexicon``.  First come
+    the draws from the lexicon, zeros if it has less than one in ``SPARSE`` of
+    the text's terms; then those from all terms, whose first subsets have one
+    term at least, that with the smallest number.  An empty text has zeros."""
+    bits = f"cast(split('{','.join(map(str, in_band))}', ',') as array<bigint>)"
 
-        lexical = bind(kept, lambda some: part(some, LEXICAL, False, (F.size(some) > 0) & (F.size(some) * SPARSE >= F.size(of))))
-        return F.concat(lexical, part(of, WHOLE, True, F.size(of) > 0))
+    def drawn(of: str, draws: int) -> str:
+        numbers = ", ".join(f"xxhash64(t, {i}) as r{i}" for i in range(-(-draws // PER_NUMBER)))
+        return f"transform({of}, t -> struct(t as t, {numbers}))"
 
-    return bind(terms(text), values)
+    def part(of: str, draws: int, whole: bool, has: str) -> str:
+        values = let("pairs", drawn(of, draws), f"concat({', '.join(draw_sql('pairs', d, whole) for d in range(draws))})")
+        return f"if({has}, {values}, array_repeat(0, {draws * LEVELS}))"
+
+    kept = f"filter(own, t -> getbit(get({bits}, cast(pmod(t, {size}) div 64 as int)), cast(pmod(t, 64) as int)) = 1)"
+    lexical = let("known", kept, part("known", LEXICAL, False, f"size(known) > 0 and size(known) * {SPARSE} >= size(own)"))
+    both = f"concat({lexical}, {part('own', WHOLE, True, 'size(own) > 0')})"
+    own = let("found", terms_sql(f"`{text}`"), f"if(size(found) = 0 and `{text}` != '', array(xxhash64(`{text}`)), found)")
+    return F.expr(let("own", own, both))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -186,15 +184,13 @@ def as_string(values: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, in_band: list[int] | None = None, id_col: str = "doc_id",
-                 text_col: str = "text", keep: tuple[int, ...] = KEEP) -> DataFrame:
+                 text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text and ``values`` (see
-    ``fingerprint``).  A null text counts as empty.  Without a lexicon, it and
-    the ladder are those of ``docs``.  No shuffle but the lexicon's counts."""
-    if in_band is None:
-        in_band, longest = lexicon(docs, text_col=text_col)
-        keep = ladder(longest)
-    bits = long_array(in_band)
-    return project(docs, id_col, text_col).select("doc_id", "text", fingerprint(F.col("text"), bits, keep=keep).alias("values"))
+    ``fingerprint``).  A null text counts as empty.  Without a lexicon it is
+    that of ``docs``; fingerprints of several tables are comparable if made
+    with the same one.  No shuffle but the lexicon's counts."""
+    in_band = lexicon(docs, text_col=text_col) if in_band is None else in_band
+    return project(docs, id_col, text_col).select("doc_id", "text", fingerprint("text", in_band).alias("values"))
 
 
 def block_ends(rows: DataFrame, n: int) -> list[int]:
@@ -248,16 +244,20 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
 
 
-def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_band: list[int] | None = None) -> DataFrame:
     """How the fingerprints hold when half of a text is replaced by the start
     of the next document's: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next."""
-    in_band, longest = lexicon(docs, text_col=text_col)
-    bits, keep = long_array(in_band), ladder(longest)
-    pairs = with_next(fingerprints(docs, in_band, id_col, text_col, keep), ["text", "values"])
+    edited_fingerprint, near_edited, near_next.
+
+    One row per input row, in the order of ``with_next``; a null text counts as
+    empty, repeated rows are documents of their own, an empty table gives no
+    rows.  ``in_band``: a stored lexicon, by default that of ``docs``.
+    """
+    in_band = lexicon(docs, text_col=text_col) if in_band is None else in_band
+    pairs = with_next(fingerprints(docs, in_band, id_col, text_col), ["text", "values"])
     changed = pairs.select("doc_id", "values", "next_values", F.length("text").cast("long").alias("n_chars"),
                            edited(F.col("text"), F.col("next_text")).alias("edited"))
-    valued = changed.select("*", fingerprint(F.col("edited"), bits, keep=keep).alias("edited_values"))
+    valued = changed.select("*", fingerprint("edited", in_band).alias("edited_values"))
     return valued.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                          as_string(F.col("values")).alias("fingerprint"),
                          as_string(F.col("edited_values")).alias("edited_fingerprint"),

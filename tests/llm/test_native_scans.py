@@ -72,7 +72,7 @@ def test_fingerprints_of_edge_rows(edge):
     assert len(rows) == len(EDGE)
     prints = {}
     for r in fingerprints.fingerprints(edge).select("text", fingerprints.as_string(fingerprints.F.col("values")).alias("f")).collect():
-        assert prints.setdefault(r.text, r.f) == r.f and len(r.f) == 5 * len(fingerprints.KEEP) * fingerprints.DRAWS
+        assert prints.setdefault(r.text, r.f) == r.f and len(r.f) == 5 * fingerprints.LEVELS * fingerprints.DRAWS
     assert set(prints[""]) == {"0"} and prints["two one"] == prints["one two"] != prints[EDGE[0][1]]
 
 
@@ -109,9 +109,70 @@ def test_texts_without_lexicon_terms_have_a_likeness(spark):
 
 def test_copies_do_not_push_terms_out_of_the_lexicon(spark):
     texts = [f"one{i} two{i}" for i in range(40)]
-    bits, longest = fingerprints.lexicon(make_docs(spark, list(enumerate(texts))))
-    assert any(bits) and longest == 2
-    assert fingerprints.lexicon(make_docs(spark, list(enumerate(texts + texts[:1] * 30)))) == (bits, longest)
+    bits = fingerprints.lexicon(make_docs(spark, list(enumerate(texts))))
+    assert any(bits)
+    assert fingerprints.lexicon(make_docs(spark, list(enumerate(texts + texts[:1] * 30)))) == bits
+
+
+def test_a_text_has_the_same_fingerprint_in_every_table(spark):
+    texts = [f"one{i} two{i} three{i % 7}" for i in range(60)]
+    bits = fingerprints.lexicon(make_docs(spark, list(enumerate(texts))))
+
+    def prints(some):
+        return {r.doc_id: r["values"] for r in fingerprints.fingerprints(make_docs(spark, some), bits).collect()}
+
+    alone, among = prints([(5, texts[5])]), prints([*enumerate(texts), (99, " ".join(f"w{i}" for i in range(9000)))])
+    assert alone[5] == among[5]
+
+
+def test_values_and_likeness_against_plain_python(spark):
+    """Subsets rebuilt from the terms' hashes: which terms are in the band, in which draws and levels, and which values agree."""
+    r, f = random.Random(8), fingerprints
+    rows = [(i, " ".join(f"w{r.randrange(80)}" if r.random() < 0.3 else f"own{i}x{k}" if r.random() < 0.5 else f"two{i // 2}x{k}"
+                         for k in range(r.randrange(1, 60)))) for i in range(60)] + [(60, "!!!"), (61, "???"), (62, ""), (63, "!!!")]
+    docs = make_docs(spark, rows)
+    bits = f.lexicon(docs)
+    n_numbers = -(-max(f.LEXICAL, f.WHOLE) // f.PER_NUMBER)
+    numbers = ", ".join(f"xxhash64(t, {i}) as r{i}" for i in range(n_numbers))
+    hashed = docs.select("doc_id", "text", f.F.expr(f"transform({f.terms_sql('text')}, t -> struct(t as t, {numbers}))").alias("terms")).collect()
+    for x in hashed:  # a text has as many hashes as distinct terms
+        assert len(x.terms) == len(set(brute.license_words(x.text))) and [t.t for t in x.terms] == sorted(t.t for t in x.terms)
+    got = {x.doc_id: x["values"] for x in f.fingerprints(docs, bits).collect()}
+    df = {}
+    for terms in {x.text: x.terms for x in hashed}.values():
+        for c in {t.t % f.LEXICON for t in terms}:
+            df[c] = df.get(c, 0) + 1
+    n = len({t for _, t in rows})
+    band = {c for c, k in df.items() if f.BAND[0] * n <= k <= f.BAND[1] * n}
+    assert band == {64 * i + j for i, w in enumerate(bits) for j in range(64) if (w >> j) & 1}
+    subsets = {}
+    for x in hashed:
+        if not x.terms:
+            continue
+        inside = [t for t in x.terms if t.t % f.LEXICON in band]
+        lexical = inside if inside and len(inside) * f.SPARSE >= len(x.terms) else []
+        cells = []
+        for some, draws in ((lexical, f.LEXICAL), (x.terms, f.WHOLE)):
+            for d in range(draws):
+                def number(t, d=d):
+                    return ((t[f"r{d // f.PER_NUMBER}"] % (1 << 64)) >> (f.BITS * (d % f.PER_NUMBER))) & ((1 << f.BITS) - 1)
+
+                for level in range(f.LEVELS):
+                    chosen = tuple(t.t for t in some if number(t) < 1 << (f.LEVELS - 1 - level))
+                    if not chosen and level == 0 and some is x.terms:
+                        chosen = (min((number(t), t.t) for t in some)[1],)
+                    cells.append(chosen)
+        subsets[x.doc_id] = cells
+        assert [v == 0 for v in got[x.doc_id]] == [not c for c in cells]
+    split = f.LEXICAL * f.LEVELS
+    report = {x.doc_id: x for x in f.edit_report(docs, in_band=bits).collect()}
+    for i in range(1, 60):
+        a, b = subsets[i], subsets[i - 1]
+        part = slice(0, split) if any(a[:split]) and any(b[:split]) else slice(split, None)
+        cells = [(p, q) for p, q in zip(a[part], b[part]) if p or q]
+        want = 1.0 if a == b else sum(p == q for p, q in cells) / len(cells)
+        assert report[i].near_next == pytest.approx(want, abs=1e-9)  # no two values of these rows collide
+    assert got[60] == got[63] != got[61] and report[61].near_next == 0.0 and set(got[62]) == {0}
 
 
 def test_url_filter_agrees_with_its_sql_on_odd_urls(spark):
