@@ -486,8 +486,8 @@ def s6(spark, sf_dir):
 @register("s2_first_n", O.with_base(_RAW_SQL, _FILE_SQL, scored=False)
           + "SELECT sample_id, imageId FROM filed WHERE split = 'train' ORDER BY sample_id LIMIT 500")
 def s2(spark, sf_dir):
-    train = SM.read_split(spark, _jsonl_cfg(spark, sf_dir), "train")
-    return SM.first_n(train, 500).select("sample_id", "imageId")
+    files = _jsonl_cfg(spark, sf_dir)["pipeline"]["train"]["train_file"]
+    return SM.first_samples(spark, files, 500, split="train").select("sample_id", "imageId")
 
 
 @register("p9_rollout_prompts", O.with_base(_RAW_SQL, _FILE_SQL, scored=False)
