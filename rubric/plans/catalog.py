@@ -780,6 +780,7 @@ def q4uc(spark, sf_dir):
 # ------------------------------------------------------------------ X1-X4, R4, U1
 
 from ..functions import rewards as RW  # noqa: E402
+from ..streaming import appends as XA  # noqa: E402
 from ..streaming import groups as XG  # noqa: E402
 from ..streaming import streams as X  # noqa: E402
 
@@ -845,6 +846,18 @@ def x4(spark, sf_dir):
     return X.scored_rows(spark, sink).select(*KEY, "is_correct", "is_consist", r6("reward").alias("reward"))
 
 
+@register("s5_metrics_stream", O.with_base(scored=False, metrics=True)
+          + f"SELECT run_id, epoch, step, name, {O.r6('value')} AS value, ts FROM metrics")
+def s5_stream(spark, sf_dir):
+    """Metrics appended in twelve micro-batches, parts merged four at a time."""
+    src, path, rows = scratch_path(spark, "metrics-src"), scratch_path(spark, "metrics-sink"), TB.metrics(spark, sf_dir)
+    rows.repartition(12).write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    X.run_to_end(XA.append_stream(stream, path, every=4))
+    return XA.appended(spark, path).select(F.col("run_id").cast("bigint").alias("run_id"), "epoch", "step", "name",
+                                           r6("value").alias("value"), "ts")
+
+
 _ARRIVING_SQL = "arriving AS (SELECT sample_id, gen_idx, CAST(reward AS DOUBLE) AS reward FROM scored WHERE NOT (sample_id % 7 = 3 AND gen_idx = 5))"
 
 
