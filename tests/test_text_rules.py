@@ -62,13 +62,12 @@ def test_edge_table(spark):
         assert row.strict_answer == sans, exp
 
 
-def test_golden_report_example(spark):
-    text = ("<think>\nTo determine if there are both cars and fences, I look. There are no vehicles. "
-            "Therefore, the answer is no, there are not both cars and fences in this image.\n</think>\n"
-            "<answer>\nNo, there are not both cars and fences in this image.\n</answer>")
+def test_a_sentence_that_begins_with_the_gold_answer(spark):
+    text = ("<think>\nThe harbour has three boats, and none of them carries a sail. So no boat sails.\n</think>\n"
+            "<answer>\nNo, none of the three boats in the harbour carries a sail.\n</answer>")
     row = _score(spark, [(text, "No")])[0]
     assert (row.is_correct, row.is_consist) == (1, 1)
-    assert row.pred_answer == "No, there are not both cars and fences in this image."
+    assert row.pred_answer == "No, none of the three boats in the harbour carries a sail."
     assert round(row.format_reward + row.main_reward, 6) == 2.8
 
 
