@@ -25,19 +25,20 @@ from .rows import project, python_ready, written
 
 SEQ_LEN = 2048
 END_ID = 1
-#: Chunks and pre-tokens whose ids a worker remembers, in one of two generations.
-MEMO = 250_000
+#: Pre-tokens whose ids a worker remembers, in one of two generations.
+MEMO = 400_000
 
 ENCODED = "part int, doc_id long, before long, n_ids long, ids binary"
 
 
 #: Fixed value: the pattern by which the vocabulary's file splits lower-cased text; what it doesn't match is dropped.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-#: Chunks of the Latin blocks: composed already, and with one rule for lower case.
-PLAIN = "[!-~\xa1-\u024f]+"
-#: Of those, what most chunks are: one pre-token of letters, perhaps one of a mark behind it.
-WORD = "([A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f]+)([.,]?)"
-#: Longest chunk that is remembered.
+#: Texts of the Latin blocks and ASCII whitespace: composed already, and with one rule for lower case.
+PLAIN = "[\t-\r !-~\xa1-\u024f]*"
+#: ``PATTERN`` for those, lower-cased; some lower-case letters are in the blocks behind.
+LETTERS, DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u2c65\u2c66", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PRE_TOKEN = f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGITS}]|[^\\s{LETTERS}{DIGITS}]+"
+#: Longest chunk or pre-token that is remembered.
 LONGEST = 64
 #: Documents encoded at a time.
 ROWS = 256
@@ -75,23 +76,22 @@ class Memo(dict):
 
 @functools.lru_cache(maxsize=2)
 def chunk_encoder(path: str, memo: int = MEMO):
-    """A function of a chunk of UTF-8 without ASCII whitespace that returns
-    its ids, four bytes each.
+    """A function of a text, or a chunk of one, in UTF-8 that returns its ids, four bytes each.
 
     The vocabulary drops whitespace and no rule looks across it, so a text's
-    ids are those of its chunks, one after the other.  A chunk's pre-tokens
-    are encoded one by one and remembered too; chunks with characters beyond
-    the Latin blocks or with special strings go through the library's whole
-    pipeline.  A worker process has one function for all its tasks.
+    ids are those of its pre-tokens, one after the other.  These are encoded
+    one by one and remembered.  A text with characters beyond the Latin blocks
+    or with special strings is taken chunk by chunk (between ASCII whitespace),
+    and its chunks with any go through the library's whole pipeline.  A worker
+    process has one function for all its tasks.
     """
     import re
     from struct import pack
 
-    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    plain, word, split = regex.compile(PLAIN).fullmatch, re.compile(WORD).fullmatch, regex.compile(PATTERN).findall
+    latin, split, tokenize = re.compile(PLAIN).fullmatch, re.compile(PRE_TOKEN).findall, tokenizer.model.tokenize
     letter, special = byte_letters(), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def as_bytes(ids: list[int]) -> bytes:
@@ -99,20 +99,26 @@ def chunk_encoder(path: str, memo: int = MEMO):
 
     def pre_token(word: str) -> bytes:
         spelled = word if word.isascii() else "".join(letter[b] for b in word.encode())
-        return as_bytes([t.id for t in tokenizer.model.tokenize(spelled)])
+        return as_bytes([t.id for t in tokenize(spelled)])
 
-    pre_tokens = Memo(pre_token, memo // 2, LONGEST)
+    def whole(chunk: str) -> bytes:
+        return as_bytes(tokenizer.encode(chunk, add_special_tokens=False).ids)
 
-    def chunk(data: bytes) -> bytes:
+    pre_tokens, others = Memo(pre_token, memo, LONGEST), Memo(whole, memo // 4, LONGEST)
+
+    def plain(text: str) -> bool:
+        return latin(text) is not None and not any(s in text for s in special)
+
+    def of_plain(text: str) -> bytes:
+        return b"".join(map(pre_tokens.__getitem__, split(text.lower())))
+
+    def encode(data: bytes) -> bytes:
         text = data.decode()
-        if one := word(text):
-            letters, mark = one.groups()
-            return pre_tokens[letters.lower()] + (pre_tokens[mark] if mark else b"")
-        if plain(text) and not any(s in text for s in special):
-            return b"".join(map(pre_tokens.__getitem__, split(text.lower())))
-        return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
+        if plain(text):
+            return of_plain(text)
+        return b"".join([of_plain(c) if plain(c) else others[c] for c in map(bytes.decode, data.split())])
 
-    return Memo(chunk, memo // 2, LONGEST).__getitem__
+    return encode
 
 
 def encoder(path: str, end_id: int = END_ID, memo: int = MEMO):
@@ -125,7 +131,7 @@ def encoder(path: str, end_id: int = END_ID, memo: int = MEMO):
         part, total = TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
-                ids = [b"".join(map(chunk_ids, text.as_py().split())) + end for text in batch.column(1).cast(pa.binary())]
+                ids = [chunk_ids(text.as_py()) + end for text in batch.column(1).cast(pa.binary())]
                 n_ids = [len(x) // 4 for x in ids]
                 before = list(itertools.accumulate(n_ids, initial=total))
                 total = before.pop()

@@ -1,3 +1,5 @@
+import random
+import re
 import struct
 import zlib
 
@@ -26,6 +28,32 @@ def test_chunks_give_the_librarys_ids():
         assert list(struct.unpack(f"<{len(data) // 4}I", data)) == ids_of(tokenizer, text), text[:50]
 
 
+def test_whole_texts_give_the_librarys_ids():
+    """Latin texts are split whole, with one pattern for every letter of their blocks."""
+    import regex
+
+    tokenizer, encode = Tokenizer.from_file(WORDS), packing.chunk_encoder(WORDS)
+    latin = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA1, 0x250)]]
+    rng = random.Random(7)
+    mixed = ["".join(rng.choices(latin + ["'"] * 40 + list("strevemld ") * 8, k=40)) for _ in range(2000)]
+    for text in mixed + [f"a{c}b 'a{c} {c}'s 1{c}2 .{c}." for c in latin]:
+        assert re.findall(packing.PRE_TOKEN, text.lower()) == regex.findall(packing.PATTERN, text.lower()), text
+    for text in [*HARD, *[t or "" for _, t in EDGE], *mixed[:300], *(" ".join(latin[i:i + 9]) for i in range(0, len(latin), 9))] * 2:
+        data = encode(text.encode())
+        assert list(struct.unpack(f"<{len(data) // 4}I", data)) == ids_of(tokenizer, text), text[:50]
+
+
+def test_memory_of_pre_tokens_serves_all_spellings_of_a_chunk(monkeypatch):
+    """``Word``, ``word,`` and ``(word)`` share one remembered pre-token."""
+    made = []
+    monkeypatch.setattr(packing, "Memo", type("Counted", (packing.Memo,), {
+        "__init__": lambda self, make, *a: super(type(self), self).__init__(lambda k: made.append(k) or make(k), *a)}))
+    packing.chunk_encoder.cache_clear()
+    packing.chunk_encoder(WORDS)("Word word, (word) WORD. word".encode())
+    packing.chunk_encoder.cache_clear()
+    assert sorted(made) == ["(", ")", ",", ".", "word"]
+
+
 def test_pieces_cover_every_id_once(edge):
     tokenizer, seq_len = Tokenizer.from_file(WORDS), 64
     rows = packing.pack(edge, WORDS, seq_len=seq_len).collect()
