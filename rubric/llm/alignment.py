@@ -44,6 +44,8 @@ EDGE = 4 << 10
 FAN = 16
 #: Bytes of text aligned at a time, and of a block of documents.
 STEP, BLOCK = 1 << 20, 8 << 20
+#: Documents aligned at a time.
+ROWS = 1 << 16
 #: Bytes of what a worker remembers of pieces; longer pieces aren't remembered beyond their step.
 MEMO, LONGEST = 96 << 20, 64
 #: An id pair is one number: the first tokenizer's id, then this many bits of the second's.
@@ -183,8 +185,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(SPACE in p.lstrip(SPACE) for i, p in enumerate(pieces) if not self.b.is_byte(i)):
             raise ValueError(f"{path_b}: a piece reaches across a space")
-        if len(pieces) >= 1 << BITS:
-            raise ValueError(f"{path_b}: too many pieces")
+        if max(size, len(pieces)) >= 1 << BITS:
+            raise ValueError(f"{path_a}, {path_b}: too many pieces")
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array([len(t) for t in table]) for table in (self.bytes_a, self.bytes_b))
         self.memo = memo
@@ -194,8 +196,6 @@ class Aligner:
         self.at: dict[str, int] = {}
         self.texts: list[str] = []
         self.held = 0
-        self.pair_at: dict[int, int] = {}
-        self.pair = Grown()
         #: Of each piece: numbers of tokens, groups and links, whether its bytes agree, and where its links end in ``links``.
         self.n_a, self.n_b, self.n_groups, self.n_links, self.ok, self.ends = (Grown() for _ in range(6))
         self.links = Grown()
@@ -245,17 +245,9 @@ class Aligner:
         times = in_b[group_of]
         place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(b_at[group_of], times)
         codes = (np.repeat(a, times) << BITS) | b[place]
-        distinct, at = np.unique(codes, return_inverse=True)
-        numbers = []
-        for c in distinct.tolist():
-            k = self.pair_at.get(c)
-            if k is None:
-                k = self.pair_at[c] = len(self.pair_at)
-                self.pair.extend(np.array([c]))
-            numbers.append(k)
         n_links = np.bincount(piece_of, weights=in_a * in_b, minlength=len(pieces)).astype(np.int64)
         before = self.links.n
-        self.links.extend(np.array(numbers, np.int64)[at])
+        self.links.extend(codes)
         for grown, values in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, np.bincount(piece_of, minlength=len(pieces))),
                               (self.n_links, n_links), (self.ok, ok), (self.ends, before + np.cumsum(n_links))):
             grown.extend(values)
@@ -270,7 +262,7 @@ class Aligner:
                 self.held += self.memo // 64  # long pieces bring the next ``forget`` nearer
 
     def pairs_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the pairs of all links of the pieces at ``at``, and how many each piece has."""
+        """The id pairs of all links of the pieces at ``at``, and how many each piece has."""
         n = self.n_links.values[at]
         first = self.ends.values[at] - n
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
@@ -282,12 +274,10 @@ class Aligner:
         self.learn(pieces)
         at = np.array([self.at[p] for p in pieces])
         links, _ = self.pairs_of(at)
-        numbers, times = np.unique(links, return_counts=True)
-        codes = self.pair.values[numbers]
-        order = np.argsort(codes)
+        codes, times = np.unique(links, return_counts=True)
         return Fragment(bool(self.ok.values[at].all()), True, int(self.n_a.values[at].sum()), int(self.n_b.values[at].sum()), (NONE, NONE),
                         int(self.n_groups.values[at].sum()), ";".join(filter(None, (self.texts[i] for i in at))).encode(),
-                        codes[order], times[order].astype(np.int64))
+                        codes, times.astype(np.int64))
 
 
 @functools.lru_cache(maxsize=2)
@@ -319,11 +309,14 @@ class Block:
         names = [f.split()[0] for f in BLOCKS.split(", ")]
         kinds = [pa.int64()] * 5 + [pa.string(), pa.int32()]
         columns = list(zip(*self.rows)) or [()] * 7
+
+        def one(values: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int64()))
+
         return pa.RecordBatch.from_arrays(
             [pa.array([self.number], pa.int64()), *(pa.array([list(c)], pa.list_(k)) for c, k in zip(columns, kinds)),
              pa.array([narrow(places).tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary()),
-             pa.array([distinct.tolist()], pa.list_(pa.int64())),
-             pa.array([np.bincount(places, minlength=len(distinct)).tolist()], pa.list_(pa.int64()))], names)
+             one(distinct), one(np.bincount(places, minlength=len(distinct)))], names)
 
 
 def narrow(values: np.ndarray) -> np.ndarray:
@@ -360,9 +353,9 @@ def short_blocks(path_a: str, path_b: str, step: int = STEP, block: int = BLOCK)
 
             n_a, n_b, n_groups, n_links = map(total, (known.n_a, known.n_b, known.n_groups, known.n_links))
             links, n = known.pairs_of(at)
-            width = max(1, known.pair.n)
-            both, times = np.unique(np.repeat(doc, n) * width + links, return_counts=True)
-            codes, first = known.pair.values[both % width], np.searchsorted(both // width, np.arange(len(ids) + 1))
+            # A document's number and an id pair in one number, for which ``ROWS`` is small enough.
+            both, times = np.unique((np.repeat(doc, n) << 2 * BITS) | links, return_counts=True)
+            codes, first = both & ((1 << 2 * BITS) - 1), np.searchsorted(both >> 2 * BITS, np.arange(len(ids) + 1))
             ends = np.cumsum([0, *(len(p) for p in pieces)])
             for i, doc_id in enumerate(ids):
                 if n_a[i] and n_b[i]:
@@ -379,7 +372,7 @@ def short_blocks(path_a: str, path_b: str, step: int = STEP, block: int = BLOCK)
                     ids.append(doc_id)
                     texts.append(text)
                     size += len(text)
-                    if size >= step:
+                    if size >= step or len(ids) == ROWS:
                         flush(ids, texts)
                         out.size += size
                         ids, texts, size = [], [], 0

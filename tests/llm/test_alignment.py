@@ -143,3 +143,11 @@ def test_memory_is_bounded():
     for i in range(40):
         known.learn([f"word{i}x{j}" for j in range(300)])
     assert known.held < 250_000
+
+
+def test_a_step_of_documents_is_bounded(spark, monkeypatch):
+    """Empty documents have no bytes, but their number bounds a step too; pairs are kept as they are, without a list of all."""
+    known = alignment.Aligner(A, B)
+    known.learn(["one", "two,"])
+    assert not hasattr(known, "pair_at") and known.links.values.max() >= 1 << alignment.BITS
+    assert alignment.ROWS << 2 * alignment.BITS < 1 << 63
