@@ -26,6 +26,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,11 @@ EDGE = 4 << 10
 #: Fragments that one step of the tree puts together.
 FAN = 16
 #: Bytes of text aligned at a time, and of a block of documents.
-STEP, BLOCK = 1 << 20, 8 << 20
+STEP, BLOCK = 1 << 20, 4 << 20
 #: Documents aligned at a time.
 ROWS = 1 << 16
 #: Bytes of what a worker remembers of pieces; longer pieces aren't remembered beyond their step.
-MEMO, LONGEST = 96 << 20, 64
+MEMO, LONGEST = 72 << 20, 64
 #: An id pair is one number: the first tokenizer's id, then this many bits of the second's.
 BITS = 20
 
@@ -189,6 +190,8 @@ class Aligner:
             raise ValueError(f"{path_a}, {path_b}: too many pieces")
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array([len(t) for t in table]) for table in (self.bytes_a, self.bytes_b))
+        #: Every id as text, with what can stand behind it in a group's text: ids of the first tokenizer, then of the second.
+        self.names = [f"{i}{end}" for table, ends in ((self.bytes_a, ",|"), (self.bytes_b, (",", ";", ""))) for i in range(len(table)) for end in ends]
         self.memo = memo
         self.forget()
 
@@ -207,9 +210,9 @@ class Aligner:
         ok = np.ones(len(pieces), bool)
         want = (" " + " ".join(pieces)).encode()
         for lists, table in ((a, self.bytes_a), (b, self.bytes_b)):
-            if b"".join(table[i] for ids in lists for i in ids) != want:
+            if b"".join(map(table.__getitem__, chain.from_iterable(lists))) != want:
                 ok &= [b"".join(table[i] for i in ids) == b" " + p.encode() for ids, p in zip(lists, pieces)]
-        return *((np.array([i for ids in lists for i in ids], np.int64), np.array([len(ids) for ids in lists], np.int64))
+        return *((np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))
                  for lists in (a, b)), ok
 
     def fragment(self, piece: bytes, after: int, upto: int) -> Fragment:
@@ -251,13 +254,20 @@ class Aligner:
         for grown, values in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, np.bincount(piece_of, minlength=len(pieces))),
                               (self.n_links, n_links), (self.ok, ok), (self.ends, before + np.cumsum(n_links))):
             grown.extend(values)
-        names_a, names_b, i, first = list(map(str, a.tolist())), list(map(str, b.tolist())), 0, np.searchsorted(piece_of, np.arange(len(pieces) + 1))
-        a_at, b_at = a_at.tolist(), b_at.tolist()
-        for p, begin, end in zip(pieces, first[:-1].tolist(), first[1:].tolist()):
+        # The tokens in the order of the groups' texts, each with the mark behind it.
+        last_of = np.zeros(len(cuts), bool)
+        last_of[np.cumsum(np.bincount(piece_of, minlength=len(pieces)))[ok] - 1] = True
+        closed_by = np.repeat(np.arange(len(cuts)), in_b)
+        order = np.zeros(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + b_at[group_of]] = 2 * a + (np.arange(len(a)) + 1 == a_at[group_of + 1])
+        order[np.arange(len(b)) + a_at[closed_by + 1]] = 2 * len(self.bytes_a) + 3 * b + np.where(
+            np.arange(len(b)) + 1 < b_at[closed_by + 1], 0, np.where(last_of[closed_by], 2, 1))
+        names, ends = [self.names[i] for i in order.tolist()], np.cumsum(n_a + n_b)
+        for p, begin, end, n in zip(pieces, (ends - n_a - n_b).tolist(), ends.tolist(), n_links.tolist()):
             self.at[p] = len(self.texts)
-            text = ";".join([",".join(names_a[a_at[g]:a_at[g + 1]]) + "|" + ",".join(names_b[b_at[g]:b_at[g + 1]]) for g in range(begin, end)])
+            text = "".join(names[begin:end])
             self.texts.append(text)
-            self.held += 250 + len(p) + len(text) + 8 * (end - begin)
+            self.held += 250 + len(p) + len(text) + 8 * n
             if len(p) > LONGEST:
                 self.held += self.memo // 64  # long pieces bring the next ``forget`` nearer
 
