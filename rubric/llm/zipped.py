@@ -7,7 +7,7 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 
-from pyarrow import fs
+from ..sources.files import located
 
 #: Signatures, layouts and lengths of the records, and the values that point to their ZIP64 forms.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
@@ -44,15 +44,6 @@ def open_file(path: str):
     return system.open_input_file(name)
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path there.  Hadoop's short ``file:/`` and ``s3a:`` are understood."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-    if "://" not in path:
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri("s3:" + path[len("s3a:"):] if path.startswith("s3a:") else path)
-
-
 def read_at(file, offset: int, size: int) -> bytes:
     data = file.read_at(size, offset)
     if len(data) != size:

@@ -21,7 +21,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType, Ti
 
 from ..operators import evaluation as E
 from ..operators import scoring as S
-from ..session import scratch_path, ship_package
+from ..session import scratch_path, set_conf, ship_package
 
 
 def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
@@ -245,14 +245,8 @@ STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.e
 @contextmanager
 def stateful(spark: SparkSession):
     """Queries started inside keep their state as ``STATE`` says, whatever the session's setting (it is put back)."""
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    try:
-        for k, v in STATE.items():
-            spark.conf.set(k, v)
+    with set_conf(spark, STATE):
         yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def scored_rows(spark: SparkSession, sink: str) -> DataFrame:
