@@ -128,17 +128,18 @@ def label_mask(padded: Column, n_real: Column, n_pad_left: Column, prompt_len: C
     compatible: the studied behaviour - the first ``prompt_len`` positions
     become -100 whatever the padding side, pads keep the pad id.
     """
-    ign = F.lit(fixed.LABEL_PAD_ID)
+    ign, n, zero = F.lit(fixed.LABEL_PAD_ID), F.size(padded), F.lit(0)
     if mode == "compatible":
-        return F.transform(padded, lambda x, i: F.when(no_labels, ign).when(i < prompt_len, ign).otherwise(x))
-    if mode != "default":
+        first, end = prompt_len, n
+    elif mode == "default":
+        first, end = F.greatest(n_pad_left, n_pad_left + prompt_len), n_pad_left + n_real
+    else:
         raise ValueError(mode)
-    return F.transform(padded, lambda x, i: (
-        F.when(no_labels, ign)
-        .when(i < n_pad_left, ign)
-        .when(i - n_pad_left < prompt_len, ign)
-        .when(i - n_pad_left >= n_real, ign)
-        .otherwise(x)))
+    # The labels are one run of the ids, with the ignored ones around it: no function of each place.
+    first = F.least(F.greatest(first, zero), n)
+    end = F.greatest(F.least(end, n), first)
+    run = F.concat(F.array_repeat(ign, first), F.slice(padded, first + 1, end - first), F.array_repeat(ign, n - end))
+    return F.when(no_labels, F.array_repeat(ign, n)).otherwise(run)
 
 
 def build_sequences(tokens: DataFrame, max_length: int, vocab: DataFrame,

@@ -374,3 +374,52 @@ def test_advantage_reads_only_needed_columns(spark):
     for line in scans:
         schema = line.split("ReadSchema:")[1]
         assert "completion" not in schema and "pred_think" not in schema and "reward" in schema
+
+
+def test_image_files_share_folders_and_are_listed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(IM, "FOLDERS", 2)
+    d = tempfile.mkdtemp(prefix="rubric-img-")
+    ids = [*map(str, range(95)), "a/b", None, "7"]
+    rows = spark.createDataFrame([(i, f"img:{i}") for i in ids], "image_id string, content string")
+    IM.write_image_files(rows, d, files=10)
+    assert 1 < len(os.listdir(d)) <= 10  # not a folder for each image
+    m = IM.image_manifest(spark, d, glob="*.txt", id_pattern=IM.PARTITIONED_ID_PATTERN)
+    got = {r.image_id: r.length for r in m.collect()}
+    assert m.count() == len(got) == 97 and got["a%2Fb"] == 8 and got["7"] == 6 and IM.NULL_ID in got
+    with open(os.path.join(d, "1.txt"), "w") as f:
+        f.write("beside the folders")
+    assert IM.image_manifest(spark, d, glob="*.txt", id_pattern=IM.PARTITIONED_ID_PATTERN).count() == 98
+
+
+def test_eval_report_is_compressed_and_written_without_a_sort(spark):
+    from rubric.sources import sinks as SK
+    conf, d = next(iter(SK.OPEN_FOLDERS)), tempfile.mkdtemp(prefix="rubric-report-")
+    before = spark.conf.get(conf, None)
+    rows = spark.createDataFrame([(f"{i}", None if i % 3 else "q", f"g{i % 6}") for i in range(60)], "image_id string, instruction string, tag string")
+    SK.write_eval_report(rows, d + "/r")
+    files = [f for _, _, some in os.walk(d) for f in some if f.startswith("part")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert spark.conf.get(conf, None) == before
+    assert sorted((r.image_id, r.instruction, r.tag) for r in SK.read_eval_report(spark, d + "/r").collect()) == sorted(tuple(r) for r in rows.collect())
+
+
+def test_label_mask_is_a_run_of_ids_and_no_function_of_places(spark):
+    import random
+    rng, some = random.Random(5), lambda *v: rng.choice([None, *v])
+    rows = [([*range(1, 9)][:rng.randrange(9)], some(0, 2, 5, 9), some(0, 1, 4), some(0, 3, 8, 12), some(True, False, False)) for _ in range(300)]
+    df = spark.createDataFrame([*rows, (None, 1, 1, 1, False)], "p array<long>, n_real int, n_left int, plen int, test boolean")
+
+    def brute(p, n_real, n_left, plen, test, mode):
+        if p is None:
+            return None
+        lt = lambda a, b: a is not None and b is not None and a < b
+        if mode == "compatible":
+            return [-100 if test or lt(i, plen) else x for i, x in enumerate(p)]
+        return [-100 if test or lt(i, n_left) or (n_left is not None and (lt(i - n_left, plen) or (n_real is not None and i - n_left >= n_real))) else x
+                for i, x in enumerate(p)]
+
+    for mode in ("default", "compatible"):
+        got = df.select("*", Q.label_mask(F.col("p"), F.col("n_real"), F.col("n_left"), F.col("plen"), F.col("test"), mode).alias("labels"))
+        assert "lambda" not in _plan(got)
+        for r in got.collect():
+            assert r.labels == brute(r.p, r.n_real, r.n_left, r.plen, r.test, mode), r
