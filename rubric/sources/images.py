@@ -25,6 +25,8 @@ DEFAULT_ID_PATTERN = r"([^/]+)\.jpg$"
 PARTITIONED_ID_PATTERN = r"image_id=([^/]+)\.txt$"
 #: Files of a folder that ``write_image_files`` writes, about.
 FILES = 1000
+#: Folders that one task writes, about.
+TASK_FOLDERS = 8
 #: Folders listed at a time, at least; and the most parts.
 FOLDERS, PARTS = 100, 100
 #: What a file counts for when files are dealt to tasks: about a thousand make a task of the usual size.
@@ -71,8 +73,10 @@ def write_image_files(images: DataFrame, path: str, files: int = FILES) -> None:
     spark = images.sparkSession
     ship_package(spark)
     rows = images.select(F.coalesce(F.col("image_id"), F.lit(NULL_ID)).alias("image_id"), F.coalesce("content", F.lit("")).alias("content")).distinct()
-    folders = F.lit(-(-rows.count() // files) or 1)
-    dealt = rows.select(F.pmod(F.xxhash64("image_id"), folders).cast("string").alias("folder"), "image_id", "content")
+    folders = -(-rows.count() // files) or 1
+    # Ids are short, files are not: tasks are as many as the folders ask for, however few bytes the ids have.
+    dealt = rows.select(F.pmod(F.xxhash64("image_id"), F.lit(folders)).cast("string").alias("folder"), "image_id", "content") \
+        .repartition(-(-folders // TASK_FOLDERS), "folder")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = located(path)
