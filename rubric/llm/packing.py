@@ -73,6 +73,11 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        """Drops both generations."""
+        self.old = {}
+        self.clear()
+
 
 @functools.lru_cache(maxsize=2)
 def chunk_encoder(path: str, memo: int = MEMO):
@@ -83,7 +88,8 @@ def chunk_encoder(path: str, memo: int = MEMO):
     one by one and remembered.  A text with characters beyond the Latin blocks
     or with special strings is taken chunk by chunk (between ASCII whitespace),
     and its chunks with any go through the library's whole pipeline.  A worker
-    process has one function for all its tasks.
+    process has one function for all its tasks; ``forget`` frees what it
+    remembers when a task ends, as the process goes on to other stages' tasks.
     """
     import re
     from struct import pack
@@ -118,6 +124,11 @@ def chunk_encoder(path: str, memo: int = MEMO):
             return of_plain(text)
         return b"".join([of_plain(c) if plain(c) else others[c] for c in map(bytes.decode, data.split())])
 
+    def forget() -> None:
+        pre_tokens.forget()
+        others.forget()
+
+    encode.forget = forget
     return encode
 
 
@@ -129,16 +140,19 @@ def encoder(path: str, end_id: int = END_ID, memo: int = MEMO):
         chunk_ids = chunk_encoder(path, memo)
         end = end_id.to_bytes(4, "little")
         part, total = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
-                ids = [chunk_ids(text.as_py()) + end for text in batch.column(1).cast(pa.binary())]
-                n_ids = [len(x) // 4 for x in ids]
-                before = list(itertools.accumulate(n_ids, initial=total))
-                total = before.pop()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), batch.column(0), pa.array(before, pa.int64()),
-                     pa.array(n_ids, pa.int64()), pa.array(ids, pa.binary())],
-                    ["part", "doc_id", "before", "n_ids", "ids"])
+        try:
+            for whole in batches:
+                for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                    ids = [chunk_ids(text.as_py()) + end for text in batch.column(1).cast(pa.binary())]
+                    n_ids = [len(x) // 4 for x in ids]
+                    before = list(itertools.accumulate(n_ids, initial=total))
+                    total = before.pop()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part] * len(ids), pa.int32()), batch.column(0), pa.array(before, pa.int64()),
+                         pa.array(n_ids, pa.int64()), pa.array(ids, pa.binary())],
+                        ["part", "doc_id", "before", "n_ids", "ids"])
+        finally:
+            chunk_ids.forget()
 
     return encode
 

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,8 +101,8 @@ class Model:
         return tails[:, k] if k < len(self.grades) else np.zeros(len(tails))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """Adam on the likelihood of the grades ``y`` (whole numbers).
+def fit(x: np.ndarray, y: np.ndarray, keep: bool = True) -> Model:
+    """Adam on the likelihood of the grades ``y`` (whole numbers).  Unless told to ``keep`` it, ``x`` is centred in place.
 
     The thresholds stay in order because each is the one before plus a
     positive step.  With a single grade or no rows at all there is nothing
@@ -119,7 +120,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     n, rows = len(y), np.arange(len(y))
     centre = x.mean(0)
-    x = x - centre
+    x = np.subtract(x, centre, out=None if keep else x)
     for t in range(1, STEPS + 1):
         w, steps = params
         thresholds = np.cumsum(np.append(steps[:1], np.exp(steps[1:])))
@@ -160,15 +161,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All (label, at, x) -> the model as one row."""
-    y, xs = [], []
-    for batch in batches:
-        for label, at, x in zip(*[c.to_pylist() for c in batch.columns]):
-            one = np.zeros(WIDTH, np.float32)
-            one[at] = x
-            y.append(label)
-            xs.append(one)
-    order = sorted(range(len(y)), key=lambda i: (y[i], xs[i].tobytes()))  # the same model in whatever order rows came
-    model = fit(np.stack([xs[i] for i in order]) if xs else np.zeros((0, WIDTH), np.float32), np.array([y[i] for i in order], int))
+    rows = pa.Table.from_batches(list(batches), pa.schema([("label", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))]))
+    y, at, values = (c.combine_chunks() for c in rows.columns)
+    y, x, row = y.to_numpy(zero_copy_only=False), np.zeros((len(rows), WIDTH), np.float32), np.repeat(np.arange(len(rows)), pc.list_value_length(at))
+    x[row, at.flatten().to_numpy()] = values.flatten().to_numpy()
+    del rows, row, at, values
+    # The same model in whatever order rows came; a label's rows at a time, as keys are copies of them.
+    order = [i for label in np.unique(y) for i in sorted(np.flatnonzero(y == label), key=lambda i: x[i].tobytes())]
+    x, y = x[order], y[order]
+    model = fit(x, y.astype(int), keep=False)
     yield pa.RecordBatch.from_pandas(pd.DataFrame({
         "w": [model.w.tolist()], "grades": [list(map(int, model.grades))], "thresholds": [model.thresholds.tolist()],
         "lowest": [int(model.lowest)]}), schema=pa.schema([("w", pa.list_(pa.float32())), ("grades", pa.list_(pa.int32())),

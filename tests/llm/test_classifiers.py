@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -121,3 +122,22 @@ def test_a_models_score_ignores_ids_and_order(spark):
     assert a.terms.tolist() == b.terms.tolist() and a.w.tolist() == b.w.tolist()
     scores = toxicity.text_scores(a, pa.array([LONG, "", "idiot"]))
     assert scores.shape == (3,) and ((0 <= scores) & (scores <= 1)).all()
+
+
+def test_the_fit_of_quality_holds_its_rows_twice_at_most(monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 2)
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 3), sorted(set(rng.integers(0, quality.WIDTH, 20).tolist()))) for k in range(1200)]
+
+    def batches(rows):
+        return [pa.RecordBatch.from_arrays([pa.array([y for y, _ in some], pa.int32()), pa.array([a for _, a in some], pa.list_(pa.int32())),
+                                            pa.array([[0.5 + y + i / 7 for i in a] for y, a in some], pa.list_(pa.float32()))], ["label", "at", "x"])
+                for some in (rows[i:i + 100] for i in range(0, len(rows), 100))]
+
+    given, turned = batches(rows), batches(rows[::-1])
+    tracemalloc.start()
+    model = next(quality._fit_rows(iter(given)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.7 * len(rows) * quality.WIDTH * 4
+    assert model.equals(next(quality._fit_rows(iter(turned))))

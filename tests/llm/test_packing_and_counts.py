@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import EDGE
 from tokenizers import Tokenizer
@@ -54,6 +55,21 @@ def test_memory_of_pre_tokens_serves_all_spellings_of_a_chunk(monkeypatch):
     assert sorted(made) == ["(", ")", ",", ".", "word"]
 
 
+def test_a_task_leaves_nothing_remembered(monkeypatch):
+    """The worker process goes on to tasks of other stages."""
+    memos = []
+    monkeypatch.setattr(packing, "Memo", type("Kept", (packing.Memo,), {
+        "__init__": lambda self, *a: super(type(self), self).__init__(*a) or memos.append(self)}))
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c()), "partitionId": lambda self: 0}))
+    packing.chunk_encoder.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two", "\u65e5\u672c one"])], ["doc_id", "text"])
+    out = packing.encoder(WORDS)(iter([batch]))
+    next(out)
+    assert any(len(m) for m in memos)
+    assert list(out) == [] and not any(len(m) or m.old for m in memos)
+    packing.chunk_encoder.cache_clear()
+
+
 def test_pieces_cover_every_id_once(edge):
     tokenizer, seq_len = Tokenizer.from_file(WORDS), 64
     rows = packing.pack(edge, WORDS, seq_len=seq_len).collect()
