@@ -16,7 +16,8 @@ Compiled from the model file:
 
 Composition with an input is lazy: states are places in the input with the
 last piece before them, and the tropical-semiring shortest path takes them
-place by place.
+place by place.  A merge model's path without fallback has no weight, so it is
+looked for depth first, long pieces first, which leaves most arcs untouched.
 Inputs are cut where no piece can reach across (before a run of marks, around
 characters without a piece), and what a cut yields is remembered.
 
@@ -59,13 +60,7 @@ class Transducer:
         self.byte_id = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), None)
         self.written = [self._writes(p, kind) for p, _, kind in pieces]
-        self.trie: dict = {}
-        for p, i in self.ids.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
-        self.cut = self._cutter().findall
+        self.length = [len(p) for p, _, _ in pieces]
         self.edges = Memo(self._edges, len(pieces))
         self.follows = Memo(self._follows, memo)
         self.remembered = Memo(self._encode_cut, memo, LONGEST)
@@ -90,6 +85,26 @@ class Transducer:
             return bytes([int(piece[1:-1], 16)])
         return {CONTROL: b"", UNKNOWN: " ⁇ ".encode()}.get(kind, piece.encode())
 
+    @functools.cached_property
+    def trie(self) -> dict:
+        """character -> (piece that ends there or None, what follows).  Made when a text is encoded: decoding needs none."""
+        nested: dict = {}
+        for p, i in self.ids.items():
+            node = nested
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
+        leaf: dict = {}
+
+        def arcs(node: dict) -> dict:
+            return {c: (more.get(""), arcs(more)) for c, more in node.items() if c} or leaf
+
+        return arcs(nested)
+
+    @functools.cached_property
+    def cut(self):
+        return self._cutter().findall
+
     def _cutter(self):
         """Cuts normalised text where no piece reaches across."""
         breaks = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in self.trie)
@@ -178,20 +193,20 @@ class Transducer:
             if here == never:
                 continue
             node, j, before = trie.get(text[i]), i + 1, (last[i] + 1) * n_pieces
-            if node is None or "" not in node:
+            if node is None or node[0] is None:
                 if here + FALLBACK < weight[j]:
                     raw = [self.byte_id.get(b) for b in text[i].encode()]
                     weight[j], last[j], back[j] = here + FALLBACK, -1, i
                     ids[j] = (self.unknown,) if None in raw else tuple(raw)
             while node is not None:
-                piece = node.get("")
+                piece, nodes = node
                 if piece is not None:
                     cost = here if merges else here - pieces[piece][1]
                     if cost < weight[j] and (not merges or follows[before + piece]):
                         weight[j], last[j], back[j], ids[j] = cost, piece, i, (piece,)
                 if j == n:
                     break
-                node = node.get(text[j])
+                node = nodes.get(text[j])
                 j += 1
         out, at = [], n
         while at:
@@ -199,14 +214,56 @@ class Transducer:
             at = back[at]
         return [i for x in reversed(out) for i in x]
 
+    def weightless(self, text: str) -> list[int] | None:
+        """For a merge model: the ids on the path of weight 0, so the shortest,
+        or None if every path has a character that falls back to bytes.
+
+        Depth first over the arcs of ``shortest``.  A place has one state there
+        too, so one from which no arc led on is never entered again.
+        """
+        follows, trie, length, n_pieces, n = self.follows, self.trie, self.length, len(self.pieces), len(text)
+        at, before, path, tried, dead = 0, 0, [], [], set()
+        while at < n:
+            nodes, arcs = trie, []
+            for c in text[at:] if at else text:
+                node = nodes.get(c)
+                if node is None:
+                    break
+                piece, nodes = node
+                if piece is not None:
+                    arcs.append(piece)
+            while True:
+                if not arcs:
+                    if not path:
+                        return None
+                    dead.add(at)
+                    at, before, arcs = tried.pop()
+                    path.pop()
+                    continue
+                piece = arcs.pop()
+                j = at + length[piece]
+                if j not in dead and follows[before + piece]:
+                    break
+            tried.append((at, before, arcs))
+            path.append(piece)
+            at, before = j, (piece + 1) * n_pieces
+        return path
+
     def _encode_cut(self, text: str) -> bytes:
-        ids = self.shortest(text)
+        ids = self.weightless(text) if self.model == MERGES else None
+        if ids is None:
+            ids = self.shortest(text)
         return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, four bytes each."""
         return b"".join(map(self.remembered.__getitem__, self.cut(self.normalise(text))))
 
+    def forget(self) -> None:
+        """Drops cuts and pairs of pieces."""
+        self.remembered.forget()
+        self.follows.forget()
+
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.written.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
         text = text.replace(MARK, " ")
@@ -215,7 +272,8 @@ class Transducer:
 
 @functools.lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
-    """One for each worker process: what it remembers serves all its tasks."""
+    """One for each worker process.  What it remembers goes when a task ends: the process may decode in its next one, and
+    another process, with what that remembers, encode."""
     return Transducer.from_file(path)
 
 
@@ -225,10 +283,13 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = transducer(path).encode
-        for batch in batches:
-            ids = pa.array([encode(t.as_py()) for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["doc_id", "text", "ids"])
+        t = transducer(path)
+        try:
+            for batch in batches:
+                ids = pa.array([t.encode(x.as_py()) for x in batch.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["doc_id", "text", "ids"])
+        finally:
+            t.forget()
 
     return project(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids binary")
 

@@ -47,6 +47,31 @@ def test_unigram_weights_against_all_segmentations():
     assert t.decode(t.encode("aéb\n")) == "aéb\n"
 
 
+def test_path_without_weight_checks_few_pairs():
+    """Depth first finds the path of ``shortest`` with a part of its pair checks."""
+    class Counted(fst.Memo):
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    deep, wide, r = fst.Transducer.from_file(PATH), fst.Transducer.from_file(PATH), random.Random(7)
+    deep.follows, wide.follows = Counted(deep._follows, fst.MEMO), Counted(wide._follows, fst.MEMO)
+    words = [fst.MARK + "".join(r.choice("abcdeéèorstin.,-") for _ in range(r.randint(1, 14))) for _ in range(2000)]
+    words += ["".join(r.choice("ab") for _ in range(40)) for _ in range(50)] + ["a" * 500]
+    assert [deep.weightless(w) for w in words] == [wide.shortest(w) for w in words]
+    assert 4 * deep.follows.asked < 3 * wide.follows.asked
+    assert deep.weightless("a\ue000b") is None  # a character without a piece
+    assert ids(deep.encode("a\ue000b")) == sentencepiece.SentencePieceProcessor(model_file=PATH).encode("a\ue000b")
+
+
+def test_decoding_makes_no_trie():
+    t = fst.Transducer.from_file(PATH)
+    assert t.decode(np.array(sentencepiece.SentencePieceProcessor(model_file=PATH).encode("a b"), "<u4").tobytes()) == "a b"
+    assert "trie" not in vars(t) and t.encode("a") and "trie" in vars(t)
+
+
 def test_documents(edge, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
     rows = fst.decode_ids(fst.encode_documents(edge, PATH), PATH).collect()
