@@ -66,6 +66,39 @@ def test_equals_the_batch_operators(spark):
     assert want[(3, 0)] is None and want[(None, 0)] is None
 
 
+def test_groups_that_share_a_bucket(spark):
+    """All groups in two buckets, some of which end before others: same rows as one by one, few timers."""
+    out = []
+    for buckets in (2, XG.BUCKETS):
+        src, sink, check = (scratch_path(spark, f"gb-{x}") for x in ("src", "sink", "checkpoint"))
+        deliver(spark, src, BATCHES + [[(9, 1, 1.0, at(4001)), (10, 0, 1.0, at(8000))]])
+        q = XG.advantage_stream(source(spark, src), sink, g=3, delay_ms=HOUR, checkpoint=check, buckets=buckets)
+        X.run_to_end(q)
+        out.append([sorted(map(repr, f(spark, sink).collect())) for f in (XG.advantages, XG.audits, XG.late_completions)])
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6  # the group of 10
+    assert out[0] == out[1] and len(out[0][1]) == 8
+
+
+def test_keys_of_other_types(spark):
+    """Zeros of either sign, NaN, decimals and bytes, all in one bucket or each in its own."""
+    nan = float("nan")
+    rows = [(0.0, 0, 1.0, at(0)), (-0.0, 1, 2.0, at(0)), (nan, 0, 3.0, at(0)), (nan, 1, 4.0, at(0)), (1.5, 0, 0.0, at(0))]
+    for cast in ("double", "decimal(5,2)", "binary"):
+        src, sink = scratch_path(spark, "gk-src"), scratch_path(spark, "gk-sink")
+        d = spark.createDataFrame(rows, "k double, gen_idx int, reward double, ts timestamp_ntz")
+        key = (F.encode(F.abs("k").cast("string"), "utf-8") if cast == "binary"
+               else F.when(~F.isnan("k"), F.col("k")).cast(cast) if cast.startswith("decimal") else F.col("k"))
+        d = d.withColumn("k", key)
+        d.write.parquet(src)
+        last = spark.createDataFrame([(9, 0, 0.0, at(500))], "n int, gen_idx int, reward double, ts timestamp_ntz")
+        last.select(F.lit(None).cast(d.schema["k"].dataType).alias("k"), "gen_idx", "reward", "ts").write.mode("append").parquet(src)
+        stream = spark.readStream.schema(d.schema).parquet(src)
+        X.run_to_end(XG.advantage_stream(stream, sink, key="k", g=2, delay_ms=HOUR, buckets=1))
+        audits = sorted((r.n_rows, r.n_gens, r.status) for r in XG.audits(spark, sink).collect())
+        whole = [(2, 2, "ok")] * (1 if cast.startswith("decimal") else 2)
+        assert audits == [(1, 1, "missing"), *whole], cast
+
+
 def test_a_restart_goes_on_where_it_stopped(spark):
     src, sink, check = (scratch_path(spark, f"gr-{x}") for x in ("src", "sink", "checkpoint"))
     deliver(spark, src, BATCHES[:3])
