@@ -37,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import LONGEST, Memo
+from .packing import LONGEST, ROWS, Memo
 from .rows import project, python_ready
 
 MARK = "▁"
-#: Cuts, and pairs of pieces, that a worker remembers (two generations of this size each).
+#: Pairs of pieces, and cuts, that a worker remembers (two generations of this size each); a cut takes some 200 bytes.
 MEMO = 250_000
+CUTS = 125_000
 #: Kinds of pieces, and of models, in model files.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
@@ -63,7 +64,7 @@ class Transducer:
         self.length = [len(p) for p, _, _ in pieces]
         self.edges = Memo(self._edges, len(pieces))
         self.follows = Memo(self._follows, memo)
-        self.remembered = Memo(self._encode_cut, memo, LONGEST)
+        self.remembered = Memo(self._encode_cut, min(memo, CUTS), LONGEST)
 
     @classmethod
     def from_file(cls, path: str, memo: int = MEMO) -> Transducer:
@@ -277,6 +278,19 @@ def transducer(path: str) -> Transducer:
     return Transducer.from_file(path)
 
 
+def with_column(batches: Iterator[pa.RecordBatch], name: str, at: int, make, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """``batches`` with one more column: what ``make`` returns for the values of column ``at``.
+
+    A few hundred rows at a time, whatever the engine's batches hold: what is made for the rest of a
+    batch neither waits in the worker nor goes to the engine as one block.
+    """
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            made = pa.array([make(x.as_py()) for x in batch.column(at)], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text, ids (binary, four bytes each,
     little-endian).  A null or empty text has no ids."""
@@ -285,9 +299,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         try:
-            for batch in batches:
-                ids = pa.array([t.encode(x.as_py()) for x in batch.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["doc_id", "text", "ids"])
+            yield from with_column(batches, "ids", 1, t.encode, pa.binary())
         finally:
             t.forget()
 
@@ -301,9 +313,7 @@ def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = transducer(path).decode
-        for batch in batches:
-            texts = pa.array([decode(x.as_py() or b"") for x in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
+        return with_column(batches, "decoded", at, lambda ids: decode(ids or b""), pa.string())
 
     return rows.mapInArrow(run, rows.withColumn("decoded", F.lit("").cast("string")).schema)
 

@@ -1,11 +1,15 @@
+import hashlib
 import itertools
 import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from cases import EDGE
+from pyspark.sql import functions as F
 
+from rubric.llm import queries
 from rubric.llm import sentencepiece_fst as fst
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,6 +76,41 @@ def test_decoding_makes_no_trie():
     assert "trie" not in vars(t) and t.encode("a") and "trie" in vars(t)
 
 
+def test_large_batches_are_handed_on_in_parts():
+    t = fst.Transducer.from_file(PATH)
+    texts, asked = [f"text {i} " * 5 for i in range(1000)], []
+
+    def encode(text):
+        asked.append(text)
+        return t.encode(text)
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": texts})
+    made = fst.with_column(iter([batch, batch.slice(0, 0)]), "ids", 1, encode, pa.binary())
+    first = next(made)
+    assert first.num_rows == len(asked) == fst.ROWS < 1000  # the rest of the batch isn't made yet
+    rows = [r for b in (first, *made) for r in b.to_pylist()]
+    assert rows == [{"doc_id": i, "text": x, "ids": t.encode(x)} for i, x in enumerate(texts)]
+    assert fst.Transducer.from_file(PATH).remembered.size <= 125_000
+
+
+def test_query_moves_no_text_beside_its_ids(spark, tmp_path, monkeypatch):
+    texts, read = ["a b", "", None, "  x\n\u2581y \U0001F600", "ﬁ ½²"], []
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    decode_ids = fst.decode_ids
+    monkeypatch.setattr(fst, "decode_ids", lambda rows, path: read.append(rows.columns) or decode_ids(rows, path))
+    found = {r.doc_id: r for r in queries.op3_sentencepiece(spark, str(tmp_path)).collect()}
+    assert read == [["doc_id", "ids", "text_sha256"]]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for i, x in enumerate(texts):
+        text = (x or "").replace(fst.MARK, " ")
+        assert (found[i].n_ids, found[i].decoded_sha256, found[i].round_trip) == (
+            len(sp.encode(x or "")), hashlib.sha256(text.encode()).hexdigest(), True)
+    # a text that doesn't come back isn't taken for one that does
+    monkeypatch.setattr(fst, "decode_ids", lambda rows, path: decode_ids(rows, path).withColumn("decoded", F.concat("decoded", F.lit("?"))))
+    assert not any(r.round_trip for r in queries.op3_sentencepiece(spark, str(tmp_path)).collect())
+
+
 def test_documents(edge, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
     rows = fst.decode_ids(fst.encode_documents(edge, PATH), PATH).collect()
