@@ -14,7 +14,7 @@ import threading
 from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType, TimestampType
@@ -191,6 +191,8 @@ def dedup_score_stream(stream: DataFrame, sink: str, keys=("sample_id", "gen_idx
 
 
 _LATE, _MICROS, _AT, _LATE_AT, _DEAL = "_late", "_micros", "_at", "_late_at", "_deal"
+#: Stands for a missing event time; no timestamp of the engine's calendar.
+_NO_TIME = -(1 << 63)
 
 
 class _Arrivals(StatefulProcessor):
@@ -216,21 +218,62 @@ class _Arrivals(StatefulProcessor):
         pass
 
 
+class _ArrivalFrames(_Arrivals):
+    """``_Arrivals`` over frames of many rows: ``columns`` and ``time``, the microseconds or ``_NO_TIME``."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        for frame in rows:
+            micros, out = frame["time"], frame[self.columns].copy()
+            out[_LATE] = (micros < mark) & (micros != _NO_TIME) & (mark > 0)
+            out[_AT] = micros.clip(lower=mark + 1).astype("datetime64[us]").dt.tz_localize("UTC")
+            yield out
+
+
+#: Kinds of columns whose texts give them back exactly, are never empty and hold no comma.
+AS_TEXT = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "decimal")
+AS_IS = ("string", "binary")
+
+
 def arrivals(stream: DataFrame, spread: list[str], ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """``stream`` with ``ts`` as ``_micros``, ``_late`` (older than the latest
     event time of the batches before, less ``delay``), and ``_at``, the event
     time for what follows: late rows are carried on at the watermark instead
-    of being dropped.  Rows are dealt by a hash of ``spread`` and ``ts``."""
+    of being dropped.  Rows are dealt by a hash of ``spread`` and ``ts``.
+
+    Rows go through Python as frames, in which they are marked thousands at a
+    time; their numbers travel as one text (a frame would make numbers with
+    nulls floating-point ones).  Streams with columns of kinds that a text doesn't give back
+    exactly (arrays, structs, timestamps and so on) go row by row."""
     spark = stream.sparkSession
     ship_package(spark)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     timed = as_event_time(stream, ts).withWatermark(ts, delay)
     kept = [c for c in stream.columns if c != ts]
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in kept}
+    deal = F.pmod(F.xxhash64(*spread, ts), F.lit(parts)).cast("int").alias(_DEAL)
     # Without the event-time column itself: the engine would drop late rows before they are seen.
-    rows = timed.select(*kept, F.unix_micros(ts).alias(_MICROS), F.pmod(F.xxhash64(*spread, ts), F.lit(parts)).cast("int").alias(_DEAL))
-    schema = StructType([*[stream.schema[c] for c in kept], StructField(_MICROS, LongType()), StructField(_LATE, BooleanType()),
-                         StructField(_AT, TimestampType())])
-    return rows.groupBy(_DEAL).transformWithState(_Arrivals([*kept, _MICROS]), schema, "append", "EventTime", eventTimeColumnName=_AT)
+    if not all(k in AS_IS or k.split("(")[0] in AS_TEXT for k in kinds.values()):
+        rows = timed.select(*kept, F.unix_micros(ts).alias(_MICROS), deal)
+        schema = StructType([*[stream.schema[c] for c in kept], StructField(_MICROS, LongType()), StructField(_LATE, BooleanType()),
+                             StructField(_AT, TimestampType())])
+        return rows.groupBy(_DEAL).transformWithState(_Arrivals([*kept, _MICROS]), schema, "append", "EventTime", eventTimeColumnName=_AT)
+    whole = {f"whole{i}": c for i, c in enumerate(c for c in kept if kinds[c] in AS_IS)}
+    parted = [c for c in kept if kinds[c] not in AS_IS]
+    texts = [F.coalesce(c.cast("string"), F.lit("")) for c in (*map(F.col, parted), F.unix_micros(ts))]
+    rows = timed.select(*[F.col(c).alias(n) for n, c in whole.items()], F.concat_ws(",", *texts).alias("numbers"),
+                        F.coalesce(F.unix_micros(ts), F.lit(_NO_TIME)).alias("time"), deal)
+    schema = StructType([*[rows.schema[n] for n in (*whole, "numbers")], StructField(_LATE, BooleanType()), StructField(_AT, TimestampType())])
+    marked = rows.groupBy(_DEAL).transformWithStateInPandas(_ArrivalFrames([*whole, "numbers"]), schema, "append", "EventTime",
+                                                            eventTimeColumnName=_AT)
+    marked = marked.withColumn("numbers", F.split("numbers", ","))
+
+    def number(i: int, kind) -> Column:
+        text = F.col("numbers")[i]
+        return F.when(text != "", text).cast(kind)
+
+    back = {c: F.col(n) for n, c in whole.items()} | {c: number(i, stream.schema[c].dataType) for i, c in enumerate(parted)}
+    return marked.select(*[back[c].alias(c) for c in kept], number(len(parted), "long").alias(_MICROS), _LATE, _AT)
 
 
 #: State on disk, with logs of changes instead of whole copies for each batch, no space taken in advance (a store
