@@ -27,10 +27,12 @@ PARTITIONED_ID_PATTERN = r"image_id=([^/]+)\.txt$"
 FILES = 1000
 #: Folders that one task writes, about.
 TASK_FOLDERS = 8
-#: Folders listed at a time, at least; and the most parts.
-FOLDERS, PARTS = 100, 100
-#: What a file counts for when files are dealt to tasks: about a thousand make a task of the usual size.
-OPEN_COST = {"spark.sql.files.openCostInBytes": str(128 << 10)}
+#: Folders listed first; then as many at a time as have about so many files, since the driver's file index has an entry for each.
+FOLDERS, LISTED = 50, 50_000
+#: Listed files that one task writes, about.
+TASK_FILES = 1000
+#: The session keeps no listings: each folder is listed once.
+NO_CACHE = {"spark.sql.hive.filesourcePartitionFileCacheSize": "0"}
 #: The name of a NULL id, as in the folders of Spark's writers.
 NULL_ID = "__HIVE_DEFAULT_PARTITION__"
 
@@ -39,28 +41,52 @@ def image_manifest(spark: SparkSession, image_dir: str, glob: str = DEFAULT_GLOB
                    id_pattern: str = DEFAULT_ID_PATTERN) -> DataFrame:
     """S3: (image_id, path, length, modificationTime), one row per file, as a
     table that is written when this is called."""
-    table, top = scratch_path(spark, "image-files"), subfolders(spark, image_dir)
-
-    def listed(paths: list[str], recursive: bool) -> None:
-        (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
-         .load(paths).select(F.regexp_extract("path", id_pattern, 1).alias("image_id"), "path", "length", "modificationTime")
-         .write.mode("append").parquet(table))
-
-    with set_conf(spark, OPEN_COST):
-        listed([image_dir], not top)
-        size = max(FOLDERS, -(-len(top) // PARTS))
-        for i in range(0, len(top), size):
-            listed(top[i:i + size], True)
+    table = scratch_path(spark, "image-files")
+    folders, files = children(spark, image_dir)
+
+    def listed(paths: list[str]) -> int:
+        found = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(paths))
+        found.select(F.regexp_extract("path", id_pattern, 1).alias("image_id"), "path", "length", "modificationTime") \
+            .write.mode("append").parquet(table)
+        return len(found._jdf.inputFiles())
+
+    with set_conf(spark, {**NO_CACHE, "spark.sql.files.openCostInBytes": str(open_cost(spark))}):
+        if not folders:
+            listed([image_dir])
+            return spark.read.parquet(table)
+        # Files beside folders are named: a reader of the folder itself lists all that is below it.
+        for i in range(0, len(files), LISTED):
+            listed(files[i:i + LISTED])
+        first, size, seen = 0, FOLDERS, 0
+        while first < len(folders):
+            seen += listed(folders[first:first + size])
+            first += size
+            size = min(max(LISTED * first // max(seen, 1), 1), 10 * size)
     return spark.read.parquet(table)
 
 
-def subfolders(spark: SparkSession, folder: str) -> list[str]:
-    """The folders directly below ``folder`` that readers look into; none if some name would be read as a pattern."""
+def open_cost(spark: SparkSession) -> int:
+    """What a file counts for when files are dealt to tasks: about a thousand make a task of the session's size."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return max(size // TASK_FILES, 1)
+
+
+def children(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
+    """The folders directly below ``folder`` that readers look into, and the files there; none if some name would be read as a pattern."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
         spark._jvm.org.apache.hadoop.fs.Path(path, "*")) or []
-    names = sorted(str(f.getPath().toString()) for f in found if f.isDirectory() and f.getPath().getName()[0] not in "_.")
-    return [] if any(c in n for n in [folder, *names] for c in "{}[]*?\\") else names
+    if not any(f.isDirectory() for f in found):
+        return [], []
+    folders, files = [], []
+    for f in found:
+        name = str(f.getPath().toString())
+        if not f.isDirectory():
+            files.append(name)
+        elif f.getPath().getName()[0] not in "_.":
+            folders.append(name)
+    odd = any(c in n for n in [folder, *folders, *files] for c in "{}[]*?\\")
+    return ([], []) if odd else (sorted(folders), sorted(files))
 
 
 def write_image_files(images: DataFrame, path: str, files: int = FILES) -> None:

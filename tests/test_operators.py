@@ -423,3 +423,19 @@ def test_label_mask_is_a_run_of_ids_and_no_function_of_places(spark):
         assert "lambda" not in _plan(got)
         for r in got.collect():
             assert r.labels == brute(r.p, r.n_real, r.n_left, r.plen, r.test, mode), r
+
+
+def test_image_files_are_listed_once_and_in_parts_of_their_number(spark, monkeypatch):
+    monkeypatch.setattr(IM, "FOLDERS", 2)
+    monkeypatch.setattr(IM, "LISTED", 40, raising=False)
+    d = tempfile.mkdtemp(prefix="rubric-img-")
+    IM.write_image_files(spark.createDataFrame([(str(i), "x") for i in range(200)], "image_id string, content string"), d, files=10)
+    for name in ("a.txt", "b.txt", "c.png"):
+        open(os.path.join(d, name), "w").close()
+    discovered = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics.METRIC_FILES_DISCOVERED()
+    before = discovered.getCount()
+    m = IM.image_manifest(spark, d, glob="*.txt", id_pattern=r"([^/]+)\.txt$")
+    tables = len(m.inputFiles())
+    # Each image file stands in one listing; appends and the result list the manifest's own files.
+    assert discovered.getCount() - before <= 203 + tables
+    assert sorted(r.image_id for r in m.collect()) == sorted([*(f"image_id={i}" for i in range(200)), "a", "b"])
