@@ -67,3 +67,37 @@ def test_occurrences_are_not_shuffled_as_rows(spark):
     assert entries < n_tokens / 2  # already in blocks as small as those of this table
     plan = sequences.encode_blocks(coded, spark.createDataFrame([("a", 2)], "token string, id long"))._jdf.queryExecution().executedPlan().toString()
     assert "posexplode(_dictionary" in plan and "explode(tokens" not in plan
+
+
+def test_parts_of_a_block_share_its_dictionary(monkeypatch):
+    """A block is coded a part at a time, and its codes are kept compressed."""
+    import types
+
+    import pyarrow as pa
+    monkeypatch.setattr(blocks, "PART", 40, raising=False)
+    monkeypatch.setattr(blocks, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    rng = random.Random(8)
+    some = [[rng.choice([None, *"abcdefgh"]) for _ in range(rng.choice([0, 3, 30, 90]))] for _ in range(400)] + [None, ["z"] * 50]
+    made = pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.string())), pa.array(range(len(some)))], ["tokens", "k"])
+    out = list(blocks.coder(["k"], 5000, 10_000)(made.slice(i, 37) for i in range(0, len(some), 37)))
+    got = {}
+    for row in (r for b in out for r in b.to_pylist()):
+        n, tokens = sum(row[blocks.LENGTHS]), [*row[blocks.DICTIONARY], None]
+        assert n <= 5000 and len(row[blocks.CODES]) < n  # less than a byte a token here, not four
+        texts = [tokens[c] for c in blocks.unpacked(row[blocks.CODES], n, "<i4")]
+        assert len(set(tokens)) == len(tokens) and row[blocks.COUNTS] == [texts.count(t) for t in tokens[:-1]]
+        for k, m in zip(row["k"], row[blocks.LENGTHS]):
+            got[k], texts = texts[:m], texts[m:]
+    assert 1 < len(out) and got == {i: t or [] for i, t in enumerate(some)}
+
+
+def test_ids_reach_their_block_packed(spark, small_blocks):
+    """A block gets a pack of ids from a task, not a row for each token."""
+    coded = sequences.code_tokens(spark.createDataFrame(rows(), SCHEMA).repartition(3), carry=("split",))
+    vocab = spark.createDataFrame([(f"t{i}", 10 + i) for i in range(0, 60, 2)], "token string, id long")
+    ids = {f"t{i}": 10 + i for i in range(0, 60, 2)}
+    found = {r[blocks.BLOCK]: r["packs"] for r in blocks.block_ids(coded, vocab, 1).collect()}
+    for r in coded.collect():
+        packs = [p.asDict() for p in found.get(r[blocks.BLOCK], [])]
+        assert sum(p["n"] for p in packs) == len(r[blocks.DICTIONARY])
+        assert blocks.ids_of(packs, 1).tolist() == [*(ids.get(t, 1) for t in r[blocks.DICTIONARY]), 1]
