@@ -439,3 +439,24 @@ def test_image_files_are_listed_once_and_in_parts_of_their_number(spark, monkeyp
     # Each image file stands in one listing; appends and the result list the manifest's own files.
     assert discovered.getCount() - before <= 203 + tables
     assert sorted(r.image_id for r in m.collect()) == sorted([*(f"image_id={i}" for i in range(200)), "a", "b"])
+
+
+def test_eval_report_finds_long_texts_again_with_zstd(spark):
+    """A question of 60 KB stands twice in a row, further apart than gzip looks back; files are read whole, not split."""
+    import random
+
+    from rubric.session import set_conf
+    from rubric.sources import sinks as SK
+    rng, d = random.Random(3), tempfile.mkdtemp(prefix="rubric-report-")
+    long = ["".join(rng.choices("abcdefghijklmnop", k=60_000)) for _ in range(12)]
+    rows = spark.createDataFrame([(f"{i}", t, t, f"g{i % 2}") for i, t in enumerate(long)] + [("x", None, "", "g0"), ("y", "a\nb", "ä", None)],
+                                 "image_id string, instruction string, prediction_raw string, tag string").coalesce(1)
+    sizes = {}
+    for kind in ("gzip", "zstd"):
+        SK.write_eval_report(rows, f"{d}/{kind}", compression=kind)
+        files = [os.path.join(at, f) for at, _, some in os.walk(f"{d}/{kind}") for f in some if f.startswith("part")]
+        sizes[kind] = sum(map(os.path.getsize, files))
+        with set_conf(spark, {"spark.sql.files.maxPartitionBytes": "10k", "spark.sql.files.openCostInBytes": "1"}):
+            got = [(r.image_id, r.instruction, r.prediction_raw, r.tag) for r in SK.read_eval_report(spark, f"{d}/{kind}").collect()]
+        assert sorted(got) == sorted(map(tuple, rows.collect()))
+    assert all(f.endswith(".json.zstd") for f in files) and sizes["zstd"] < 0.7 * sizes["gzip"]
