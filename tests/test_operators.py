@@ -431,7 +431,8 @@ def test_image_files_are_listed_once_and_in_parts_of_their_number(spark, monkeyp
     d = tempfile.mkdtemp(prefix="rubric-img-")
     IM.write_image_files(spark.createDataFrame([(str(i), "x") for i in range(200)], "image_id string, content string"), d, files=10)
     for name in ("a.txt", "b.txt", "c.png"):
-        open(os.path.join(d, name), "w").close()
+        with open(os.path.join(d, name), "w") as f:
+            f.write("beside")  # Spark's readers skip empty files
     discovered = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics.METRIC_FILES_DISCOVERED()
     before = discovered.getCount()
     m = IM.image_manifest(spark, d, glob="*.txt", id_pattern=r"([^/]+)\.txt$")
